@@ -366,3 +366,63 @@ def samples_up(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .agg(F.when(F.min("result") == "success", 1.0).otherwise(0.0).alias("value"))
     )
+
+
+def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Irregular measurements: the value of each event, by event type."""
+    return e(spark, sf_dir).select("event_type", F.col("event_time").alias("ts"), "value")
+
+
+def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data correction windows per event type: 1 while active, else 0."""
+    return e(spark, sf_dir).select(
+        F.col("event_type").alias("incident"),
+        F.col("event_time").alias("ts"),
+        (F.col("k") < 30).cast("double").alias("value"),
+    )
+
+
+# metric name -> growth of the counter per request, as SQL over the columns of ``e``
+HEALTH_COUNTERS = {
+    "lines_read_total": "CASE WHEN k < 50 THEN 1 ELSE 0 END",
+    "file_size_bytes": "cents * 100",
+    "file_offset_bytes": "CASE WHEN k < 80 THEN cents * 100 ELSE 0 END",
+    "malformed_lines_total": "CASE WHEN k >= 50 THEN k ELSE 0 END",
+    "unsupported_results_total": "CASE WHEN k >= 90 THEN k - 85 ELSE 0 END",
+    "query_fails_total": "k % 20",
+    "events_not_matching_any_rule": "CASE WHEN k >= 97 THEN 1 ELSE 0 END",
+    "unclassified_total": "k % 2",
+}
+HEALTH_GAUGES = {
+    "up": "CASE WHEN max(k) >= 95 THEN 0 ELSE 1 END",
+    "ready": "CASE WHEN max(k) >= 98 THEN 0 ELSE 1 END",
+    "event_keys": "max(user_id % 10)",
+    "event_keys_limit": "9",
+}
+
+
+def health_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's own series per instance (event type), one sample per active minute."""
+    base = e(spark, sf_dir)
+    sums = [F.expr(f"sum({sql})").cast("double").alias(name) for name, sql in HEALTH_COUNTERS.items()]
+    gauges = [F.expr(sql).cast("double").alias(name) for name, sql in HEALTH_GAUGES.items()]
+    cells = base.groupBy(
+        F.col("event_type").alias("instance"), ceil_time(F.col("event_time"), MINUTE).alias("ts")
+    ).agg(*sums, *gauges)
+    running = Window.partitionBy("instance").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    totals = cells.select(
+        "instance", "ts", *[F.sum(n).over(running).alias(n) for n in HEALTH_COUNTERS], *HEALTH_GAUGES
+    )
+    names = [*HEALTH_COUNTERS, *HEALTH_GAUGES]
+    long = totals.unpivot(["instance", "ts"], names, "name", "value")
+    unclassified = F.col("name") == "unclassified_total"
+    return long.select(
+        F.when(unclassified, "events_processed_total").otherwise(F.col("name")).alias("metric"),
+        F.lit("production").alias("namespace"),
+        "instance",
+        F.col("instance").alias("pod"),
+        F.when(unclassified, "unclassified").otherwise("").alias("result"),
+        F.when(unclassified & (F.col("instance") == "error"), "500").otherwise("").alias("status_code"),
+        "ts",
+        "value",
+    )

@@ -147,10 +147,16 @@ def classify_dynamic(
     regexp: Sequence[Matcher] = (),
     order: Sequence[str] = ("event_time", "event_id"),
     chunk: Column | None = None,
+    remembered: DataFrame | None = None,
 ) -> DataFrame:
-    """Own classification, else learned, else exact, else regular expression, else unchanged."""
+    """Own classification, else learned, else exact, else regular expression, else unchanged.
+
+    ``remembered`` is what an earlier run left behind, see :func:`remember`.
+    """
     keyed = df.withColumn("event_key", event_key())
     found = with_learned(keyed, order, chunk)
+    if remembered is not None:
+        found = _with_remembered(found, remembered)
     if exact is None:
         found = found.withColumn("__exact", F.lit(None).cast(_NO_CLASS))
     else:
@@ -158,6 +164,44 @@ def classify_dynamic(
     return decide(found, regexp)
 
 
+def _with_remembered(found: DataFrame, remembered: DataFrame) -> DataFrame:
+    """Fill ``__learned`` and ``__seen`` from an earlier run where this run has nothing yet."""
+    table = remembered.select(
+        F.col("event_key").alias("__key"), F.col("learned").alias("__old"), F.lit(True).alias("__known")
+    )
+    return (
+        found.join(table, found["event_key"] == table["__key"], "left")
+        .withColumns(
+            {
+                "__learned": F.coalesce("__learned", "__old"),
+                "__seen": F.coalesce("__seen", "__known"),
+            }
+        )
+        .drop("__key", "__old", "__known")
+    )
+
+
+def remember(
+    df: DataFrame,
+    remembered: DataFrame | None = None,
+    order: Sequence[str] = ("event_time", "event_id"),
+) -> DataFrame:
+    """What later runs must know: per key the last own classification, ``(event_key, learned)``.
+
+    ``df`` is a result of :func:`classify_dynamic`, ``remembered`` what was known before it.
+    """
+    position = F.struct(*[F.col(c) for c in order])
+    own = F.when(F.col("classified_by").isNull(), position)
+    fresh = df.groupBy("event_key").agg(F.max_by("classification", own).alias("learned"))
+    if remembered is None:
+        return fresh
+    old = remembered.select(F.col("event_key").alias("__key"), F.col("learned").alias("__old"))
+    return fresh.join(old, fresh["event_key"] == old["__key"], "full").select(
+        F.coalesce("event_key", "__key").alias("event_key"),
+        F.coalesce("learned", "__old").alias("learned"),
+    )
+
+
 def classification_report(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Count the events that did not come classified, by result and source.
 

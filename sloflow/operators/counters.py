@@ -102,7 +102,12 @@ def event_key_stats(df: DataFrame, limit: int) -> DataFrame:
     return df.agg(known.alias("event_keys"), F.lit(limit).cast("bigint").alias("event_keys_limit"))
 
 
-def _finest(df: DataFrame, names: LabelNames, exemplar_keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def finest_counters(
+    df: DataFrame,
+    names: LabelNames = DEFAULT_NAMES,
+    exemplar_keys: Sequence[str] = (),
+    order: Sequence[str] = ("event_time", "event_id"),
+) -> DataFrame:
     """One row per label set of the finest level, with the sums of both results side by side.
 
     Putting the results side by side is the zero initialisation: a label set seen with one result
@@ -146,7 +151,14 @@ def cascade_counters(
     Raw rows are aggregated once at the finest level.  The coarser levels are grouping sets over
     that much smaller result.
     """
-    finest = _finest(df, names, exemplar_keys, order)
+    return cascade_levels(finest_counters(df, names, exemplar_keys, order), base, names)
+
+
+def cascade_levels(
+    finest: DataFrame, base: str = "slo_events_total", names: LabelNames = DEFAULT_NAMES
+) -> DataFrame:
+    """All four levels from the rows of :func:`finest_counters`."""
+    exemplar_keys = f"{RESULTS[0]}_exemplar" in finest.columns
     levels = list(names.levels)
     sets = [[F.col("extra"), *[F.col(c) for c in levels[: n + 1]]] for n in range(len(levels))]
     sums = [F.sum(result).alias(result) for result in RESULTS]

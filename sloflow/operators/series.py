@@ -131,20 +131,26 @@ def counter_deltas(
 
 
 def counter_increase(
-    samples: DataFrame, poll_interval: int = MINUTE, staleness: int = STALENESS
+    samples: DataFrame,
+    poll_interval: int = MINUTE,
+    staleness: int = STALENESS,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Growth per series and poll: ``(labels, poll_ts, value)``.
 
     Polls happen at multiples of ``poll_interval``; each sees the samples since the one before.  A
     previous sample that is older than ``staleness`` at the poll, and comes from an earlier poll, is
-    forgotten: the first sample of the poll is then the baseline.
+    forgotten: the first sample of the poll is then the baseline.  ``earlier`` has the last samples
+    of an earlier run (:func:`last_samples`); they count as previous samples only.
     """
-    polled = samples.select(
-        "labels",
-        strmap.text(F.col("labels")).alias("series_id"),
-        "ts",
-        "value",
-        ceil_time(F.col("ts"), poll_interval).alias("poll_ts"),
+    rows = samples.select("labels", "ts", "value", F.lit(False).alias("earlier"))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select("labels", "ts", "value", F.lit(True).alias("earlier")))
+    polled = rows.withColumns(
+        {
+            "series_id": strmap.text(F.col("labels")),
+            "poll_ts": ceil_time(F.col("ts"), poll_interval),
+        }
     )
     found = with_previous(
         polled,
@@ -161,12 +167,22 @@ def counter_increase(
     ).otherwise(0.0)
     return (
         found.withColumn("delta", delta)
+        .filter(~F.col("earlier"))
         .groupBy("series_id", "poll_ts")
         .agg(F.any_value("labels").alias("labels"), F.sum("delta").alias("value"))
         .select("labels", "poll_ts", "value")
     )
 
 
+def last_samples(samples: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """The last sample of every series, for the next run."""
+    rows = samples.select("labels", "ts", "value")
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select("labels", "ts", "value"))
+    last = F.max_by(F.struct("labels", "ts", "value"), F.struct("ts", "value")).alias("last")
+    return rows.groupBy(strmap.text(F.col("labels")).alias("series_id")).agg(last).select("last.*")
+
+
 def counter_events(
     samples: DataFrame,
     poll_interval: int = MINUTE,
@@ -174,9 +190,10 @@ def counter_events(
     drop: Sequence[str] = (),
     add: Mapping[str, str] | None = None,
     result_as_quantity: bool = True,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Raw events from counter growth; polls without growth give none."""
-    grown = counter_increase(samples, poll_interval, staleness)
+    grown = counter_increase(samples, poll_interval, staleness, earlier)
     return sample_event(
         grown, F.col("labels"), F.col("value"), F.col("poll_ts"), result_as_quantity, drop, add
     ).select("event_time", "metadata", "quantity", "result_value")
@@ -263,6 +280,16 @@ def _check_range(seconds: int, step: int):
         raise ValueError(f"a range of {seconds}s is not a multiple of the grid step {step}s")
 
 
+def _spread(cells: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Partition by series into the configured number of partitions.
+
+    Cells are few and are about to become many: without a fixed number, adaptive execution would
+    merge them into one task before the grid is filled.
+    """
+    number = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(number, *series) if series else cells
+
+
 def _fill(cells: DataFrame, series: Sequence[str], grid: Grid, reach: int) -> DataFrame:
     """Add the empty grid times after each cell, up to the next one or ``reach`` seconds.
 
@@ -288,49 +315,88 @@ def _fill(cells: DataFrame, series: Sequence[str], grid: Grid, reach: int) -> Da
     )
 
 
-def rolling_increase(
-    cells: DataFrame, by: Sequence[str], ranges: Mapping[str, int], grid: Grid, steps: Mapping[str, int] | None = None
+def rolling_wide(
+    cells: DataFrame,
+    by: Sequence[str],
+    measures: Mapping[str, tuple[str, str]],
+    ranges: Mapping[str, int],
+    grid: Grid,
+    steps: Mapping[str, int] | None = None,
+    hold: Mapping[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
-    """Increase over each range at each grid time: ``(by, slo_time_range, ts, value)``.
+    """Increase of each measure over each range, as columns ``<measure>_<range>`` per time.
+
+    ``measures`` maps a name to the cell columns of its growth and of its number of samples.  A
+    column is NULL where the range has no sample of the measure, or where the range is not
+    evaluated: ``steps`` gives the evaluation step of a range, and ``hold`` repeats its last value
+    on a finer step for some seconds, as ``(step, seconds)``.
 
-    Cells are summed up along time once; each range is then the difference of two running sums, so
-    the cost does not depend on the length of the range.  ``steps`` can thin out the times of a
-    range.  A group has a value where it has a sample in the range.
+    Growth is summed up along time once, and each range is the difference of two running sums; the
+    cost does not depend on the length of the ranges.  One shuffle by ``by`` serves all of it.
     """
     for seconds in ranges.values():
         _check_range(seconds, grid.step)
-    steps = steps or {}
+    steps, hold = steps or {}, hold or {}
     ordered = Window.partitionBy(*by).orderBy("ts")
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    sums = cells.withColumns(
-        {"__sum": F.sum("delta").over(running), "__count": F.sum("samples").over(running)}
-    ).drop("delta", "samples")
-    dense = _fill(sums, by, grid, max(ranges.values()))
+    sums = {}
+    for name, (growth, count) in measures.items():
+        sums[f"__sum_{name}"] = F.sum(growth).over(running)
+        sums[f"__last_{name}"] = F.max(F.when(F.col(count) > 0, F.unix_seconds("ts"))).over(running)
+    totals = _spread(cells, by).withColumns(sums)
+    dense = _fill(totals.select(*by, "ts", *sums), by, grid, max(ranges.values()))
+    # Rows are dense for the longest range after each sample, so looking back by rows is exact.
+    looks = {
+        f"__before_{name}_{r}": F.lag(f"__sum_{name}", seconds // grid.step, 0.0).over(ordered)
+        for r, seconds in ranges.items()
+        for name in measures
+    }
+    seen = dense.withColumns(looks)
     second = F.unix_seconds("ts")
-    looks, rows = {}, []
-    for name, seconds in ranges.items():
-        # Gaps beyond the longest range are not filled, so look back by time and not by rows.
-        before = (
-            Window.partitionBy(*by)
-            .orderBy(second)
-            .rangeBetween(Window.unboundedPreceding, -seconds)
-        )
-        looks[f"__before_{name}"] = F.last(F.struct("__sum", "__count")).over(before)
-        earlier = F.col(f"__before_{name}")
-        value = F.col("__sum") - F.coalesce(earlier["__sum"], F.lit(0.0))
-        count = F.col("__count") - F.coalesce(earlier["__count"], F.lit(0))
-        on_time = F.pmod(second, F.lit(steps.get(name, grid.step))) == 0
-        rows.append(
+    columns = {}
+    for r, seconds in ranges.items():
+        on_time = F.pmod(second, F.lit(steps.get(r, grid.step))) == 0
+        for name in measures:
+            value = F.col(f"__sum_{name}") - F.col(f"__before_{name}_{r}")
+            present = F.col(f"__last_{name}") > second - seconds
+            columns[f"{name}_{r}"] = F.when(on_time & present, value)
+    found = seen.select(*by, "ts", *[column.alias(name) for name, column in columns.items()])
+    held = {}
+    for r, (step, seconds) in hold.items():
+        for name in measures:
+            own = F.col(f"{name}_{r}")
+            last = F.last(
+                F.when(own.isNotNull(), F.struct(second.alias("at"), own.alias("value"))), ignorenulls=True
+            ).over(running)
+            fresh = (second - last["at"] < seconds) & (F.pmod(second, F.lit(step)) == 0)
+            held[f"{name}_{r}"] = F.when(fresh, last["value"])
+    return (found.withColumns(held) if held else found).filter(second >= grid.start)
+
+
+def rolling_increase(
+    cells: DataFrame,
+    by: Sequence[str],
+    ranges: Mapping[str, int],
+    grid: Grid,
+    steps: Mapping[str, int] | None = None,
+    hold: Mapping[str, tuple[int, int]] | None = None,
+) -> DataFrame:
+    """Increase over each range at each grid time: ``(by, slo_time_range, ts, value)``.
+
+    A group has a value where it has a sample in the range; see :func:`rolling_wide`.
+    """
+    wide = rolling_wide(cells, by, {"v": ("delta", "samples")}, ranges, grid, steps, hold)
+    rows = F.array(
+        *[
             F.when(
-                (count > 0) & on_time,
-                F.struct(F.lit(name).alias("slo_time_range"), value.alias("value")),
+                F.col(f"v_{r}").isNotNull(),
+                F.struct(F.lit(r).alias("slo_time_range"), F.col(f"v_{r}").alias("value")),
             )
-        )
-    return (
-        dense.withColumns(looks)
-        .filter(second >= grid.start)
-        .withColumn("__row", F.explode(F.array_compact(F.array(*rows))))
-        .select(*by, "__row.slo_time_range", "ts", "__row.value")
+            for r in ranges
+        ]
+    )
+    return wide.withColumn("__row", F.explode(F.array_compact(rows))).select(
+        *by, "__row.slo_time_range", "ts", "__row.value"
     )
 
 
@@ -371,7 +437,7 @@ def _extrapolated(
             F.count("*").alias("samples"),
         )
     )
-    dense = _fill(cells, series, grid, seconds).withColumns(
+    dense = _fill(_spread(cells, series), series, grid, seconds).withColumns(
         {
             name: F.when(~F.col("filled"), F.col(name))
             for name in ("first", "last_at", "delta", "samples")
@@ -460,14 +526,13 @@ def instant_vector(
     lookback: int = STALENESS,
     offset: int = 0,
 ) -> DataFrame:
-    """Samples ``(labels, ts, value)`` as seen by evaluations every ``grid.step``.
+    """Samples ``(labels, ts, value)`` as seen by evaluations at the grid times.
 
-    An evaluation at ``t`` looks at ``t - offset``, and its rows carry that time.
+    An evaluation at ``t`` looks at ``t - offset``, which is also the time of its rows.
     """
-    keyed = samples.withColumn("series_id", strmap.text(F.col("labels")))
-    shifted = Grid(grid.start - offset, grid.end - offset, grid.step)
-    found = asof(keyed, ["series_id"], shifted, lookback, carried=("labels", "value"))
-    return found.select("labels", "ts", "value")
+    keyed = shift(samples.withColumn("series_id", strmap.text(F.col("labels"))), offset)
+    found = asof(keyed, ["series_id"], grid, lookback, carried=("labels", "value"))
+    return shift(found, -offset).select("labels", "ts", "value")
 
 
 def last_over_time(samples: DataFrame, series: Sequence[str], seconds: int, grid: Grid) -> DataFrame:
@@ -493,7 +558,8 @@ def over_time(
         F.max_by("value", "ts").alias("last"),
     )
     parts = ("sum", "count", "min", "max", "first", "last")
-    dense = _fill(cells.withColumnRenamed("__cell", "ts"), series, grid, seconds).withColumns(
+    spread = _spread(cells.withColumnRenamed("__cell", "ts"), series)
+    dense = _fill(spread, series, grid, seconds).withColumns(
         {name: F.when(~F.col("filled"), F.col(name)) for name in parts}
     )
     second = F.unix_seconds("ts")

@@ -129,9 +129,9 @@ def vmatch(
     ``include`` are copied from the "one" side.  The other side's value is in ``other``.
     """
     if group == "right":
-        return vmatch(right, left, on, "left", include).withColumnsRenamed(
-            {"value": "other", "other": "value"}
-        )
+        swapped = vmatch(right, left, on, "left", include)
+        kept = [c for c in swapped.columns if c not in ("value", "other")]
+        return swapped.select(*kept, F.col("other").alias("value"), F.col("value").alias("other"))
     keys = _keys(left, right, on)
     one = _one_side(right, keys, include)
     if group is None:

@@ -46,18 +46,6 @@ BURN_ALERTS = (
 )
 
 
-def _wide(events: DataFrame) -> DataFrame:
-    """All ranges of an SLO at one time side by side, from one aggregation."""
-    columns = []
-    for name in RANGES:
-        here = F.col("slo_time_range") == name
-        columns.append(F.sum(F.when(here, F.col("value"))).alias(f"total_{name}"))
-        columns.append(
-            F.sum(F.when(here & (F.col("result") == "fail"), F.col("value"))).alias(f"fail_{name}")
-        )
-    return events.groupBy(*SLO, "ts").agg(*columns)
-
-
 def _ratio(time_range: str) -> Column:
     total, failed = F.col(f"total_{time_range}"), F.col(f"fail_{time_range}")
     return F.when(total == 0, 0.0).when(
@@ -66,7 +54,7 @@ def _ratio(time_range: str) -> Column:
 
 
 def burn_alerts(
-    events: DataFrame,
+    wide: DataFrame,
     stable: DataFrame,
     ratio_thresholds: DataFrame,
     burn_thresholds: DataFrame,
@@ -75,10 +63,10 @@ def burn_alerts(
 ) -> DataFrame:
     """Multi-window burn-rate alerts: one row per alert, SLO and time at which it fires.
 
-    The value is the effective burn rate of the long range.  The long range's coefficient and
+    ``wide`` comes from :func:`~sloflow.plans.slo.wide_events`.  The value is the effective burn rate of the long range.  The long range's coefficient and
     threshold apply to the short range as well.  All conditions are columns over one wide row per
     SLO and time, so the ranges are not joined with each other; only the small definition tables
-    are joined.
+    are joined, which must have one row per SLO.
     """
     enabled = v.select_series(stable, [("enabled", "!=", "false")])
     versions = v.vagg(enabled, "max", by=[*VERSION, "team", "escalate"])
@@ -89,12 +77,12 @@ def burn_alerts(
             for a in sorted({alert.long for alert in alerts})
         ]
     )
-    wide = v.vmatch(_wide(events).withColumn("value", F.lit(0.0)), allowed, SLO, "left")
-    wide_columns = [c for c in wide.columns if c not in ("value", "other")]
-    wide = wide.select(*wide_columns, (1 - F.col("other")).alias("__allowed"))
     one = _constants(versions, VERSION, ["team", "escalate", "value"])
     bounds = _constants(limits, SLO, [c for c in limits.columns if c.startswith("limit_")])
-    known = _lookup(_lookup(wide, one, VERSION), bounds, SLO)
+    ratios = _constants(
+        allowed.select(*SLO, (1 - F.col("value")).alias("__allowed")), SLO, ["__allowed"]
+    )
+    known = _lookup(_lookup(_lookup(wide, one, VERSION), bounds, SLO), ratios, SLO)
 
     month = F.col("total_4w")
     rows = []

@@ -27,6 +27,7 @@ STEPS = {
 SPARSE = "4w"
 SPARSE_FILL = 30 * MINUTE
 SPARSE_STEP = 3 * MINUTE
+HOLD = {SPARSE: (SPARSE_STEP, SPARSE_FILL)}
 # Burn-rate windows, long range to short range.
 WINDOWS = {"1h": "5m", "6h": "30m", "1d": "2h", "3d": "6h"}
 
@@ -41,13 +42,26 @@ def events_over_time(
     The longest range is computed every 15 minutes and carried on to a 3-minute grid.
     """
     wanted = {name: RANGES[name] for name in ranges}
-    dense = ts.rolling_increase(cells, by, wanted, grid, STEPS)
-    if SPARSE not in wanted:
-        return dense
-    rest = dense.filter(F.col("slo_time_range") != SPARSE)
-    sparse = dense.filter(F.col("slo_time_range") == SPARSE)
-    filled = fill_sparse(sparse, grid, [*by, "slo_time_range"])
-    return filled if len(wanted) == 1 else rest.unionByName(filled)
+    hold = {name: HOLD[name] for name in wanted if name in HOLD}
+    return ts.rolling_increase(cells, by, wanted, grid, STEPS, hold)
+
+
+def wide_events(cells: DataFrame, grid: Grid, ranges: Sequence[str] = tuple(RANGES)) -> DataFrame:
+    """All ranges of an SLO at one time in one row: ``total_<range>`` and ``fail_<range>``.
+
+    Evaluated where every range has a fresh value, every 3 minutes.
+    """
+    failed = F.col("result") == "fail"
+    sums = cells.groupBy(*SLO, "ts").agg(
+        F.sum("delta").alias("total"),
+        F.sum("samples").alias("total_samples"),
+        F.sum(F.when(failed, F.col("delta")).otherwise(0.0)).alias("fail"),
+        F.sum(F.when(failed, F.col("samples")).otherwise(0)).alias("fail_samples"),
+    )
+    measures = {"total": ("total", "total_samples"), "fail": ("fail", "fail_samples")}
+    wanted = {name: RANGES[name] for name in ranges}
+    wide = ts.rolling_wide(sums, SLO, measures, wanted, grid, STEPS, HOLD)
+    return wide.filter(F.pmod(F.unix_seconds("ts"), F.lit(SPARSE_STEP)) == 0)
 
 
 def sparse_events(cells: DataFrame, grid: Grid, by: Sequence[str] = BY_RESULT) -> DataFrame:
@@ -237,10 +251,9 @@ def budget_change(budget: DataFrame, seconds: int, grid: Grid) -> DataFrame:
 
 
 def totals_in_range(cells: DataFrame, seconds: int, grid: Grid, offset: int = 0) -> DataFrame:
-    """Successful and failed events of each SLO within a range."""
-    shifted = Grid(grid.start - offset, grid.end - offset, grid.step)
-    totals = ts.rolling_increase(cells, BY_RESULT, {"r": seconds}, shifted).drop("slo_time_range")
-    return ts.shift(totals, offset) if offset else totals
+    """Successful and failed events of each SLO within a range that ends ``offset`` before now."""
+    moved = ts.shift(cells, offset) if offset else cells
+    return ts.rolling_increase(moved, BY_RESULT, {"r": seconds}, grid).drop("slo_time_range")
 
 
 def failures_by(
