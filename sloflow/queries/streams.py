@@ -24,8 +24,9 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """The ``events`` table as a stream of raw events."""
-    path = f"{sf}/events.parquet"
-    return fx.e_columns(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    schema = fx.table(spark, sf, "events").schema
+    # A pattern, because the table may be one file or a folder of files.
+    return fx.e_columns(spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*"))
 
 
 def _raw_stream(spark: SparkSession, sf: str) -> DataFrame:
