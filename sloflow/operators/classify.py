@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
+from sloflow.functions.once import computed
 from sloflow.functions.regex import compile_pattern, matches
 from sloflow.functions.text import metadata_label
 from sloflow.operators.scan import time_chunk, with_previous
@@ -33,8 +34,9 @@ def exact_table(matchers: DataFrame) -> DataFrame:
 def with_exact(df: DataFrame, matchers: DataFrame, key: str = "event_key") -> DataFrame:
     """Add ``__exact``: the classification of the row's key in the matcher table, or NULL.
 
-    The table is broadcast only if Spark finds it below ``spark.sql.autoBroadcastJoinThreshold``;
-    larger tables are shuffled, and AQE splits the partitions of hot keys.
+    A table made by :func:`~sloflow.sources.matchers.matchers_df` is broadcast up to its row limit,
+    any other one if Spark finds it small enough; larger tables are shuffled, and AQE splits the
+    partitions of hot keys.
     """
     table = exact_table(matchers)
     return df.join(table, df[key] == table["endpoint"], "left").drop("endpoint")
@@ -129,16 +131,18 @@ def decide(df: DataFrame, regexp: Sequence[Matcher]) -> DataFrame:
     )
     known = F.col("__learned").isNotNull() | F.col("__exact").isNotNull()
     by_regexp = F.col("__regexp").isNotNull()
-    return found.withColumns(
-        {
-            "classified_by": F.when(~own, F.when(known | (by_regexp & F.col("__seen").isNotNull()), EXACT)
-            .when(by_regexp, REGEXP)
-            .otherwise("")),
-            "classification": F.when(own, F.col("classification")).otherwise(
-                F.coalesce("__learned", "__exact", "__regexp", "classification")
-            ),
-        }
-    ).drop("__learned", "__exact", "__regexp", "__seen")
+    source = (
+        F.when(known | (by_regexp & F.col("__seen").isNotNull()), EXACT)
+        .when(by_regexp, REGEXP)
+        .otherwise("")
+    )
+    columns = {
+        "classified_by": F.when(~own, source),
+        "classification": F.when(own, F.col("classification")).otherwise(
+            F.coalesce("__learned", "__exact", "__regexp", "classification")
+        ),
+    }
+    return computed(found, columns).drop("__learned", "__exact", "__regexp", "__seen")
 
 
 def classify_dynamic(

@@ -70,14 +70,15 @@ def cap_event_keys(
 ) -> DataFrame:
     """Keep the first ``limit`` distinct event keys and replace all later new ones.
 
-    The first occurrences are found by a partial aggregation and a distributed top-n; only the at
-    most ``limit`` admitted keys are broadcast.  0 means no limit.
+    The first occurrences are found by a partial aggregation and a distributed top-n.  The at most
+    ``limit`` admitted keys are broadcast, up to a million of them.  0 means no limit.
     """
     if not limit:
         return df.withColumn("key_capped", F.lit(False))
     if admitted is None:
         admitted = admitted_keys(df, limit, order)
-    table = F.broadcast(admitted.select(F.col("event_key").alias("__key"), F.lit(True).alias("__ok")))
+    table = admitted.select(F.col("event_key").alias("__key"), F.lit(True).alias("__ok"))
+    table = F.broadcast(table) if limit <= 1_000_000 else table
     return (
         df.join(table, F.col("event_key") == F.col("__key"), "left")
         .withColumns(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
+from sloflow.functions.once import computed
 from sloflow.functions.regex import anchored, expand, matches
 
 ACTIONS = ("replace", "keep", "drop", "hashmod", "labelmap", "labeldrop", "labelkeep")
@@ -110,10 +111,10 @@ def relabel(df: DataFrame, steps: Iterable[RelabelStep | Mapping], column: str =
     for step in steps:
         metadata = F.col(column)
         source = _source(step, metadata)
-        if step.action == "keep":
-            df = df.filter(matches(source, anchored(step.regex)))
-        elif step.action == "drop":
-            df = df.filter(~matches(source, anchored(step.regex)))
+        if step.action in ("keep", "drop"):
+            found = computed(df, {"__matches": matches(source, anchored(step.regex))})
+            wanted = F.col("__matches") if step.action == "keep" else ~F.col("__matches")
+            df = found.filter(wanted).drop("__matches")
         elif step.action == "replace":
             df = df.withColumn(column, _replace(step, metadata, source))
         elif step.action == "hashmod":

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
+from sloflow.functions.once import exploded
 from sloflow.functions.regex import compile_pattern, matches
 from sloflow.functions.text import parse_float
 from sloflow.operators.predicates import EQUALITY, NUMERIC, predicate
@@ -160,11 +161,13 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rule's additional metadata) and ``rule`` (its position).
     """
     rules = check_rules(rules)
+    if not rules:
+        rules, df = [Rule()], df.limit(0)
     labels = F.array(*[strmap.literal(rule.additional_metadata) for rule in rules])
     hits = F.array(
         *[
             F.when(
-                rule_matches(rule),
+                is_classified() & rule_matches(rule),
                 F.struct(
                     F.lit(number).alias("rule"),
                     F.when(rule_failed(rule), "fail").otherwise("success").alias("result"),
@@ -173,13 +176,7 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             for number, rule in enumerate(rules)
         ]
     )
-    taken = df.filter(is_classified())
-    if not rules:
-        taken = taken.limit(0)
-        hits = F.array(F.struct(F.lit(0).alias("rule"), F.lit("").alias("result")))
-        labels = F.array(strmap.empty())
-    exploded = taken.withColumn("__hit", F.explode(F.array_compact(hits)))
-    return exploded.withColumns(
+    return exploded(df, "__hit", F.array_compact(hits)).withColumns(
         {
             "event_key": event_key(),
             "result": F.col("__hit.result"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
+from sloflow.functions.once import exploded
 from sloflow.functions.text import number_text, to_float
 from sloflow.operators.scan import time_chunk, with_previous
 from sloflow.operators.shape import BUCKET_MAX, BUCKET_MIN, sample_event
@@ -308,7 +309,7 @@ def _fill(cells: DataFrame, series: Sequence[str], grid: Grid, reach: int) -> Da
         .withColumn("__times", times)
         .select(
             *[F.col(c) for c in cells.columns if c != "ts"],
-            F.posexplode("__times").alias("__nth", "__second"),
+            F.posexplode_outer("__times").alias("__nth", "__second"),
         )
         .withColumns({"ts": F.timestamp_seconds("__second"), "filled": F.col("__nth") > 0})
         .drop("__nth", "__second")
@@ -395,7 +396,7 @@ def rolling_increase(
             for r in ranges
         ]
     )
-    return wide.withColumn("__row", F.explode(F.array_compact(rows))).select(
+    return exploded(wide, "__row", F.array_compact(rows)).select(
         *by, "__row.slo_time_range", "ts", "__row.value"
     )
 
@@ -514,7 +515,7 @@ def asof(
     )
     return (
         latest.withColumn("__times", times)
-        .select(*series, F.explode("__times").alias("__at"), *[F.col(f"__latest.{c}") for c in carried])
+        .select(*series, F.explode_outer("__times").alias("__at"), *[F.col(f"__latest.{c}") for c in carried])
         .filter(F.col("__at") >= _micros(grid.start))
         .select(*series, F.timestamp_micros("__at").alias("ts"), *carried)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
+from sloflow.functions.once import computed
 from sloflow.functions.text import number_text
 
 # Reserved metadata keys.
@@ -105,7 +106,7 @@ def classify_from_metadata(
 
 
 def require_classified(df: DataFrame) -> DataFrame:
-    return df.filter(is_classified())
+    return computed(df, {"__classified": is_classified()}).filter("__classified").drop("__classified")
 
 
 def classification_matches(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sloflow.functions.once import computed
 from sloflow.operators.shape import classification, is_classified
 
 GUESSED_APP = "statistically-guessed"  # fixed value
@@ -124,15 +125,14 @@ def classify_statistical(
         drawn.isNotNull(), classification(drawn["domain"], F.lit(GUESSED_APP), drawn["class"])
     )
     own = is_classified()
+    columns = {
+        "statistical_result": F.when(own, "increased-weight")
+        .when(F.col("__guess").isNotNull(), "classified")
+        .otherwise("unclassified"),
+        "classification": F.when(own, F.col("classification")).otherwise(F.col("__guess")),
+    }
     return (
-        joined.withColumns(
-            {
-                "statistical_result": F.when(own, "increased-weight")
-                .when(guess.isNotNull(), "classified")
-                .otherwise("unclassified"),
-                "classification": F.when(own, F.col("classification")).otherwise(guess),
-            }
-        )
+        computed(joined.withColumn("__guess", F.when(~own, guess)), columns)
         .filter(F.col("statistical_result") != "unclassified")
         .select(*df.columns, "statistical_result")
     )

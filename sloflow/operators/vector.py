@@ -54,12 +54,7 @@ def select_series(df: DataFrame, matchers: Sequence[tuple[str, str, str]]) -> Da
 def ieee_div(numerator: Column, denominator: Column) -> Column:
     """Division of doubles that gives infinities and NaN instead of an error."""
     n, d = numerator.cast("double"), denominator.cast("double")
-    return F.when(
-        d == 0,
-        F.when((n == 0) | F.isnan(n), F.lit(float("nan")))
-        .when(n > 0, F.lit(_INFINITY))
-        .otherwise(F.lit(-_INFINITY)),
-    ).otherwise(F.try_divide(n, d))
+    return F.when(d == 0, n * F.lit(_INFINITY)).otherwise(F.try_divide(n, d))
 
 
 ARITHMETIC: dict[str, Callable[[Column, Column], Column]] = {

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
+from sloflow.functions.once import exploded
 from sloflow.functions.text import number_text
 from sloflow.operators import series as ts
 from sloflow.operators import vector as v
@@ -46,11 +47,10 @@ BURN_ALERTS = (
 )
 
 
-def _ratio(time_range: str) -> Column:
-    total, failed = F.col(f"total_{time_range}"), F.col(f"fail_{time_range}")
-    return F.when(total == 0, 0.0).when(
-        total.isNotNull(), F.coalesce(v.ieee_div(failed, total), F.lit(0.0))
-    )
+def alert_ranges(alerts: Sequence[BurnAlert] = BURN_ALERTS) -> list[str]:
+    """The ranges that the alerts need from :func:`~sloflow.plans.slo.wide_events`."""
+    needed = {slo.SPARSE} | {r for a in alerts for r in (a.long, a.short)}
+    return [r for r in RANGES if r in needed]
 
 
 def burn_alerts(
@@ -63,7 +63,8 @@ def burn_alerts(
 ) -> DataFrame:
     """Multi-window burn-rate alerts: one row per alert, SLO and time at which it fires.
 
-    ``wide`` comes from :func:`~sloflow.plans.slo.wide_events`.  The value is the effective burn rate of the long range.  The long range's coefficient and
+    ``wide`` comes from :func:`~sloflow.plans.slo.wide_events`; it is evaluated where every range has
+    a fresh value, every 3 minutes.  The value is the effective burn rate of the long range.  The long range's coefficient and
     threshold apply to the short range as well.  All conditions are columns over one wide row per
     SLO and time, so the ranges are not joined with each other; only the small definition tables
     are joined, which must have one row per SLO.
@@ -82,18 +83,34 @@ def burn_alerts(
     ratios = _constants(
         allowed.select(*SLO, (1 - F.col("value")).alias("__allowed")), SLO, ["__allowed"]
     )
-    known = _lookup(_lookup(_lookup(wide, one, VERSION), bounds, SLO), ratios, SLO)
-
-    month = F.col("total_4w")
+    fresh = wide.filter(F.pmod(F.unix_seconds("ts"), F.lit(slo.SPARSE_STEP)) == 0)
+    known = _lookup(_lookup(_lookup(fresh, one, VERSION), bounds, SLO), ratios, SLO)
+
+    # One column per step, so that nothing is computed twice.
+    longs = sorted({a.long for a in alerts})
+    shorts = sorted({a.short for a in alerts})
+    known = known.withColumns({f"__ratio_{r}": slo.ratio_column(r) for r in {*longs, *shorts}})
+    known = known.withColumns(
+        {f"__burn_{r}": v.ieee_div(F.col(f"__ratio_{r}"), F.col("__allowed")) for r in {*longs, *shorts}}
+        | {
+            f"__weight_{r}": v.ieee_div(
+                F.col(f"total_{r}") * F.lit(RANGES[slo.SPARSE] / RANGES[r]), F.col(f"total_{slo.SPARSE}")
+            )
+            for r in longs
+        }
+    )
+    effective = {}
+    for alert in alerts:
+        weight = F.col(f"__weight_{alert.long}")
+        for part, r in (("long", alert.long), ("short", alert.short)):
+            effective[f"__{part}_{alert.name}"] = F.col(f"__burn_{r}") * weight * F.col("stable_value")
+    known = known.withColumns(effective)
+    above = v.COMPARISONS[">"]
     rows = []
     for alert in alerts:
-        scale = RANGES[slo.SPARSE] / RANGES[alert.long]
-        coefficient = v.ieee_div(F.col(f"total_{alert.long}") * F.lit(scale), month)
         limit = F.col(f"limit_{alert.long}")
-        burn = v.ieee_div(_ratio(alert.long), F.col("__allowed")) * coefficient * F.col("stable_value")
-        short = v.ieee_div(_ratio(alert.short), F.col("__allowed")) * coefficient * F.col("stable_value")
-        above = v.COMPARISONS[">"]
-        fires = above(burn, limit) & above(short, limit)
+        burn = F.col(f"__long_{alert.name}")
+        fires = above(burn, limit) & above(F.col(f"__short_{alert.name}"), limit)
         if alert.fails:
             operator, count = alert.fails
             fires = fires & v.COMPARISONS[operator](F.col(f"fail_{alert.long}"), F.lit(float(count)))
@@ -109,7 +126,7 @@ def burn_alerts(
                 ),
             )
         )
-    fired = known.withColumn("__alert", F.explode(F.array_compact(F.array(*rows)))).select(
+    fired = exploded(known, "__alert", F.array_compact(F.array(*rows))).select(
         *SLO, "team", "escalate", "ts", "__alert.*"
     )
     return _with_severity(fired, severity_info, [a.name for a in alerts if a.severity is None])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sloflow.functions.once import exploded
 from sloflow.operators import series as ts
 from sloflow.operators import vector as v
 from sloflow.operators.series import MINUTE, RANGES, Grid
@@ -47,10 +48,7 @@ def events_over_time(
 
 
 def wide_events(cells: DataFrame, grid: Grid, ranges: Sequence[str] = tuple(RANGES)) -> DataFrame:
-    """All ranges of an SLO at one time in one row: ``total_<range>`` and ``fail_<range>``.
-
-    Evaluated where every range has a fresh value, every 3 minutes.
-    """
+    """All ranges of an SLO at one time in one row: ``total_<range>`` and ``fail_<range>``."""
     failed = F.col("result") == "fail"
     sums = cells.groupBy(*SLO, "ts").agg(
         F.sum("delta").alias("total"),
@@ -60,8 +58,37 @@ def wide_events(cells: DataFrame, grid: Grid, ranges: Sequence[str] = tuple(RANG
     )
     measures = {"total": ("total", "total_samples"), "fail": ("fail", "fail_samples")}
     wanted = {name: RANGES[name] for name in ranges}
-    wide = ts.rolling_wide(sums, SLO, measures, wanted, grid, STEPS, HOLD)
-    return wide.filter(F.pmod(F.unix_seconds("ts"), F.lit(SPARSE_STEP)) == 0)
+    hold = {name: HOLD[name] for name in wanted if name in HOLD}
+    return ts.rolling_wide(sums, SLO, measures, wanted, grid, STEPS, hold)
+
+
+def ratio_column(time_range: str) -> Column:
+    """Violation ratio of one range of :func:`wide_events`; NULL where the range has no value."""
+    total, failed = F.col(f"total_{time_range}"), F.col(f"fail_{time_range}")
+    return F.when(total == 0, 0.0).when(
+        total.isNotNull(), F.coalesce(v.ieee_div(failed, total), F.lit(0.0))
+    )
+
+
+def ratio_over_time(
+    cells: DataFrame, grid: Grid, ranges: Sequence[str] = tuple(RANGES)
+) -> DataFrame:
+    """The violation ratio straight from cells: ``(SLO, slo_time_range, ts, value)``.
+
+    Same rows as :func:`violation_ratio` of :func:`events_over_time`, but both results of an SLO are
+    side by side from the start, so the long series are neither built nor aggregated again.
+    """
+    rows = F.array(
+        *[
+            F.when(
+                F.col(f"total_{r}").isNotNull(),
+                F.struct(F.lit(r).alias("slo_time_range"), ratio_column(r).alias("value")),
+            )
+            for r in ranges
+        ]
+    )
+    found = exploded(wide_events(cells, grid, ranges), "__row", F.array_compact(rows))
+    return found.select(*SLO, "__row.slo_time_range", "ts", "__row.value")
 
 
 def sparse_events(cells: DataFrame, grid: Grid, by: Sequence[str] = BY_RESULT) -> DataFrame:

@@ -254,12 +254,12 @@ def eot_sparse_4w(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def violation_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return daily(slo.violation_ratio(_events(spark, sf)), [*LABELS, "slo_time_range"])
+    return daily(slo.ratio_over_time(*cells(spark, sf)), [*LABELS, "slo_time_range"])
 
 
 def burn_rate(spark: SparkSession, sf: str) -> DataFrame:
     _, thresholds, _ = _definitions(spark)
-    burn = slo.burn_rate(slo.violation_ratio(_events(spark, sf)), thresholds)
+    burn = slo.burn_rate(slo.ratio_over_time(*cells(spark, sf)), thresholds)
     return daily(burn, [*LABELS, "slo_time_range"])
 
 
@@ -273,7 +273,7 @@ def rate_coefficient(spark: SparkSession, sf: str) -> DataFrame:
 
 def _budget(spark: SparkSession, sf: str) -> DataFrame:
     stable, thresholds, _ = _definitions(spark)
-    return slo.error_budget(slo.violation_ratio(_events(spark, sf, ("4w",))), stable, thresholds)
+    return slo.error_budget(slo.ratio_over_time(*cells(spark, sf), ("4w",)), stable, thresholds)
 
 
 def error_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,10 +311,11 @@ def query_sli(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------------- alerts
 
 
-def _fired(spark: SparkSession, sf: str, severity: DataFrame | None = None) -> DataFrame:
+def _fired(spark: SparkSession, sf: str, names: Sequence[str], severity: DataFrame | None = None) -> DataFrame:
     stable, thresholds, burn = _definitions(spark)
-    wide = slo.wide_events(*cells(spark, sf))
-    return alerts.burn_alerts(wide, stable, thresholds, burn, severity_info=severity)
+    chosen = [alert for alert in alerts.BURN_ALERTS if alert.name in names]
+    wide = slo.wide_events(*cells(spark, sf), alerts.alert_ranges(chosen))
+    return alerts.burn_alerts(wide, stable, thresholds, burn, chosen, severity)
 
 
 def severity_info(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,7 +334,7 @@ ALERT_KEYS = [*LABELS, "slo_time_range", "severity", "team", "escalate"]
 def _alert(name: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         severity = severity_info(spark, sf) if name == "alert_6h_low" else None
-        return daily(_fired(spark, sf, severity).filter(F.col("alert") == name), ALERT_KEYS)
+        return daily(_fired(spark, sf, [name], severity), ALERT_KEYS)
 
     return query
 
@@ -382,8 +383,7 @@ def alert_health(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
-    fired = _fired(spark, sf).filter(F.col("alert").isin("alert_1d", "alert_3d"))
-    rows = alerts.burn_alert_rows(fired)
+    rows = alerts.burn_alert_rows(_fired(spark, sf, ["alert_1d", "alert_3d"]))
     return rows.groupBy(strmap.text(F.col("labels")).alias("labels"), "title", "description").agg(
         F.count("*").alias("points")
     )
@@ -402,7 +402,7 @@ def budget_alert_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ratio(spark: SparkSession, sf: str, time_range: str) -> tuple[DataFrame, Grid]:
     found, grid = cells(spark, sf)
-    return slo.violation_ratio(slo.events_over_time(found, grid, (time_range,))), grid
+    return slo.ratio_over_time(found, grid, (time_range,)), grid
 
 
 def sli_percent(spark: SparkSession, sf: str) -> DataFrame:
@@ -418,7 +418,7 @@ def budget_remaining(spark: SparkSession, sf: str) -> DataFrame:
 
 def worst_budget(spark: SparkSession, sf: str) -> DataFrame:
     stable, thresholds, _ = _definitions(spark)
-    ratio = slo.violation_ratio(_events(spark, sf, ("4w",)))
+    ratio = slo.ratio_over_time(*cells(spark, sf), ("4w",))
     return daily(slo.worst_budget(ratio, stable, thresholds), ["slo_domain"])
 
 

@@ -40,6 +40,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # A month of minutes of one series stays in memory during window functions (a few MB per task).
+    spark.conf.set("spark.sql.windowExec.buffer.in.memory.threshold", "65536")
     return spark
 
 
@@ -58,6 +60,18 @@ def shared_dir(spark: SparkSession) -> str:
     return created
 
 
+def small_table(spark: SparkSession, rows: list, schema, limit: int = 100_000):
+    """A DataFrame from configuration, marked for broadcast if it has at most ``limit`` rows.
+
+    Spark does not know the size of a table made from Python rows and would shuffle the events to
+    join it.  Here the number of rows is known.
+    """
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= limit else table
+
+
 def materialize(df, name: str):
     """Write a reused intermediate result to the shared folder and read it back.
 

@@ -135,8 +135,13 @@ def _prefixed(m: Column, prefix: str) -> Column:
     return F.transform_keys(strmap.or_empty(m), lambda key, _: F.concat(F.lit(prefix), key))
 
 
-def common_metadata(common: Column) -> Column:
-    """Addresses, durations, start time, route, cluster, failure reason and sample rate."""
+def _fixed(columns: dict[str, Column]) -> Column:
+    """Map of columns that are never NULL."""
+    return F.create_map(*[part for key, c in columns.items() for part in (F.lit(key), c)])
+
+
+def _optional(common: Column) -> dict[str, Column]:
+    """Addresses, durations and start time; NULL where absent or invalid."""
     columns: dict[str, Column] = {}
     for field, key in ADDRESSES.items():
         socket = common[field]["socket_address"]
@@ -148,9 +153,17 @@ def common_metadata(common: Column) -> Column:
         columns[key] = _duration_text(common[field])
     start = common["start_time"]
     columns["startTime"] = F.when(_valid_time(start), rfc3339(F.timestamp_seconds(start["seconds"])))
-    columns |= _texts(common, COMMON_TEXTS)
-    columns["sampleRate"] = number_text(F.coalesce(common["sample_rate"], F.lit(0.0)), exponents=False)
-    return strmap.from_columns(columns)
+    return columns
+
+
+def _always(common: Column) -> dict[str, Column]:
+    """Route, cluster, failure reason and sample rate."""
+    rate = number_text(F.coalesce(common["sample_rate"], F.lit(0.0)), exponents=False)
+    return _texts(common, COMMON_TEXTS) | {"sampleRate": rate}
+
+
+def common_metadata(common: Column) -> Column:
+    return F.map_concat(strmap.from_columns(_optional(common)), _fixed(_always(common)))
 
 
 def skipped_fields(common: Column) -> Column:
@@ -169,12 +182,19 @@ def skipped_fields(common: Column) -> Column:
 
 def http_metadata(entry: Column) -> Column:
     request, response = entry["request"], entry["response"]
+    common = entry["common_properties"]
+    always = (
+        _always(common)
+        | {"protocolVersion": F.coalesce(entry["protocol_version"], F.lit(""))}
+        | _texts(request, REQUEST_TEXTS)
+        | _numbers(request, REQUEST_NUMBERS)
+        | _texts(response, RESPONSE_TEXTS)
+        | _numbers(response, RESPONSE_NUMBERS)
+    )
     parts = [
-        common_metadata(entry["common_properties"]),
-        strmap.from_columns({"protocolVersion": F.coalesce(entry["protocol_version"], F.lit(""))}),
+        strmap.from_columns(_optional(common)),
+        _fixed(always),
         _prefixed(request["request_headers"], "http_"),
-        strmap.from_columns(_texts(request, REQUEST_TEXTS) | _numbers(request, REQUEST_NUMBERS)),
-        strmap.from_columns(_texts(response, RESPONSE_TEXTS) | _numbers(response, RESPONSE_NUMBERS)),
         _prefixed(response["response_headers"], "sent_http_"),
         _prefixed(response["response_trailers"], "sent_trailer_"),
     ]
@@ -182,10 +202,9 @@ def http_metadata(entry: Column) -> Column:
 
 
 def tcp_metadata(entry: Column) -> Column:
-    return F.map_concat(
-        common_metadata(entry["common_properties"]),
-        strmap.from_columns(_numbers(entry["connection_properties"], TCP_NUMBERS)),
-    )
+    common = entry["common_properties"]
+    always = _always(common) | _numbers(entry["connection_properties"], TCP_NUMBERS)
+    return F.map_concat(strmap.from_columns(_optional(common)), _fixed(always))
 
 
 def flatten_http(df: DataFrame, entry: str = "http") -> DataFrame:
@@ -205,9 +224,9 @@ def explode_log_batches(df: DataFrame) -> DataFrame:
         F.transform("tcp_logs", lambda e: F.struct(no_http.alias("http"), e.cast(TCP_TYPE).alias("tcp"))),
     )
     keep = [c for c in df.columns if c not in ("http_logs", "tcp_logs")]
-    exploded = df.select(*keep, F.posexplode(entries).alias("entry", "__entry"))
+    found = df.select(*keep, F.posexplode_outer(entries).alias("entry", "__entry"))
     http, tcp = F.col("__entry.http"), F.col("__entry.tcp")
-    return exploded.withColumns(
+    return found.filter(F.col("__entry").isNotNull()).withColumns(
         {
             "log_type": F.when(http.isNotNull(), F.lit("HTTP")).otherwise(F.lit("TCP")),
             "metadata": F.when(http.isNotNull(), http_metadata(http)).otherwise(tcp_metadata(tcp)),

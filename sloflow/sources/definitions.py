@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sloflow.functions.text import parse_float
 from sloflow.operators.rules import ConfigError, _known, read_yaml
+from sloflow.session import small_table
 
 # Burn-rate thresholds of domains that do not set their own.
 DEFAULT_BURN_RATES = {"1h": "13.44", "6h": "5.6", "1d": "2.8", "3d": "1"}
@@ -141,7 +142,7 @@ def _table(spark: SparkSession, rows: list[dict], labels: tuple[str, ...]) -> Da
     extra = sorted({name for row in rows for name in row} - set(labels) - {"value"})
     columns = [*labels, *extra]
     schema = ", ".join([f"`{name}` string" for name in columns] + ["value double"])
-    return spark.createDataFrame([tuple(row.get(c) for c in [*columns, "value"]) for row in rows], schema)
+    return small_table(spark, [tuple(row.get(c) for c in [*columns, "value"]) for row in rows], schema)
 
 
 def stable_version_df(spark: SparkSession, domains: list[Domain]) -> DataFrame:

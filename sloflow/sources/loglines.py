@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
+from sloflow.functions.once import computed
 from sloflow.functions.regex import Pattern, compile_pattern, group, matches
 
 _MARK = "\x01"
@@ -58,13 +59,8 @@ def parse_log_lines(
     metadata = F.map_filter(
         F.map_from_arrays(names, values), lambda _, value: ~matches(value, omit)
     )
-    return picked.withColumns(
-        {
-            "metadata": F.when(well, metadata),
-            "quantity": F.lit(1.0),
-            "malformed": ~well,
-        }
-    ).drop("__groups")
+    columns = {"metadata": F.when(well, metadata), "quantity": F.lit(1.0), "malformed": ~well}
+    return computed(picked, columns).drop("__groups")
 
 
 def well_formed(df: DataFrame) -> DataFrame:

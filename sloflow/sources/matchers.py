@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sloflow.functions.regex import RegexError, compile_pattern
+from sloflow.session import small_table
 
 log = logging.getLogger(__name__)
 
@@ -66,7 +67,7 @@ def valid_patterns(matchers: Sequence[Matcher]) -> list[Matcher]:
 
 def matchers_df(spark: SparkSession, matchers: Sequence[Matcher]) -> DataFrame:
     rows = [(i, m.domain, m.app, m.class_, m.endpoint) for i, m in enumerate(matchers)]
-    return spark.createDataFrame(rows, MATCHER_SCHEMA)
+    return small_table(spark, rows, MATCHER_SCHEMA)
 
 
 def csv_field(text: Column) -> Column:

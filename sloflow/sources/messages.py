@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
+from sloflow.functions.once import computed
 
 SCHEMA_VERSION = "v1"
 # Names of the start positions and what Spark calls them.
@@ -153,11 +154,14 @@ def decode_messages(df: DataFrame, version_header: str = "schema-version") -> Da
     )
     metadata = F.transform_values("__metadata", lambda _, value: text_or_empty(value))
     temporary = [name for name in staged.columns if name.startswith("__")]
-    return staged.withColumns(
-        {
-            "metadata": F.when(good, strmap.or_empty(metadata)),
-            "classification": F.when(good, classification),
-            "quantity": F.when(good, F.coalesce(quantity, F.lit(1.0))),
-            "malformed": ~good,
-        }
-    ).drop(*temporary)
+    columns = {
+        "metadata": strmap.or_empty(metadata),
+        "classification": classification,
+        "quantity": F.coalesce(quantity, F.lit(1.0)),
+    }
+    checked = staged.withColumn("__good", good)
+    return computed(
+        checked,
+        {name: F.when(F.col("__good"), column) for name, column in columns.items()}
+        | {"malformed": ~F.col("__good")},
+    ).drop(*temporary, "__good")
