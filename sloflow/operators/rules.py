@@ -83,14 +83,14 @@ class Rule:
     @classmethod
     def from_config(cls, config: Mapping) -> Rule:
         config = config or {}
-        _known(config, {"metadata_matcher", "slo_matcher", "failure_conditions", "additional_metadata"})
+        known_keys(config, {"metadata_matcher", "slo_matcher", "failure_conditions", "additional_metadata"})
         matcher = config.get("slo_matcher") or {}
-        _known(matcher, {"domain", "class", "app"})
+        known_keys(matcher, {"domain", "class", "app"})
 
         def conditions(name: str) -> tuple[Condition, ...]:
             found = []
             for item in config.get(name) or ():
-                _known(item, {"operator", "key", "value"})
+                known_keys(item, {"operator", "key", "value"})
                 found.append(
                     Condition(str(item.get("operator", "")), str(item.get("key", "")), str(item.get("value", "")))
                 )
@@ -106,7 +106,7 @@ class Rule:
         )
 
 
-def _known(config: Mapping, allowed: set[str]):
+def known_keys(config: Mapping, allowed: set[str]):
     unknown = set(config) - allowed
     if unknown:
         raise ValueError(f"unknown settings {sorted(unknown)}, use {sorted(allowed)}")
@@ -141,7 +141,7 @@ def check_rules(rules: Iterable[Rule]) -> list[Rule]:
 
 def parse_rules(text: str) -> list[Rule]:
     config = read_yaml(text) or {}
-    _known(config, {"rules"})
+    known_keys(config, {"rules"})
     return [Rule.from_config(item) for item in config.get("rules") or ()]
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from sloflow.functions.text import parse_float
-from sloflow.operators.rules import ConfigError, _known, read_yaml
+from sloflow.operators.rules import ConfigError, known_keys, read_yaml
 from sloflow.session import small_table
 
 # Burn-rate thresholds of domains that do not set their own.
@@ -84,17 +84,17 @@ def _single(text: str) -> float:
 
 def _domain(config_name: str, config: Mapping) -> Domain:
     config = config or {}
-    _known(config, {"domain", "enabled", "namespace", "version", "alerting", "classes"})
+    known_keys(config, {"domain", "enabled", "namespace", "version", "alerting", "classes"})
     alerting = config.get("alerting") or {}
-    _known(alerting, {"team", "escalate", "burn_rate_thresholds"})
+    known_keys(alerting, {"team", "escalate", "burn_rate_thresholds"})
     thresholds = alerting.get("burn_rate_thresholds")
     burn_rates = None
     if thresholds:
         burn_rates = []
         for item in thresholds:
-            _known(item, {"condition", "value"})
+            known_keys(item, {"condition", "value"})
             condition = item.get("condition") or {}
-            _known(condition, {"class", "slo_type", "time_range"})
+            known_keys(condition, {"class", "slo_type", "time_range"})
             burn_rates.append(
                 BurnRateThreshold(
                     condition.get("time_range", ""),
@@ -107,7 +107,7 @@ def _domain(config_name: str, config: Mapping) -> Domain:
     for class_, types in (config.get("classes") or {}).items():
         classes[class_] = {}
         for name, slo_type in (types or {}).items():
-            _known(slo_type, {"slo_threshold", "slo_threshold_metadata"})
+            known_keys(slo_type, {"slo_threshold", "slo_threshold_metadata"})
             classes[class_][name] = SloType(
                 _single(slo_type.get("slo_threshold", "0")), dict(slo_type.get("slo_threshold_metadata") or {})
             )

@@ -298,3 +298,37 @@ def test_statistical(spark):
     assert classify_statistical(raw(spark, [({}, None)] * 5), defaults=[("x", "1", 0.0)]).count() == 0
     spread = spark.range(1000).select(uniform(F.lit(1), F.col("id")).alias("u")).agg(F.min("u"), F.max("u")).first()
     assert 0 <= spread[0] < 0.01 and 0.99 < spread[1] < 1
+
+
+def test_many_relabel_steps_stay_small(spark):
+    """Filters after long chains of steps must not multiply the expressions of the chain."""
+    df = raw(spark, [({"a": "x-1", "b": "y"}, None)] * 3)
+    replace = {"source_labels": ["a", "b"], "separator": "/", "regex": "(.*)-(\\d)/(.*)", "replacement": "$1-$2"}
+    steps = [{**replace, "target_label": name} for name in "acadaeafagah"]
+    steps += [{"source_labels": ["a"], "regex": "z", "action": "drop"}] * 2
+    done = shape.classify_from_metadata(relabel(df, steps), "a", "b", "c")
+    slo = evaluate_rules(shape.require_classified(done), parse_rules("rules: [{slo_matcher: {domain: x}}]"))
+    plan = slo._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
+    assert slo.count() == 3
+
+
+def test_write_counters(spark, tmp_path):
+    rows = [("k", "fail", "d", "c", "a", {}, 2.0, {})]
+    found = counters.cascade_counters(slo_rows(spark, rows))
+    counters.write_counters(found, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("level").count().count() == 4
+
+
+def test_observed_counts(spark):
+    from sloflow.operators.quality import observed, standard_counts
+
+    df, observation = observed(raw(spark, [({}, None), ({}, {"domain": "d", "app": "a", "class": "c"})]), "q", standard_counts())
+    assert df.count() == 2 and observation.get == {"events": 2, "unclassified": 1}
+
+
+def test_materialize(spark):
+    from sloflow.session import materialize
+
+    df = raw(spark, [({"a": "1"}, None)])
+    assert materialize(df, "events").collect() == df.collect()
