@@ -50,7 +50,7 @@ def test_relabel(spark, metadata, step, expected):
     assert one(spark, metadata, [step]) == expected
 
 
-def test_relabel_settings():
+def test_relabel_settings(spark):
     for bad in ({"action": "nope"}, {"action": "hashmod", "target_label": "x"}, {"regex": "("}, {"other": 1}, {}):
         with pytest.raises(ValueError):
             RelabelStep.from_config(bad)
@@ -85,7 +85,7 @@ def test_predicate_nan(spark):
     assert {n for n in names if row[n]} == {"numberIsNotEqualTo"}
 
 
-def test_rule_errors():
+def test_rule_errors(spark):
     rules = [Rule.from_config({"failure_conditions": [{"operator": "nope", "key": "a"}]}),
              Rule.from_config({"slo_matcher": {"domain": "("}})]
     with pytest.raises(ConfigError) as error:
