@@ -13,89 +13,136 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sloflow.llm.common import column_or_null, written
 
-INTERVALS = 512
+#: Intervals that a node's range is cut into at once; a round returns at most shards x INTERVALS sums.
+INTERVALS = 2048
 #: A cut may miss its quantile by this share of one shard.
 TOLERANCE = 0.001
+#: An open range with so few rows is read as it is, and the cut falls between two of them.
+FEW_ROWS = 1_000
+DIMENSIONS = ("size", "lang_code", "source_code")
 #: Order inside equal values of the split dimension.
 _TIES = ("text_hash", "row_hash")
+_NODE_DDL = "node int, axis int, depth int, lead long, tie long, low long, high long, width long, right int"
 
 
 @dataclass
 class _Node:
-    first: int  # number of its first shard
+    """A node and the search for its cut: the order's leading keys at the cut so far, and the open range."""
+
+    first: int  # number of its first shard, by which it is known
     shards: int
-    dims: tuple[str, ...] = ()
-    prefix: list[int] = field(default_factory=list)  # values of the order's leading keys at the cut
+    axis: int = 0
+    lead: list[int] = field(default_factory=list)
     low: int = 0
     high: int = 0
-    below: int = 0  # bytes before the open interval
+    below: int = 0  # bytes before the open range
     target: int = 0
+    few: bool = False
     done: bool = False
 
     @property
-    def key(self) -> str:
-        return self.dims[len(self.prefix)]
-
-
-def _before(node: _Node) -> Column:
-    """Whether a row stands before the node's cut, by the order of its keys."""
-    *lead, last = [*node.prefix, node.low]
-    found: Column = F.col(node.dims[len(lead)]) < F.lit(last)
-    for name, value in reversed(list(zip(node.dims, lead, strict=False))):
-        found = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & found)
-    return found
-
-
-def _summed(rows: DataFrame, node_of: Column, open_: dict[int, _Node]) -> dict[int, list[tuple[int, int]]]:
-    """Bytes per interval of each open node; at most nodes x (INTERVALS + 1) rows come back."""
-    part = F.lit(None).cast("long")
-    for number, node in open_.items():
-        here = node_of == F.lit(number)
-        for name, value in zip(node.dims, node.prefix, strict=False):
-            here &= F.col(name) == F.lit(value)
-        key, width = F.col(node.key), _width(node)
-        here &= (key >= F.lit(node.low)) & (key <= F.lit(node.high))
-        # Differences of hashes may pass 63 bits; decimals do not.
-        gap = key.cast("decimal(20,0)") - F.lit(node.low).cast("decimal(20,0)")
-        part = F.when(here, F.floor(gap / F.lit(width).cast("decimal(20,0)")).cast("long")).otherwise(part)
-    got: dict[int, list[tuple[int, int]]] = {}
-    for r in rows.select(node_of.alias("node"), part.alias("part"), "size").where("part IS NOT NULL").groupBy("node", "part").agg(F.sum("size").alias("size")).collect():
-        got.setdefault(r["node"], []).append((r["part"], r["size"]))
-    return {k: sorted(v) for k, v in got.items()}
-
-
-def _width(node: _Node) -> int:
-    return max(1, -(-(node.high - node.low + 1) // INTERVALS))
-
-
-def _narrow(node: _Node, sums: list[tuple[int, int]], tolerance: float, ranges: dict) -> None:
-    """Choose the interval with the quantile; the cut stands at ``low`` of the node's present key."""
-    width, total = _width(node), node.below
-    for part, size in sums:
-        start = node.low + part * width
-        if total + size <= node.target and (part, size) != sums[-1]:
-            total += size
-            continue
-        if node.target - total <= tolerance:
-            node.low, node.done = start, True
-        elif total + size - node.target <= tolerance:
-            node.low, node.done = min(start + width, node.high + 1), True
-        elif width > 1:
-            node.below, node.low, node.high = total, start, min(start + width - 1, node.high)
-        elif len(node.prefix) + 1 < len(node.dims):
-            # One value holds the quantile: go on by the next key among its rows.
-            node.prefix.append(start)
-            node.below, (node.low, node.high) = total, ranges[node.key]
+    def width(self) -> int:
+        return max(1, -(-(self.high - self.low + 1) // INTERVALS))
+
+    def row(self) -> tuple:
+        lead = [*self.lead, 0, 0]
+        right = self.first + self.shards // 2
+        return (self.first, self.axis, len(self.lead), lead[0], lead[1], self.low, self.high, self.width, right)
+
+    def narrow(self, sums: list[tuple[int, int, int]], tolerance: float, ranges: dict[str, tuple[int, int]]) -> None:
+        """Choose the interval with the quantile, from the bytes and rows of the intervals in order."""
+        total = self.below
+        for place, (part, size, count) in enumerate(sums):
+            start = self.low + part * self.width
+            if total + size <= self.target and place + 1 < len(sums):
+                total += size
+                continue
+            if self.target - total <= tolerance:
+                self.low, self.done = start, True
+            elif total + size - self.target <= tolerance:
+                self.low, self.done = min(start + self.width, self.high + 1), True
+            elif self.width > 1:
+                self.low, self.high, self.below = start, min(start + self.width - 1, self.high), total
+            elif len(self.lead) < len(_TIES):
+                # One value holds the quantile: go on by the next key among its rows.
+                self.below = total
+                self.low, self.high = ranges[_TIES[len(self.lead)]]
+                self.lead.append(start)
+            else:
+                nearer = self.target - total > total + size - self.target
+                self.low, self.done = start + nearer, True
+            self.few = not self.done and count <= FEW_ROWS
+            return
+        self.done = True
+
+    def finish(self, ordered: list[tuple[int, int, int, int]]) -> None:
+        """Cut beside the row with the quantile; ``ordered`` has the open range's keys and sizes."""
+        total = self.below
+        for *keys, size in ordered:
+            if total + size <= self.target:
+                total += size
+                continue
+            after = self.target - total > total + size - self.target
+            self.lead, self.low = keys[:2], keys[2] + after
+            break
         else:
-            near = node.target - total > total + size - node.target
-            node.low, node.done = start + near, True
-        return
-    node.done = True
+            *self.lead, last = ordered[-1][:3]
+            self.low = last + 1
+        self.done = True
+
+
+def _on(rows: DataFrame, nodes: list[_Node]) -> DataFrame:
+    """``rows`` beside their nodes, of which there are fewer than shards; rows of other nodes get nulls."""
+    table = rows.sparkSession.createDataFrame([n.row() for n in nodes], _NODE_DDL)
+    joined = rows.join(F.broadcast(table), "node", "left")
+    return joined.withColumn("first_key", F.element_at(F.array(*DIMENSIONS), F.col("axis") + 1))
+
+
+def _key():
+    return F.when(F.col("depth") == 0, F.col("first_key")).when(F.col("depth") == 1, F.col("text_hash")).otherwise(F.col("row_hash"))
+
+
+def _open_rows(rows: DataFrame, nodes: list[_Node]) -> DataFrame:
+    """The rows in the nodes' open ranges, with the key that is searched."""
+    leads = (F.col("depth") < 1) | (F.col("first_key") == F.col("lead"))
+    ties = (F.col("depth") < 2) | (F.col("text_hash") == F.col("tie"))
+    return _on(rows, nodes).where(leads & ties & _key().between(F.col("low"), F.col("high"))).withColumn("key", _key())
+
+
+def _sums(rows: DataFrame, nodes: list[_Node]) -> dict[int, list[tuple[int, int, int]]]:
+    """Interval, bytes and rows of the nodes' open ranges."""
+    counted = _open_rows(rows, nodes).groupBy("node", F.expr("(key - low) div width").alias("part")).agg(F.sum("size"), F.count("*"))
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for node, *sums in counted.collect():
+        found.setdefault(node, []).append(tuple(sums))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _finish(rows: DataFrame, nodes: list[_Node]) -> None:
+    """Cut the nodes whose open ranges hold at most ``FEW_ROWS`` rows each."""
+    found: dict[int, list[tuple[int, int, int, int]]] = {}
+    for node, *keys in _open_rows(rows, nodes).select("node", "first_key", *_TIES, "size").collect():
+        found.setdefault(node, []).append(tuple(keys))
+    for node in nodes:
+        node.finish(sorted(found[node.first]))
+
+
+def _split(rows: DataFrame, nodes: list[_Node]) -> DataFrame:
+    """``rows`` with node replaced by that of the half they belong to."""
+    names = rows.columns
+    lead, tie, low = F.col("lead"), F.col("tie"), F.col("low")
+    first, text, own = F.col("first_key"), F.col("text_hash"), F.col("row_hash")
+    left = (
+        F.when(F.col("depth") == 0, first < low)
+        .when(F.col("depth") == 1, (first < lead) | ((first == lead) & (text < low)))
+        .otherwise((first < lead) | ((first == lead) & ((text < tie) | ((text == tie) & (own < low)))))
+    )
+    return _on(rows, nodes).withColumn("node", F.when(F.col("axis").isNull() | left, F.col("node")).otherwise(F.col("right"))).select(*names)
 
 
 def kd_shards(docs: DataFrame, shards: int) -> DataFrame:
@@ -106,52 +153,45 @@ def kd_shards(docs: DataFrame, shards: int) -> DataFrame:
     without gaps in each.  An empty table has no rows; repeated rows get places of their own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    dims = ("size", "lang_code", "source_code")
     code = lambda name: F.coalesce(F.crc32(column_or_null(docs, name, "string").cast("binary")), F.lit(-1).cast("long"))
+    # Half of the 64 bits, so that differences of hashes are longs.
+    hashed = lambda *names: F.shiftrightunsigned(F.xxhash64(*names), 1)
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         code("lang").alias("lang_code"),
         code("source").alias("source_code"),
-        F.xxhash64(text).alias("text_hash"),
+        hashed(text).alias("text_hash"),
         F.monotonically_increasing_id().alias("at"),
     )
-    rows = written(slim.withColumn("row_hash", F.xxhash64("doc_id", "at")), "kd-rows")
-    bounds = [f(c).alias(f"{n}_{c}") for c in (*dims, *_TIES) for n, f in (("low", F.min), ("high", F.max))]
+    rows = written(slim.withColumn("row_hash", hashed("doc_id", "at")).withColumn("node", F.lit(0)), "kd-rows")
+    bounds = [f(c).alias(f"{n}_{c}") for c in (*DIMENSIONS, *_TIES) for n, f in (("low", F.min), ("high", F.max))]
     whole = rows.agg(F.sum("size").alias("bytes"), *bounds).first()
-    ranges = {c: (whole[f"low_{c}"], whole[f"high_{c}"]) for c in (*dims, *_TIES)}
-    node_of: Column = F.lit(0)
-    nodes = {0: _Node(0, shards)}
+    ranges = {c: (whole[f"low_{c}"], whole[f"high_{c}"]) for c in (*DIMENSIONS, *_TIES)}
     tolerance = TOLERANCE * (whole["bytes"] or 0) / max(1, shards)
-    while whole["bytes"] and any(n.shards > 1 for n in nodes.values()):
-        stats = {r["node"]: r for r in rows.groupBy(node_of.alias("node")).agg(F.sum("size").alias("bytes"), *bounds).collect()}
-        open_ = {k: n for k, n in nodes.items() if n.shards > 1 and k in stats}
-        for k, node in open_.items():
-            seen = {c: (stats[k][f"low_{c}"], stats[k][f"high_{c}"]) for c in dims}
-            spread = lambda c, seen=seen: (seen[c][1] - seen[c][0]) / max(1, ranges[c][1] - ranges[c][0])
-            axis = max(dims, key=lambda c: (spread(c), -dims.index(c)))
-            node.dims = (axis, *_TIES)
-            node.low, node.high = seen[axis]
-            node.target = math.floor(stats[k]["bytes"] * (node.shards // 2) / node.shards)
-        while waiting := {k: n for k, n in open_.items() if not n.done}:
-            sums = _summed(rows, node_of, waiting)
-            for k, node in waiting.items():
-                _narrow(node, sums.get(k, []), tolerance, ranges)
-        # Nodes are numbered by their first shard, so the left half keeps the number.
-        split: Column = node_of
-        for k, node in open_.items():
-            split = F.when((node_of == F.lit(k)) & ~_before(node), F.lit(node.first + node.shards // 2)).otherwise(split)
-        level = {}
-        for k, n in nodes.items():
-            if k in open_:
-                half = n.shards // 2
-                level |= {n.first: _Node(n.first, half), n.first + half: _Node(n.first + half, n.shards - half)}
-            else:
-                level[k] = _Node(n.first, 1)
-        rows = written(rows.withColumn("node", split.cast("int")), "kd-level")
-        node_of, nodes = F.col("node"), level
-    return numbered(rows.withColumn("shard", node_of.cast("int"))).select("doc_id", "size", "text_crc32", "shard", "slot")
+    nodes = [_Node(0, shards)] if whole["bytes"] else []
+    while large := [n for n in nodes if n.shards > 1]:
+        stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), *bounds).collect()}
+        large = [n for n in large if n.first in stats]
+        for node in large:
+            own = stats[node.first]
+            spread = [(own[f"high_{c}"] - own[f"low_{c}"]) / max(1, ranges[c][1] - ranges[c][0]) for c in DIMENSIONS]
+            node.axis = max(range(len(spread)), key=lambda i, spread=spread: (spread[i], -i))
+            node.low, node.high = own[f"low_{DIMENSIONS[node.axis]}"], own[f"high_{DIMENSIONS[node.axis]}"]
+            node.target = math.floor(own["bytes"] * (node.shards // 2) / node.shards)
+            node.few = own["rows"] <= FEW_ROWS
+        while waiting := [n for n in large if not n.done and not n.few]:
+            sums = _sums(rows, waiting)
+            for node in waiting:
+                node.narrow(sums.get(node.first, []), tolerance, ranges)
+        if few := [n for n in large if n.few and not n.done]:
+            _finish(rows, few)
+        if not large:
+            break
+        rows = _split(rows, large)
+        nodes = [_Node(first, n) for node in large for first, n in ((node.first, node.shards // 2), (node.first + node.shards // 2, node.shards - node.shards // 2))]
+    return numbered(rows.withColumnRenamed("node", "shard")).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -213,11 +213,13 @@ def redact(docs: DataFrame, vocabulary: str | None = None, mark: str = "[SECRET]
 def digests(found: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of what find_secrets gives."""
 
+    def of(kinds: tuple[str, ...]):
+        return F.filter("secrets", lambda x: x.kind.isin(*kinds))
+
     def joined(kinds: tuple[str, ...]):
-        chosen = F.filter("secrets", lambda x: x.kind.isin(*kinds))
-        return F.array_join(F.transform(chosen, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+        return F.array_join(F.transform(of(kinds), lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
-    counts = [F.size(F.filter("secrets", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    counts = [F.size(of((k,))).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(joined(KINDS[:3]), 256).alias("base_sha256"), joined(KINDS).alias("spans"))
 
 

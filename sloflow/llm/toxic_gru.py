@@ -1,12 +1,12 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Two levels of the same kind: the characters of a word go through a bidirectional GRU whose states are
-pooled by attention; this and the word's own vector, for words that the sample holds often enough, are the
-inputs of the bidirectional GRU over the words of a window, pooled by attention to one logit.  A text is
-scored by all its windows of ``WINDOW`` words, which overlap; its score is that of the worst window.
+A word enters by its characters, as the sum of vectors of its runs of three and four characters, and by a
+vector of its own if the sample holds it often enough.  A bidirectional GRU goes over the words of a
+window; attention pools its states to one logit.  A text is scored by all its windows of ``WINDOW`` words,
+which overlap; its score is that of the worst window.
 
 Training is multiple-instance learning on a bounded sample: a toxic document is toxic somewhere, so after
-two epochs on random windows each document is represented by the window that now scores highest.  The
+a first part on random windows each document is represented by the window that now scores highest.  The
 gradients are written out below; a test compares them with differences.
 """
 
@@ -27,12 +27,18 @@ from sloflow.llm.common import text_batches
 WINDOW, STRIDE = 48, 36
 #: Characters of a piece; a longer word is several pieces in a row, so all of it is read.
 PIECE = 24
-#: Sample for training: documents per class and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 5_000
-#: Words with a vector of their own: the most frequent ones in at least so many documents of the sample.
-MOST_WORDS, LEAST_DOCS = 8_000, 4
-CHARS, CHAR_SIZE, WORD_SIZE, CHAR_STATE, STATE = 128, 8, 8, 8, 8
-EPOCHS, BATCH, RATE = 6, 128, 0.01
+#: Sample for training: documents per class.  They are whole texts of at most so many characters: a part
+#: of a toxic text need not be toxic.
+SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 6_000
+#: Words with a vector of their own: the most frequent ones in at least so many documents of the sample, and
+#: in such a share of them; rarer words are read by their characters alone.
+MOST_WORDS, LEAST_DOCS, LEAST_SHARE = 8_000, 4, 0.01
+RUNS, CHAR_SIZE, WORD_SIZE, STATE = 16_384, 12, 8, 8
+EPOCHS, BATCH, RATE = 9, 128, 0.01
+#: A small sample is gone through more often, until there were so many steps.
+LEAST_STEPS = 160
+#: Steps after which the windows are scored anew.
+RESCORED = 40
 THRESHOLD = 0.3
 #: Pieces whose inputs a worker remembers.
 MOST_PIECES = 400_000
@@ -100,48 +106,41 @@ def pool_back(grad: np.ndarray, states: np.ndarray, weights: np.ndarray, shares:
     return grad[None] * shares[:, None] + d_logit[:, None] * weights[None, :, None], np.einsum("thb,tb->h", states, d_logit)
 
 
-def both_ways(x: np.ndarray, m: Model, level: str, real: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Pooled states of both directions for inputs ``x`` (time, size, batch); padding is at the end."""
-    states = []
-    for way in ("f", "b"):
-        gates = np.matmul(m[f"{level}w{way}"], x) + m[f"{level}b{way}"][:, None]
-        states.append(_directed(gates, m[f"{level}u{way}"], way, real, keep, level))
-    return _pooled(states, m, level, real, keep)
-
-
-def _directed(gates: np.ndarray, u: np.ndarray, way: str, real: np.ndarray, keep: dict | None = None, level: str = "") -> np.ndarray:
+def directed(gates: np.ndarray, u: np.ndarray, way: str, real: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """States of one direction for gate inputs, which at padding are set to hold the state."""
     size = u.shape[1]
     gates[:, :size][np.broadcast_to(~real[:, None], (gates.shape[0], size, gates.shape[2]))] = _HOLD
     kept = [] if keep is not None else None
     turned = gru(gates if way == "f" else gates[::-1], u, kept)
     if keep is not None:
-        keep[level + way] = kept
+        keep[way] = kept
     return turned if way == "f" else turned[::-1]
 
 
-def _pooled(states: list[np.ndarray], m: Model, level: str, real: np.ndarray, keep: dict | None) -> np.ndarray:
+def both_ways(x: np.ndarray, m: Model, real: np.ndarray, keep: dict) -> np.ndarray:
+    """Pooled states of both directions for inputs ``x`` (time, size, batch); padding is at the end."""
+    states = [directed(np.matmul(m[f"w{way}"], x) + m[f"b{way}"][:, None], m[f"u{way}"], way, real, keep) for way in "fb"]
     together = np.concatenate(states, axis=1)
-    pooled, shares = pool(together, m[f"{level}a"], real)
-    if keep is not None:
-        keep[level] = (together, shares)
+    pooled, shares = pool(together, m["a"], real)
+    keep["pool"] = (together, shares)
     return pooled
 
 
-def both_ways_back(grad: np.ndarray, x: np.ndarray, m: Model, level: str, real: np.ndarray, keep: dict, g: Model) -> np.ndarray:
-    """Adds the level's gradients to ``g`` and returns that of ``x``."""
-    together, shares = keep[level]
-    d_states, d_a = pool_back(grad, together, m[f"{level}a"], shares)
-    g[f"{level}a"] += d_a
+def both_ways_back(grad: np.ndarray, x: np.ndarray, m: Model, real: np.ndarray, keep: dict, g: Model) -> np.ndarray:
+    """Adds the gradients to ``g`` and returns that of ``x``."""
+    together, shares = keep["pool"]
+    d_states, d_a = pool_back(grad, together, m["a"], shares)
+    g["a"] += d_a
     size = together.shape[1] // 2
     dx = np.zeros_like(x)
     for way, part in (("f", d_states[:, :size]), ("b", d_states[::-1, size:])):
-        d_gates, du = gru_back(np.ascontiguousarray(part), m[f"{level}u{way}"], keep[level + way])
+        d_gates, du = gru_back(np.ascontiguousarray(part), m[f"u{way}"], keep[way])
         d_gates = d_gates if way == "f" else d_gates[::-1]
         d_gates[:, :size][np.broadcast_to(~real[:, None], (len(real), size, real.shape[1]))] = 0
-        g[f"{level}u{way}"] += du
-        g[f"{level}b{way}"] += d_gates.sum((0, 2))
-        g[f"{level}w{way}"] += np.einsum("tgb,tib->gi", d_gates, x, optimize=True)
-        dx += np.matmul(m[f"{level}w{way}"].T, d_gates)
+        g[f"u{way}"] += du
+        g[f"b{way}"] += d_gates.sum((0, 2))
+        g[f"w{way}"] += np.einsum("tgb,tib->gi", d_gates, x, optimize=True)
+        dx += np.matmul(m[f"w{way}"].T, d_gates)
     return dx
 
 
@@ -154,10 +153,20 @@ def pieces_of(token: str) -> list[str]:
     return [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
 
 
-def char_ids(pieces: list[str]) -> np.ndarray:
-    """(PIECE, pieces): a number for each character, 0 behind the end."""
-    raw = np.frombuffer("".join(p.ljust(PIECE, "\0") for p in pieces).encode("utf-32-le"), np.uint32).reshape(len(pieces), PIECE)
-    return np.where(raw == 0, 0, np.where(raw < CHARS, raw, 1 + raw % (CHARS - 1))).T.astype(np.int64)
+def char_runs(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the character runs of all pieces one after the other, and how many each piece has.
+
+    A run is three or four characters of the piece between two marks for its ends, hashed to ``RUNS``.
+    """
+    size = PIECE + 2
+    marked = "".join(f"\x01{p}\x01".ljust(size, "\0") for p in pieces)
+    chars = np.frombuffer(marked.encode("utf-32-le"), np.uint32).reshape(len(pieces), size).astype(np.uint64)
+    pair = chars[:, :-1] * np.uint64(0x9E3779B97F4A7C15) + chars[:, 1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    three = pair[:, :-1] + chars[:, 2:] * np.uint64(0x165667B19E3779F9)
+    four = three[:, :-1] + chars[:, 3:] * np.uint64(0x27D4EB2F165667C5)
+    runs = np.concatenate([three ^ (three >> np.uint64(31)), four ^ (four >> np.uint64(29))], axis=1)
+    real = np.concatenate([chars[:, 2:] != 0, chars[:, 3:] != 0], axis=1)
+    return (runs[real] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % RUNS, real.sum(1)
 
 
 def initial(n_words: int, seed: int = 11) -> Model:
@@ -166,38 +175,27 @@ def initial(n_words: int, seed: int = 11) -> Model:
     def some(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-    m = {"chars": some(CHARS, CHAR_SIZE, scale=0.4), "words": np.concatenate([np.zeros((1, WORD_SIZE), np.float32), some(n_words, WORD_SIZE, scale=0.1)])}
-    for level, inputs, size in (("c", CHAR_SIZE, CHAR_STATE), ("w", WORD_SIZE + 2 * CHAR_STATE, STATE)):
-        for way in ("f", "b"):
-            m[f"{level}w{way}"] = some(3 * size, inputs, scale=inputs**-0.5)
-            m[f"{level}u{way}"] = some(3 * size, size, scale=size**-0.5)
-            m[f"{level}b{way}"] = np.zeros(3 * size, np.float32)
-        m[f"{level}a"] = some(2 * size, scale=0.1)
+    m = {"chars": some(RUNS, CHAR_SIZE, scale=0.1), "words": np.concatenate([np.zeros((1, WORD_SIZE), np.float32), some(n_words, WORD_SIZE, scale=0.1)])}
+    inputs = CHAR_SIZE + WORD_SIZE
+    for way in ("f", "b"):
+        m[f"w{way}"] = some(3 * STATE, inputs, scale=inputs**-0.5)
+        m[f"u{way}"] = some(3 * STATE, STATE, scale=STATE**-0.5)
+        m[f"b{way}"] = np.zeros(3 * STATE, np.float32)
+    m["a"] = some(2 * STATE, scale=0.1)
     m["o"], m["ob"] = some(2 * STATE, scale=0.3), np.zeros(1, np.float32)
     return m
 
 
 def word_inputs(pieces: list[str], known: np.ndarray, m: Model, keep: list | None = None) -> np.ndarray:
-    """(inputs, pieces): vectors of the words, zero for those without one, over their pooled characters.
-
-    Pieces go through the network in groups of like length, so padding is short.
-    """
-    ids = char_ids(pieces)
-    lengths = np.maximum((ids != 0).sum(0), 1)
-    out = np.empty((WORD_SIZE + 2 * CHAR_STATE, len(pieces)), np.float32)
+    """(inputs, pieces): vectors of the words, zero for those without one, over the sums of their runs."""
+    out = np.empty((WORD_SIZE + CHAR_SIZE, len(pieces)), np.float32)
     out[:WORD_SIZE] = m["words"][known].T
-    for low, high in ((0, 6), (6, 9), (9, 12), (12, 17), (17, PIECE)):
-        group = np.flatnonzero((lengths > low) & (lengths <= high))
-        for i in range(0, len(group), 4096):
-            part = group[i : i + 4096]
-            own = ids[:high, part]
-            real = own != 0
-            real[0] = True
-            x = np.ascontiguousarray(m["chars"][own].transpose(0, 2, 1))
-            kept: dict | None = {} if keep is not None else None
-            out[WORD_SIZE:, part] = both_ways(x, m, "c", real, kept)
-            if keep is not None:
-                keep.append((part, own, real, x, kept))
+    for i in range(0, len(pieces), 20_000):
+        runs, count = char_runs(pieces[i : i + 20_000])
+        scale = (1 / np.sqrt(count)).astype(np.float32)
+        out[WORD_SIZE:, i : i + len(count)] = np.add.reduceat(m["chars"][runs], np.cumsum(count) - count).T * scale
+        if keep is not None:
+            keep.append((runs, count, scale))
     return out
 
 
@@ -213,12 +211,12 @@ def windows_of(n: int) -> list[tuple[int, int]]:
 
 
 class _Sample:
-    """Documents as numbers of distinct pieces, and their windows."""
+    """Documents as numbers of distinct pieces, and their windows; labels are 0 or 1."""
 
     def __init__(self, texts: list[str], toxic: list[int]):
         tokens = [list(chain.from_iterable(pieces_of(w) for w in t.split())) for t in texts]
         often = Counter(chain.from_iterable(set(t) for t in tokens))
-        top = sorted((w for w, n in often.items() if n >= LEAST_DOCS), key=lambda w: (-often[w], w))[:MOST_WORDS]
+        top = sorted((w for w, n in often.items() if n >= max(LEAST_DOCS, LEAST_SHARE * len(texts))), key=lambda w: (-often[w], w))[:MOST_WORDS]
         self.vocabulary = {w: i + 1 for i, w in enumerate(top)}
         self.pieces = sorted(often)
         place = {w: i for i, w in enumerate(self.pieces)}
@@ -245,7 +243,7 @@ def loss_and_gradients(m: Model, windows: np.ndarray, label: np.ndarray, pieces:
     real = np.ascontiguousarray((windows >= 0).T)
     x = np.ascontiguousarray(inputs[:, at].transpose(2, 0, 1))
     keep: dict = {}
-    pooled = both_ways(x, m, "w", real, keep)
+    pooled = both_ways(x, m, real, keep)
     logit = m["o"] @ pooled + m["ob"][0]
     score = 1 / (1 + np.exp(-logit))
     loss = float(np.mean(np.maximum(logit, 0) - logit * label + np.log1p(np.exp(-np.abs(logit)))))
@@ -253,7 +251,7 @@ def loss_and_gradients(m: Model, windows: np.ndarray, label: np.ndarray, pieces:
     d = ((score - label) / len(label)).astype(x.dtype)
     g["o"] += pooled @ d
     g["ob"] += d.sum()
-    dx = both_ways_back(m["o"][:, None] * d, x, m, "w", real, keep, g)
+    dx = both_ways_back(m["o"][:, None] * d, x, m, real, keep, g)
     d_inputs = np.zeros_like(inputs)
     flat = dx.transpose(1, 2, 0).reshape(len(inputs), -1)
     spots = at.reshape(-1)
@@ -261,9 +259,9 @@ def loss_and_gradients(m: Model, windows: np.ndarray, label: np.ndarray, pieces:
         d_inputs[row] = np.bincount(spots, weights=flat[row], minlength=len(used))
     np.add.at(g["words"], known[used], d_inputs[:WORD_SIZE].T)
     g["words"][0] = 0
-    for part, own, c_real, cx, kept in keep_chars:
-        dc = both_ways_back(np.ascontiguousarray(d_inputs[WORD_SIZE:, part]), cx, m, "c", c_real, kept, g)
-        np.add.at(g["chars"], own.reshape(-1), dc.transpose(0, 2, 1).reshape(-1, CHAR_SIZE))
+    for i, (runs, count, scale) in enumerate(keep_chars):
+        own = d_inputs[WORD_SIZE:, 20_000 * i : 20_000 * i + len(count)] * scale
+        np.add.at(g["chars"], runs, np.repeat(own.T, count, axis=0))
     return loss, g
 
 
@@ -289,25 +287,33 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> tuple[Model, dic
     rng = np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     step = 0
-    # A small sample gets more epochs, so that the number of steps has a lower bound.
-    epochs = EPOCHS + max(0, 12 - len(sample.label) // 200)
+    per_epoch = -(-len(set(sample.doc.tolist())) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    start, scored = max(1, epochs // 6), 0
+    score = np.zeros(0)
     for epoch in range(epochs):
         order = rng.permutation(len(sample.label))
-        if epoch >= 2:
-            score = _scores(m, sample)
+        if epoch >= start:
+            if not len(score) or step >= scored + RESCORED:
+                score, scored = _scores(m, sample), step
             worst = np.lexsort((score, sample.doc))
             last = np.flatnonzero(np.append(np.diff(sample.doc[worst]) > 0, True))
             chosen = [worst[last]]
+            # Every window of a clean document is clean.
             clean = order[sample.label[order] == 0]
-            chosen.append(clean[: len(last) // 4])
-            picked = rng.permutation(np.concatenate(chosen))
+            chosen.append(clean[: 2 * int((sample.label[worst[last]] == 0).sum())])
+            picked = np.concatenate(chosen)
         else:
             rank = np.empty(len(order), np.int64)
             by_doc = order[np.argsort(sample.doc[order], kind="stable")]
-            start = np.flatnonzero(np.append(True, np.diff(sample.doc[by_doc]) > 0))
-            rank[:] = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
-            picked = rng.permutation(by_doc[rank < 2])
-        rate = RATE * (1 - epoch / epochs) + RATE * 0.1
+            head = np.flatnonzero(np.append(True, np.diff(sample.doc[by_doc]) > 0))
+            rank[:] = np.arange(len(order)) - np.repeat(head, np.diff(head, append=len(order)))
+            picked = by_doc[rank < 2]
+        # The rarer class is repeated until it is half as frequent as the other at least.
+        bad, good = picked[sample.label[picked] == 1], picked[sample.label[picked] == 0]
+        few, many = sorted((bad, good), key=len)
+        picked = rng.permutation(np.concatenate([many, np.resize(few, max(len(few), len(many) // 2))]))
+        rate = RATE * max(0.1, 1 - epoch / epochs)
         for i in range(0, len(picked), BATCH):
             rows = picked[i : i + BATCH]
             # Some words lose their vector for a while, so characters must do as well.
@@ -325,16 +331,17 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> tuple[Model, dic
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bounded sample (text, toxic): per class the ``SAMPLE_DOCS`` labelled documents that come first in the
-    order of a hash of the id.  ``labels`` (doc_id, toxic) decides who may be learned from; rows without id,
-    text or label 0 or 1 are left out."""
+    """Bounded sample (doc_id, text, toxic): per class the ``SAMPLE_DOCS`` labelled documents of at most
+    ``SAMPLE_CHARS`` characters that come first in the order of a hash of the id.  ``labels`` (doc_id, toxic)
+    decides who may be learned from; rows without id, text or label 0 or 1 are left out, of rows with one id
+    one stays."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    short = docs.where((F.char_length("text") <= SAMPLE_CHARS) & F.col("doc_id").isNotNull())
     order = Window.partitionBy("toxic").orderBy("turn", "doc_id")
-    chosen = known.withColumn("turn", F.xxhash64("doc_id")).withColumn("place", F.row_number().over(order))
-    # At most two classes of SAMPLE_DOCS ids, so they may go to every task.
-    chosen = F.broadcast(chosen.where(F.col("place") <= SAMPLE_DOCS))
-    heads = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    once = heads.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    chosen = known.join(short.select("doc_id").distinct(), "doc_id").withColumn("turn", F.xxhash64("doc_id"))
+    # The row limit is applied before the shuffle as well; two classes of SAMPLE_DOCS ids may go to every task.
+    chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
+    once = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return once.select("doc_id", "text", "toxic")
 
 
@@ -349,7 +356,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, dict[str, int]]:
 
 def _gates(inputs: np.ndarray, m: Model) -> np.ndarray:
     """(pieces, gates of both directions): the input side of the word level, once per distinct piece."""
-    return np.concatenate([(m[f"ww{way}"] @ inputs + m[f"wb{way}"][:, None]).T for way in ("f", "b")], axis=1)
+    return np.concatenate([(m[f"w{way}"] @ inputs + m[f"b{way}"][:, None]).T for way in "fb"], axis=1)
 
 
 def _window_scores(gates: np.ndarray, windows: np.ndarray, m: Model) -> np.ndarray:
@@ -357,8 +364,8 @@ def _window_scores(gates: np.ndarray, windows: np.ndarray, m: Model) -> np.ndarr
     real = np.ascontiguousarray((windows >= 0).T)
     both = gates[np.maximum(windows, 0).T]
     half = gates.shape[1] // 2
-    states = [_directed(np.ascontiguousarray(both[:, :, k * half : (k + 1) * half].transpose(0, 2, 1)), m[f"wu{way}"], way, real) for k, way in enumerate("fb")]
-    pooled = _pooled(states, m, "w", real, None)
+    states = [directed(np.ascontiguousarray(both[:, :, k * half : (k + 1) * half].transpose(0, 2, 1)), m[f"u{way}"], way, real) for k, way in enumerate("fb")]
+    pooled, _ = pool(np.concatenate(states, axis=1), m["a"], real)
     return 1 / (1 + np.exp(-(m["o"] @ pooled + m["ob"][0])))
 
 
