@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sloflow.session import configure, materialize
@@ -17,7 +17,7 @@ from sloflow.session import configure, materialize
 #: UTF-8 bytes of text that a Python worker takes at once; a single longer text is a batch of its own.
 BATCH_BYTES = 4_000_000
 
-__all__ = ["BATCH_BYTES", "column_or_null", "ready", "slices", "table", "text_batches", "texts_of", "written"]
+__all__ = ["BATCH_BYTES", "column_or_null", "first_by_hash", "ready", "slices", "table", "text_batches", "texts_of", "written"]
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -50,6 +50,19 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind).alias(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
 
 
+def first_by_hash(df: DataFrame, kind: str, number: str, most: int) -> DataFrame:
+    """Per value of ``kind`` up to ``most`` rows of ``df`` in the order of a hash of ``number``, with column place.
+
+    The counts per kind tell below which hash value the rows are sought, with room for chance, so no task
+    sorts more than about ``2 * most + 200`` rows of a kind; with very few hashes there may be less than ``most``.
+    """
+    counts = df.groupBy(kind).agg(F.count("*").alias("_n"))
+    share = (F.lit(2.0 * most) + 200) / F.col("_n")
+    near = df.withColumn("_turn", F.xxhash64(number)).join(F.broadcast(counts), kind).where(F.col("_turn").cast("double") <= share * 2.0**64 - 2.0**63)
+    order = Window.partitionBy(kind).orderBy("_turn", number)
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("_turn", "_n")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` has at most ``limit`` bytes, or one row."""
     for batch in batches:

@@ -19,10 +19,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sloflow.llm.common import text_batches
+from sloflow.llm.common import first_by_hash, text_batches
 
 WINDOW, STRIDE = 48, 36
 #: Characters of a piece; a longer word is several pieces in a row, so all of it is read.
@@ -337,10 +337,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     one stays."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     short = docs.where((F.char_length("text") <= SAMPLE_CHARS) & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("toxic").orderBy("turn", "doc_id")
-    chosen = known.join(short.select("doc_id").distinct(), "doc_id").withColumn("turn", F.xxhash64("doc_id"))
-    # The row limit is applied before the shuffle as well; two classes of SAMPLE_DOCS ids may go to every task.
-    chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
+    # Two classes of SAMPLE_DOCS ids may go to every task.
+    chosen = first_by_hash(known.join(short.select("doc_id").distinct(), "doc_id"), "toxic", "doc_id", SAMPLE_DOCS)
     once = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return once.select("doc_id", "text", "toxic")
 

@@ -13,31 +13,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sloflow.llm.common import text_batches
+from sloflow.llm.common import first_by_hash, text_batches
 
 UNKNOWN = "und"
-#: Sample: per language at most so many documents and so many bytes of each; and so large a dictionary.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 240, 1_000, 96_000
+#: Sample: per language at most so many documents and so many characters of each; and so large a dictionary.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 240, 1_000, 96_000
 CHUNK_BYTES = 4_000
 LEVEL = 3
 #: The runner-up must need so much more, as a share of the best size.
 MARGIN = 0.01
 _LETTER = re.compile(r"[^\W\d_]")
-_loaded: dict[int, list] = {}
 
 
 def sample(docs: DataFrame) -> DataFrame:
     """Bounded sample (lang, text) of ``docs`` (doc_id, text, lang): per language the ``SAMPLE_DOCS`` documents with
     text that come first in the order of a hash of the id; nulls in either column are left out."""
-    order = Window.partitionBy("lang").orderBy("turn", "doc_id", "head")
-    heads = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select(
-        "doc_id", "lang", F.xxhash64("doc_id").alias("turn"), F.substring("text", 1, SAMPLE_BYTES).alias("head")
-    )
-    # The row limit is applied before the shuffle as well, so a language may hold any number of rows.
-    return heads.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS).select("lang", "head", "place")
+    heads = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("head"))
+    return first_by_hash(heads, "lang", "doc_id", SAMPLE_DOCS).select("lang", "head", "place")
 
 
 def learn(docs: DataFrame) -> list[tuple[str, bytes]]:
