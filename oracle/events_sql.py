@@ -308,6 +308,12 @@ FROM raw""",
 SELECT event_id, CASE WHEN own THEN 'shop' WHEN http_method = 'GET' THEN 'browse' END AS domain,
   CASE WHEN own THEN 'api' WHEN http_method = 'GET' THEN 'web' END AS app,
   CASE WHEN own THEN slo_class WHEN http_method = 'GET' THEN 'low' END AS class FROM raw""",
+    "class_many_patterns": f"""WITH {RAW}, keyed AS (SELECT *, CAST(user_id AS VARCHAR) AS key FROM raw),
+matched AS (SELECT *, CASE WHEN NOT own AND regexp_matches(key, '^[0-9]*[0-9][0-9][0-3]$') THEN
+  'd' || CAST(CAST(reverse(right(key, 3)) AS INT) AS VARCHAR) END AS found FROM keyed)
+SELECT event_id, key AS event_key, CASE WHEN own THEN 'shop' ELSE found END AS domain,
+  CASE WHEN own THEN 'api' WHEN found IS NOT NULL THEN 'web' END AS app,
+  CASE WHEN own THEN slo_class WHEN found IS NOT NULL THEN 'low' END AS class FROM matched""",
     "class_learned": f"""WITH {CLASSIFIED}
 SELECT event_id, CASE WHEN src IN ('own', 'learned') THEN domain END AS domain,
   CASE WHEN src IN ('own', 'learned') THEN app END AS app,
@@ -403,7 +409,7 @@ FROM classified""",
 SELECT event_key, CAST(key_capped AS INT) AS key_capped, count(*) AS events, min(event_id) AS first_id
 FROM capped GROUP BY ALL""",
     "capped_counters": f"""WITH {CAPPED}, counters AS ({_levels('capped')})
-SELECT metric, labels, value FROM counters WHERE level = 4""",
+SELECT metric, labels, value FROM counters""",
     "event_key_stats": f"""WITH {SLO}
 SELECT least(count(DISTINCT event_key), 4) AS event_keys, CAST(4 AS BIGINT) AS event_keys_limit FROM slo""",
     "exemplars": f"""WITH {SLO},
@@ -424,7 +430,7 @@ FROM both_results b LEFT JOIN latest l ON b.domain = l.domain AND b.class = l.cl
 LEFT JOIN raw x ON x.event_id = l.id""",
     "exposition": f"""WITH {SLO}, {_COUNTERS}
 SELECT metric || '{{' || labels || '}} ' || CASE WHEN value < 1000000 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) END AS line
-FROM counters WHERE level <= 2""",
+FROM counters""",
     "rule_thresholds": f"""WITH {SLO},
 t(slo_type, operator, labels, value) AS (VALUES
   ('availability', 'numberIsHigherThan',

@@ -513,9 +513,9 @@ unused AS (
 SELECT 'alert="{name}",alert_type="slo:high_burnrate",' || CASE WHEN escalate <> '' THEN 'escalate="' || escalate || '",' ELSE '' END
   || 'namespace="' || namespace || '",severity="warning",slo_class="' || slo_class || '",slo_domain="' || slo_domain
   || '",slo_time_range="' || slo_time_range || '",slo_type="availability",slo_version="1",team="' || team || '"' AS labels,
-  'High availability burn-rate in SLO domain ' || slo_domain || ' ({period})' AS title,
-  'Effective availability burn-rate of ' || slo_domain || '/' || slo_class || ' in the {period} is '
-  || CASE WHEN isinf(value) THEN '+Inf' ELSE printf('%.1f', value) END AS description, count(*) AS points
+  slo_domain || ': availability budget burns too fast over {period}' AS title,
+  'Burn rate ' || CASE WHEN isinf(value) THEN '+Inf' ELSE printf('%.1f', value) END
+  || ' over {period} for availability of class ' || slo_class || ' in ' || slo_domain AS description, count(*) AS points
 FROM {name} GROUP BY ALL)"""
         for name, period in (("alert_1d", "24 hours"), ("alert_3d", "3 days"))
     ),
@@ -523,8 +523,7 @@ FROM {name} GROUP BY ALL)"""
 SELECT 'alert_type="slo:error_budget_exhausted",' || CASE WHEN escalate <> '' THEN 'escalate="' || escalate || '",' ELSE '' END
   || 'namespace="' || namespace || '",severity="warning",slo_class="' || slo_class || '",slo_domain="' || slo_domain
   || '",slo_time_range="4w",slo_type="availability",slo_version="1",team="' || team || '"' AS labels,
-  'Error budget is exhausted.' AS title,
-  'Availability error budget for SLO domain "' || slo_domain || '" was exhausted.' AS description, count(*) AS points
+  'Budget spent' AS title, 'No availability budget is left in ' || slo_domain AS description, count(*) AS points
 FROM held GROUP BY ALL""",
     "sli_percent": f"""WITH {ratio(('1h',))},
 worst AS (

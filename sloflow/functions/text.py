@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +34,9 @@ _UNIT = "ns|us|µs|μs|ms|s|m|h"
 _QUANTITY = rf"(\d+(?:\.\d*)?|\.\d+)({_UNIT})"
 _DURATION = rf"[+-]?(?:0|(?:{_QUANTITY.replace('(', '(?:', 1).replace(')(', ')(?:')})+)"
 
+#: Digits of a duration's fraction that count.
+_FRACTION_DIGITS = 18
+
 _INFINITY = float("inf")
 
 
@@ -74,13 +76,16 @@ def duration_ns(text: Column) -> Column:
     factors = F.create_map(
         *[F.lit(x) for pair in UNIT_NANOSECONDS.items() for x in pair]
     )
-    parts = F.zip_with(
-        amounts,
-        units,
-        lambda amount, unit: F.floor(
-            F.concat(F.lit("0"), amount).cast("decimal(28,9)") * factors[unit].cast("decimal(14,0)")
-        ).cast("decimal(38,0)"),
-    )
+
+    def nanoseconds(amount: Column, unit: Column) -> Column:
+        # More whole digits than a BIGINT has are out of range; digits of the fraction are cut, not rounded.
+        whole = F.concat(F.lit("0"), F.ltrim(F.split_part(amount, F.lit("."), F.lit(1)), F.lit("0")))
+        part = F.concat(F.lit("0."), F.substring(F.split_part(amount, F.lit("."), F.lit(2)), 1, _FRACTION_DIGITS), F.lit("0"))
+        factor = factors[unit].cast("decimal(14,0)")
+        exact = F.when(F.length(whole) <= 20, whole).cast("decimal(20,0)") * factor
+        return (exact + F.floor(part.cast("decimal(19,18)") * factor)).cast("decimal(38,0)")
+
+    parts = F.zip_with(amounts, units, nanoseconds)
     total = F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), lambda a, b: (a + b).cast("decimal(38,0)"))
     signed = F.when(text.startswith("-"), -total).otherwise(total)
     return F.when(text.rlike(rf"^{_DURATION}\z"), signed.try_cast("bigint"))
@@ -91,10 +96,11 @@ def parse_duration_ns(text: str) -> int:
     text = str(text)
     if not re.fullmatch(_DURATION, text, re.ASCII):
         raise ValueError(f"not a duration: {text!r}")
-    total = sum(
-        int(Decimal(amount if amount[0] != "." else "0" + amount) * UNIT_NANOSECONDS[unit])
-        for amount, unit in re.findall(_QUANTITY, text, re.ASCII)
-    )
+    total = 0
+    for amount, unit in re.findall(_QUANTITY, text, re.ASCII):
+        whole, _, part = amount.partition(".")
+        part = part[:_FRACTION_DIGITS]
+        total += int(whole or 0) * UNIT_NANOSECONDS[unit] + int(part or 0) * UNIT_NANOSECONDS[unit] // 10 ** len(part)
     if total > 2**63 - 1:
         raise ValueError(f"duration out of range: {text!r}")
     return -total if text.startswith("-") else total

@@ -56,6 +56,25 @@ def regexp_class(key: Column, matchers: Sequence[Matcher]) -> Column:
     return F.lit(None).cast(_NO_CLASS) if chosen is None else chosen
 
 
+#: Beyond so many patterns a key is matched once and not on each of its events.
+PATTERNS_PER_ROW = 8
+
+
+def with_regexp(df: DataFrame, matchers: Sequence[Matcher], key: str = "event_key", needed: Column | None = None) -> DataFrame:
+    """Add ``__regexp``: the classification by pattern where ``needed``, else NULL.
+
+    A few patterns are a column.  With more of them their cost counts: the keys are reduced to distinct
+    ones, matched once each and joined back; AQE splits the partitions of hot keys.  A stream has no end
+    to wait for and keeps the column.
+    """
+    needed = F.lit(True) if needed is None else needed
+    if df.isStreaming or len(matchers) <= PATTERNS_PER_ROW:
+        return df.withColumn("__regexp", F.when(needed, regexp_class(F.col(key), matchers)))
+    found = df.filter(needed).select(F.col(key).alias("__key")).distinct()
+    found = computed(found, {"__found": regexp_class(F.col("__key"), matchers)}).filter(F.col("__found").isNotNull())
+    return df.join(found, df[key] == found["__key"], "left").withColumn("__regexp", F.when(needed, F.col("__found"))).drop("__key", "__found")
+
+
 def with_learned(
     df: DataFrame,
     order: Sequence[str] = ("event_time", "event_id"),
@@ -106,11 +125,11 @@ def classify_exact(df: DataFrame, matchers: DataFrame) -> DataFrame:
 
 
 def classify_regexp(df: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
-    return df.withColumn(
-        "classification",
-        F.when(is_classified(), F.col("classification")).otherwise(
-            F.coalesce(regexp_class(event_key(), matchers), F.col("classification"))
-        ),
+    keyed = df.withColumn("__event_key", event_key())
+    return (
+        with_regexp(keyed, matchers, "__event_key", ~is_classified())
+        .withColumn("classification", F.coalesce("__regexp", "classification"))
+        .drop("__regexp", "__event_key")
     )
 
 
@@ -122,13 +141,7 @@ def decide(df: DataFrame, regexp: Sequence[Matcher]) -> DataFrame:
     result is remembered like an exact match.
     """
     own = is_classified()
-    found = df.withColumn(
-        "__regexp",
-        F.when(
-            ~own & F.col("__learned").isNull() & F.col("__exact").isNull(),
-            regexp_class(F.col("event_key"), regexp),
-        ),
-    )
+    found = with_regexp(df, regexp, needed=~own & F.col("__learned").isNull() & F.col("__exact").isNull())
     known = F.col("__learned").isNotNull() | F.col("__exact").isNotNull()
     by_regexp = F.col("__regexp").isNotNull()
     source = (

@@ -32,8 +32,3 @@ def observed(df: DataFrame, name: str, counts: Mapping[str, Column]) -> tuple[Da
     observation = Observation(name)
     metrics = [F.count_if(condition).alias(key) for key, condition in counts.items()]
     return df.observe(observation, *metrics), observation
-
-
-def observed_stream(df: DataFrame, name: str, counts: Mapping[str, Column]) -> DataFrame:
-    """The same on a stream; the counts of each micro-batch are in the query's progress."""
-    return df.observe(name, *[F.count_if(condition).alias(key) for key, condition in counts.items()])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sloflow.functions import strmap
 from sloflow.functions.once import exploded
 from sloflow.functions.text import number_text, to_float
+from sloflow.operators.vector import largest
 from sloflow.operators.scan import time_chunk, with_previous
 from sloflow.operators.shape import BUCKET_MAX, BUCKET_MIN, sample_event
 
@@ -108,8 +109,11 @@ def on_grid(constants: DataFrame, grid: Grid) -> DataFrame:
 
 
 def increase_between(previous: Column, current: Column) -> Column:
-    """Growth of a counter; a smaller value means it started again from zero."""
-    return F.when(current < previous, current).otherwise(current - previous)
+    """Growth of a counter; a smaller value means it started again from zero.
+
+    A comparison with NaN is false, so growth from or to NaN is NaN.
+    """
+    return F.when(~F.isnan(previous) & ~F.isnan(current) & (current < previous), current).otherwise(current - previous)
 
 
 def counter_deltas(
@@ -554,7 +558,7 @@ def over_time(
         F.sum("value").alias("sum"),
         F.count("*").alias("count"),
         F.min("value").alias("min"),
-        F.max("value").alias("max"),
+        largest(F.col("value")).alias("max"),
         F.min_by("value", "ts").alias("first"),
         F.max_by("value", "ts").alias("last"),
     )
@@ -570,7 +574,7 @@ def over_time(
         "sum": F.sum("sum").over(frame),
         "avg": F.sum("sum").over(frame) / F.sum("count").over(frame),
         "min": F.min("min").over(frame),
-        "max": F.max("max").over(frame),
+        "max": F.coalesce(F.max(F.when(~F.isnan("max"), F.col("max"))).over(frame), F.max("max").over(frame)),
         "delta": F.last("last", ignorenulls=True).over(frame)
         - F.first("first", ignorenulls=True).over(frame),
     }[function]

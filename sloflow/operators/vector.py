@@ -29,11 +29,6 @@ def label(df: DataFrame, name: str) -> Column:
     return F.lit("")
 
 
-def to_columns(samples: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Take labels out of the ``labels`` map into columns."""
-    return samples.select(*[label(samples, n).alias(n) for n in names], "ts", "value")
-
-
 def select_series(df: DataFrame, matchers: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Keep rows whose labels fit all ``(name, operator, text)``; operators ``= != =~ !~``.
 
@@ -210,9 +205,14 @@ def vor(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None) -> D
     return left.unionByName(vunless(right, left, on), allowMissingColumns=True)
 
 
+def largest(value: Column) -> Column:
+    """Maximum that is NaN only where all values are; Spark takes NaN for the largest number."""
+    return F.coalesce(F.max(F.when(~F.isnan(value), value)), F.max(value))
+
+
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
-    "max": F.max,
+    "max": largest,
     "min": F.min,
     "avg": F.avg,
     "count": lambda value: F.count(value).cast("double"),

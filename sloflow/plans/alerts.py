@@ -339,22 +339,20 @@ def alert_rows(
 
 def burn_alert_rows(fired: DataFrame) -> DataFrame:
     title = F.concat(
-        F.lit("High "), "slo_type", F.lit(" burn-rate in SLO domain "), "slo_domain",
-        F.lit(" ("), "period", F.lit(")"),
+        "slo_domain", F.lit(": "), "slo_type", F.lit(" budget burns too fast over "), "period",
     )
     description = F.concat(
-        F.lit("Effective "), "slo_type", F.lit(" burn-rate of "), "slo_domain", F.lit("/"),
-        "slo_class", F.lit(" in the "), "period", F.lit(" is "), one_decimal(F.col("value")),
+        F.lit("Burn rate "), one_decimal(F.col("value")), F.lit(" over "), "period", F.lit(" for "),
+        "slo_type", F.lit(" of class "), "slo_class", F.lit(" in "), "slo_domain",
     )
     return alert_rows(fired, "slo:high_burnrate", title, description)
 
 
 def budget_alert_rows(fired: DataFrame) -> DataFrame:
     description = F.concat(
-        F.initcap("slo_type"), F.lit(' error budget for SLO domain "'), F.col("slo_domain"),
-        F.lit('" was exhausted.'),
+        F.lit("No "), F.col("slo_type"), F.lit(" budget is left in "), F.col("slo_domain"),
     )
     return alert_rows(
-        fired, "slo:error_budget_exhausted", F.lit("Error budget is exhausted."), description,
+        fired, "slo:error_budget_exhausted", F.lit("Budget spent"), description,
         {"severity": "warning"},
     )

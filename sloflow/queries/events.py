@@ -17,7 +17,7 @@ from sloflow.operators.series import Grid, instant_vector
 from sloflow.operators.statistical import class_weights, classify_statistical
 from sloflow.operators.vector import select_series
 from sloflow.sources import accesslog, definitions, loglines, messages
-from sloflow.sources.matchers import dump_matchers, matchers_df
+from sloflow.sources.matchers import Matcher, dump_matchers, matchers_df
 
 KEYS = ["httpMethod", "endpoint"]
 CAP = 4
@@ -280,6 +280,14 @@ def class_regexp(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("event_id", *_class_columns())
 
 
+def class_many_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Four hundred patterns, each for the users of one remainder, tried on the distinct keys."""
+    keyed = shape.generate_event_key(fx.raw_events(spark, sf), ["userId"])
+    matchers = [Matcher(f"d{n}", "web", "low", f"^[0-9]*{n % 10}{n // 10 % 10}{n // 100}$") for n in range(400)]
+    done = classify.classify_regexp(keyed, matchers)
+    return done.select("event_id", "event_key", *_class_columns())
+
+
 def class_learned(spark: SparkSession, sf: str) -> DataFrame:
     done = classify.classify_learned(_keyed(spark, sf))
     return done.select("event_id", *_class_columns())
@@ -411,7 +419,7 @@ def cap_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capped_counters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = counters.cascade_counters(capped_events(spark, sf)).filter("level = 4")
+    rows = counters.cascade_counters(capped_events(spark, sf))
     return rows.select("metric", strmap.text(F.col("labels")).alias("labels"), "value")
 
 
@@ -432,7 +440,7 @@ def exemplars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exposition(spark: SparkSession, sf: str) -> DataFrame:
-    rows = counters.cascade_counters(slo_events(spark, sf)).filter("level <= 2")
+    rows = counters.cascade_counters(slo_events(spark, sf))
     return counters.to_exposition(rows).withColumnRenamed("value", "line")
 
 
@@ -497,6 +505,7 @@ QUERIES = {
     **{f"pred_{name}": _predicate_query(name, *case) for name, case in PREDICATE_CASES.items()},
     "class_exact": class_exact,
     "class_regexp": class_regexp,
+    "class_many_patterns": class_many_patterns,
     "class_learned": class_learned,
     "class_dynamic": class_dynamic,
     "class_report": class_report,

@@ -445,10 +445,7 @@ def team_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _key_cells(spark: SparkSession, sf: str) -> tuple[DataFrame, Grid]:
-    rows = fx.slo_increments(spark, sf).join(
-        fx.e(spark, sf).select("event_id", F.col("http_path").alias("event_key"), F.col("http_method").alias("slo_app")),
-        "event_id",
-    )
+    rows = fx.slo_increments(spark, sf, {"event_key": "http_path", "slo_app": "http_method"})
     found = ts.event_cells(rows, [*SERIES, "slo_app", "event_key"])
     return found, Grid.over(found)
 

@@ -162,10 +162,6 @@ def _always(common: Column) -> dict[str, Column]:
     return _texts(common, COMMON_TEXTS) | {"sampleRate": rate}
 
 
-def common_metadata(common: Column) -> Column:
-    return F.map_concat(strmap.from_columns(_optional(common)), _fixed(_always(common)))
-
-
 def skipped_fields(common: Column) -> Column:
     """How many addresses, durations and times of a record had to be left out."""
     unsupported = [
@@ -207,14 +203,6 @@ def tcp_metadata(entry: Column) -> Column:
     return F.map_concat(strmap.from_columns(_optional(common)), _fixed(always))
 
 
-def flatten_http(df: DataFrame, entry: str = "http") -> DataFrame:
-    return df.withColumns({"metadata": http_metadata(F.col(entry)), "quantity": F.lit(1.0)})
-
-
-def flatten_tcp(df: DataFrame, entry: str = "tcp") -> DataFrame:
-    return df.withColumns({"metadata": tcp_metadata(F.col(entry)), "quantity": F.lit(1.0)})
-
-
 def explode_log_batches(df: DataFrame) -> DataFrame:
     """One raw event per entry of ``http_logs``, or of ``tcp_logs`` where there are no HTTP logs."""
     no_http = F.lit(None).cast(HTTP_TYPE)

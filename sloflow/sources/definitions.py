@@ -132,11 +132,6 @@ def parse_slo_definitions(text: str) -> list[Domain]:
     return domains
 
 
-def load_slo_definitions(path: str) -> list[Domain]:
-    with open(path, encoding="utf-8") as file:
-        return parse_slo_definitions(file.read())
-
-
 def _table(spark: SparkSession, rows: list[dict], labels: tuple[str, ...]) -> DataFrame:
     """Rows of label columns and a value; labels beyond the common ones become columns too."""
     extra = sorted({name for row in rows for name in row} - set(labels) - {"value"})

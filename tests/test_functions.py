@@ -125,3 +125,20 @@ def test_string_maps(spark):
     assert of(lambda m: strmap.is_submap(strmap.literal({"a": "1"}), m)) is True
     assert of(lambda m: strmap.is_submap(strmap.literal({"a": "2"}), m)) is False
     assert of(lambda m: strmap.is_submap(strmap.literal({"z": ""}), m)) is False
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("99999999999999999999999s", None), ("1.9999999999ns", 1), ("1.9999999999999999999999999999999ns", 1), ("0000000000000000000000001s", 10**9),
+        (".5s", 5 * 10**8), ("1.s", 10**9), ("2562047h47m16.854775807s", 2**63 - 1), ("2562047h47m16.854775808s", None), ("-1h0.25m", -3_615_000_000_000),
+    ],
+)
+def test_extreme_durations(spark, text, expected):
+    found = spark.createDataFrame([(text,)], "t string").select(duration_ns(F.col("t"))).first()[0]
+    assert found == expected
+    if expected is None:
+        with pytest.raises(ValueError):
+            parse_duration_ns(text)
+    else:
+        assert parse_duration_ns(text) == expected

@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -135,3 +136,17 @@ def test_vector_match(spark):
     assert sorted(r.c for r in v.vunless(left, other, on=["d"]).collect()) == ["x", "y"]
     nan = left.withColumn("value", F.lit(float("nan")))
     assert v.vcompare(nan, ">", 0.0).count() == 0 and v.vcompare(nan, "!=", 0.0).count() == 3
+
+
+def test_nan_is_no_maximum(spark):
+    rows = [("a", float("nan")), ("a", 2.0), ("b", float("nan")), ("c", None), ("c", -1.0)]
+    df = spark.createDataFrame(rows, "slo_domain string, value double")
+    found = {r["slo_domain"]: r["value"] for r in v.vagg(df, "max", by=["slo_domain"]).collect()}
+    assert found["a"] == 2.0 and found["c"] == -1.0 and math.isnan(found["b"])
+
+
+def test_growth_beside_nan(spark):
+    rows = [(float("nan"), 5.0), (5.0, float("nan")), (5.0, 3.0), (3.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    found = [r[0] for r in df.select(ts.increase_between(F.col("a"), F.col("b"))).collect()]
+    assert math.isnan(found[0]) and math.isnan(found[1]) and found[2:] == [3.0, 2.0]

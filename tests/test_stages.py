@@ -6,76 +6,80 @@ from sloflow.operators import counters
 from sloflow.operators.rules import ConfigError
 from sloflow.plans.stages import Pipeline, run_pipeline, stage_names
 
+# A scenario of our own: lines of a batch scheduler, one per finished run.
 LINE_RE = (
-    r'^(?P<ip>\S+) \[(?P<time>.*?)\] "(?P<method>GET|POST) (?P<path>\S+)" (?P<statusCode>\d+) '
-    r'rt="(?P<took>\d+(\.\d+)??)" domain="(?P<sloDomain>[^"]*)" app="(?P<sloApp>[^"]*)" class="(?P<sloClass>[^"]*)"$'
+    r"^(?P<when>[^|]*)\|job=(?P<job>[a-z/0-9-]+)\|queue=(?P<queue>\w+)\|exit=(?P<exit>\d+)\|secs=(?P<secs>[\d.]+)"
+    r"\|owner=(?P<owner>[\w-]*),(?P<tier>[\w-]*),(?P<unit>[\w-]*)$"
 )
 RULES = """
 rules:
-  - slo_matcher: {domain: shop.*}
-    failure_conditions: [{operator: numberIsHigherThan, key: statusCode, value: 499}]
-    additional_metadata: {slo_type: availability, slo_version: 1}
-  - slo_matcher: {domain: shop, class: fast}
-    failure_conditions: [{operator: numberIsHigherThan, key: took, value: 8}]
-    additional_metadata: {slo_type: latency90, slo_version: 1, percentile: 90, le: 8.0}
+  - slo_matcher: {domain: "nightly.*"}
+    failure_conditions: [{operator: isNotEqualTo, key: exit, value: "0"}]
+    additional_metadata: {slo_type: finished, slo_version: 2}
+  - slo_matcher: {class: urgent}
+    failure_conditions: [{operator: numberIsEqualOrHigherThan, key: secs, value: 90}]
+    additional_metadata: {slo_type: in_time, slo_version: 2, share: 75}
 """
 CONFIG = """
-webServerListenAddress: "0.0.0.0:8080"
 pipeline: [tailer, relabel, eventKeyGenerator, metadataClassifier, dynamicClassifier, %s sloEventProducer, prometheusExporter]
 modules:
   tailer:
-    tailedFile: ./logs
-    follow: true
+    tailedFile: ./runs.txt
     loglineParseRegexp: '%s'
-    emptyGroupRE: '^-$'
+    emptyGroupRE: '^none$'
   relabel:
     eventRelabelConfigs:
-      - {source_labels: [statusCode], regex: "404", action: drop}
-      - {source_labels: [path], regex: "/rule/[0-9a-f]{4,24}", target_label: path, replacement: /rule/0}
-  eventKeyGenerator: {filedSeparator: ":", overrideExistingEventKey: false, metadataKeys: [method, path]}
-  metadataClassifier: {sloDomainMetadataKey: sloDomain, sloClassMetadataKey: sloClass, sloAppMetadataKey: sloApp}
+      - {source_labels: [queue], regex: "scratch|test", action: drop}
+      - {source_labels: [job], regex: "(.*)/run-[0-9]+", target_label: job, replacement: "$1"}
+  eventKeyGenerator: {filedSeparator: "@", overrideExistingEventKey: false, metadataKeys: [job, queue]}
+  metadataClassifier: {sloDomainMetadataKey: owner, sloClassMetadataKey: tier, sloAppMetadataKey: unit}
   dynamicClassifier:
-    regexpMatchesCsvFiles: [classes.csv]
+    regexpMatchesCsvFiles: [known.csv]
   statisticalClassifier:
-    historyWindowSize: 30m
-    defaultWeights: [{weight: 1, classification: {sloDomain: shop, sloClass: slow}}]
+    historyWindowSize: 15m
+    defaultWeights: [{weight: 3, classification: {sloDomain: nightly, sloClass: relaxed}}]
   sloEventProducer: {rulesFiles: [rules.yaml]}
-  prometheusExporter: {maximumUniqueEventKeys: 1000, ExceededKeyLimitPlaceholder: many}
+  prometheusExporter: {maximumUniqueEventKeys: 50, ExceededKeyLimitPlaceholder: others}
 """
 
 
-def line(path, code=200, domain="-", app="-", class_="-"):
-    return f'1.1.1.1 [now] "GET {path}" {code} rt="0.5" domain="{domain}" app="{app}" class="{class_}"'
+def ran(job, code=0, secs=12.5, queue="main", owner=("none", "none", "none")):
+    return f"monday|job={job}|queue={queue}|exit={code}|secs={secs}|owner={','.join(owner)}"
 
 
 def run(spark, tmp_path, lines, extra=""):
-    (tmp_path / "logs").write_text("\n".join(lines) + "\n")
-    (tmp_path / "classes.csv").write_text('shop,web,fast,"^GET:/rule/[0-9a-f]+$"\n')
+    (tmp_path / "runs.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "known.csv").write_text('nightly,etl,urgent,"^load/[a-z]+@"\n')
     (tmp_path / "rules.yaml").write_text(RULES)
     result = run_pipeline(spark, CONFIG % (extra, LINE_RE), base_dir=str(tmp_path))
     return {row.value for row in counters.to_exposition(result).collect()}
 
 
-def test_initialisation(spark, tmp_path):
-    got = run(spark, tmp_path, [line("/rule/12ab"), line("/rule/12ab", 404), "broken"])
+def test_runs_are_counted_by_pattern(spark, tmp_path):
+    lines = [ran("load/orders/run-7"), ran("load/orders/run-8", code=3, secs=90), ran("load/orders/run-9", queue="scratch"), "not a run"]
+    got = run(spark, tmp_path, lines)
+    # Two objectives, two results, four levels of detail; the scratch run and the odd line are gone.
     assert len(got) == 16
-    key = 'event_key="GET:/rule/0"'
     prefix = "slo_domain_slo_class_slo_app_event_key:slo_events_total"
-    rest = 'slo_app="web",slo_class="fast",slo_domain="shop"'
-    assert f'{prefix}{{{key},result="success",{rest},slo_type="availability",slo_version="1"}} 1' in got
-    assert f'{prefix}{{{key},le="8.0",percentile="90",result="fail",{rest},slo_type="latency90",slo_version="1"}} 0' in got
+    rest = 'slo_app="etl",slo_class="urgent",slo_domain="nightly"'
+    key = 'event_key="load/orders@main"'
+    for result in ("success", "fail"):
+        assert f'{prefix}{{{key},result="{result}",{rest},slo_type="finished",slo_version="2"}} 1' in got
+        assert f'{prefix}{{{key},result="{result}",share="75",{rest},slo_type="in_time",slo_version="2"}} 1' in got
 
 
-def test_own_and_learned_classification(spark, tmp_path):
-    own = line("/rule/77ff", domain="shop2", app="mobile", class_="critical")
-    got = run(spark, tmp_path, [line("/rule/12ab"), own, line("/rule/abcd")])
-    assert 'slo_domain_slo_class:slo_events_total{result="success",slo_class="fast",slo_domain="shop",slo_type="availability",slo_version="1"} 1' in got
-    assert 'slo_domain_slo_class:slo_events_total{result="success",slo_class="critical",slo_domain="shop2",slo_type="availability",slo_version="1"} 2' in got
+def test_own_class_is_remembered_for_the_key(spark, tmp_path):
+    own = ran("load/stock", owner=("nightly-eu", "relaxed", "import"))
+    got = run(spark, tmp_path, [ran("load/stock"), own, ran("load/stock", code=1)])
+    name = "slo_domain_slo_class:slo_events_total"
+    assert f'{name}{{result="success",slo_class="urgent",slo_domain="nightly",slo_type="finished",slo_version="2"}} 1' in got
+    relaxed = 'slo_class="relaxed",slo_domain="nightly-eu",slo_type="finished",slo_version="2"'
+    assert f'{name}{{result="success",{relaxed}}} 1' in got and f'{name}{{result="fail",{relaxed}}} 1' in got
 
 
-def test_statistical_stage(spark, tmp_path):
-    got = run(spark, tmp_path, [line("/unknown")], "statisticalClassifier,")
-    assert any('slo_app="statistically-guessed",slo_class="slow"' in text for text in got)
+def test_default_weights_classify_the_rest(spark, tmp_path):
+    got = run(spark, tmp_path, [ran("report/daily")], "statisticalClassifier,")
+    assert any('slo_app="statistically-guessed",slo_class="relaxed"' in text for text in got)
 
 
 def test_samples_stage(spark):
