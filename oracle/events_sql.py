@@ -311,7 +311,7 @@ SELECT event_id, CASE WHEN own THEN 'shop' WHEN http_method = 'GET' THEN 'browse
     "class_many_patterns": f"""WITH {RAW}, keyed AS (SELECT *, CAST(user_id AS VARCHAR) AS key FROM raw),
 matched AS (SELECT *, CASE WHEN NOT own AND regexp_matches(key, '^[0-9]*[0-9][0-9][0-3]$') THEN
   'd' || CAST(CAST(reverse(right(key, 3)) AS INT) AS VARCHAR) END AS found FROM keyed)
-SELECT event_id, key AS event_key, CASE WHEN own THEN 'shop' ELSE found END AS domain,
+SELECT event_id, CASE WHEN own THEN 'shop' ELSE found END AS domain,
   CASE WHEN own THEN 'api' WHEN found IS NOT NULL THEN 'web' END AS app,
   CASE WHEN own THEN slo_class WHEN found IS NOT NULL THEN 'low' END AS class FROM matched""",
     "class_learned": f"""WITH {CLASSIFIED}
