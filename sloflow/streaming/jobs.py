@@ -87,11 +87,14 @@ def increase_stream(
     path: str,
     poll_interval: int = MINUTE,
     staleness: int = STALENESS,
+    lateness: int = 10 * MINUTE,
     **options,
 ) -> StreamingQuery:
     """Raw events from counter samples; the last sample of each series is kept between batches.
 
-    A poll whose samples arrive in two batches gives two events that add up to its growth.
+    A poll whose samples arrive in two batches gives two events that add up to its growth.  A series
+    leaves the state when its last sample is too old to count for samples that come up to ``lateness``
+    seconds after the newest one, so the state follows the live series and not the history.
     """
     state = StateTable(f"{path}/state", SAMPLE)
 
@@ -99,11 +102,18 @@ def increase_stream(
         earlier = state.read(batch.sparkSession, before=number)
         events = counter_events(batch, poll_interval, staleness, earlier=earlier)
         events.write.mode("overwrite").parquet(batch_path(f"{path}/events", number))
-        state.write(last_samples(batch, earlier), number)
+        kept = last_samples(batch, earlier)
+        state.write(_since(kept, F.unix_seconds("ts"), batch, staleness + poll_interval + lateness), number)
 
     return run(stream, each, f"{path}/checkpoint", **options)
 
 
+def _since(state: DataFrame, second: Column, batch: DataFrame, seconds: int) -> DataFrame:
+    """The rows of ``state`` that are at most ``seconds`` older than the newest row of the batch."""
+    newest = batch.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    return state if newest is None else state.filter(second >= newest - seconds)
+
+
 def cap_stream(
     stream: DataFrame,
     path: str,
@@ -211,12 +221,19 @@ def hold_schema(keys: Sequence[str]) -> T.StructType:
 
 
 def hold_stream(
-    stream: DataFrame, path: str, keys: Sequence[str], seconds: int, step: int, **options
+    stream: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    seconds: int,
+    step: int,
+    lateness: int = 10 * MINUTE,
+    **options,
 ) -> StreamingQuery:
     """Rows of a condition that has held for ``seconds``, across micro-batches.
 
     Each row of the stream is one evaluation at which the condition holds for its key.  A key's run
-    goes on in the next batch if its first evaluation there is one step after the last one here.
+    goes on in the next batch if its first evaluation there is one step after the last one here.  A run
+    leaves the state once evaluations ``lateness`` seconds after its next step have been seen.
     """
     state = StateTable(f"{path}/state", hold_schema(keys))
 
@@ -245,9 +262,8 @@ def hold_stream(
         latest = written.groupBy(*keys).agg(
             F.max_by("__since", "__to").alias("since"), F.max("__to").alias("last")
         )
-        state.write(
-            latest.unionByName(known.join(latest, list(keys), "left_anti").select(*latest.columns)), number
-        )
+        runs_now = latest.unionByName(known.join(latest, list(keys), "left_anti").select(*latest.columns))
+        state.write(_since(runs_now, F.col("last"), batch, step + lateness), number)
 
     return run(stream, each, f"{path}/checkpoint", **options)
 

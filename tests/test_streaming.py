@@ -65,6 +65,26 @@ def test_increase_over_batches(spark, tmp_path):
     }
 
 
+def test_old_series_leave_the_state(spark, tmp_path):
+    rows = [({"n": "old"}, START, 1.0), ({"n": "new"}, START + timedelta(hours=2), 2.0), ({"n": "new"}, START + timedelta(hours=3), 5.0)]
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    list(feed(spark, spark.createDataFrame(rows, SAMPLE), source, "ts"))
+    jobs.increase_stream(files(spark, source, SAMPLE), path, 60, 300, lateness=60).awaitTermination()
+    left = StateTable(f"{path}/state", SAMPLE).read(spark).collect()
+    assert [(r.labels, r.value) for r in left] == [({"n": "new"}, 5.0)]
+
+
+def test_ended_runs_leave_the_state(spark, tmp_path):
+    rows = [("a", START), ("b", START + timedelta(hours=1)), ("b", START + timedelta(hours=1, seconds=60))]
+    df = spark.createDataFrame(rows, "k string, ts timestamp").withColumn("value", F.lit(1.0))
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    list(feed(spark, df, source, "ts"))
+    jobs.hold_stream(files(spark, source, df.schema), path, ["k"], 60, 60).awaitTermination()
+    left = StateTable(f"{path}/state", jobs.hold_schema(["k"])).read(spark).collect()
+    assert [r.k for r in left] == ["b"]
+    assert [r.k for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/rows").collect()] == ["b"]
+
+
 def test_cap_over_batches(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, START + timedelta(seconds=i), 0, rng.choice("abcdefgh")) for i in range(60)]
