@@ -131,13 +131,24 @@ def _numbers(record: Column, names: dict[str, str]) -> dict[str, Column]:
     }
 
 
-def _prefixed(m: Column, prefix: str) -> Column:
-    return F.transform_keys(strmap.or_empty(m), lambda key, _: F.concat(F.lit(prefix), key))
+def _entries(columns: dict[str, Column]) -> Column:
+    """Entries of the columns that are not NULL."""
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(c.isNotNull(), F.struct(F.lit(key).alias("key"), c.alias("value")))
+                for key, c in columns.items()
+            ]
+        )
+    )
 
 
-def _fixed(columns: dict[str, Column]) -> Column:
-    """Map of columns that are never NULL."""
-    return F.create_map(*[part for key, c in columns.items() for part in (F.lit(key), c)])
+def _prefixed(m: Column, prefix: str) -> Column:
+    """Entries of a map, with longer keys."""
+    return F.transform(
+        F.map_entries(strmap.or_empty(m)),
+        lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("key"), e["value"].alias("value")),
+    )
 
 
 def _optional(common: Column) -> dict[str, Column]:
@@ -188,19 +199,18 @@ def http_metadata(entry: Column) -> Column:
         | _numbers(response, RESPONSE_NUMBERS)
     )
     parts = [
-        strmap.from_columns(_optional(common)),
-        _fixed(always),
+        _entries(_optional(common) | always),
         _prefixed(request["request_headers"], "http_"),
         _prefixed(response["response_headers"], "sent_http_"),
         _prefixed(response["response_trailers"], "sent_trailer_"),
     ]
-    return F.map_concat(*parts)
+    return F.map_from_entries(F.concat(*parts))
 
 
 def tcp_metadata(entry: Column) -> Column:
     common = entry["common_properties"]
     always = _always(common) | _numbers(entry["connection_properties"], TCP_NUMBERS)
-    return F.map_concat(strmap.from_columns(_optional(common)), _fixed(always))
+    return F.map_from_entries(_entries(_optional(common) | always))
 
 
 def explode_log_batches(df: DataFrame) -> DataFrame:
