@@ -211,14 +211,14 @@ def histogram_increase(
 
     A poll with any missing or unreadable ``le`` label is rejected as a whole.  A bucket that grew
     less than the one below it is an error: it and all higher buckets of that histogram are dropped.
+    Whether a poll is rejected depends on labels alone, so it is read off the samples.
     """
+    bound = to_float(strmap.lookup(F.col("labels"), "le"))
     grown = counter_increase(samples, poll_interval, staleness).withColumns(
-        {
-            "le": to_float(strmap.lookup(F.col("labels"), "le")),
-            "histogram": strmap.text(strmap.without(F.col("labels"), ["le"])),
-        }
+        {"le": bound, "histogram": strmap.text(strmap.without(F.col("labels"), ["le"]))}
     )
-    rejected = grown.filter(F.col("le").isNull()).select("poll_ts").distinct()
+    unreadable = samples.filter(bound.isNull())
+    rejected = unreadable.select(ceil_time(F.col("ts"), poll_interval).alias("poll_ts")).distinct()
     usable = grown.join(rejected, "poll_ts", "left_anti")
     buckets = Window.partitionBy("histogram", "poll_ts").orderBy("le")
     upto = buckets.rowsBetween(Window.unboundedPreceding, 0)
