@@ -113,6 +113,32 @@ def _levels(source: str = "slo") -> str:
 _COUNTERS = f"counters AS ({_levels()})"
 
 
+def _exemplars() -> str:
+    """Per level the counters with the latest event of each label set and result."""
+    parts = []
+    for level in range(1, 5):
+        keys = ["domain", "class", "app", "event_key"][:level]
+        labels = "'event_key=\"' || b.event_key || '\",' || " if level == 4 else ""
+        labels += "b.le || 'namespace=\"' || b.namespace || '\",result=\"' || r || '\"'"
+        labels += " || ',slo_app=\"' || b.app || '\"'" if level >= 3 else ""
+        labels += " || ',slo_class=\"' || b.class || '\"'" if level >= 2 else ""
+        labels += " || ',slo_domain=\"' || b.domain || '\",slo_type=\"' || b.slo_type || '\",slo_version=\"1\"'"
+        by = ", ".join([*keys, "le", "namespace", "slo_type"])
+        on = " AND ".join(f"b.{key} = l.{key}" for key in by.split(", "))
+        metric = "_".join(["slo_domain", "slo_class", "slo_app", "event_key"][:level])
+        parts.append(
+            f"""(SELECT '{metric}:slo_events_total' AS metric, {labels} AS labels, b.value,
+  l.id AS exemplar_id, CASE WHEN l.id IS NOT NULL THEN 1.0 END AS exemplar_value,
+  'httpPath="' || x.http_path || '"' || coalesce(',referer="' || x.referer || '"', '') AS exemplar_labels
+FROM (
+  SELECT {by}, r, CAST(count(*) FILTER (result = r) AS DOUBLE) AS value
+  FROM slo, (VALUES ('success'), ('fail')) AS results(r) GROUP BY ALL
+) b LEFT JOIN (SELECT {by}, result, arg_max(event_id, (event_time, event_id)) AS id FROM slo GROUP BY ALL) l
+  ON {on} AND b.r = l.result LEFT JOIN raw x ON x.event_id = l.id)"""
+        )
+    return " UNION ALL ".join(parts)
+
+
 def _counter_level(level: int | None) -> str:
     where = f"WHERE level = {level}" if level else ""
     return f"WITH {SLO}, {_COUNTERS} SELECT metric, labels, value FROM counters {where}"
@@ -208,7 +234,26 @@ burn_limits AS (
     AND b.class IN ('', t.slo_class) AND b.type IN ('', t.slo_type)
 )"""
 
+_STAGE_COUNTS = {
+    ("lines", "lines_read"): "count(*)",
+    ("lines", "malformed"): "count(*) FILTER (event_id % 17 = 0)",
+    ("events after tailer", "events"): "count(*) FILTER (event_id % 17 <> 0)",
+    ("rename_collisions", "collisions"): "count(*) FILTER (event_id % 17 <> 0 AND status_code <> '404' AND referer IS NOT NULL)",
+    **{
+        (f"events after {stage}", "events"): "count(*) FILTER (event_id % 17 <> 0 AND status_code <> '404')"
+        for stage in ("relabel", "eventMetadataRenamer", "eventKeyGenerator", "metadataClassifier")
+    },
+}
+
 ORACLE = {
+    "stages_events": f"""WITH {RAW}
+SELECT event_id, CAST(1.0 AS DOUBLE) AS quantity, http_method AS domain, '/api/' || event_type AS app, status_code AS class,
+  CAST(duration_ms AS VARCHAR) AS seconds, event_key,
+  CASE WHEN referer IS NOT NULL THEN '10.0.0.' || CAST(user_id % 256 AS VARCHAR) END AS ip
+FROM raw WHERE event_id % 17 <> 0 AND status_code <> '404'""",
+    "stages_reports": f"WITH {RAW} " + " UNION ALL ".join(
+        f"SELECT '{report}' AS report, '{name}' AS name, {count} AS value FROM raw" for (report, name), count in _STAGE_COUNTS.items()
+    ),
     "log_parse": f"""WITH {E}
 SELECT event_id, CAST(1.0 AS DOUBLE) AS quantity, '10.0.0.' || CAST(user_id % 256 AS VARCHAR) AS ip,
   strftime(event_time, '%Y-%m-%d %H:%M:%S') AS "time", http_method AS "httpMethod", http_path AS "httpPath",
@@ -412,22 +457,7 @@ FROM capped GROUP BY ALL""",
 SELECT metric, labels, value FROM counters""",
     "event_key_stats": f"""WITH {SLO}
 SELECT least(count(DISTINCT event_key), 4) AS event_keys, CAST(4 AS BIGINT) AS event_keys_limit FROM slo""",
-    "exemplars": f"""WITH {SLO},
-latest AS (
-  SELECT domain, class, le, namespace, slo_type, result, max(event_id) AS id FROM slo GROUP BY ALL
-),
-both_results AS (
-  SELECT domain, class, le, namespace, slo_type, r, CAST(count(*) FILTER (result = r) AS DOUBLE) AS value
-  FROM slo, (VALUES ('success'), ('fail')) AS results(r) GROUP BY ALL
-)
-SELECT 'slo_domain_slo_class:slo_events_total' AS metric,
-  b.le || 'namespace="' || b.namespace || '",result="' || r || '",slo_class="' || b.class || '",slo_domain="' || b.domain
-  || '",slo_type="' || b.slo_type || '",slo_version="1"' AS labels, b.value,
-  l.id AS exemplar_id, CASE WHEN l.id IS NOT NULL THEN 1.0 END AS exemplar_value,
-  'httpPath="' || x.http_path || '"' || coalesce(',referer="' || x.referer || '"', '') AS exemplar_labels
-FROM both_results b LEFT JOIN latest l ON b.domain = l.domain AND b.class = l.class AND b.le = l.le
-  AND b.namespace = l.namespace AND b.slo_type = l.slo_type AND b.r = l.result
-LEFT JOIN raw x ON x.event_id = l.id""",
+    "exemplars": f"WITH {SLO} {_exemplars()}",
     "exposition": f"""WITH {SLO}, {_COUNTERS}
 SELECT metric || '{{' || labels || '}} ' || CASE WHEN value < 1000000 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) END AS line
 FROM counters""",

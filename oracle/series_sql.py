@@ -135,6 +135,15 @@ _ALERTS = {
     "alert_3d": ("3d", "6h", "'warning'", "true"),
 }
 
+_PERIODS = {
+    "alert_1h_low": "last hour, low traffic",
+    "alert_1h": "last hour",
+    "alert_6h_low": "6 hours, low traffic",
+    "alert_6h": "6 hours",
+    "alert_1d": "24 hours",
+    "alert_3d": "3 days",
+}
+
 
 def fired(name: str) -> str:
     """Join of the long and the short range, as the alert rules are written."""
@@ -335,14 +344,14 @@ up AS (SELECT 'app-' || event_type AS slo_domain, {CEIL_MINUTE} AS sec, min(resu
 times AS (SELECT unnest(range((SELECT min(sec) FROM up), (SELECT max(sec) FROM up) + 1, 60)) AS sec),
 good AS (SELECT slo_domain, sec, 1 AS delta FROM up WHERE good)"""
 
-_UP_RANGES = {"5m": 300, "1h": 3600, "1d": 86400}
+_UP_RANGES = RANGES
 _UP_STEP = {name: 180 for name in RANGES}
 
 UPTIME = f"""WITH {UP}, {dense('slo_domain', 'good')},
 counted AS ({rolled('slo_domain', _UP_RANGES, _UP_STEP)}),
 wanted AS (
   SELECT slo_domain, r AS slo_time_range, sec FROM times,
-    (VALUES ('app-click'), ('app-view'), ('app-idle')) AS d(slo_domain), (VALUES ('5m'), ('1h'), ('1d')) AS r(r)
+    (VALUES ('app-click'), ('app-view'), ('app-idle')) AS d(slo_domain), (VALUES {', '.join(f"('{r}')" for r in RANGES)}) AS r(r)
   WHERE sec % 180 = 0
 ),
 success AS (
@@ -356,7 +365,7 @@ both_results AS (
     slo_time_range, sec, CAST(value AS DOUBLE) AS value FROM success
   UNION ALL
   SELECT 'production', slo_domain, 'uptime', '6', 'fail', slo_time_range, sec,
-    CASE slo_time_range WHEN '5m' THEN 5 WHEN '1h' THEN 60 ELSE 1440 END - value FROM success
+    CASE slo_time_range {' '.join(f"WHEN '{r}' THEN {s // 60}" for r, s in RANGES.items())} END - value FROM success
 )
 {daily('namespace, slo_domain, slo_class, slo_version, result, slo_time_range', 'both_results')}"""
 
@@ -366,7 +375,7 @@ def _query_rolled(metric: str) -> str:
         f"""SELECT instance, '{r}' AS slo_time_range, sec, sum(d_{metric}) OVER w AS value,
   count(*) FILTER (here) OVER w AS n FROM hdense
   WINDOW w AS (PARTITION BY instance ORDER BY sec ROWS BETWEEN {RANGES[r] // 60 - 1} PRECEDING AND CURRENT ROW)"""
-        for r in ("1h", "1d")
+        for r in RANGES
     )
 
 
@@ -419,9 +428,12 @@ silent AS (
   SELECT s.slo_domain, s.slo_version, s.namespace, s.team, coalesce(s.escalate, '') AS escalate, a.sec, 1.0 AS value
   FROM stable s JOIN active a USING (slo_domain)
   WHERE s.enabled = 'true' AND NOT EXISTS (SELECT 1 FROM present p WHERE p.slo_domain = s.slo_domain AND p.sec = a.sec)
-), {islands('silent', 'slo_domain', 60, 120)}
+), {islands('silent', 'slo_domain', 60, 300)}
 {daily('slo_domain, slo_version, namespace, team, escalate', 'held')}"""
 
+# The hours in which the counters with gaps record nothing.
+_GAP = "(epoch_us(event_time) // 86400000000 % 3 = 0 AND epoch_us(event_time) % 86400000000 // 3600000000 BETWEEN 6 AND 17)"
+
 ORACLE = {
     "counter_increase": polled(300, 7 * 86400),
     "counter_stale": polled(600, 1800),
@@ -485,9 +497,9 @@ sparse AS ({rolled(SERIES, ['4w'], STEPS)}) {daily(SERIES + ', slo_time_range',
     "rate_coefficient": f"""WITH {eot(('1h', '6h', '1d', '3d', '4w'))}, {coefficient(('1h', '6h', '1d', '3d'))}
 {daily(SLO + ', slo_time_range', 'coefficient')}""",
     "error_budget": f"WITH {ratio(('4w',))}, {DEFINED}, {BUDGET} {daily(SLO, 'budget')}",
-    "effective_burn": f"""WITH {ratio(('6h', '4w'))}, {DEFINED}, {BURN}, {coefficient(('6h',))},
+    "effective_burn": f"""WITH {ratio(('1h', '6h', '1d', '3d', '4w'))}, {DEFINED}, {BURN}, {coefficient(('1h', '6h', '1d', '3d'))},
 effective AS (
-  SELECT b.* REPLACE (b.value * c.value AS value) FROM burned b JOIN coefficient c USING ({SLO}, sec)
+  SELECT b.* REPLACE (b.value * c.value AS value) FROM burned b JOIN coefficient c USING ({SLO}, sec, slo_time_range)
 ) {daily(SLO + ', slo_time_range', 'effective')}""",
     "uptime_sli": UPTIME,
     "query_sli": QUERY_SLI,
@@ -506,18 +518,18 @@ unused AS (
   SELECT incident, sec, 0.0 AS value FROM (
     SELECT incident, sec, sum(on_count) OVER w AS total FROM filled
     WINDOW w AS (PARTITION BY incident ORDER BY sec ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE total = 0
-), {islands('unused', 'incident', 60, 300)} {daily('incident', 'held')}""",
+), {islands('unused', 'incident', 60, 600)} {daily('incident', 'held')}""",
     "alert_health": f"""WITH {HEALTH_CHECKS} {daily('"check", severity, instance', 'named')}""",
     "alert_rows": " UNION ALL ".join(
         f"""(WITH {fired(name)}
 SELECT 'alert="{name}",alert_type="slo:high_burnrate",' || CASE WHEN escalate <> '' THEN 'escalate="' || escalate || '",' ELSE '' END
-  || 'namespace="' || namespace || '",severity="warning",slo_class="' || slo_class || '",slo_domain="' || slo_domain
+  || 'namespace="' || namespace || '",severity="' || severity || '",slo_class="' || slo_class || '",slo_domain="' || slo_domain
   || '",slo_time_range="' || slo_time_range || '",slo_type="availability",slo_version="1",team="' || team || '"' AS labels,
   slo_domain || ': availability budget burns too fast over {period}' AS title,
   'Burn rate ' || CASE WHEN isinf(value) THEN '+Inf' ELSE printf('%.1f', value) END
   || ' over {period} for availability of class ' || slo_class || ' in ' || slo_domain AS description, count(*) AS points
 FROM {name} GROUP BY ALL)"""
-        for name, period in (("alert_1d", "24 hours"), ("alert_3d", "3 days"))
+        for name, period in _PERIODS.items()
     ),
     "budget_alert_rows": f"""WITH {ratio(('4w',))}, {DEFINED}, {BUDGET}, {SPENT}, {islands('spent', SLO, 180, 600)}
 SELECT 'alert_type="slo:error_budget_exhausted",' || CASE WHEN escalate <> '' THEN 'escalate="' || escalate || '",' ELSE '' END
@@ -541,7 +553,7 @@ remaining AS (SELECT w.* REPLACE ({div('w.value', '(t.value - 1)')} + 1 AS value
 worst AS (SELECT slo_domain, sec, min(value) AS value FROM budget GROUP BY ALL) {daily('slo_domain', 'worst')}""",
     "budget_delta": f"""WITH {ratio(('4w',))}, {DEFINED}, {BUDGET},
 moved AS (
-  SELECT * REPLACE (value - first_value(value) OVER w AS value), count(*) OVER w AS n FROM budget WHERE slo_domain <> 'error'
+  SELECT * REPLACE (value - first_value(value) OVER w AS value), count(*) OVER w AS n FROM budget
   WINDOW w AS (PARTITION BY {SLO} ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)
 ) {daily(SLO, 'moved', where='WHERE n > 1')}""",
     "totals_range": f"""WITH {CELLS},
@@ -561,10 +573,12 @@ ORDER BY value DESC, {SLO}, slo_app, event_key LIMIT 25""",
 highest AS (
   SELECT slo_domain, slo_class, sec, max(value) AS value FROM coefficient GROUP BY ALL
 ) {daily('slo_domain, slo_class', 'highest')}""",
-    "alert_missing_all": f"""WITH {eot(('5m',))},
-rare AS (SELECT DISTINCT sec FROM eot WHERE slo_domain = 'purchase' AND result = 'fail' AND value >= 0),
-alive AS (SELECT sec, least(value, 1) AS value FROM eot WHERE slo_domain = 'purchase' AND result = 'fail'),
-alive_sum AS (SELECT sec, least(sum(value), 1) AS value FROM alive GROUP BY sec),
+    "alert_missing_all": f"""WITH {eot(('5m',)).replace("FROM increments GROUP BY ALL", f"FROM increments WHERE NOT {_GAP} GROUP BY ALL")}, {DEFINED},
+seen AS (
+  SELECT sec, eot.value FROM eot JOIN stable USING (slo_domain, slo_version, namespace) WHERE enabled <> 'false'
+),
+rare AS (SELECT DISTINCT sec FROM seen),
+alive_sum AS (SELECT sec, least(sum(value), 1) AS value FROM seen GROUP BY sec),
 hc AS (SELECT event_type AS instance, {CEIL_MINUTE} AS sec, sum(cents) AS c FROM e GROUP BY ALL),
 hd AS (SELECT instance, sec, CASE WHEN row_number() OVER (PARTITION BY instance ORDER BY sec) = 1 THEN 0 ELSE c END AS c FROM hc),
 growing AS (SELECT DISTINCT t.sec FROM times t JOIN hd ON hd.sec > t.sec - 300 AND hd.sec <= t.sec WHERE c > 0),

@@ -1,37 +1,23 @@
 """DuckDB SQL with the expected results of ``sloflow.queries.streams``."""
 
-from oracle.events_sql import E, ORACLE as EVENTS, RAW
+from oracle.events_sql import CLASSIFIED, E, ORACLE as EVENTS, RAW, SLO, _levels
 from oracle.series_sql import ORACLE as SERIES
 
+# All rules over events whose class comes from their method and user.
 _OWN = RAW + r""",
-slo AS (
-  SELECT event_id, event_key, http_path, http_method AS domain, status_code AS class, '/api/' || event_type AS app,
-    CASE WHEN CAST(status_code AS DOUBLE) > 499 THEN 'fail' ELSE 'success' END AS result FROM raw
-)"""
-
-
-def _level(level: int) -> str:
-    names = ["slo_domain", "slo_class", "slo_app", "event_key"][:level]
-    keys = ", ".join(["domain", "class", "app", "event_key"][:level])
-    text = "'event_key=\"' || event_key || '\",' || " if level == 4 else ""
-    text += "'namespace=\"production\",result=\"' || r || '\"'"
-    text += " || ',slo_app=\"' || app || '\"'" if level >= 3 else ""
-    text += " || ',slo_class=\"' || class || '\"'" if level >= 2 else ""
-    text += " || ',slo_domain=\"' || domain || '\",slo_type=\"availability\",slo_version=\"1\"'"
-    return (
-        f"SELECT '{'_'.join(names)}:slo_events_total' AS metric, {text} AS labels, "
-        f"CAST(count(*) FILTER (result = r) AS DOUBLE) AS value "
-        f"FROM slo, (VALUES ('success'), ('fail')) AS results(r) GROUP BY {keys}, r"
-    )
-
+classified AS (
+  SELECT event_id, event_time, event_key, http_path, http_method, status_code, duration_ms, request_duration,
+    CASE http_method WHEN 'GET' THEN 'browse' ELSE 'shop' END AS domain, '/api/' || event_type AS app,
+    CASE WHEN user_id % 2 = 0 THEN 'critical' ELSE 'low' END AS class FROM raw
+)""" + SLO.removeprefix(CLASSIFIED)
 
 ORACLE = {
     "stream_parse": f"""WITH {_OWN}
-SELECT event_id, event_key, result, domain AS slo_domain, class AS slo_class, 1.0 AS quantity FROM slo""",
+SELECT event_id, CAST(rule AS BIGINT) AS rule, event_key, result, domain AS slo_domain, class AS slo_class, 1.0 AS quantity FROM slo""",
     "stream_learned": EVENTS["class_dynamic"],
-    "stream_counters": f"WITH {_OWN} " + " UNION ALL ".join(f"({_level(n)})" for n in (1, 2, 3, 4)),
+    "stream_counters": f"WITH {_OWN}, counters AS ({_levels()}) SELECT metric, labels, value FROM counters",
     "stream_cap": f"""WITH {_OWN},
-admitted AS (SELECT http_path AS p FROM slo GROUP BY 1 ORDER BY min(event_id) LIMIT 4)
+admitted AS (SELECT http_path AS p FROM slo GROUP BY 1 ORDER BY min((event_time, event_id, rule)) LIMIT 4)
 SELECT coalesce(p, 'cardinalityLimitExceeded') AS event_key, CAST(p IS NULL AS INT) AS key_capped,
   count(*) AS events, min(event_id) AS first_id
 FROM slo LEFT JOIN admitted ON http_path = p GROUP BY ALL""",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sloflow.functions import strmap
 from sloflow.functions.text import number_text
 from sloflow.operators.shape import RESULTS
+from sloflow.session import materialize
 
 EXCEEDED_PLACEHOLDER = "cardinalityLimitExceeded"  # fixed value
 MAX_EXEMPLAR_RUNES = 128  # fixed value
@@ -71,14 +72,14 @@ def cap_event_keys(
     """Keep the first ``limit`` distinct event keys and replace all later new ones.
 
     The first occurrences are found by a partial aggregation and a distributed top-n.  The at most
-    ``limit`` admitted keys are broadcast, up to a million of them.  0 means no limit.
+    ``limit`` admitted keys are joined back; Spark broadcasts them if their bytes allow it.  0 means no
+    limit.  Where only counters are wanted, :func:`capped_counters` reads the events once.
     """
     if not limit:
         return df.withColumn("key_capped", F.lit(False))
     if admitted is None:
         admitted = admitted_keys(df, limit, order)
     table = admitted.select(F.col("event_key").alias("__key"), F.lit(True).alias("__ok"))
-    table = F.broadcast(table) if limit <= 1_000_000 else table
     return (
         df.join(table, F.col("event_key") == F.col("__key"), "left")
         .withColumns(
@@ -108,11 +109,13 @@ def finest_counters(
     names: LabelNames = DEFAULT_NAMES,
     exemplar_keys: Sequence[str] = (),
     order: Sequence[str] = ("event_time", "event_id"),
+    first: Sequence[str] = (),
 ) -> DataFrame:
     """One row per label set of the finest level, with the sums of both results side by side.
 
     Putting the results side by side is the zero initialisation: a label set seen with one result
-    has the other one at 0.
+    has the other one at 0.  With ``first`` there is one row per label set and event key, with the
+    key and the smallest position by these columns (``__key``, ``__first``).
     """
     labels = slo_labels(names, capped="key_capped" in df.columns)
     staged = df.filter(F.col("result").isin(*RESULTS)).withColumn("__labels", labels)
@@ -137,7 +140,11 @@ def finest_counters(
                 position.alias("at"), F.col("quantity").alias("value"), strmap.text(chosen).alias("labels")
             )
             sums.append(F.max_by(exemplar, when).alias(f"{result}_exemplar"))
-    return staged.groupBy(*levels, extra).agg(*sums)
+    by = [*levels, extra]
+    if first:
+        by.append(F.col("event_key").alias("__key"))
+        sums.append(F.min(F.struct(*[F.col(c) for c in first])).alias("__first"))
+    return staged.groupBy(*by).agg(*sums)
 
 
 def cascade_counters(
@@ -155,6 +162,32 @@ def cascade_counters(
     return cascade_levels(finest_counters(df, names, exemplar_keys, order), base, names)
 
 
+def capped_counters(
+    df: DataFrame,
+    limit: int,
+    placeholder: str = EXCEEDED_PLACEHOLDER,
+    base: str = "slo_events_total",
+    names: LabelNames = DEFAULT_NAMES,
+    exemplar_keys: Sequence[str] = (),
+    order: Sequence[str] = ("event_time", "event_id"),
+    first: Sequence[str] = ("event_time", "event_id", "rule"),
+) -> DataFrame:
+    """:func:`cascade_counters` of the events with a limit on event keys, as :func:`cap_event_keys` sets it.
+
+    The limit only renames a label, so it is applied to the aggregated rows: the events are read and
+    shuffled once.  The rows of the finest level are written to the shared folder, as the admitted keys
+    are found among them and joined back to them.  0 means no limit.
+    """
+    if not limit:
+        return cascade_counters(df, base, names, exemplar_keys, order)
+    finest = materialize(finest_counters(df, names, exemplar_keys, order, first), "finest")
+    seen = finest.groupBy("__key").agg(F.min("__first").alias("__first"))
+    admitted = seen.orderBy("__first").limit(limit).select(F.col("__key").alias("__admitted"))
+    named = F.when(F.col("__admitted").isNotNull(), F.col(f"`{names.key}`")).otherwise(placeholder)
+    capped = finest.join(admitted, F.col("__key") == F.col("__admitted"), "left").withColumn(names.key, named)
+    return cascade_levels(capped.drop("__key", "__first", "__admitted"), base, names)
+
+
 def cascade_levels(
     finest: DataFrame, base: str = "slo_events_total", names: LabelNames = DEFAULT_NAMES
 ) -> DataFrame:

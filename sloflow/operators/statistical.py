@@ -11,7 +11,7 @@ from sloflow.functions.once import computed
 from sloflow.operators.shape import classification, is_classified
 
 GUESSED_APP = "statistically-guessed"  # fixed value
-_SALTS = 16
+_CLASSES = "array<struct<upto:double,domain:string,class:string>>"
 
 
 def _interval(ts: Column, seconds: int) -> Column:
@@ -84,29 +84,25 @@ def classify_statistical(
     ts: str = "event_time",
     ident: str = "event_id",
     seed: int = 0,
+    history: bool = True,
 ) -> DataFrame:
     """Give unclassified events a class drawn by the weights of the preceding window.
 
     Without weights the ``defaults`` ``(domain, class, weight)`` are used; without those, or if
     they sum to zero, the event is dropped.  The draw is a function of the event's id and the seed,
-    so a repeated run gives the same result.  The weights are joined on interval and salt: a busy
-    interval is spread over several tasks, as the weights are tiny and can be repeated.
+    so a repeated run gives the same result.  The weights have one row per interval: Spark broadcasts
+    them if their bytes allow it, else a busy interval is a skewed join key that AQE splits.
+
+    ``history=False`` uses the defaults alone, for events whose times say nothing.
     """
-    length = _interval(F.col(ts), interval)
-    salted = df.withColumns(
-        {
-            "__interval": length,
-            "__salt": F.pmod(F.xxhash64(ident), F.lit(_SALTS)).cast("int"),
-        }
-    )
-    weights = _distribution(class_weights(df, window, interval, ts)).withColumn(
-        "__salt2", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    )
-    joined = salted.join(
-        weights,
-        (salted["__interval"] == weights["interval_no"]) & (salted["__salt"] == weights["__salt2"]),
-        "left",
-    )
+    if history:
+        timed = df.withColumn("__interval", _interval(F.col(ts), interval))
+        weights = _distribution(class_weights(df, window, interval, ts))
+        joined = timed.join(weights, timed["__interval"] == weights["interval_no"], "left")
+    else:
+        joined = df.withColumns(
+            {"__classes": F.lit(None).cast(_CLASSES), "__total": F.lit(None).cast("double")}
+        )
     listed, default_total = [], 0.0
     for domain, class_, weight in sorted(defaults):
         default_total += weight
@@ -115,8 +111,7 @@ def classify_statistical(
                 F.lit(float(default_total)).alias("upto"), F.lit(domain).alias("domain"), F.lit(class_).alias("class")
             )
         )
-    kind = "array<struct<upto:double,domain:string,class:string>>"
-    fallback = F.array(*listed).cast(kind) if listed else F.lit(None).cast(kind)
+    fallback = F.array(*listed).cast(_CLASSES) if listed else F.lit(None).cast(_CLASSES)
     classes = F.coalesce(F.col("__classes"), fallback)
     total = F.coalesce(F.col("__total"), F.lit(default_total))
     point = uniform(F.lit(seed), F.col(ident)) * total

@@ -73,10 +73,7 @@ def burn_alerts(
     versions = v.vagg(enabled, "max", by=[*VERSION, "team", "escalate"])
     allowed = ratio_thresholds.select(*[v.label(ratio_thresholds, n).alias(n) for n in SLO], "value")
     limits = burn_thresholds.groupBy(*SLO).agg(
-        *[
-            F.max(F.when(F.col("slo_time_range") == a, F.col("value"))).alias(f"limit_{a}")
-            for a in sorted({alert.long for alert in alerts})
-        ]
+        *[_only(a).alias(f"limit_{a}") for a in sorted({alert.long for alert in alerts})]
     )
     one = _constants(versions, VERSION, ["team", "escalate", "value"])
     bounds = _constants(limits, SLO, [c for c in limits.columns if c.startswith("limit_")])
@@ -132,6 +129,13 @@ def burn_alerts(
     return _with_severity(fired, severity_info, [a.name for a in alerts if a.severity is None])
 
 
+def _only(time_range: str) -> Column:
+    """The one threshold of a range; a second one is an error, as in any match."""
+    value = F.when(F.col("slo_time_range") == time_range, F.col("value"))
+    several = F.raise_error(F.lit(f"several burn-rate thresholds of one SLO over {time_range}")).cast("double")
+    return F.when(F.count(value) > 1, several).otherwise(F.max(value))
+
+
 def _constants(df: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
     return df.select(
         *[v.label(df, n).alias(f"__c_{n}") for n in on],

@@ -153,8 +153,10 @@ def error_budget(ratio: DataFrame, stable: DataFrame, thresholds: DataFrame) ->
     return remaining_budget(known, thresholds)
 
 
-def effective_burn_rate(burn: DataFrame, coefficient: DataFrame, long_range: str) -> DataFrame:
-    """Burn rate weighted with the rate coefficient of the long range."""
+def effective_burn_rate(burn: DataFrame, coefficient: DataFrame, long_range: str | None = None) -> DataFrame:
+    """Burn rate weighted with the rate coefficient of the long range, or each range with its own."""
+    if long_range is None:
+        return v.varith(burn, "*", coefficient, on=[*SLO, "slo_time_range"])
     weight = coefficient.filter(F.col("slo_time_range") == long_range)
     return v.varith(burn, "*", weight, on=SLO, group="left")
 

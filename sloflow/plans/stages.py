@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
 from sloflow.functions.text import parse_duration_ns, parse_float
-from sloflow.operators import counters, shape
-from sloflow.operators.classify import classify_dynamic
+from sloflow.operators import counters, quality, shape
+from sloflow.operators.classify import classification_report, classify_dynamic
 from sloflow.operators.relabel import RelabelStep, relabel
-from sloflow.operators.rules import ConfigError, evaluate_rules, load_rules, read_yaml
+from sloflow.operators.rules import ConfigError, evaluate_rules, load_rules, read_yaml, rules_to_thresholds
 from sloflow.operators.scan import time_chunk
 from sloflow.operators.series import STALENESS, counter_events, histogram_events, shift
 from sloflow.operators.statistical import classify_statistical
@@ -38,6 +38,10 @@ class Context:
     inputs: Mapping[str, object] = field(default_factory=dict)
     base_dir: str = "."
     event_time: Callable[[DataFrame], Column] | None = None
+    #: Whether the events have times of their own, which the source stage finds out.
+    timed: bool = True
+    #: Lazy side results by name; none is computed unless it is read.
+    reports: dict[str, DataFrame] = field(default_factory=dict)
 
     def path(self, name: str) -> str:
         return name if "://" in name or os.path.isabs(name) else os.path.join(self.base_dir, name)
@@ -60,6 +64,7 @@ class Context:
         if self.event_time:
             df = df.withColumn("event_time", self.event_time(df))
         elif "event_time" not in df.columns:
+            self.timed = False
             df = df.withColumn("event_time", F.lit(datetime.now(timezone.utc)))
         if "classification" not in df.columns:
             df = df.withColumn("classification", F.lit(None).cast(CLASSIFICATION))
@@ -138,7 +143,9 @@ def _log_lines(_, settings: Settings, context: Context) -> DataFrame:
         if not path:
             raise ConfigError(["tailer: setting tailedFile is missing"])
         lines = loglines.read_log_lines(context.spark, context.path(path)).withColumnRenamed("seq", "event_id")
-    return context.identified(loglines.well_formed(loglines.parse_log_lines(lines, line_re, empty_re)))
+    parsed = loglines.parse_log_lines(lines, line_re, empty_re)
+    context.reports["lines"] = quality.count_events(parsed, {"lines_read": F.lit(True), "malformed": F.col("malformed")})
+    return context.identified(loglines.well_formed(parsed))
 
 
 @stage("kafkaIngester", NOTHING, RAW)
@@ -154,7 +161,9 @@ def _messages(_, settings: Settings, context: Context) -> DataFrame:
         )
     elif start not in messages.START_OFFSETS:
         raise ConfigError([f"kafkaIngester: unknown fallbackStartOffset {start!r}"])
-    return context.identified(loglines.well_formed(messages.decode_messages(landed, header)))
+    decoded = messages.decode_messages(landed, header)
+    context.reports["messages"] = quality.count_events(decoded, {"messages_read": F.lit(True), "malformed": F.col("malformed")})
+    return context.identified(loglines.well_formed(decoded))
 
 
 @stage("envoyAccessLogServer", NOTHING, RAW)
@@ -203,7 +212,9 @@ def _rename(df: DataFrame, settings: Settings, context: Context) -> DataFrame:
         pair = Settings("eventMetadataRenamer", item)
         pairs.append((pair.need("source"), pair.need("destination")))
         pair.done()
-    return shape.rename_keys(df, pairs)
+    renamed = shape.rename_keys(df, pairs, collisions="__collisions")
+    context.reports["rename_collisions"] = renamed.agg(F.coalesce(F.sum("__collisions"), F.lit(0)).cast("bigint").alias("collisions"))
+    return renamed.drop("__collisions")
 
 
 @stage("relabel", RAW, RAW)
@@ -235,11 +246,12 @@ def _own_class(df: DataFrame, settings: Settings, context: Context) -> DataFrame
 
 @stage("dynamicClassifier", RAW, RAW)
 def _dynamic(df: DataFrame, settings: Settings, context: Context) -> DataFrame:
-    settings.ignore("unclassifiedEventMetadataKeys")
+    reported = settings.get("unclassifiedEventMetadataKeys", [])
     exact = read_matchers([context.path(p) for p in settings.get("exactMatchesCsvFiles", [])])
     regexp = read_matchers([context.path(p) for p in settings.get("regexpMatchesCsvFiles", [])])
     table = matchers_df(context.spark, exact) if exact else None
     found = classify_dynamic(df, table, regexp, context.order, context.chunk)
+    context.reports["classification"] = classification_report(found, reported)
     return found.drop("event_key", "classified_by")
 
 
@@ -254,18 +266,22 @@ def _statistical(df: DataFrame, settings: Settings, context: Context) -> DataFra
         )
         weight.done()
         target.done()
-    return classify_statistical(
-        df,
-        settings.seconds("historyWindowSize", "30m"),
-        settings.seconds("historyWeightUpdateInterval", "1m"),
-        defaults,
-    ).drop("statistical_result")
+    window = settings.seconds("historyWindowSize", "30m")
+    interval = settings.seconds("historyWeightUpdateInterval", "1m")
+    if not context.timed and not defaults:
+        raise ConfigError(["statisticalClassifier: events without event times have no history, and there are no defaultWeights"])
+    found = classify_statistical(df, window, interval, defaults, history=context.timed)
+    context.reports["statistical"] = found.groupBy("statistical_result").agg(F.count("*").alias("events"))
+    return found.drop("statistical_result")
 
 
 @stage("sloEventProducer", RAW, SLO)
 def _rules(df: DataFrame, settings: Settings, context: Context) -> DataFrame:
-    settings.ignore("exposeRulesAsMetrics")
-    return evaluate_rules(df, load_rules([context.path(p) for p in settings.get("rulesFiles", [])]))
+    rules = load_rules([context.path(p) for p in settings.get("rulesFiles", [])])
+    if settings.flag("exposeRulesAsMetrics", False):
+        context.reports["rule_thresholds"] = rules_to_thresholds(context.spark, rules)
+    context.reports["rules"] = quality.count_events(df, quality.standard_counts(rules))
+    return evaluate_rules(df, rules)
 
 
 @stage("prometheusExporter", SLO, COUNTERS)
@@ -282,14 +298,20 @@ def _counters(df: DataFrame, settings: Settings, context: Context) -> DataFrame:
     names.done()
     limit = int(settings.get("maximumUniqueEventKeys", 0))
     placeholder = settings.get("exceededKeyLimitPlaceholder", counters.EXCEEDED_PLACEHOLDER)
-    order = (*context.order, "rule")
-    capped = counters.cap_event_keys(shape.valid_result(df), limit, placeholder, order)
-    return counters.cascade_counters(
-        capped,
+    valid = shape.valid_result(df)
+    context.reports["results"] = quality.count_events(
+        df, {"slo_events": F.lit(True), "invalid_results": ~F.coalesce(F.col("result").isin(*shape.RESULTS), F.lit(False))}
+    )
+    context.reports["event_keys"] = counters.event_key_stats(valid, limit)
+    return counters.capped_counters(
+        valid,
+        limit,
+        placeholder,
         settings.get("metricName", "slo_events_total"),
         labels,
         settings.get("exemplarMetadataKeys", []),
         context.order,
+        (*context.order, "rule"),
     )
 
 
@@ -332,6 +354,8 @@ class Pipeline:
             settings = Settings(name, values)
             df = STAGES[name].build(df, settings, context)
             settings.done()
+            if STAGES[name].gives == RAW:
+                context.reports[f"events after {name}"] = df.agg(F.count("*").alias("events"))
         return df
 
 
@@ -346,9 +370,27 @@ def run_pipeline(
 
     ``inputs`` gives landed data by source stage (for ``prometheusIngester`` a mapping from query
     text to samples).  ``event_time`` computes the time of an event; without it events are ordered
-    as they are read.
+    as they are read, and the statistical classifier has no history, only its default weights.
+    """
+    return run_with_reports(spark, text, inputs, base_dir, event_time)[0]
+
+
+def run_with_reports(
+    spark: SparkSession,
+    text: str,
+    inputs: Mapping[str, object] | None = None,
+    base_dir: str = ".",
+    event_time: Callable[[DataFrame], Column] | None = None,
+) -> tuple[DataFrame, Mapping[str, DataFrame]]:
+    """The result of a run and its reports by name, each a lazy DataFrame.
+
+    Reports say what became of the events: lines or messages read and malformed, events after every
+    stage (what relabelling drops is the difference), collisions of renamed keys, classified and
+    unclassified events, events that match no rule, invalid results, event keys beside their limit, and
+    with ``exposeRulesAsMetrics`` the thresholds of the rules.
     """
-    return Pipeline.parse(text).run(Context(spark, inputs or {}, base_dir, event_time))
+    context = Context(spark, inputs or {}, base_dir, event_time)
+    return Pipeline.parse(text).run(context), context.reports
 
 
 def stage_names() -> Sequence[str]:

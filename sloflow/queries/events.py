@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from sloflow.operators.rules import evaluate_rules, parse_rules, rules_to_thresh
 from sloflow.operators.series import Grid, instant_vector
 from sloflow.operators.statistical import class_weights, classify_statistical
 from sloflow.operators.vector import select_series
+from sloflow.plans import stages
 from sloflow.sources import accesslog, definitions, loglines, messages
 from sloflow.sources.matchers import Matcher, dump_matchers, matchers_df
 
@@ -419,7 +422,7 @@ def cap_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capped_counters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = counters.cascade_counters(capped_events(spark, sf))
+    rows = counters.capped_counters(slo_events(spark, sf), CAP)
     return rows.select("metric", strmap.text(F.col("labels")).alias("labels"), "value")
 
 
@@ -429,7 +432,7 @@ def event_key_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def exemplars(spark: SparkSession, sf: str) -> DataFrame:
     rows = counters.cascade_counters(slo_events(spark, sf), exemplar_keys=["httpPath", "referer"])
-    return rows.filter("level = 2").select(
+    return rows.select(
         "metric",
         strmap.text(F.col("labels")).alias("labels"),
         "value",
@@ -478,7 +481,52 @@ def burn_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return _with_event_counts(definitions.burn_threshold_df(spark, domains), spark, sf)
 
 
+STAGES = {
+    "pipeline": ["tailer", "relabel", "eventMetadataRenamer", "eventKeyGenerator", "metadataClassifier"],
+    "modules": {
+        "tailer": {"loglineParseRegexp": fx.LINE_RE, "emptyGroupRE": "^-$"},
+        "relabel": {
+            "eventRelabelConfigs": [
+                {"source_labels": ["statusCode"], "regex": "404", "action": "drop"},
+                {"source_labels": ["httpPath"], "regex": "(/api/[a-z]+)/.*", "target_label": "endpoint"},
+            ]
+        },
+        "eventMetadataRenamer": {
+            "eventMetadataRenamerConfigs": [
+                {"source": "requestDuration", "destination": "seconds"}, {"source": "ip", "destination": "referer"},
+            ]
+        },
+        "eventKeyGenerator": {"metadataKeys": KEYS},
+        "metadataClassifier": {
+            "sloDomainMetadataKey": "httpMethod", "sloClassMetadataKey": "statusCode", "sloAppMetadataKey": "endpoint",
+        },
+    },
+}
+
+
+def _staged(spark: SparkSession, sf: str):
+    return stages.run_with_reports(spark, json.dumps(STAGES), {"tailer": fx.log_lines(spark, sf)})
+
+
+def stages_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A declarative run over log lines."""
+    done = _staged(spark, sf)[0]
+    keys = {"seconds": "seconds", "ip": "ip", "event_key": "__eventKey"}
+    return _pick(done, keys, "event_id", "quantity", *_class_columns())
+
+
+def stages_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of the lines of that run, one row per report and number."""
+    union = None
+    for name, report in _staged(spark, sf)[1].items():
+        rows = report.unpivot([], report.columns, "name", "value").select(F.lit(name).alias("report"), "name", "value")
+        union = rows if union is None else union.unionByName(rows)
+    return union
+
+
 QUERIES = {
+    "stages_events": stages_events,
+    "stages_reports": stages_reports,
     "log_parse": log_parse,
     "log_malformed": log_malformed,
     "kafka_decode": kafka_decode,

@@ -282,9 +282,9 @@ def error_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 def effective_burn(spark: SparkSession, sf: str) -> DataFrame:
     _, thresholds, _ = _definitions(spark)
-    events = _events(spark, sf, ("6h", "4w"))
+    events = _events(spark, sf, COEFFICIENT_RANGES)
     burn = slo.burn_rate(slo.violation_ratio(events), thresholds)
-    effective = slo.effective_burn_rate(burn, slo.rate_coefficient(events, ("6h",)), "6h")
+    effective = slo.effective_burn_rate(burn, slo.rate_coefficient(events))
     return daily(effective, [*LABELS, "slo_time_range"])
 
 
@@ -294,7 +294,7 @@ def uptime_sli(spark: SparkSession, sf: str) -> DataFrame:
         [("production", d, "uptime", 0.9) for d in ("app-click", "app-view", "app-idle")],
         "namespace string, slo_domain string, slo_class string, value double",
     )
-    found = slo.uptime_events(up, constants, Grid.over(up), "app-.+", ("5m", "1h", "1d"))
+    found = slo.uptime_events(up, constants, Grid.over(up), "app-.+")
     return daily(found, ["namespace", "slo_domain", "slo_class", "slo_version", "result", "slo_time_range"])
 
 
@@ -303,7 +303,7 @@ def query_sli(spark: SparkSession, sf: str) -> DataFrame:
     queries = samples.filter("metric = 'file_size_bytes'")
     fails = samples.filter("metric = 'file_offset_bytes'")
     found = slo.query_events(
-        queries, fails, Grid.over(queries), ["instance", "app_label", "namespace"], "app-.+", ("1h", "1d")
+        queries, fails, Grid.over(queries), ["instance", "app_label", "namespace"], "app-.+"
     )
     return daily(found, ["namespace", "slo_domain", "slo_class", "slo_type", "result", "slo_time_range"])
 
@@ -349,15 +349,15 @@ def alert_missing_burn(spark: SparkSession, sf: str) -> DataFrame:
     found, grid = cells(spark, sf)
     events = slo.events_over_time(found, grid, ("5m",))
     burn = slo.burn_rate(slo.violation_ratio(events), thresholds)
-    missing = alerts.missing_burn_rate(burn, events, stable, grid, hold=2 * MINUTE)
+    missing = alerts.missing_burn_rate(burn, events, stable, grid)
     return daily(missing, ["slo_domain", "slo_version", "namespace", "team", "escalate"])
 
 
 def alert_missing_all(spark: SparkSession, sf: str) -> DataFrame:
     stable, _, _ = _definitions(spark)
-    found, grid = cells(spark, sf)
-    rare = found.filter("slo_domain = 'purchase' and result = 'fail'")
-    events = slo.events_over_time(rare, grid, ("5m",))
+    samples = fx.samples_with_gaps(spark, sf)
+    grid = Grid.over(samples)
+    events = slo.events_over_time(ts.delta_cells(samples, SERIES, SERIES), grid, ("5m",))
     failures = fx.health_samples(spark, sf).filter("metric = 'file_size_bytes'")
     missing = alerts.missing_all_data(events, stable, failures, ["instance"], grid)
     return daily(missing, [])
@@ -365,7 +365,7 @@ def alert_missing_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def alert_expired_correction(spark: SparkSession, sf: str) -> DataFrame:
     samples = fx.corrections(spark, sf)
-    expired = alerts.expired_correction(samples, ["incident"], Grid.over(samples), hold=5 * MINUTE)
+    expired = alerts.expired_correction(samples, ["incident"], Grid.over(samples))
     return daily(expired, ["incident"])
 
 
@@ -383,7 +383,8 @@ def alert_health(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = alerts.burn_alert_rows(_fired(spark, sf, ["alert_1d", "alert_3d"]))
+    names = [alert.name for alert in alerts.BURN_ALERTS]
+    rows = alerts.burn_alert_rows(_fired(spark, sf, names, severity_info(spark, sf)))
     return rows.groupBy(strmap.text(F.col("labels")).alias("labels"), "title", "description").agg(
         F.count("*").alias("points")
     )
@@ -424,8 +425,7 @@ def worst_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 def budget_delta(spark: SparkSession, sf: str) -> DataFrame:
     _, grid = cells(spark, sf)
-    budget = v.select_series(_budget(spark, sf), [("slo_domain", "!=", "error")])
-    return daily(slo.budget_change(budget, DAY, grid.with_step(3 * MINUTE)), LABELS)
+    return daily(slo.budget_change(_budget(spark, sf), DAY, grid.with_step(3 * MINUTE)), LABELS)
 
 
 def totals_range(spark: SparkSession, sf: str) -> DataFrame:

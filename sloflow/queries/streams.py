@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sloflow import fixtures as fx
 from sloflow.functions import strmap
 from sloflow.operators import shape
+from sloflow.operators.relabel import relabel
 from sloflow.operators.rules import evaluate_rules, parse_rules
 from sloflow.operators.series import DAY
 from sloflow.queries.events import CAP, KEYS, dynamic_events
@@ -47,10 +48,23 @@ def stream_learned(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Domain and class of the streamed events, from their method and user.
+AREAS = [
+    {"source_labels": ["httpMethod"], "regex": "GET", "target_label": "area", "replacement": "browse"},
+    {"source_labels": ["httpMethod"], "regex": "POST", "target_label": "area", "replacement": "shop"},
+    {"source_labels": ["userId"], "regex": ".*[02468]", "target_label": "level", "replacement": "critical"},
+    {"source_labels": ["userId"], "regex": ".*[13579]", "target_label": "level", "replacement": "low"},
+]
+
+
+def _slo(events: DataFrame) -> DataFrame:
+    """SLO events of a stream that is classified by its own metadata, without any memory; all rules."""
+    own = shape.classify_from_metadata(relabel(events, AREAS), "area", "level", "endpoint")
+    return evaluate_rules(own, parse_rules(fx.RULES))
+
+
 def _slo_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """SLO events of a stream that is classified by its own metadata, without any memory."""
-    own = shape.classify_from_metadata(_raw_stream(spark, sf), "httpMethod", "statusCode", "endpoint")
-    return evaluate_rules(own, parse_rules(fx.RULES)[:1])
+    return _slo(_raw_stream(spark, sf))
 
 
 def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,9 +76,7 @@ def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_cap(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "cap")
-    wide = shape.generate_event_key(_raw_stream(spark, sf), ["httpPath"])
-    own = shape.classify_from_metadata(wide, "httpMethod", "statusCode", "endpoint")
-    slo = evaluate_rules(own, parse_rules(fx.RULES)[:1])
+    slo = _slo(shape.generate_event_key(_raw_stream(spark, sf), ["httpPath"]))
     query = jobs.cap_stream(slo, path, CAP)
     _drained(query)
     schema = slo.schema.add("key_capped", "boolean")
@@ -101,7 +113,9 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 def stream_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Stateless steps on a stream: event key, own classification, rules."""
     path = _folder(spark, "parse")
-    rows = _slo_stream(spark, sf).select("event_id", "event_key", "result", "slo_domain", "slo_class", "quantity")
+    rows = _slo_stream(spark, sf).select(
+        "event_id", F.col("rule").cast("bigint").alias("rule"), "event_key", "result", "slo_domain", "slo_class", "quantity"
+    )
     _drained(jobs.append_to(rows, path))
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 

@@ -60,16 +60,16 @@ def shared_dir(spark: SparkSession) -> str:
     return created
 
 
-def small_table(spark: SparkSession, rows: list, schema, limit: int = 100_000):
-    """A DataFrame from configuration, marked for broadcast if it has at most ``limit`` rows.
+def small_table(spark: SparkSession, rows: list, schema, limit: int = 8_000_000):
+    """A DataFrame from configuration, marked for broadcast if its text has at most ``limit`` characters.
 
     Spark does not know the size of a table made from Python rows and would shuffle the events to
-    join it.  Here the number of rows is known.
+    join it.  Here the rows are known, so their size is.
     """
     from pyspark.sql import functions as F
 
     table = spark.createDataFrame(rows, schema)
-    return F.broadcast(table) if len(rows) <= limit else table
+    return F.broadcast(table) if sum(len(repr(row)) for row in rows) <= limit else table
 
 
 def materialize(df, name: str):

@@ -248,6 +248,22 @@ def test_cap_against_model(spark, limit):
     assert [r.event_key for r in capped] == expected
 
 
+@pytest.mark.parametrize("limit", [0, 1, 2, 100])
+def test_cap_of_counters_is_cap_of_events(spark, limit):
+    rng = random.Random(limit)
+    rows = [
+        (rng.choice("abcd"), rng.choice(["fail", "success"]), rng.choice("de"), "c", "a", {"t": rng.choice("xy")}, 1.5, {"u": str(i % 3)})
+        for i in range(40)
+    ]
+    df = slo_rows(spark, rows).withColumn("rule", F.lit(0))
+
+    def plain(table):
+        return sorted((r.metric, str(sorted(r.labels.items())), r.value, str(r.exemplar)) for r in table.collect())
+
+    expected = counters.cascade_counters(counters.cap_event_keys(df, limit), exemplar_keys=["u"])
+    assert plain(counters.capped_counters(df, limit, exemplar_keys=["u"])) == plain(expected)
+
+
 def slo_rows(spark, rows):
     schema = (
         "event_id int, event_time timestamp, event_key string, result string, slo_domain string, slo_class string, "

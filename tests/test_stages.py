@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sloflow.functions import strmap
 from sloflow.operators import counters
 from sloflow.operators.rules import ConfigError
-from sloflow.plans.stages import Pipeline, run_pipeline, stage_names
+from sloflow.plans.stages import Pipeline, run_pipeline, run_with_reports, stage_names
 
 # A scenario of our own: lines of a batch scheduler, one per finished run.
 LINE_RE = (
@@ -82,6 +82,29 @@ def test_default_weights_classify_the_rest(spark, tmp_path):
     assert any('slo_app="statistically-guessed",slo_class="relaxed"' in text for text in got)
 
 
+def test_history_needs_event_times(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "a")], "event_id bigint, value string")
+    text = "pipeline: [tailer, statisticalClassifier]\nmodules: {tailer: {loglineParseRegexp: '(?P<a>.)'}, statisticalClassifier: {}}"
+    with pytest.raises(ConfigError, match="event times"):
+        run_pipeline(spark, text, {"tailer": lines})
+    timed = run_pipeline(spark, text, {"tailer": lines}, event_time=lambda df: F.timestamp_seconds(F.col("event_id")))
+    assert timed.count() == 0
+
+
+def test_reports(spark, tmp_path):
+    (tmp_path / "rules.yaml").write_text(RULES)
+    (tmp_path / "known.csv").write_text('nightly,etl,urgent,"^load/[a-z]+@"\n')
+    lines = [ran("load/stock"), ran("load/stock", queue="scratch"), ran("report/daily"), "not a run"]
+    (tmp_path / "runs.txt").write_text("\n".join(lines) + "\n")
+    _, reports = run_with_reports(spark, CONFIG % ("", LINE_RE), base_dir=str(tmp_path))
+    assert tuple(reports["lines"].first()) == (4, 1)
+    assert reports["events after relabel"].first().events == 2
+    found = {(r.result, r.events) for r in reports["classification"].collect()}
+    assert found == {("classified", 1), ("unclassified", 1)}
+    assert reports["results"].first().invalid_results == 0
+    assert tuple(reports["event_keys"].first()) == (1, 50)
+
+
 def test_samples_stage(spark):
     rows = [({"h": "/a"}, "2024-01-01 00:00:10", 1.0), ({"h": "/a"}, "2024-01-01 00:00:50", 4.0)]
     samples = spark.createDataFrame(rows, "labels map<string,string>, t string, value double").select(
