@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sloflow.operators import series as ts
 from sloflow.operators import vector as v
 from sloflow.operators.series import Grid
+from sloflow.plans import alerts
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 T0 = int(START.timestamp())
@@ -150,3 +151,16 @@ def test_growth_beside_nan(spark):
     df = spark.createDataFrame(rows, "a double, b double")
     found = [r[0] for r in df.select(ts.increase_between(F.col("a"), F.col("b"))).collect()]
     assert math.isnan(found[0]) and math.isnan(found[1]) and found[2:] == [3.0, 2.0]
+
+
+def test_two_thresholds_of_one_range_are_an_error(spark):
+    schema = "slo_domain string, slo_time_range string, value double"
+    rows = [("a", "1h", 2.0), ("a", "6h", 3.0), ("b", "6h", 4.0)]
+
+    def limits(rows):
+        found = spark.createDataFrame(rows, schema).groupBy("slo_domain").agg(alerts._only("1h").alias("v"))
+        return {(r.slo_domain, r.v) for r in found.collect()}
+
+    assert limits(rows) == {("a", 2.0), ("b", None)}
+    with pytest.raises(Exception, match="several burn-rate thresholds"):
+        limits([*rows, ("a", "1h", 2.5)])
