@@ -500,6 +500,9 @@ sparse AS ({rolled(SERIES, ['4w'], STEPS)}) {daily(SERIES + ', slo_time_range',
     "effective_burn": f"""WITH {ratio(('1h', '6h', '1d', '3d', '4w'))}, {DEFINED}, {BURN}, {coefficient(('1h', '6h', '1d', '3d'))},
 effective AS (
   SELECT b.* REPLACE (b.value * c.value AS value) FROM burned b JOIN coefficient c USING ({SLO}, sec, slo_time_range)
+  UNION ALL
+  SELECT b.* REPLACE (b.value * c.value AS value) FROM burned b JOIN coefficient c USING ({SLO}, sec)
+  WHERE b.slo_time_range = '4w' AND c.slo_time_range = '6h'
 ) {daily(SLO + ', slo_time_range', 'effective')}""",
     "uptime_sli": UPTIME,
     "query_sli": QUERY_SLI,

@@ -284,8 +284,9 @@ def effective_burn(spark: SparkSession, sf: str) -> DataFrame:
     _, thresholds, _ = _definitions(spark)
     events = _events(spark, sf, COEFFICIENT_RANGES)
     burn = slo.burn_rate(slo.violation_ratio(events), thresholds)
-    effective = slo.effective_burn_rate(burn, slo.rate_coefficient(events))
-    return daily(effective, [*LABELS, "slo_time_range"])
+    coefficient = slo.rate_coefficient(events)
+    month = slo.effective_burn_rate(burn.filter(F.col("slo_time_range") == slo.SPARSE), coefficient, "6h")
+    return daily(slo.effective_burn_rate(burn, coefficient).unionByName(month), [*LABELS, "slo_time_range"])
 
 
 def uptime_sli(spark: SparkSession, sf: str) -> DataFrame:
