@@ -356,6 +356,25 @@ def test_language(spark, none):
     assert zstd_language.classify(none, model).count() == 0
 
 
+def test_scarce_language_shrinks_no_other(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    words = {lang: [word() for _ in range(500)] for lang in ("aa", "bb", "cc")}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    common = [(i, say(lang, 60), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    rare = [(500, say("aa", 10), "typo"), *((501 + i, say("cc", 60), "cc") for i in range(8))]
+    table = spark.createDataFrame([*common, *rare], "doc_id long, text string, lang string")
+    model = zstd_language.learn(table)
+    assert {lang: len(content) > 20_000 for lang, content in model} == {"aa": True, "bb": True, "cc": False, "typo": False}
+    with_rare = zstd_language.Classifier(model)
+    without = zstd_language.Classifier(model[:2])
+    texts = [(lang, say(lang, n)) for lang in ("aa", "bb") for n in (8, 20, 60) for _ in range(20)]
+    assert sum(with_rare.classify(t) == without.classify(t) for _, t in texts) >= 0.97 * len(texts)
+    assert sum(with_rare.classify(t)[0] == lang for lang, t in texts) >= 0.97 * len(texts)
+    # A language with a twelfth of the text is found all the same.
+    assert sum(with_rare.classify(say("cc", 60))[0] == "cc" for _ in range(40)) >= 36
+
+
 # ---- toxicity ----
 
 
