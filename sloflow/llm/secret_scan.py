@@ -48,10 +48,11 @@ COMMON = (
 #: Rows of keyboards.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm")
 _LEET = str.maketrans("4@310$57", "aaeiosst")
-_DATE = re.compile(
-    r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])"
-    r"|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d"
-    r"|(?:19|20)\d\d"
+#: Year first, day first and a year alone; at one place several of them may match.
+_DATES = (
+    re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])"),
+    re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d"),
+    re.compile(r"(?:19|20)\d\d"),
 )
 _LONGEST_WORD, _LONGEST_PERIOD = 24, 8
 
@@ -100,7 +101,11 @@ def guess_bits(value: str, ranks: dict[str, int]) -> float:
     plain = low.translate(_LEET)
     per_char = math.log2(_alphabet(value)) if value else 0.0
     steps = _walk_steps(low)
-    dates = {m.end(): m.start() for i in range(n) if low[i].isdigit() and (m := _DATE.match(low, i))}
+    dates: dict[int, list[int]] = {}  # starts by end
+    for i in range(n):
+        if low[i].isdigit():
+            for end in {m.end() for form in _DATES if (m := form.match(low, i))}:
+                dates.setdefault(end, []).append(i)
     # run[p][j]: characters up to j that equal the one p before them.
     run = [[0] * (n + 1) for _ in range(_LONGEST_PERIOD + 1)]
     for p in range(1, _LONGEST_PERIOD + 1):
@@ -119,8 +124,8 @@ def guess_bits(value: str, ranks: dict[str, int]) -> float:
             if rank is not None:
                 extra += value[i:j] != low[i:j]
                 least = min(least, best[i] + 1 + math.log2(rank + 1) + extra)
-        if j in dates:
-            least = min(least, best[dates[j]] + 1 + math.log2(365 * 200))
+        for i in dates.get(j, ()):
+            least = min(least, best[i] + 1 + math.log2(365 * 200))
         for p in range(1, _LONGEST_PERIOD + 1):
             if (times := run[p][j] // p) and p * (times + 1) >= 3:
                 start = j - p * (times + 1)

@@ -269,6 +269,9 @@ def test_guess_costs():
     assert bits("correcthorse") < bits("xkqzvwpjfmwq") and bits("4f9a1c77e0b25d83aa61") > 60
     long = "ab" * 20_000
     assert bits(long) < 40  # a repeat, whatever its length
+    days = ("31.12.1999", "31121999", "31-12-1999", "01/02/2024", "20011999", "20122012", "1999.12.31")
+    assert all(bits(x) < 20 for x in days) and bits("31.12.1999" + "01022024") < 36
+    assert secret_scan.scan("password is 31.12.1999 and 31121999.", ranks) == []
 
 
 def test_secrets(odd, none):
