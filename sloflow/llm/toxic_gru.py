@@ -6,8 +6,8 @@ window; attention pools its states to one logit.  A text is scored by all its wi
 which overlap; its score is that of the worst window.
 
 Training is multiple-instance learning on a bounded sample: a toxic document is toxic somewhere, so after
-a first part on random windows each document is represented by the window that now scores highest.  The
-gradients are written out below; a test compares them with differences.
+a first part on random windows each document is represented by the window that now scores highest.  Long
+texts come in with that second part, unless their class has no others.  The gradients are written out below; a test compares them with differences.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from sloflow.llm.common import first_by_hash, text_batches
 WINDOW, STRIDE = 48, 36
 #: Characters of a piece; a longer word is several pieces in a row, so all of it is read.
 PIECE = 24
-#: Sample for training: documents per class.  They are whole texts of at most so many characters: a part
-#: of a toxic text need not be toxic.
+#: Sample for training: documents per class, as whole texts, since a part of a toxic text need not be toxic.
+#: Texts of at most so many characters come first, then longer ones, within so many characters of a class.
 SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 6_000
+CLASS_CHARS = SAMPLE_DOCS * SAMPLE_CHARS
 #: Words with a vector of their own: the most frequent ones in at least so many documents of the sample, and
 #: in such a share of them; rarer words are read by their characters alone.
 MOST_WORDS, LEAST_DOCS, LEAST_SHARE = 8_000, 4, 0.01
@@ -232,6 +233,12 @@ class _Sample:
         self.windows = np.array(found, np.int64).reshape(-1, WINDOW)
         self.doc = np.array(docs, np.int64)
         self.label = np.array(toxic, np.float32)[self.doc] if docs else np.zeros(0, np.float32)
+        long = np.array([len(t) > SAMPLE_CHARS for t in texts], bool)[self.doc] if docs else np.zeros(0, bool)
+        # Windows for the first part: of a long toxic text a random window is rarely toxic.
+        self.early = ~long
+        for kind in (0, 1):
+            if long[self.label == kind].all():
+                self.early |= self.label == kind
 
 
 def loss_and_gradients(m: Model, windows: np.ndarray, label: np.ndarray, pieces: list[str], known: np.ndarray) -> tuple[float, Model]:
@@ -309,6 +316,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> tuple[Model, dic
             head = np.flatnonzero(np.append(True, np.diff(sample.doc[by_doc]) > 0))
             rank[:] = np.arange(len(order)) - np.repeat(head, np.diff(head, append=len(order)))
             picked = by_doc[rank < 2]
+            picked = picked[sample.early[picked]]
         # The rarer class is repeated until it is half as frequent as the other at least.
         bad, good = picked[sample.label[picked] == 1], picked[sample.label[picked] == 0]
         few, many = sorted((bad, good), key=len)
@@ -332,15 +340,30 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> tuple[Model, dic
 
 def sample_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Bounded sample (doc_id, text, toxic): per class the ``SAMPLE_DOCS`` labelled documents of at most
-    ``SAMPLE_CHARS`` characters that come first in the order of a hash of the id.  ``labels`` (doc_id, toxic)
-    decides who may be learned from; rows without id, text or label 0 or 1 are left out, of rows with one id
-    one stays."""
+    ``SAMPLE_CHARS`` characters that come first in the order of a hash of the id.  Where a class has fewer, longer
+    ones follow, the shorter first, until the class has ``CLASS_CHARS`` characters; a class with labelled texts has
+    one at least.  ``labels`` (doc_id, toxic) decides who may be learned from; rows without id, text or label 0 or
+    1 are left out, of rows with one id one stays."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    short = docs.where((F.char_length("text") <= SAMPLE_CHARS) & F.col("doc_id").isNotNull())
-    # Two classes of SAMPLE_DOCS ids may go to every task.
-    chosen = first_by_hash(known.join(short.select("doc_id").distinct(), "doc_id"), "toxic", "doc_id", SAMPLE_DOCS)
-    once = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return once.select("doc_id", "text", "toxic")
+    size = F.char_length("text")
+    usable = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    sized = known.join(usable.groupBy("doc_id").agg(F.min(size).alias("size")), "doc_id")
+    kinds = sized.withColumn("kind", F.col("toxic") + F.when(F.col("size") > SAMPLE_CHARS, 2).otherwise(0))
+    # At most four kinds of SAMPLE_DOCS ids come to the driver.
+    rows = first_by_hash(kinds, "kind", "doc_id", SAMPLE_DOCS).select("doc_id", "toxic", "size", "place").collect()
+    chosen = []
+    for toxic in (0, 1):
+        own = [r for r in rows if r["toxic"] == toxic]
+        short = sorted((r for r in own if r["size"] <= SAMPLE_CHARS), key=lambda r: r["place"])
+        long = sorted((r for r in own if r["size"] > SAMPLE_CHARS), key=lambda r: (r["size"], r["place"]))
+        sizes = np.cumsum([r["size"] for r in short + long])
+        n = min(SAMPLE_DOCS, max(1, int(np.searchsorted(sizes, CLASS_CHARS, side="right"))))
+        chosen += [(r["doc_id"], toxic) for r in (short + long)[:n]]
+    ids = docs.sparkSession.createDataFrame(chosen, known.select("doc_id", "toxic").schema)
+    # Of rows with one id the first short text stays, or the shortest.
+    order = F.struct(F.when(size > SAMPLE_CHARS, size).otherwise(0).alias("size"), F.col("text"))
+    once = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(order).alias("first"))
+    return once.select("doc_id", "first.text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, dict[str, int]]:

@@ -430,6 +430,33 @@ def test_toxicity(spark, none, monkeypatch):
     assert toxic_gru.score(none, learned).count() == 0 and {r["score"] for r in toxic_gru.score(table, constant).collect()} == {0.5}
 
 
+def test_toxic_class_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxic_gru, "LEAST_STEPS", 120)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+
+    def text(n, bad):
+        own = [rng.choice(words) for _ in range(n)]
+        for _ in range(bad):
+            own.insert(rng.randrange(len(own)), rng.choice(["xstupidx", "Idiotish!", "zqclown"]))
+        return " ".join(own)
+
+    docs = [(i, text(1600, 30) if i % 3 == 0 else text(60, 0), int(i % 3 == 0)) for i in range(150)]
+    docs += [(i, text(60, 3 * (i % 2)), i % 2) for i in range(200, 260)] + [(300, text(3000, 0), 0)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    labels = table.where("doc_id < 200 OR doc_id = 300").select("doc_id", "toxic")
+    assert all(len(t) > toxic_gru.SAMPLE_CHARS for i, t, toxic in docs if toxic and i < 200)
+    got = {r["doc_id"]: r for r in toxic_gru.sample_rows(table, labels).collect()}
+    assert set(got) == {*range(150), 300} and all(got[i]["text"] == t for i, t, _ in docs if i in got)
+    scores = {r["doc_id"]: r["score"] for r in toxic_gru.score(table, toxic_gru.learn(table, labels)).collect()}
+    assert sum((scores[i] >= toxic_gru.THRESHOLD) == bool(i % 2) for i in range(200, 260)) >= 55
+    # The bound on characters keeps short texts first, and one text where all are longer.
+    monkeypatch.setattr(toxic_gru, "CLASS_CHARS", 5_000)
+    few = toxic_gru.sample_rows(table, labels).collect()
+    assert sum(r["toxic"] for r in few) == 1 and 0 < sum(len(r["text"]) for r in few if not r["toxic"]) <= 5_000
+    assert 300 not in {r["doc_id"] for r in few}
+
+
 # ---- chat ----
 
 SAID = st.one_of(st.sampled_from(["\\", "<s>", "</s>", "[INST]", "[/INST]", "[", "INST]", " ", "é", "😀"]), st.characters(codec="utf-8"))
