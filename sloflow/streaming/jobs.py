@@ -10,6 +10,7 @@ All writers are idempotent: output and state of a batch are folders named after
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,7 +95,9 @@ def increase_stream(
 
     A poll whose samples arrive in two batches gives two events that add up to its growth.  A series
     leaves the state when its last sample is too old to count for samples that come up to ``lateness``
-    seconds after the newest one, so the state follows the live series and not the history.
+    seconds after the time that the stream has reached, so the state follows the live series and not the
+    history.  Samples dated in the future do not move that time, as long as they are ahead of the clock or
+    come in one batch only.
     """
     state = StateTable(f"{path}/state", SAMPLE)
 
@@ -103,15 +106,23 @@ def increase_stream(
         events = counter_events(batch, poll_interval, staleness, earlier=earlier)
         events.write.mode("overwrite").parquet(batch_path(f"{path}/events", number))
         kept = last_samples(batch, earlier)
-        state.write(_since(kept, F.unix_seconds("ts"), batch, staleness + poll_interval + lateness), number)
+        second = F.unix_seconds("ts")
+        state.write(_since(kept, second, batch, earlier, staleness + poll_interval + lateness), number)
 
     return run(stream, each, f"{path}/checkpoint", **options)
 
 
-def _since(state: DataFrame, second: Column, batch: DataFrame, seconds: int) -> DataFrame:
-    """The rows of ``state`` that are at most ``seconds`` older than the newest row of the batch."""
+def _since(state: DataFrame, second: Column, batch: DataFrame, earlier: DataFrame, seconds: int) -> DataFrame:
+    """The rows of ``state`` that are at most ``seconds`` older than the time the stream has reached.
+
+    That is the newest time of this batch, but not later than the newest one of the ``earlier`` state nor
+    than the clock of the driver, so rows dated in the future do not end the others.
+    """
     newest = batch.agg(F.max(F.unix_seconds("ts"))).first()[0]
-    return state if newest is None else state.filter(second >= newest - seconds)
+    before = earlier.agg(F.max(second)).first()[0]
+    if newest is None or before is None:
+        return state
+    return state.filter(second >= min(newest, before, int(time.time())) - seconds)
 
 
 def cap_stream(
@@ -263,7 +274,8 @@ def hold_stream(
             F.max_by("__since", "__to").alias("since"), F.max("__to").alias("last")
         )
         runs_now = latest.unionByName(known.join(latest, list(keys), "left_anti").select(*latest.columns))
-        state.write(_since(runs_now, F.col("last"), batch, step + lateness), number)
+        last = F.col("last")
+        state.write(_since(runs_now, last, batch, known, step + lateness), number)
 
     return run(stream, each, f"{path}/checkpoint", **options)
 

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from sloflow.operators import counters
@@ -85,6 +86,32 @@ def test_ended_runs_leave_the_state(spark, tmp_path):
     assert [r.k for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/rows").collect()] == ["b"]
 
 
+@pytest.mark.parametrize("live", [False, True])
+def test_future_rows_end_no_other(spark, tmp_path, live):
+    """One batch with a wrong clock in a replay, or one in every batch of a live stream."""
+    start = datetime.now().replace(microsecond=0) - timedelta(seconds=300) if live else START
+    at = lambda s: start + timedelta(seconds=s)
+    normal = [[("a", at(0), 1.0), ("b", at(0), 2.0)], [("a", at(60), 5.0), ("b", at(60), 3.0)], [("a", at(120), 6.0), ("b", at(120), 9.0)]]
+    ahead = [[("c", at(10**6 + 60 * k), 1.0)] for k in range(3)]
+    parts = [n + a for n, a in zip(normal, ahead, strict=True)] if live else [normal[0], ahead[0], *normal[1:]]
+    samples, held = str(tmp_path / "samples"), str(tmp_path / "held")
+    for part in parts:
+        rows = [({"n": k}, ts, v) for k, ts, v in part]
+        spark.createDataFrame(rows, SAMPLE).coalesce(1).write.mode("append").parquet(samples)
+        spark.createDataFrame(part, "k string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(held)
+    jobs.increase_stream(files(spark, samples, SAMPLE), str(tmp_path / "i"), 60, 300, lateness=60).awaitTermination()
+    events = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "i/events"))
+    growth = {r.n: r.q for r in events.groupBy(F.element_at("metadata", "n").alias("n")).agg(F.sum("quantity").alias("q")).collect()}
+    batch = counter_increase(spark.read.parquet(samples), 60, 300).filter("value > 0")
+    twin = {r.n: r.q for r in batch.groupBy(F.element_at("labels", "n").alias("n")).agg(F.sum("value").alias("q")).collect()}
+    assert growth == twin and growth["a"] == 5.0 and growth["b"] == 7.0
+    table = spark.read.parquet(held)
+    jobs.hold_stream(files(spark, held, table.schema), str(tmp_path / "h"), ["k"], 120, 60).awaitTermination()
+    streamed = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "h/rows"))
+    expected = {(r.k, r.ts) for r in held_for(table, ["k"], 120, 60).collect()}
+    assert {(r.k, r.ts) for r in streamed.collect()} == expected and ("a", at(120)) in expected
+
+
 def test_cap_over_batches(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, START + timedelta(seconds=i), 0, rng.choice("abcdefgh")) for i in range(60)]
