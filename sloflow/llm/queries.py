@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sloflow.llm import best_fit, chat, decontaminate, kd_shards, secret_scan, simhash_gray, stable_lsh, token_files, toxic_gru, zstd_language
+from sloflow.llm import (
+    best_fit, block_whitening, chat, collision_search, decontaminate, kd_shards, onebit_negatives, secret_scan, simhash_gray, stable_lsh,
+    token_files, toxic_gru, zstd_language,
+)
 from sloflow.llm.common import table
 from sloflow.session import shared_dir
 
@@ -81,10 +84,24 @@ def op10_toxic_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxic_gru.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_onebit_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return onebit_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_secret_scan, op3_token_files, op4_decontaminate, op5_kd_shards, op6_simhash_gray, op7_best_fit,
-        op8_stable_lsh, op9_zstd_language, op10_toxic_gru,
+        op8_stable_lsh, op9_zstd_language, op10_toxic_gru, op11_onebit_negatives, op12_collision_search, op13_block_whitening,
     )
 }
