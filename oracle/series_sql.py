@@ -18,7 +18,8 @@ def daily(keys: str, source: str, value: str = "value", where: str = "") -> str:
     lead = f"{keys}, " if keys else ""
     finite = f"CASE WHEN isfinite({value}) THEN {value} END"
     return f"""SELECT {lead}sec // 86400 AS day, count(*) AS points, count(*) FILTER (isinf({value})) AS infinite,
-  count(*) FILTER (isnan({value})) AS undefined, round(sum({finite}), 4) AS total, round(max({finite}), 6) AS peak
+  count(*) FILTER (isnan({value})) AS undefined, round(sum({finite}), 4) AS total, round(max({finite}), 6) AS peak,
+  round(sum({finite} * (sec % 86400 // 60)), 3) AS moment
 FROM {source} {where} GROUP BY {lead}day"""
 
 
@@ -201,6 +202,24 @@ inside AS (
 SELECT event_type, sec{extra} AS sec, round({expression}, 6) AS value FROM inside GROUP BY event_type, sec HAVING {having}"""
 
 
+def over_month(expression: str, having: str = "true") -> str:
+    """Cells of a minute, and frames of 40,320 rows over a dense grid."""
+    return f"""WITH {E},
+mcells AS (
+  SELECT event_type, {CEIL_MINUTE} AS sec, sum(x) AS s, count(*) AS n, min(x) AS lo, max(x) AS hi,
+    arg_min(x, event_time) AS head, arg_max(x, event_time) AS tail
+  FROM (SELECT *, round(value * 100) AS x FROM e) GROUP BY ALL
+),
+mgrid AS (SELECT unnest(range((SELECT min(sec) FROM mcells), (SELECT max(sec) FROM mcells) + 1, 60)) AS sec),
+mdense AS (SELECT * FROM (SELECT DISTINCT event_type FROM mcells) CROSS JOIN mgrid LEFT JOIN mcells USING (event_type, sec)),
+framed AS (
+  SELECT event_type, sec, sum(n) OVER w AS many, {expression} AS value FROM mdense
+  WINDOW w AS (PARTITION BY event_type ORDER BY sec ROWS BETWEEN {RANGES['4w'] // 60 - 1} PRECEDING AND CURRENT ROW)
+),
+found AS (SELECT * FROM framed WHERE many > 0 AND {having})
+{daily('event_type', 'found')}"""
+
+
 HOURLY = INCREMENTS + """,
 hourly AS (
   SELECT slo_domain, slo_class, result, CAST(ceil(epoch_us(event_time) / 3600000000.0) AS BIGINT) * 3600 AS sec,
@@ -238,6 +257,31 @@ rolled AS ({rolled(keys, [r], {r: 60})})
 {daily(keys, 'rolled')}"""
 
 
+_ODD_RANGES = ("5m", "1h", "1d", "4w")
+_ODD_SUM = (
+    "CASE WHEN nans > 0 OR (ups > 0 AND downs > 0) THEN CAST('nan' AS DOUBLE) WHEN ups > 0 THEN CAST('inf' AS DOUBLE) "
+    "WHEN downs > 0 THEN CAST('-inf' AS DOUBLE) ELSE plain + large * pow(2, 60) END"
+)
+NONFINITE = f"""WITH {INCREMENTS},
+odd AS (
+  SELECT slo_domain, {CEIL_MINUTE} AS sec, count(*) AS n, coalesce(sum(quantity + 0.25) FILTER (event_id % 997 > 3), 0) AS plain,
+    count(*) FILTER (event_id % 997 = 0) AS ups, count(*) FILTER (event_id % 997 = 1) AS nans,
+    count(*) FILTER (event_id % 997 = 2) AS downs, count(*) FILTER (event_id % 997 = 3) AS large
+  FROM increments GROUP BY ALL
+),
+ogrid AS (SELECT unnest(range((SELECT min(sec) FROM odd), (SELECT max(sec) FROM odd) + 1, 60)) AS sec),
+odense AS (SELECT * FROM (SELECT DISTINCT slo_domain FROM odd) CROSS JOIN ogrid LEFT JOIN odd USING (slo_domain, sec)),
+oframes AS (
+  {" UNION ALL ".join(f"""SELECT slo_domain, '{r}' AS slo_time_range, sec, {', '.join(f'sum({c}) OVER w AS {c}' for c in ('n', 'plain', 'ups', 'nans', 'downs', 'large'))}
+  FROM odense WINDOW w AS (PARTITION BY slo_domain ORDER BY sec ROWS BETWEEN {RANGES[r] // 60 - 1} PRECEDING AND CURRENT ROW)""" for r in _ODD_RANGES)}
+),
+ovalues AS (SELECT slo_domain, slo_time_range, sec, {_ODD_SUM} AS value FROM oframes WHERE n > 0),
+okinds AS (
+  SELECT slo_domain, slo_time_range, 'plain' AS kind, sec, value FROM ovalues WHERE NOT (isfinite(value) AND value >= pow(2, 50))
+  UNION ALL SELECT slo_domain, slo_time_range, 'large', sec, 1 FROM ovalues WHERE isfinite(value) AND value >= pow(2, 50)
+)
+{daily('slo_domain, slo_time_range, kind', 'okinds')}"""
+
 _COUNTERS = {
     "lines_read_total": "CASE WHEN k < 50 THEN 1 ELSE 0 END",
     "file_size_bytes": "cents * 100",
@@ -442,6 +486,11 @@ ORACLE = {
     "increase_extrapolated": EXTRAPOLATED,
     "rate_1m": f"""WITH {CELLS}, rates AS (SELECT slo_domain, sec, sum(delta) / 60 AS value FROM cells GROUP BY ALL)
 {daily('slo_domain', 'rates')}""",
+    "increase_nonfinite": NONFINITE,
+    "avg_4w": over_month("sum(s) OVER w / sum(n) OVER w"),
+    "min_4w": over_month("min(lo) OVER w"),
+    "max_4w": over_month("max(hi) OVER w"),
+    "delta_4w": over_month("last_value(tail IGNORE NULLS) OVER w - first_value(head IGNORE NULLS) OVER w", "many > 1"),
     "last_ot": over_time("arg_max(value, event_time)", seconds=1800),
     "count_ot": over_time("CAST(count(*) AS DOUBLE)"),
     "sum_ot": over_time("sum(value)"),

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from sloflow.functions import strmap
 from sloflow.functions.once import exploded
 from sloflow.functions.text import number_text, to_float
-from sloflow.operators.vector import largest
 from sloflow.operators.scan import time_chunk, with_previous
 from sloflow.operators.shape import BUCKET_MAX, BUCKET_MIN, sample_event
 
@@ -295,24 +294,70 @@ def _spread(cells: DataFrame, series: Sequence[str]) -> DataFrame:
     return cells.repartition(number, *series) if series else cells
 
 
-def _fill(cells: DataFrame, series: Sequence[str], grid: Grid, reach: int) -> DataFrame:
-    """Add the empty grid times after each cell, up to the next one or ``reach`` seconds.
+# A running sum is kept in parts that can be subtracted again: whole numbers, which are exact as long as there are
+# fewer than 2 ** 23 cells, what is left of them, sums of growth too large for that, and counts of cells
+# without a finite growth, three to a number.  So what has left a range leaves no trace in it.
+_WHOLE = 2.0**40
+_FIELD = 21
+_PARTS = ("whole", "part", "huge", "odd")
+
+
+def _parts(growth: Column) -> dict[str, Column]:
+    infinite = F.abs(growth) == float("inf")
+    finite = ~F.isnan(growth) & ~infinite
+    plain = finite & (F.abs(growth) < _WHOLE)
+    return {
+        "whole": F.when(plain, F.floor(growth)).otherwise(F.lit(0).cast("bigint")),
+        "part": F.when(plain, growth - F.floor(growth)).otherwise(0.0),
+        "huge": F.when(finite & ~plain, growth).otherwise(0.0),
+        "odd": F.when(F.isnan(growth), F.lit(1).cast("bigint"))
+        .when(infinite, F.when(growth > 0, F.lit(1 << _FIELD)).otherwise(F.lit(1 << 2 * _FIELD)))
+        .otherwise(F.lit(0).cast("bigint")),
+    }
+
+
+def _difference(name: str, before: str) -> Column:
+    """The sum between two running sums, whose parts are columns ``<name>_whole`` and so on."""
+    whole, part, huge, odd = (F.col(f"{name}_{p}") - F.col(f"{before}_{p}") for p in _PARTS)
+    mask = (1 << _FIELD) - 1
+    undefined = odd.bitwiseAND(mask) > 0
+    up, down = F.shiftright(odd, _FIELD).bitwiseAND(mask) > 0, F.shiftright(odd, 2 * _FIELD) > 0
+    return (
+        F.when(odd == 0, whole.cast("double") + part + huge)
+        .when(undefined | (up & down), float("nan"))
+        .when(up, float("inf"))
+        .otherwise(float("-inf"))
+    )
+
+
+def _running(name: str, growth: Column, frame) -> dict[str, Column]:
+    return {f"{name}_{p}": F.sum(column).over(frame) for p, column in _parts(growth).items()}
+
+
+def _before(name: str, back: str, rows: int, ordered) -> dict[str, Column]:
+    """The parts of a running sum some rows earlier; nothing before the first row."""
+    zero = {"whole": 0, "part": 0.0, "huge": 0.0, "odd": 0}
+    return {f"{back}_{p}": F.lag(f"{name}_{p}", rows, zero[p]).over(ordered) for p in _PARTS}
+
+
+def _fill(cells: DataFrame, step: int, end: int, reach: int, following: str = "following") -> DataFrame:
+    """Repeat each cell at the times after it, up to the next cell or for ``reach`` seconds.
 
-    ``filled`` marks the added rows.  Only a window per series and an explode: no join with the grid.
+    ``following`` is the time of the series' next cell; ``filled`` marks the added rows.  Only an
+    explode: no join with the grid.
     """
-    following = F.lead("ts").over(Window.partitionBy(*series).orderBy("ts"))
     second = F.unix_seconds("ts")
     last = F.least(
-        F.coalesce(F.unix_seconds(following) - grid.step, F.lit(grid.end).cast("bigint")),
-        second + F.lit(reach - grid.step),
-        F.lit(grid.end).cast("bigint"),
+        F.coalesce(F.unix_seconds(following) - step, F.lit(end).cast("bigint")),
+        second + F.lit(reach - step),
+        F.lit(end).cast("bigint"),
     )
-    times = F.sequence(second, F.greatest(last, second), F.lit(grid.step).cast("bigint"))
+    times = F.sequence(second, F.greatest(last, second), F.lit(step).cast("bigint"))
     return (
-        cells.filter(F.unix_seconds("ts") <= grid.end)
+        cells.filter(F.unix_seconds("ts") <= end)
         .withColumn("__times", times)
         .select(
-            *[F.col(c) for c in cells.columns if c != "ts"],
+            *[F.col(c) for c in cells.columns if c not in ("ts", following)],
             F.posexplode_outer("__times").alias("__nth", "__second"),
         )
         .withColumns({"ts": F.timestamp_seconds("__second"), "filled": F.col("__nth") > 0})
@@ -320,7 +365,7 @@ def _fill(cells: DataFrame, series: Sequence[str], grid: Grid, reach: int) -> Da
     )
 
 
-def rolling_wide(
+def rolling_levels(
     cells: DataFrame,
     by: Sequence[str],
     measures: Mapping[str, tuple[str, str]],
@@ -328,54 +373,117 @@ def rolling_wide(
     grid: Grid,
     steps: Mapping[str, int] | None = None,
     hold: Mapping[str, tuple[int, int]] | None = None,
-) -> DataFrame:
-    """Increase of each measure over each range, as columns ``<measure>_<range>`` per time.
-
-    ``measures`` maps a name to the cell columns of its growth and of its number of samples.  A
-    column is NULL where the range has no sample of the measure, or where the range is not
-    evaluated: ``steps`` gives the evaluation step of a range, and ``hold`` repeats its last value
-    on a finer step for some seconds, as ``(step, seconds)``.
+) -> list[tuple[tuple[str, ...], DataFrame]]:
+    """:func:`rolling_wide` in one table per evaluation step, each with the names of its ranges.
 
-    Growth is summed up along time once, and each range is the difference of two running sums; the
-    cost does not depend on the length of the ranges.  One shuffle by ``by`` serves all of it.
+    Running sums are taken once over the cells.  A coarser step keeps the last of them within each of its
+    intervals, and is filled at that step and only as far as its own ranges reach: the 15-minute cells of a
+    month are as many as the one-minute cells of two days.  All steps share one shuffle by ``by``.
     """
-    for seconds in ranges.values():
-        _check_range(seconds, grid.step)
     steps, hold = steps or {}, hold or {}
+    levels: dict[int, list[str]] = {}
+    for name, seconds in ranges.items():
+        _check_range(seconds, grid.step)
+        step = steps.get(name, grid.step)
+        _check_range(seconds, step)
+        if step % grid.step or (name in hold and step % hold[name][0]):
+            raise ValueError(f"range {name} is evaluated every {step}s on a grid of {grid.step}s and held by {hold.get(name)}")
+        levels.setdefault(step, []).append(name)
     ordered = Window.partitionBy(*by).orderBy("ts")
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    sums = {}
+    sums = {"following": F.lead("ts").over(ordered)}
     for name, (growth, count) in measures.items():
-        sums[f"__sum_{name}"] = F.sum(growth).over(running)
+        sums |= _running(f"__{name}", F.col(growth), running)
         sums[f"__last_{name}"] = F.max(F.when(F.col(count) > 0, F.unix_seconds("ts"))).over(running)
-    totals = _spread(cells, by).withColumns(sums)
-    dense = _fill(totals.select(*by, "ts", *sums), by, grid, max(ranges.values()))
+    totals = _spread(cells, by).withColumns(sums).select(*by, "ts", *sums)
+    return [(tuple(own), _level(totals, by, list(measures), {r: ranges[r] for r in own}, grid, step, hold)) for step, own in sorted(levels.items())]
+
+
+def _level(
+    totals: DataFrame, by: Sequence[str], measures: Sequence[str], ranges: Mapping[str, int], grid: Grid, step: int, hold: Mapping[str, tuple[int, int]]
+) -> DataFrame:
+    if step != grid.step:
+        at, following = ceil_time(F.col("ts"), step), ceil_time(F.col("following"), step)
+        totals = totals.filter(following.isNull() | (following > at)).withColumns({"ts": at, "following": following})
+    held = {r: hold[r] for r in ranges if r in hold}
+    longest = max(ranges.values()) + max((seconds for _, seconds in held.values()), default=0)
+    dense = _fill(totals, step, grid.end, longest)
+    ordered = Window.partitionBy(*by).orderBy("ts")
     # Rows are dense for the longest range after each sample, so looking back by rows is exact.
-    looks = {
-        f"__before_{name}_{r}": F.lag(f"__sum_{name}", seconds // grid.step, 0.0).over(ordered)
+    looks: dict[str, Column] = {}
+    for name in measures:
+        for r, seconds in ranges.items():
+            looks |= _before(f"__{name}", f"__{name}_{r}", seconds // step, ordered)
+    second = F.unix_seconds("ts")
+    seen = dense.withColumns(looks)
+    columns = {
+        f"{name}_{r}": F.when(F.col(f"__last_{name}") > second - seconds, _difference(f"__{name}", f"__{name}_{r}"))
         for r, seconds in ranges.items()
         for name in measures
     }
-    seen = dense.withColumns(looks)
-    second = F.unix_seconds("ts")
-    columns = {}
-    for r, seconds in ranges.items():
-        on_time = F.pmod(second, F.lit(steps.get(r, grid.step))) == 0
-        for name in measures:
-            value = F.col(f"__sum_{name}") - F.col(f"__before_{name}_{r}")
-            present = F.col(f"__last_{name}") > second - seconds
-            columns[f"{name}_{r}"] = F.when(on_time & present, value)
     found = seen.select(*by, "ts", *[column.alias(name) for name, column in columns.items()])
-    held = {}
-    for r, (step, seconds) in hold.items():
-        for name in measures:
-            own = F.col(f"{name}_{r}")
-            last = F.last(
-                F.when(own.isNotNull(), F.struct(second.alias("at"), own.alias("value"))), ignorenulls=True
-            ).over(running)
-            fresh = (second - last["at"] < seconds) & (F.pmod(second, F.lit(step)) == 0)
-            held[f"{name}_{r}"] = F.when(fresh, last["value"])
-    return (found.withColumns(held) if held else found).filter(second >= grid.start)
+    if held:
+        found = _held(found, by, measures, held, ordered, step, grid)
+    return found.filter(F.unix_seconds("ts") >= grid.start)
+
+
+def _held(found: DataFrame, by: Sequence[str], measures: Sequence[str], hold: Mapping[str, tuple[int, int]], ordered, step: int, grid: Grid) -> DataFrame:
+    """Repeat the last value of the held ranges on their finer step, for some seconds."""
+    fine = min(s for s, _ in hold.values())
+    earlier = {
+        f"__{column}_{j}": F.lag(F.struct("ts", column), j).over(ordered)
+        for r, (_, seconds) in hold.items()
+        for column in (f"{name}_{r}" for name in measures)
+        for j in range(1, -(-seconds // step))
+    }
+    offsets = F.explode(F.sequence(F.lit(0), F.lit(step - fine), F.lit(fine)))
+    rows = found.withColumns(earlier).withColumn("__offset", offsets)
+    offset, second = F.col("__offset"), F.unix_seconds("ts")
+    values = {}
+    for column in [c for c in found.columns if c not in (*by, "ts")]:
+        r = next((r for r in hold if any(column == f"{name}_{r}" for name in measures)), None)
+        if r is None:
+            values[column] = F.when(offset == 0, F.col(column))
+            continue
+        own_step, seconds = hold[r]
+        choices = [F.when(offset < seconds, F.col(column))]
+        for j in range(1, -(-seconds // step)):
+            back = F.col(f"__{column}_{j}")
+            near = (F.unix_seconds(back["ts"]) == second - j * step) & (offset + j * step < seconds)
+            choices.append(F.when(near, back[column]))
+        values[column] = F.when(F.pmod(offset, F.lit(own_step)) == 0, F.coalesce(*choices))
+    moved = F.timestamp_seconds(second + offset)
+    return rows.select(*by, moved.alias("ts"), *[column.alias(name) for name, column in values.items()]).filter(F.unix_seconds("ts") <= grid.end)
+
+
+def rolling_wide(
+    cells: DataFrame,
+    by: Sequence[str],
+    measures: Mapping[str, tuple[str, str]],
+    ranges: Mapping[str, int],
+    grid: Grid,
+    steps: Mapping[str, int] | None = None,
+    hold: Mapping[str, tuple[int, int]] | None = None,
+) -> DataFrame:
+    """Increase of each measure over each range, as columns ``<measure>_<range>`` per time.
+
+    ``measures`` maps a name to the cell columns of its growth and of its number of samples.  A
+    column is NULL where the range has no sample of the measure, or where the range is not
+    evaluated: ``steps`` gives the evaluation step of a range, and ``hold`` repeats its last value
+    on a finer step for some seconds, as ``(step, seconds)``.
+
+    Growth is summed up along time once, and each range is the difference of two running sums; the
+    cost does not depend on the length of the ranges.  Growth that is not finite, or very large, counts in
+    the ranges that it is in and in no other.
+    """
+    levels = [found for _, found in rolling_levels(cells, by, measures, ranges, grid, steps, hold)]
+    if len(levels) == 1:
+        return levels[0]
+    union = levels[0]
+    for level in levels[1:]:
+        union = union.unionByName(level, allowMissingColumns=True)
+    columns = [f"{name}_{r}" for name in measures for r in ranges]
+    return union.groupBy(*by, "ts").agg(*[F.any_value(c, F.lit(True)).alias(c) for c in columns])
 
 
 def rolling_increase(
@@ -390,19 +498,110 @@ def rolling_increase(
 
     A group has a value where it has a sample in the range; see :func:`rolling_wide`.
     """
-    wide = rolling_wide(cells, by, {"v": ("delta", "samples")}, ranges, grid, steps, hold)
-    rows = F.array(
-        *[
-            F.when(
-                F.col(f"v_{r}").isNotNull(),
-                F.struct(F.lit(r).alias("slo_time_range"), F.col(f"v_{r}").alias("value")),
-            )
-            for r in ranges
-        ]
+    union = None
+    for names, level in rolling_levels(cells, by, {"v": ("delta", "samples")}, ranges, grid, steps, hold):
+        rows = F.array(
+            *[
+                F.when(
+                    F.col(f"v_{r}").isNotNull(),
+                    F.struct(F.lit(r).alias("slo_time_range"), F.col(f"v_{r}").alias("value")),
+                )
+                for r in names
+            ]
+        )
+        part = exploded(level, "__row", F.array_compact(rows)).select(*by, "__row.slo_time_range", "ts", "__row.value")
+        union = part if union is None else union.unionByName(part)
+    return union
+
+
+def _looking_back(
+    cells: DataFrame,
+    series: Sequence[str],
+    seconds: int,
+    grid: Grid,
+    sums: Sequence[str] = (),
+    counts: Sequence[str] = (),
+    firsts: Sequence[str] = (),
+    lasts: Sequence[str] = (),
+) -> DataFrame:
+    """Per series and grid time with a cell in the range: sums and counts of the range's cells, and
+    columns of its first and last cell.
+
+    Cells have the times of the grid.  Sums are differences of running sums, and a cell knows its successor,
+    so the first cell of a range is the one after the last cell before it.  The cost does not depend on the range.
+    """
+    ordered = Window.partitionBy(*series).orderBy("ts")
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    columns = {"following": F.lead("ts").over(ordered)}
+    for name in sums:
+        columns |= _running(f"__{name}", F.col(name), running)
+    columns |= {f"__{name}": F.sum(name).over(running) for name in counts}
+    columns |= {f"__next_{name}": F.lead(name).over(ordered) for name in firsts}
+    columns |= {f"__origin_{name}": F.first(name).over(running) for name in firsts}
+    known = _spread(cells, series).withColumns(columns).select(*series, "ts", *columns, *[F.col(n).alias(f"__own_{n}") for n in lasts])
+    rows = seconds // grid.step
+    looks: dict[str, Column] = {"__seen": F.lag(F.lit(True), rows).over(ordered)}
+    for name in sums:
+        looks |= _before(f"__{name}", f"__{name}_back", rows, ordered)
+    looks |= {f"__{name}_back": F.lag(f"__{name}", rows, 0).over(ordered) for name in counts}
+    looks |= {f"__{name}_after": F.lag(f"__next_{name}", rows).over(ordered) for name in firsts}
+    dense = _fill(known, grid.step, grid.end, seconds).withColumns(looks)
+    found = dense.select(
+        *series,
+        "ts",
+        *[_difference(f"__{name}", f"__{name}_back").alias(name) for name in sums],
+        *[(F.col(f"__{name}") - F.col(f"__{name}_back")).alias(name) for name in counts],
+        *[F.when(F.col("__seen"), F.col(f"__{name}_after")).otherwise(F.col(f"__origin_{name}")).alias(name) for name in firsts],
+        *[F.col(f"__own_{name}").alias(name) for name in lasts],
+    )
+    return found.filter(F.unix_seconds("ts") >= grid.start)
+
+
+def _extremum(cells: DataFrame, series: Sequence[str], function: str, seconds: int, grid: Grid) -> DataFrame:
+    """``min`` or ``max`` of column ``value`` over the cells of each range; NULL if all of them are.
+
+    The time axis is cut into blocks as long as the range.  A range meets two blocks at most: it ends with the
+    first cells of one, whose extremum is known from left to right, and begins with the last ones of the
+    block before, known from right to left.  So each cell is looked at three times, whatever the range.
+    """
+    aggregate, choose = (F.min, F.least) if function == "min" else (F.max, F.greatest)
+    rows = seconds // grid.step
+
+    def block(ts: str) -> Column:
+        return F.floor((F.unix_seconds(ts) / F.lit(grid.step) - 1) / F.lit(rows))
+
+    inner = Window.partitionBy(*series, "__block")
+    upto = Window.unboundedPreceding
+    ordered = Window.partitionBy(*series).orderBy("__block", "ts")
+    known = (
+        _spread(cells, series)
+        .withColumn("__block", block("ts"))
+        .withColumn("__right", aggregate("value").over(inner.orderBy(F.desc("ts")).rowsBetween(upto, 0)))
+        .withColumns(
+            {
+                "__left": aggregate("value").over(inner.orderBy("ts").rowsBetween(upto, 0)),
+                "following": F.lead("ts").over(ordered),
+                "__next_right": F.lead("__right").over(ordered),
+                "__next_block": F.lead("__block").over(ordered),
+            }
+        )
+        .withColumnRenamed("__block", "__cell_block")
+        .drop("value")
     )
-    return exploded(wide, "__row", F.array_compact(rows)).select(
-        *by, "__row.slo_time_range", "ts", "__row.value"
+    dense = _fill(known, grid.step, grid.end, seconds).withColumn("__block", block("ts"))
+    # From the start of the block to this row; and from the first cell at or after a row to the end of that cell's block.
+    behind = F.when(F.col("__cell_block") == F.col("__block"), F.col("__left"))
+    ahead = F.struct(
+        F.when(F.col("filled"), F.col("__next_block")).otherwise(F.col("__block")).alias("block"),
+        F.when(F.col("filled"), F.col("__next_right")).otherwise(F.col("__right")).alias("value"),
     )
+    rowwise = Window.partitionBy(*series).orderBy("ts")
+    # Without a row that far back, the range begins before the first cell.
+    begun = F.coalesce(F.lag("__ahead", rows - 1).over(rowwise), F.first("__ahead").over(rowwise.rowsBetween(upto, 0)))
+    seen = dense.withColumn("__ahead", ahead).withColumn("__begun", begun)
+    earlier = F.when(F.col("__begun.block") < F.col("__block"), F.col("__begun.value"))
+    found = seen.select(*series, "ts", choose(behind, earlier).alias("value"))
+    return found.filter(F.unix_seconds("ts") >= grid.start)
 
 
 def increase(
@@ -442,24 +641,10 @@ def _extrapolated(
             F.count("*").alias("samples"),
         )
     )
-    dense = _fill(_spread(cells, series), series, grid, seconds).withColumns(
-        {
-            name: F.when(~F.col("filled"), F.col(name))
-            for name in ("first", "last_at", "delta", "samples")
-        }
-    )
     second = F.unix_seconds("ts")
-    frame = (
-        Window.partitionBy(*series).orderBy(second).rangeBetween(-(seconds - grid.step), 0)
-    )
-    stats = dense.select(
-        *series,
-        "ts",
-        F.first("first", ignorenulls=True).over(frame).alias("first"),
-        F.max("last_at").over(frame).alias("last_at"),
-        F.sum("delta").over(frame).alias("delta"),
-        F.sum("samples").over(frame).alias("samples"),
-    ).filter((F.col("samples") >= 2) & (second >= grid.start))
+    stats = _looking_back(
+        cells, series, seconds, grid, sums=["delta"], counts=["samples"], firsts=["first"], lasts=["last_at"]
+    ).filter(F.col("samples") >= 2)
     grown = F.col("delta") - F.col("first.delta")
     sampled = F.col("last_at") - F.col("first.__at")
     spacing = sampled / (F.col("samples") - 1)
@@ -554,34 +739,24 @@ def over_time(
     if function not in _OVER_TIME:
         raise ValueError(f"unknown range function {function!r}, use one of {_OVER_TIME}")
     _check_range(seconds, grid.step)
-    cells = samples.groupBy(*series, ceil_time(F.col("ts"), grid.step).alias("__cell")).agg(
-        F.sum("value").alias("sum"),
-        F.count("*").alias("count"),
-        F.min("value").alias("min"),
-        largest(F.col("value")).alias("max"),
-        F.min_by("value", "ts").alias("first"),
-        F.max_by("value", "ts").alias("last"),
-    )
-    parts = ("sum", "count", "min", "max", "first", "last")
-    spread = _spread(cells.withColumnRenamed("__cell", "ts"), series)
-    dense = _fill(spread, series, grid, seconds).withColumns(
-        {name: F.when(~F.col("filled"), F.col(name)) for name in parts}
-    )
-    second = F.unix_seconds("ts")
-    frame = Window.partitionBy(*series).orderBy(second).rangeBetween(-(seconds - grid.step), 0)
-    value = {
-        "count": F.sum("count").over(frame).cast("double"),
-        "sum": F.sum("sum").over(frame),
-        "avg": F.sum("sum").over(frame) / F.sum("count").over(frame),
-        "min": F.min("min").over(frame),
-        "max": F.coalesce(F.max(F.when(~F.isnan("max"), F.col("max"))).over(frame), F.max("max").over(frame)),
-        "delta": F.last("last", ignorenulls=True).over(frame)
-        - F.first("first", ignorenulls=True).over(frame),
-    }[function]
-    computed = dense.withColumn("value", value)
+    # Grouped by another name: min_by and max_by below need the samples' own times.
+    cells = samples.withColumnRenamed("ts", "__at").groupBy(*series, ceil_time(F.col("__at"), grid.step).alias("ts"))
+    count = F.count("*").alias("count")
+    if function in ("min", "max"):
+        real = F.when(~F.isnan("value"), F.col("value"))
+        reduced = cells.agg((F.min if function == "min" else F.max)(real).alias("value"))
+        found = _extremum(reduced, series, function, seconds, grid)
+        # There is a sample in each range: where no number was found, all of them are NaN.
+        return found.withColumn("value", F.coalesce("value", F.lit(float("nan"))))
     if function == "delta":
-        computed = computed.withColumn("__n", F.sum("count").over(frame)).filter("__n > 1")
-    return computed.filter(F.unix_seconds("ts") >= grid.start).select(*series, "ts", "value")
+        reduced = cells.agg(count, F.min_by("value", "__at").alias("first"), F.max_by("value", "__at").alias("last"))
+        found = _looking_back(reduced, series, seconds, grid, counts=["count"], firsts=["first"], lasts=["last"])
+        return found.filter("count > 1").select(*series, "ts", (F.col("last") - F.col("first")).alias("value"))
+    if function == "count":
+        found = _looking_back(cells.agg(count), series, seconds, grid, counts=["count"])
+        return found.select(*series, "ts", F.col("count").cast("double").alias("value"))
+    found = _looking_back(cells.agg(count, F.sum("value").alias("sum")), series, seconds, grid, sums=["sum"], counts=["count"])
+    return found.select(*series, "ts", (F.col("sum") / F.col("count") if function == "avg" else F.col("sum")).alias("value"))
 
 
 def count_over_time(samples: DataFrame, series: Sequence[str], seconds: int, grid: Grid) -> DataFrame:

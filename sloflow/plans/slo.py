@@ -47,19 +47,28 @@ def events_over_time(
     return ts.rolling_increase(cells, by, wanted, grid, STEPS, hold)
 
 
-def wide_events(cells: DataFrame, grid: Grid, ranges: Sequence[str] = tuple(RANGES)) -> DataFrame:
-    """All ranges of an SLO at one time in one row: ``total_<range>`` and ``fail_<range>``."""
+def _sides(cells: DataFrame) -> DataFrame:
+    """Growth and samples of all events and of the failed ones side by side."""
     failed = F.col("result") == "fail"
-    sums = cells.groupBy(*SLO, "ts").agg(
+    return cells.groupBy(*SLO, "ts").agg(
         F.sum("delta").alias("total"),
         F.sum("samples").alias("total_samples"),
         F.sum(F.when(failed, F.col("delta")).otherwise(0.0)).alias("fail"),
         F.sum(F.when(failed, F.col("samples")).otherwise(0)).alias("fail_samples"),
     )
-    measures = {"total": ("total", "total_samples"), "fail": ("fail", "fail_samples")}
-    wanted = {name: RANGES[name] for name in ranges}
-    hold = {name: HOLD[name] for name in wanted if name in HOLD}
-    return ts.rolling_wide(sums, SLO, measures, wanted, grid, STEPS, hold)
+
+
+_MEASURES = {"total": ("total", "total_samples"), "fail": ("fail", "fail_samples")}
+
+
+def _wanted(ranges: Sequence[str]) -> tuple[dict[str, int], dict[str, tuple[int, int]]]:
+    return {name: RANGES[name] for name in ranges}, {name: HOLD[name] for name in ranges if name in HOLD}
+
+
+def wide_events(cells: DataFrame, grid: Grid, ranges: Sequence[str] = tuple(RANGES)) -> DataFrame:
+    """All ranges of an SLO at one time in one row: ``total_<range>`` and ``fail_<range>``."""
+    wanted, hold = _wanted(ranges)
+    return ts.rolling_wide(_sides(cells), SLO, _MEASURES, wanted, grid, STEPS, hold)
 
 
 def ratio_column(time_range: str) -> Column:
@@ -78,17 +87,21 @@ def ratio_over_time(
     Same rows as :func:`violation_ratio` of :func:`events_over_time`, but both results of an SLO are
     side by side from the start, so the long series are neither built nor aggregated again.
     """
-    rows = F.array(
-        *[
-            F.when(
-                F.col(f"total_{r}").isNotNull(),
-                F.struct(F.lit(r).alias("slo_time_range"), ratio_column(r).alias("value")),
-            )
-            for r in ranges
-        ]
-    )
-    found = exploded(wide_events(cells, grid, ranges), "__row", F.array_compact(rows))
-    return found.select(*SLO, "__row.slo_time_range", "ts", "__row.value")
+    wanted, hold = _wanted(ranges)
+    union = None
+    for names, level in ts.rolling_levels(_sides(cells), SLO, _MEASURES, wanted, grid, STEPS, hold):
+        rows = F.array(
+            *[
+                F.when(
+                    F.col(f"total_{r}").isNotNull(),
+                    F.struct(F.lit(r).alias("slo_time_range"), ratio_column(r).alias("value")),
+                )
+                for r in names
+            ]
+        )
+        part = exploded(level, "__row", F.array_compact(rows)).select(*SLO, "__row.slo_time_range", "ts", "__row.value")
+        union = part if union is None else union.unionByName(part)
+    return union
 
 
 def sparse_events(cells: DataFrame, grid: Grid, by: Sequence[str] = BY_RESULT) -> DataFrame:

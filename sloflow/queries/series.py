@@ -1,7 +1,8 @@
 """Queries over time series and service levels.
 
 Series evaluated every minute over a month have many points, so most queries report per day: how
-many evaluations had a value, their sum and their maximum.  Every evaluation is in the report.
+many evaluations had a value, their sum, their maximum, and their sum weighted with the time of day,
+which tells values at wrong times.  Every evaluation is in the report.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ def daily(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame
         F.count_if(F.isnan(number)).alias("undefined"),
         F.round(F.sum(finite), 4).alias("total"),
         F.round(F.max(finite), 6).alias("peak"),
+        F.round(F.sum(finite * F.floor(F.pmod(F.unix_seconds("ts"), F.lit(DAY)) / MINUTE)), 3).alias("moment"),
     )
 
 
@@ -93,6 +95,24 @@ def increase_extrapolated(spark: SparkSession, sf: str) -> DataFrame:
     return daily(ts.increase(samples, SERIES, 6 * HOUR, grid, by, extrapolate=True), by)
 
 
+LARGE = 2.0**50
+
+
+def increase_nonfinite(spark: SparkSession, sf: str) -> DataFrame:
+    """Growth that is NaN, infinite or very large in some minutes, and must leave the later ranges alone."""
+    number = F.col("event_id") % 997
+    odd = F.when(number == 0, float("inf")).when(number == 1, float("nan")).when(number == 2, float("-inf")).when(number == 3, 2.0**60)
+    rows = fx.slo_increments(spark, sf).withColumn("quantity", odd.otherwise(F.col("quantity") + 0.25))
+    cells = ts.event_cells(rows, ["slo_domain"])
+    found = ts.rolling_increase(cells, ["slo_domain"], {r: RANGES[r] for r in ("5m", "1h", "1d", "4w")}, Grid.over(cells))
+    keys = ["slo_domain", "slo_time_range"]
+    large = found.filter((F.col("value") >= LARGE) & (F.col("value") < float("inf")))
+    rest = found.filter(~((F.col("value") >= LARGE) & (F.col("value") < float("inf"))))
+    return daily(rest.withColumn("kind", F.lit("plain")), [*keys, "kind"]).unionByName(
+        daily(large.select(*keys, "ts", F.lit(1.0).alias("value"), F.lit("large").alias("kind")), [*keys, "kind"])
+    )
+
+
 def rate_1m(spark: SparkSession, sf: str) -> DataFrame:
     samples = fx.samples_counter(spark, sf)
     return daily(ts.rate(samples, SERIES, MINUTE, Grid.over(samples), ["slo_domain"]), ["slo_domain"])
@@ -110,6 +130,16 @@ def _over_time(function: str):
     return query
 
 
+def _over_month(function: str):
+    """A range of four weeks every minute, over the measurements in hundredths."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        samples = fx.gauge(spark, sf).withColumn("value", F.round(F.col("value") * 100))
+        return daily(ts.over_time(samples, ["event_type"], function, RANGES["4w"], Grid.over(samples)), ["event_type"])
+
+    return query
+
+
 def last_ot(spark: SparkSession, sf: str) -> DataFrame:
     samples = fx.gauge(spark, sf)
     found = ts.last_over_time(samples, ["event_type"], 30 * MINUTE, Grid.over(samples, STEP))
@@ -472,6 +502,7 @@ QUERIES = {
     "histogram_increase": histogram_increase,
     **{f"increase_{name}": _increase(name) for name in RANGES},
     "increase_extrapolated": increase_extrapolated,
+    "increase_nonfinite": increase_nonfinite,
     "rate_1m": rate_1m,
     "last_ot": last_ot,
     "count_ot": _over_time("count"),
@@ -480,6 +511,7 @@ QUERIES = {
     "min_ot": _over_time("min"),
     "max_ot": _over_time("max"),
     "delta_r": _over_time("delta"),
+    **{f"{function}_4w": _over_month(function) for function in ("avg", "min", "max", "delta")},
     "offset_r": offset_r,
     "absent_r": absent_r,
     "held_for": held_for,

@@ -164,3 +164,92 @@ def test_two_thresholds_of_one_range_are_an_error(spark):
     assert limits(rows) == {("a", 2.0), ("b", None)}
     with pytest.raises(Exception, match="several burn-rate thresholds"):
         limits([*rows, ("a", "1h", 2.5)])
+
+
+def odd_growth(rng):
+    return rng.choice([1.0, 2.5, 7.0, 0.1, 7.0, 1.0, 3.0, float("nan"), float("inf"), float("-inf"), 2.0**70, -4.0])
+
+
+def same(a, b):
+    return a == b or (math.isnan(a) and math.isnan(b)) or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ranges_against_model(spark, seed):
+    """Every range and step over irregular cells with gaps, non-finite and very large growth."""
+    rng = random.Random(seed)
+    rows = []
+    for name in ("a", "b"):
+        minute = 0
+        while minute < 500:
+            minute += rng.choice([1, 1, 1, 2, 5, 40, 90])
+            rows.append((name, at(60 * minute), odd_growth(rng) if rng.random() < 0.2 else float(rng.randrange(9)), 1))
+    df = spark.createDataFrame(rows, "s string, ts timestamp, delta double, samples int")
+    grid = Grid(T0 + 600, T0 + 60 * 480)
+    ranges, steps = {"3m": 180, "12m": 720, "60m": 3600}, {"12m": 180, "60m": 900}
+    found = ts.rolling_increase(df, ["s"], ranges, grid, steps, {"60m": (180, 1800)}).collect()
+    got = {(r.s, r.slo_time_range, int(r.ts.replace(tzinfo=timezone.utc).timestamp())): r.value for r in found}
+    expected = {}
+    for name in ("a", "b"):
+        own = [(int(t.timestamp()), d) for s, t, d, _ in rows if s == name]
+        for r, seconds in ranges.items():
+            last = None
+            for now in range(grid.start - 3600, grid.end + 1, 60):
+                inside = [d for t, d in own if now - seconds < t <= now and t <= grid.end]
+                if now % steps.get(r, 60) == 0 and inside:
+                    last = (now, sum(inside))
+                fresh = last and (now == last[0] if r != "60m" else now - last[0] < 1800 and now % 180 == 0)
+                if fresh and now >= grid.start:
+                    expected[name, r, now] = last[1]
+    assert got.keys() == expected.keys()
+    assert all(same(got[k], expected[k]) for k in got), [(k, got[k], expected[k]) for k in got if not same(got[k], expected[k])][:5]
+    wide = ts.rolling_wide(df, ["s"], {"v": ("delta", "samples")}, ranges, grid, steps, {"60m": (180, 1800)}).collect()
+    again = {(r.s, n, int(r.ts.replace(tzinfo=timezone.utc).timestamp())): r[f"v_{n}"] for r in wide for n in ranges if r[f"v_{n}"] is not None}
+    assert again.keys() == expected.keys() and all(same(again[k], got[k]) for k in got)
+
+
+def test_infinity_leaves_no_trace(spark):
+    cells = [("a", at(60), float("inf"), 1), ("a", at(120), 2.0**60, 1), ("a", at(1200), 1.0, 1), ("a", at(90060), 1e-3, 1)]
+    df = spark.createDataFrame(cells, "s string, ts timestamp, delta double, samples int")
+    found = ts.rolling_increase(df, ["s"], {"5m": 300}, Grid(T0, T0 + 90060)).collect()
+    got = {int(r.ts.replace(tzinfo=timezone.utc).timestamp()) - T0: r.value for r in found}
+    assert got[60] == got[300] == float("inf") and got[360] == 2.0**60 and got[1200] == 1.0 and got[90060] == 1e-3
+
+
+@pytest.mark.parametrize("function", ["count", "sum", "avg", "min", "max", "delta"])
+def test_over_time_against_model(spark, function):
+    for seed, rows_of_range in ((1, 1), (2, 5), (3, 16)):
+        rng = random.Random(seed)
+        rows = []
+        for name in ("a", "b", None):
+            second = 0
+            while second < 9000:
+                second += rng.choice([7, 31, 60, 61, 130, 700, 1500])
+                value = float("nan") if function in ("min", "max") and rng.random() < 0.2 else rng.choice([float("inf"), 2.0**70]) if function == "sum" and rng.random() < 0.05 else float(rng.randrange(-50, 50))
+                rows.append((name, at(second), value))
+        df = spark.createDataFrame(rows, "s string, ts timestamp, value double").repartition(3)
+        seconds, grid = 60 * rows_of_range, Grid(T0 + 300, T0 + 8400)
+        found = ts.over_time(df, ["s"], function, seconds, grid).collect()
+        got = {(r.s, int(r.ts.replace(tzinfo=timezone.utc).timestamp())): r.value for r in found}
+        expected = {}
+        for name in ("a", "b", None):
+            own = [(t.timestamp(), x) for s, t, x in rows if s == name]
+            for now in range(grid.start, grid.end + 1, 60):
+                inside = [x for t, x in own if now - seconds < t <= now]
+                numbers = [x for x in inside if not math.isnan(x)] or inside
+                if not inside or (function == "delta" and len(inside) < 2):
+                    continue
+                expected[name, now] = {
+                    "count": float(len(inside)), "sum": sum(inside), "avg": sum(inside) / len(inside),
+                    "min": min(numbers), "max": max(numbers), "delta": inside[-1] - inside[0],
+                }[function]
+        assert got.keys() == expected.keys()
+        assert all(same(got[k], expected[k]) for k in got), [(k, got[k], expected[k]) for k in got if not same(got[k], expected[k])][:5]
+
+
+def test_cost_does_not_depend_on_the_range(spark):
+    """No frame of a window is bounded below by the range."""
+    df = spark.createDataFrame([("a", at(60), 1.0)], "s string, ts timestamp, value double")
+    for function in ("count", "sum", "avg", "min", "max", "delta"):
+        plan = ts.over_time(df, ["s"], function, 86400, Grid(T0, T0 + 86400))._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame" not in plan and "unboundedfollowing" not in plan.lower()
