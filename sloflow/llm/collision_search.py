@@ -8,8 +8,8 @@ are).  A vector at distance R falls into a window with a known chance, so one wi
 within R.  A vector within R is missed with chance ``MISS`` at most, one much nearer hardly ever.
 
 The arrays of a chunk of rows are sorted in the task that holds the chunk; every row is in them.  A window is
-an interval of ranks, found by binary search, and a collision is a rank inside it.  The best so far are
-carried from chunk to chunk, so later chunks are opened at once at the radius still needed.
+an interval of ranks, found by binary search, and a collision is a rank inside it.  Radii grow over a small
+first chunk; the best so far are carried on, and later chunks are opened at once at the radius still needed.
 """
 
 from __future__ import annotations
@@ -26,13 +26,17 @@ from pyspark.sql import functions as F
 from sloflow.llm.common import written
 from sloflow.llm.query_blocks import Best, against_all, matrix, usable
 
-TABLES = 96
-WIDTH = 2.0
+TABLES = 200
+WIDTH = 3.0
 #: Chance to miss a vector exactly at the radius.
-MISS = 0.01
+MISS = 0.03
 #: Radii of the virtual rehashing; 2 is the largest distance of unit vectors, and then all rows collide.
-RADII = (*(0.1 * 1.3**i for i in range(12)), 2.0)
+RADII = (*(0.25 * 1.4**i for i in range(6)), 2.0)
+#: Rows of the first chunk and of the others.
+FIRST, CHUNK = 256, 2048
 SEED = 12
+#: Room for the rounding of projections.
+_ROUNDING = 1e-5
 _TILE = 64
 _ROWS = "row long, vec_id long, query boolean, size int, vector binary, unit binary"
 
@@ -44,15 +48,17 @@ def threshold(tables: int = TABLES, width: float = WIDTH, miss: float = MISS) ->
     return max(1, int(tables * chance + normal.inv_cdf(miss) * (tables * chance * (1 - chance)) ** 0.5))
 
 
-def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines of paired rows in double precision, each component added in turn, so equal rows give equal sums."""
-    dot, xx, yy = (np.zeros(len(x)) for _ in range(3))
-    for i in range(x.shape[1]):
-        a, b = x[:, i], y[:, i]
-        dot += a * b
-        xx += a * a
-        yy += b * b
-    return dot / (np.sqrt(xx) * np.sqrt(yy))
+def dots(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Products of columns ``p`` of x and ``q`` of y, each component added in turn, so equal vectors give equal sums."""
+    found = np.zeros(len(p))
+    for a, b in zip(x, y, strict=True):
+        found += a[p] * b[q]
+    return found
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    every = np.arange(x.shape[1])
+    return np.sqrt(dots(x, every, x, every))
 
 
 def _tame(x: np.ndarray) -> np.ndarray:
@@ -99,51 +105,71 @@ class _Search:
         for d in np.unique(size).tolist():
             at = np.flatnonzero(size == d)
             part = queries.take(pa.array(at))
-            self.of[d] = (at, matrix(part.column("vector"), "<f8", d), matrix(part.column("unit"), "<f4", d) @ _directions(d))
+            vectors = np.ascontiguousarray(matrix(part.column("vector"), "<f8", d).T)
+            self.of[d] = (at, vectors, lengths(vectors), matrix(part.column("unit"), "<f4", d) @ _directions(d))
+        self.begun: set[int] = set()
 
     def rows(self, chunk: pa.Table) -> None:
         size = chunk.column("size").to_numpy()
         for d in np.unique(size).tolist():
-            if d in self.of:
-                self._chunk(*self.of[d], chunk.take(pa.array(np.flatnonzero(size == d))), d)
-
-    def _chunk(self, slots: np.ndarray, asked: np.ndarray, at: np.ndarray, chunk: pa.Table, d: int) -> None:
-        vectors = matrix(chunk.column("vector"), "<f8", d)
+            if d not in self.of:
+                continue
+            own, start = chunk.take(pa.array(np.flatnonzero(size == d))), 0
+            while start < own.num_rows:
+                count = CHUNK if d in self.begun else FIRST
+                self._chunk(*self.of[d], own.slice(start, count).combine_chunks(), d)
+                self.begun.add(d)
+                start += count
+
+    def _chunk(self, slots: np.ndarray, asked: np.ndarray, asked_length: np.ndarray, at: np.ndarray, chunk: pa.Table, d: int) -> None:
+        vectors = np.ascontiguousarray(matrix(chunk.column("vector"), "<f8", d).T)
+        length = lengths(vectors)
         row, ids = chunk.column("row").to_numpy(), chunk.column("vec_id").combine_chunks()
         known, number = ids.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy()
         values = (matrix(chunk.column("unit"), "<f4", d) @ _directions(d)).T
         order = np.argsort(values, axis=1)
         arrays = np.take_along_axis(values, order, 1)
-        rank = np.empty(order.shape, np.uint32)
-        np.put_along_axis(rank, order, np.arange(order.shape[1], dtype=np.uint32)[None], 1)
+        rank = np.empty(order.shape, np.uint16)
+        np.put_along_axis(rank, order, np.arange(order.shape[1], dtype=np.uint16)[None], 1)
+        radii = np.array(RADII)
         for i in range(0, len(slots), _TILE):
             own = np.arange(i, min(i + _TILE, len(slots)))
-            verified = np.zeros((len(own), len(row)), bool)
-            verified[self.query_row[slots[own]][:, None] == row] = True  # its own row is no candidate
-            # From the radius that the best so far ask for, or from the first one.
+            own_row = self.query_row[slots[own]]
+            verified = own_row[:, None] == row  # its own row is no candidate
+            # The distance of the k-th best so far, if there are as many, else all radii in turn.
             far = np.sqrt(np.maximum(0, 2 - 2 * self.best.bar[slots[own]]))
-            level = np.where(np.isinf(far), 0, np.searchsorted(RADII, far - 1e-9)).clip(0, len(RADII) - 1)
+            settled = np.isfinite(far)
+            level = np.zeros(len(own), np.int64)
             busy = np.arange(len(own))
             while len(busy):
-                reach = np.array(RADII)[level[busy]] * (WIDTH / 2)
-                reach[level[busy] == len(RADII) - 1] = np.inf
-                count = np.zeros((len(busy), len(row)), np.uint8)
-                for t in range(TABLES):
-                    centre = at[own[busy], t]
-                    first = np.searchsorted(arrays[t], centre - reach, "left").astype(np.uint32)
-                    wide = np.searchsorted(arrays[t], centre + reach, "right").astype(np.uint32) - first
-                    # As unsigned numbers, one comparison for both ends of the window.
-                    count += (rank[t] - first[:, None]) < wide[:, None]
-                p, q = np.nonzero((count >= self.needed) & ~verified[busy])
+                last = level[busy] == len(RADII) - 1
+                radius = np.where(settled[busy], far[busy], radii[level[busy]])
+                reach = np.where(last & ~settled[busy], np.inf, radius * (WIDTH / 2) + _ROUNDING)
+                p, q = np.nonzero((self._collisions(arrays, rank, at[own[busy]], reach) >= self.needed) & ~verified[busy])
                 verified[busy[p], q] = True
                 p = own[busy[p]]
-                score = cosines(asked[p], vectors[q])
+                score = dots(asked, p, vectors, q) / (asked_length[p] * length[q])
                 self.best.add(slots[p], score, number[q], row[q], known[q])
-                far = np.sqrt(np.maximum(0, 2 - 2 * self.best.bar[slots[own[busy]]]))
-                done = (far <= np.array(RADII)[level[busy]]) | (level[busy] == len(RADII) - 1)
+                found = np.sqrt(np.maximum(0, 2 - 2 * self.best.bar[slots[own[busy]]]))
+                done = settled[busy] | last | (found <= radius)
                 level[busy] += 1
                 busy = busy[~done]
 
+    @staticmethod
+    def _collisions(arrays: np.ndarray, rank: np.ndarray, centres: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Tables in which each row lies in the window of each query."""
+        count = np.zeros((len(centres), rank.shape[1]), np.uint8)
+        offset, inside = np.empty(count.shape, np.uint16), np.empty(count.shape, bool)
+        low, high = (centres - reach[:, None]).T, (centres + reach[:, None]).T
+        for t in range(len(arrays)):
+            first = np.searchsorted(arrays[t], low[t], "left").astype(np.uint16)
+            wide = np.searchsorted(arrays[t], high[t], "right").astype(np.uint16) - first
+            # As unsigned numbers, one comparison for both ends of the window.
+            np.subtract(rank[t], first[:, None], out=offset)
+            np.less(offset, wide[:, None], out=inside)
+            np.add(count, inside, out=count, casting="unsafe")
+        return count
+
     def result(self) -> pa.RecordBatch:
         b = self.best
         return pa.RecordBatch.from_arrays(
