@@ -385,10 +385,10 @@ def rolling_levels(
     for name, seconds in ranges.items():
         _check_range(seconds, grid.step)
         step = steps.get(name, grid.step)
-        _check_range(seconds, step)
-        if step % grid.step or (name in hold and step % hold[name][0]):
+        if step % grid.step or (name in hold and (step % hold[name][0] or seconds % step)):
             raise ValueError(f"range {name} is evaluated every {step}s on a grid of {grid.step}s and held by {hold.get(name)}")
-        levels.setdefault(step, []).append(name)
+        # A range that is no multiple of its step looks back to times between the evaluations.
+        levels.setdefault(step if seconds % step == 0 else grid.step, []).append(name)
     ordered = Window.partitionBy(*by).orderBy("ts")
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     sums = {"following": F.lead("ts").over(ordered)}
@@ -396,11 +396,11 @@ def rolling_levels(
         sums |= _running(f"__{name}", F.col(growth), running)
         sums[f"__last_{name}"] = F.max(F.when(F.col(count) > 0, F.unix_seconds("ts"))).over(running)
     totals = _spread(cells, by).withColumns(sums).select(*by, "ts", *sums)
-    return [(tuple(own), _level(totals, by, list(measures), {r: ranges[r] for r in own}, grid, step, hold)) for step, own in sorted(levels.items())]
+    return [(tuple(own), _level(totals, by, list(measures), {r: ranges[r] for r in own}, grid, step, steps, hold)) for step, own in sorted(levels.items())]
 
 
 def _level(
-    totals: DataFrame, by: Sequence[str], measures: Sequence[str], ranges: Mapping[str, int], grid: Grid, step: int, hold: Mapping[str, tuple[int, int]]
+    totals: DataFrame, by: Sequence[str], measures: Sequence[str], ranges: Mapping[str, int], grid: Grid, step: int, steps: Mapping[str, int], hold: Mapping[str, tuple[int, int]]
 ) -> DataFrame:
     if step != grid.step:
         at, following = ceil_time(F.col("ts"), step), ceil_time(F.col("following"), step)
@@ -416,11 +416,12 @@ def _level(
             looks |= _before(f"__{name}", f"__{name}_{r}", seconds // step, ordered)
     second = F.unix_seconds("ts")
     seen = dense.withColumns(looks)
-    columns = {
-        f"{name}_{r}": F.when(F.col(f"__last_{name}") > second - seconds, _difference(f"__{name}", f"__{name}_{r}"))
-        for r, seconds in ranges.items()
-        for name in measures
-    }
+    columns = {}
+    for r, seconds in ranges.items():
+        on_time = F.pmod(second, F.lit(steps[r])) == 0 if steps.get(r, step) != step else F.lit(True)
+        for name in measures:
+            present = F.col(f"__last_{name}") > second - seconds
+            columns[f"{name}_{r}"] = F.when(on_time & present, _difference(f"__{name}", f"__{name}_{r}"))
     found = seen.select(*by, "ts", *[column.alias(name) for name, column in columns.items()])
     if held:
         found = _held(found, by, measures, held, ordered, step, grid)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
+from sloflow.functions.regex import anchored, matches
 from sloflow.functions.once import exploded
 from sloflow.functions.text import number_text
+from sloflow.operators import groups
 from sloflow.operators import series as ts
 from sloflow.operators import vector as v
 from sloflow.operators.series import HOUR, MINUTE, RANGES, Grid
@@ -71,36 +73,22 @@ def burn_alerts(
     """
     enabled = v.select_series(stable, [("enabled", "!=", "false")])
     versions = v.vagg(enabled, "max", by=[*VERSION, "team", "escalate"])
-    allowed = ratio_thresholds.select(*[v.label(ratio_thresholds, n).alias(n) for n in SLO], "value")
     limits = burn_thresholds.groupBy(*SLO).agg(
         *[_only(a).alias(f"limit_{a}") for a in sorted({alert.long for alert in alerts})]
     )
-    one = _constants(versions, VERSION, ["team", "escalate", "value"])
-    bounds = _constants(limits, SLO, [c for c in limits.columns if c.startswith("limit_")])
-    ratios = _constants(
-        allowed.select(*SLO, (1 - F.col("value")).alias("__allowed")), SLO, ["__allowed"]
-    )
+    one = slo.constants_by(versions, VERSION, ["team", "escalate", "value"])
+    bounds = slo.constants_by(limits, SLO, [c for c in limits.columns if c.startswith("limit_")])
     fresh = wide.filter(F.pmod(F.unix_seconds("ts"), F.lit(slo.SPARSE_STEP)) == 0)
-    known = _lookup(_lookup(_lookup(fresh, one, VERSION), bounds, SLO), ratios, SLO)
+    known = slo.lookup(slo.lookup(fresh, one, VERSION), bounds, SLO)
 
-    # One column per step, so that nothing is computed twice.
     longs = sorted({a.long for a in alerts})
     shorts = sorted({a.short for a in alerts})
-    known = known.withColumns({f"__ratio_{r}": slo.ratio_column(r) for r in {*longs, *shorts}})
-    known = known.withColumns(
-        {f"__burn_{r}": v.ieee_div(F.col(f"__ratio_{r}"), F.col("__allowed")) for r in {*longs, *shorts}}
-        | {
-            f"__weight_{r}": v.ieee_div(
-                F.col(f"total_{r}") * F.lit(RANGES[slo.SPARSE] / RANGES[r]), F.col(f"total_{slo.SPARSE}")
-            )
-            for r in longs
-        }
-    )
+    known = slo.with_weights(slo.with_burn(known, ratio_thresholds, sorted({*longs, *shorts})), longs)
     effective = {}
     for alert in alerts:
-        weight = F.col(f"__weight_{alert.long}")
+        weight = F.col(f"weight_{alert.long}")
         for part, r in (("long", alert.long), ("short", alert.short)):
-            effective[f"__{part}_{alert.name}"] = F.col(f"__burn_{r}") * weight * F.col("stable_value")
+            effective[f"__{part}_{alert.name}"] = F.col(f"burn_{r}") * weight * F.col("stable_value")
     known = known.withColumns(effective)
     above = v.COMPARISONS[">"]
     rows = []
@@ -136,20 +124,6 @@ def _only(time_range: str) -> Column:
     return F.when(F.count(value) > 1, several).otherwise(F.max(value))
 
 
-def _constants(df: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
-    return df.select(
-        *[v.label(df, n).alias(f"__c_{n}") for n in on],
-        *[F.col(c).alias("stable_value" if c == "value" else c) for c in values],
-    )
-
-
-def _lookup(df: DataFrame, constants: DataFrame, on: Sequence[str]) -> DataFrame:
-    condition = F.lit(True)
-    for name in on:
-        condition = condition & (v.label(df, name) == constants[f"__c_{name}"])
-    return df.join(constants, condition, "inner").drop(*[f"__c_{n}" for n in on])
-
-
 def _with_severity(
     fired: DataFrame, info: DataFrame | None, names: Sequence[str]
 ) -> DataFrame:
@@ -212,12 +186,14 @@ def missing_all_data(
     growing = v.vcompare(
         ts.increase(failures, failure_series, 5 * MINUTE, grid), ">", 0.0
     )
-    nothing = v.vand(ts.absent(seen, grid), v.vagg(growing, "sum"), on=[])
-    gap = v.clamp_max(nothing, 0.0)
-    alive = v.clamp_max(v.vagg(seen, "sum"), 1.0)
-    state = v.vor(gap, alive, on=[])
+    # One row per time with what is known of it, in place of vectors matched without labels.
+    alive = seen.groupBy("ts").agg(F.sum("value").alias("alive"), F.lit(False).alias("failing"))
+    failing = growing.filter(grid.contains(F.col("ts"))).groupBy("ts").agg(F.lit(None).cast("double").alias("alive"), F.lit(True).alias("failing"))
+    times = alive.unionByName(failing).groupBy("ts").agg(F.max("alive").alias("alive"), F.bool_or("failing").alias("failing"))
+    state = F.when(F.col("alive").isNotNull(), F.when(F.isnan("alive"), F.col("alive")).otherwise(F.least("alive", F.lit(1.0))))
+    states = times.select("ts", F.coalesce(state, F.when(F.col("failing"), 0.0)).alias("value")).filter("value IS NOT NULL")
     missing = v.varith(
-        v.varith(ts.avg_over_time(state, [], window, grid), "*", -1.0), "+", 1.0
+        v.varith(ts.avg_over_time(states, [], window, grid), "*", -1.0), "+", 1.0
     )
     return ts.held_for(v.vcompare(missing, "==", 1.0), [], hold, grid.step)
 
@@ -257,46 +233,88 @@ def health_checks(
     grid: Grid,
     names: HealthNames | None = None,
     instance_pattern: str = ".*",
-) -> dict[str, DataFrame]:
-    """The pipeline's own checks by name; each is a vector of the firing series."""
+) -> DataFrame:
+    """The pipeline's own checks: one row per check, series and time at which it fires, ``(check, labels, ts, value)``.
+
+    The samples are read once for all checks, which are columns over one row per series and time; a
+    second reading finds the ready pods of the targets that are down.
+    """
     names = names or HealthNames()
     series = list(names.labels)
-
-    def metric(name: str) -> DataFrame:
-        return samples.filter(F.col("metric") == name).drop("metric")
-
-    def now(name: str) -> DataFrame:
-        return ts.asof(metric(name), series, grid)
-
-    def grew(name: str, window: int, limit: float) -> DataFrame:
-        return v.vcompare(ts.increase(metric(name), series, window, grid), ">", limit)
-
-    def held(df: DataFrame, seconds: int) -> DataFrame:
-        return ts.held_for(df, series, seconds, grid.step)
-
-    up = v.select_series(metric(names.up), [("instance", "=~", instance_pattern)])
-    low = v.vcompare(ts.avg_over_time(up, series, 4 * MINUTE, grid), "<", 0.9)
-    pods = v.label_replace(low, "pod", "$1", "instance", "(.*)")
-    ready = v.vcompare(ts.asof(metric(names.ready), [*series, "pod"], grid), "==", 1.0)
-    lag = v.varith(now(names.file_size), "-", now(names.file_offset))
-    behind = v.vcompare(lag, ">", float(1024**2))
-    unclassified = v.select_series(
-        now(names.processed), [("result", "=", "unclassified"), ("status_code", "!~", "[45]..")]
+    values = groups.rule_group(
+        samples,
+        series,
+        grid,
+        {
+            "up": groups.Average(names.up, 4 * MINUTE),
+            "lines": groups.Increase(names.lines_read, MINUTE),
+            "size": groups.Latest(names.file_size),
+            "offset": groups.Latest(names.file_offset),
+            "malformed": groups.Increase(names.malformed, 10 * MINUTE),
+            "unsupported": groups.Increase(names.unsupported, 10 * MINUTE),
+            "fails": groups.Increase(names.query_fails, 10 * MINUTE),
+            "unmatched": groups.Increase(names.unmatched, MINUTE),
+            "keys": groups.Latest(names.event_keys),
+            "keys_limit": groups.Latest(names.event_keys_limit),
+            "processed": groups.Latest(names.processed),
+        },
     )
-    return {
-        "target_down": held(v.vand(pods, ready, on=["namespace", "pod"]).drop("pod"), 10 * MINUTE),
-        "no_new_lines": held(
-            v.vcompare(ts.rate(metric(names.lines_read), series, MINUTE, grid), "==", 0.0), 10 * MINUTE
-        ),
-        "behind_short": held(behind, 10 * MINUTE),
-        "behind_long": held(behind, 2 * HOUR),
-        "malformed_lines": grew(names.malformed, 10 * MINUTE, 100.0),
-        "unsupported_results": grew(names.unsupported, 10 * MINUTE, 10.0),
-        "query_fails": grew(names.query_fails, 10 * MINUTE, 10.0),
-        "unmatched_events": grew(names.unmatched, MINUTE, 0.0),
-        "event_key_limit": v.vcompare(now(names.event_keys), ">=", now(names.event_keys_limit)),
-        "unclassified_events": v.vagg(unclassified, "sum", by=["namespace"]),
-    }
+    lag, rate = F.col("size") - F.col("offset"), F.col("lines") / MINUTE
+    above, below, least = v.COMPARISONS[">"], v.COMPARISONS["<"], v.COMPARISONS[">="]
+    chosen = matches(v.label(values, "instance"), anchored(instance_pattern))
+    behind = above(lag, F.lit(float(1024**2)))
+    unclassified = (v.label(values, "result") == "unclassified") & ~matches(v.label(values, "status_code"), anchored("[45].."))
+    known = groups.held(
+        values,
+        series,
+        {
+            "idle": (v.COMPARISONS["=="](rate, F.lit(0.0)), 10 * MINUTE),
+            "behind_short": (behind, 10 * MINUTE),
+            "behind_long": (behind, 2 * HOUR),
+        },
+        grid.step,
+    )
+    fired = groups.as_rows(
+        known,
+        series,
+        "check",
+        {
+            "target_down": (chosen & below(F.col("up"), F.lit(0.9)), F.col("up")),
+            "no_new_lines": (F.col("idle"), rate),
+            "behind_short": (F.col("behind_short"), lag),
+            "behind_long": (F.col("behind_long"), lag),
+            "malformed_lines": (above(F.col("malformed"), F.lit(100.0)), F.col("malformed")),
+            "unsupported_results": (above(F.col("unsupported"), F.lit(10.0)), F.col("unsupported")),
+            "query_fails": (above(F.col("fails"), F.lit(10.0)), F.col("fails")),
+            "unmatched_events": (above(F.col("unmatched"), F.lit(0.0)), F.col("unmatched")),
+            "event_key_limit": (least(F.col("keys"), F.col("keys_limit")), F.col("keys")),
+            "unclassified_events": (unclassified & F.col("processed").isNotNull(), F.col("processed")),
+        },
+    )
+    return _settled(fired, samples, series, names, grid)
+
+
+def _settled(fired: DataFrame, samples: DataFrame, series: Sequence[str], names: HealthNames, grid: Grid) -> DataFrame:
+    """The checks that look at more than one series: a target is down if its pod is ready throughout ten minutes, and
+    unclassified events are summed up by namespace.  The others pass unchanged."""
+    down, summed = "target_down", "unclassified_events"
+    ready = samples.filter(F.col("metric") == names.ready)
+    pods = v.vcompare(ts.asof(ready, [*series, "pod"], grid), "==", 1.0)
+    pods = pods.select(
+        F.lit(down).alias("__check"), v.label(pods, "namespace").alias("__namespace"), v.label(pods, "pod").alias("__pod"), F.col("ts").alias("__ts")
+    ).distinct()
+    same = (
+        (fired["check"] == F.col("__check")) & (v.label(fired, "namespace") == F.col("__namespace"))
+        & (v.label(fired, "instance") == F.col("__pod")) & (fired["ts"] == F.col("__ts"))
+    )
+    seen = fired.join(pods, same, "left").filter((fired["check"] != down) | F.col("__pod").isNotNull())
+    own = Window.partitionBy("check", *series)
+    second = F.unix_seconds("ts")
+    island = second - F.row_number().over(own.orderBy("ts")) * grid.step
+    since = F.min(second).over(Window.partitionBy("check", *series, "__island"))
+    kept = seen.withColumn("__island", island).withColumn("__since", since).filter((F.col("check") != down) | (second - F.col("__since") >= 10 * MINUTE))
+    labels = [F.when((F.col("check") != summed) | F.lit(n == "namespace"), F.col(n)).alias(n) for n in series]
+    return kept.groupBy("check", *labels, "ts").agg(F.sum("value").alias("value"))
 
 
 # Severities of the health checks.

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sloflow.functions.once import exploded
+from sloflow.operators import groups
 from sloflow.operators import series as ts
 from sloflow.operators import vector as v
 from sloflow.operators.series import MINUTE, RANGES, Grid
@@ -174,6 +175,68 @@ def effective_burn_rate(burn: DataFrame, coefficient: DataFrame, long_range: str
     return v.varith(burn, "*", weight, on=SLO, group="left")
 
 
+# ----------------------------------------------------------- the same over one wide row per time
+
+
+def constants_by(df: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """A definition table for :func:`lookup`; it must have one row per ``on``."""
+    return df.select(
+        *[v.label(df, n).alias(f"__c_{n}") for n in on],
+        *[F.col(c).alias("stable_value" if c == "value" else c) for c in values],
+    )
+
+
+def lookup(df: DataFrame, constants: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` that have constants, with their columns."""
+    condition = F.lit(True)
+    for name in on:
+        condition = condition & (v.label(df, name) == constants[f"__c_{name}"])
+    return df.join(constants, condition, "inner").drop(*[f"__c_{n}" for n in on])
+
+
+def with_burn(wide: DataFrame, thresholds: DataFrame, ranges: Sequence[str]) -> DataFrame:
+    """:func:`wide_events` of the SLOs with a threshold, with the burn rate of each range as ``burn_<range>``."""
+    allowed = thresholds.select(*[v.label(thresholds, n).alias(n) for n in SLO], (1 - F.col("value")).alias("__allowed"))
+    known = lookup(wide, constants_by(allowed, SLO, ["__allowed"]), SLO)
+    # One column per step, so that nothing is computed twice.
+    known = known.withColumns({f"__ratio_{r}": ratio_column(r) for r in ranges})
+    burn = {f"burn_{r}": v.ieee_div(F.col(f"__ratio_{r}"), F.col("__allowed")) for r in ranges}
+    return known.withColumns(burn).drop("__allowed", *[f"__ratio_{r}" for r in ranges])
+
+
+def with_weights(wide: DataFrame, ranges: Sequence[str] = tuple(WINDOWS)) -> DataFrame:
+    """:func:`wide_events` with the rate coefficient of each range as ``weight_<range>``."""
+    month = F.col(f"total_{SPARSE}")
+    return wide.withColumns(
+        {f"weight_{r}": v.ieee_div(F.col(f"total_{r}") * F.lit(RANGES[SPARSE] / RANGES[r]), month) for r in ranges}
+    )
+
+
+def by_range(wide: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """A vector ``(SLO, slo_time_range, ts, value)`` from columns of wide rows, where they have values."""
+    found = groups.as_rows(wide, SLO, "slo_time_range", {r: (value.isNotNull(), value) for r, value in values.items()})
+    return found.select(*SLO, "slo_time_range", "ts", "value")
+
+
+def coefficients(cells: DataFrame, grid: Grid, ranges: Sequence[str] = tuple(WINDOWS)) -> DataFrame:
+    """:func:`rate_coefficient` straight from cells."""
+    weighed = with_weights(_fresh(wide_events(cells, grid, (*ranges, SPARSE))), ranges)
+    return by_range(weighed, {r: F.col(f"weight_{r}") for r in ranges})
+
+
+def effective_burn(cells: DataFrame, thresholds: DataFrame, grid: Grid, month_with: str = "6h") -> DataFrame:
+    """:func:`effective_burn_rate` of all windows straight from cells, and of the longest range with the coefficient of ``month_with``."""
+    wide = _fresh(wide_events(cells, grid, (*WINDOWS, SPARSE)))
+    known = with_weights(with_burn(wide, thresholds, (*WINDOWS, SPARSE)))
+    values = {r: F.col(f"burn_{r}") * F.col(f"weight_{r}") for r in WINDOWS}
+    return by_range(known, values | {SPARSE: F.col(f"burn_{SPARSE}") * F.col(f"weight_{month_with}")})
+
+
+def _fresh(wide: DataFrame) -> DataFrame:
+    """The times at which the longest range has a value."""
+    return wide.filter(F.pmod(F.unix_seconds("ts"), F.lit(SPARSE_STEP)) == 0)
+
+
 # --------------------------------------------------------------------- own service levels
 
 UPTIME_LABELS = {"slo_type": "availability", "slo_version": "6", "slo_class": "uptime"}
@@ -242,22 +305,32 @@ def query_events(
     wanted = {name: RANGES[name] for name in ranges}
     steps = {name: 3 * MINUTE for name in wanted}
 
-    def grown(counters: DataFrame) -> DataFrame:
-        chosen = v.select_series(counters, [("app_label", "=~", app_pattern)])
-        return ts.rolling_increase(
-            ts.delta_cells(chosen, series, by, grid.step), by, wanted, grid, steps
-        )
-
-    failed = grown(fails)
-    success = v.varith(grown(queries), "-", failed, on=[*by, "slo_time_range"])
-
-    def named(df: DataFrame, result: str) -> DataFrame:
-        renamed = v.label_replace(df, "slo_domain", "$1", "app_label", f"^({app_pattern})$")
-        return v.with_labels(renamed.drop("app_label"), {"result": result})
-
-    return v.with_labels(
-        named(success, "success").unionByName(named(failed, "fail")), QUERY_LABELS
+    def chosen(counters: DataFrame, failed: bool) -> DataFrame:
+        own = v.select_series(counters, [("app_label", "=~", app_pattern)])
+        return own.select(F.lit(failed).alias("__failed"), *dict.fromkeys([*series, *by]), "ts", "value")
+
+    # Both counters side by side: one table of cells, and a column each.
+    both = chosen(queries, False).unionByName(chosen(fails, True))
+    grown = ts.counter_deltas(both, ["__failed", *series])
+    failed = F.col("__failed")
+    cells = grown.groupBy(*by, ts.ceil_time(F.col("ts"), grid.step).alias("ts")).agg(
+        F.sum(F.when(~failed, F.col("delta"))).alias("all"),
+        F.count_if(~failed).alias("all_samples"),
+        F.sum(F.when(failed, F.col("delta"))).alias("fail"),
+        F.count_if(failed).alias("fail_samples"),
     )
+    measures = {"all": ("all", "all_samples"), "fail": ("fail", "fail_samples")}
+    union = None
+    for names, level in ts.rolling_levels(cells, by, measures, wanted, grid, steps):
+        rows = [
+            F.when(value.isNotNull(), F.struct(F.lit(r).alias("slo_time_range"), F.lit(result).alias("result"), value.alias("value")))
+            for r in names
+            for result, value in (("success", F.col(f"all_{r}") - F.col(f"fail_{r}")), ("fail", F.col(f"fail_{r}")))
+        ]
+        part = exploded(level, "__row", F.array_compact(F.array(*rows))).select(*by, "ts", "__row.*")
+        union = part if union is None else union.unionByName(part)
+    named = v.label_replace(union, "slo_domain", "$1", "app_label", f"^({app_pattern})$")
+    return v.with_labels(named.drop("app_label"), QUERY_LABELS)
 
 
 # ------------------------------------------------------------------------ dashboard queries

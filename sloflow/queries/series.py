@@ -293,12 +293,8 @@ def burn_rate(spark: SparkSession, sf: str) -> DataFrame:
     return daily(burn, [*LABELS, "slo_time_range"])
 
 
-COEFFICIENT_RANGES = ("1h", "6h", "1d", "3d", "4w")
-
-
 def rate_coefficient(spark: SparkSession, sf: str) -> DataFrame:
-    found = slo.rate_coefficient(_events(spark, sf, COEFFICIENT_RANGES))
-    return daily(found, [*LABELS, "slo_time_range"])
+    return daily(slo.coefficients(*cells(spark, sf)), [*LABELS, "slo_time_range"])
 
 
 def _budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,11 +308,8 @@ def error_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 def effective_burn(spark: SparkSession, sf: str) -> DataFrame:
     _, thresholds, _ = _definitions(spark)
-    events = _events(spark, sf, COEFFICIENT_RANGES)
-    burn = slo.burn_rate(slo.violation_ratio(events), thresholds)
-    coefficient = slo.rate_coefficient(events)
-    month = slo.effective_burn_rate(burn.filter(F.col("slo_time_range") == slo.SPARSE), coefficient, "6h")
-    return daily(slo.effective_burn_rate(burn, coefficient).unionByName(month), [*LABELS, "slo_time_range"])
+    found, grid = cells(spark, sf)
+    return daily(slo.effective_burn(found, thresholds, grid), [*LABELS, "slo_time_range"])
 
 
 def uptime_sli(spark: SparkSession, sf: str) -> DataFrame:
@@ -403,14 +396,10 @@ def alert_expired_correction(spark: SparkSession, sf: str) -> DataFrame:
 def alert_health(spark: SparkSession, sf: str) -> DataFrame:
     samples = fx.health_samples(spark, sf)
     grid = Grid.over(samples)
-    union = None
-    for name, fired in alerts.health_checks(samples, grid).items():
-        instance = v.label(fired, "instance").alias("instance")
-        part = fired.select(
-            F.lit(name).alias("check"), F.lit(alerts.HEALTH_SEVERITY[name]).alias("severity"), instance, "ts", "value"
-        )
-        union = part if union is None else union.unionByName(part)
-    return daily(union, ["check", "severity", "instance"])
+    fired = alerts.health_checks(samples, grid)
+    severity = F.create_map(*[F.lit(part) for pair in alerts.HEALTH_SEVERITY.items() for part in pair])
+    rows = fired.select("check", severity[F.col("check")].alias("severity"), v.label(fired, "instance").alias("instance"), "ts", "value")
+    return daily(rows, ["check", "severity", "instance"])
 
 
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -492,7 +481,7 @@ def top_failing_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def max_coefficient(spark: SparkSession, sf: str) -> DataFrame:
-    found = slo.rate_coefficient(_events(spark, sf, COEFFICIENT_RANGES))
+    found = slo.coefficients(*cells(spark, sf))
     return daily(slo.highest_coefficient(found), ["slo_domain", "slo_class"])
 
 

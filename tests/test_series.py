@@ -186,7 +186,7 @@ def test_ranges_against_model(spark, seed):
             rows.append((name, at(60 * minute), odd_growth(rng) if rng.random() < 0.2 else float(rng.randrange(9)), 1))
     df = spark.createDataFrame(rows, "s string, ts timestamp, delta double, samples int")
     grid = Grid(T0 + 600, T0 + 60 * 480)
-    ranges, steps = {"3m": 180, "12m": 720, "60m": 3600}, {"12m": 180, "60m": 900}
+    ranges, steps = {"3m": 180, "12m": 720, "60m": 3600, "7m": 420}, {"12m": 180, "60m": 900, "7m": 180}
     found = ts.rolling_increase(df, ["s"], ranges, grid, steps, {"60m": (180, 1800)}).collect()
     got = {(r.s, r.slo_time_range, int(r.ts.replace(tzinfo=timezone.utc).timestamp())): r.value for r in found}
     expected = {}
@@ -253,3 +253,58 @@ def test_cost_does_not_depend_on_the_range(spark):
     for function in ("count", "sum", "avg", "min", "max", "delta"):
         plan = ts.over_time(df, ["s"], function, 86400, Grid(T0, T0 + 86400))._jdf.queryExecution().optimizedPlan().toString()
         assert "RangeFrame" not in plan and "unboundedfollowing" not in plan.lower()
+
+
+def scans(df):
+    """File scans of a plan in which Spark reuses equal exchanges."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    finally:
+        conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("name", ["alert_health", "effective_burn", "query_sli", "alert_missing_all", "rate_coefficient"])
+def test_rule_groups_read_their_tables_twice_at_most(spark, name):
+    import __spark_entry__ as driver
+
+    found = driver.queries()[name](spark, "/root/testdata/sf0.001")
+    assert scans(found) <= 2
+
+
+def test_held_columns(spark):
+    from sloflow.operators import groups
+
+    rng = random.Random(5)
+    rows = [(s, at(60 * i), rng.choice([1.0, 1.0, 1.0, 0.0, None])) for s in ("a", "b") for i in range(200) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "s string, ts timestamp, value double")
+    found = groups.held(df, ["s"], {"now": (F.col("value") == 1.0, 0), "long": (F.col("value") == 1.0, 180)}, 60)
+    for name, seconds in (("now", 0), ("long", 180)):
+        expected = ts.held_for(df.filter("value = 1.0"), ["s"], seconds, 60)
+        assert {(r.s, r.ts) for r in found.filter(name).collect()} == {(r.s, r.ts) for r in expected.collect()}
+
+
+def test_rule_group_against_single_expressions(spark):
+    from sloflow.operators import groups
+
+    rng = random.Random(6)
+    rows, second = [], 0
+    while second < 6000:
+        second += rng.choice([5, 60, 61, 400])
+        rows.append((rng.choice(["up", "lines"]), rng.choice(["x", "y", None]), at(second), float(rng.randrange(5))))
+    df = spark.createDataFrame(rows, "metric string, instance string, ts timestamp, value double")
+    grid = Grid(T0 + 120, T0 + 6000)
+    wanted = {"up": groups.Average("up", 240), "grown": groups.Increase("lines", 600), "short": groups.Increase("lines", 60), "now": groups.Latest("lines", 150)}
+    found = groups.rule_group(df, ["instance"], grid, wanted)
+
+    def metric(name):
+        return df.filter(F.col("metric") == name).drop("metric")
+
+    single = {
+        "up": ts.avg_over_time(metric("up"), ["instance"], 240, grid), "grown": ts.increase(metric("lines"), ["instance"], 600, grid),
+        "short": ts.increase(metric("lines"), ["instance"], 60, grid), "now": ts.asof(metric("lines"), ["instance"], grid, 150),
+    }
+    for name, expected in single.items():
+        got = {(r.instance, r.ts, r[name]) for r in found.collect() if r[name] is not None}
+        assert got == {(r.instance, r.ts, r.value) for r in expected.collect()} and got
