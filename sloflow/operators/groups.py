@@ -47,7 +47,7 @@ Expression = Increase | Average | Latest
 
 
 def rule_group(samples: DataFrame, series: Sequence[str], grid: Grid, wanted: Mapping[str, Expression]) -> DataFrame:
-    """``wanted`` as columns per series and grid time: ``(series, ts, *wanted)``.
+    """``wanted`` as columns per series and grid time: ``(series, ts, *wanted)``, and a number of the series for :func:`held`.
 
     ``samples`` has metric, the ``series`` columns, ts and value.  A series has a row at each time at which one
     of its expressions may have a value; the others are NULL there.
@@ -78,7 +78,8 @@ def rule_group(samples: DataFrame, series: Sequence[str], grid: Grid, wanted: Ma
         *[column.alias(name) for name, column in reduced.items()]
     )
 
-    ordered = Window.partitionBy(*series).orderBy("ts")
+    spread, keys = ts._spread(cells, series)
+    ordered = Window.partitionBy(*keys).orderBy("ts")
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     sums = {"following": F.lead("ts").over(ordered)}
     for m in by_kind[Increase]:
@@ -91,7 +92,7 @@ def rule_group(samples: DataFrame, series: Sequence[str], grid: Grid, wanted: Ma
         sums[f"__l{number[m]}"] = F.last(f"__latest{number[m]}", ignorenulls=True).over(running)
     # A look-up includes both ends of its interval, so it may see one step further than a range.
     reach = max(-(-e.seconds // grid.step) * grid.step + grid.step * isinstance(e, Latest) for e in wanted.values())
-    totals = ts._spread(cells, series).withColumns(sums).select(*series, "ts", *sums)
+    totals = spread.withColumns(sums).select(*keys, "ts", *sums)
     dense = ts._fill(totals, grid.step, grid.end, reach)
 
     looks: dict[str, Column] = {}
@@ -115,7 +116,7 @@ def rule_group(samples: DataFrame, series: Sequence[str], grid: Grid, wanted: Ma
             latest = F.col(f"__l{i}")
             fresh = F.unix_micros("ts") - F.unix_micros(latest["__at"]) <= ts._micros(e.seconds)
             columns[name] = F.when(fresh, latest["value"])
-    found = dense.withColumns(looks).select(*series, "ts", *[column.alias(name) for name, column in columns.items()])
+    found = dense.withColumns(looks).select(*keys, "ts", *[column.alias(name) for name, column in columns.items()])
     return found.filter(second >= grid.start)
 
 
@@ -125,7 +126,7 @@ def held(group: DataFrame, series: Sequence[str], conditions: Mapping[str, tuple
     ``conditions`` maps the new column to a condition and its seconds.  A time without a row of the series ends a
     condition like one at which it is false.
     """
-    ordered = Window.partitionBy(*series).orderBy("ts")
+    ordered = Window.partitionBy(*[n for n in (ts._KEY,) if n in group.columns], *series).orderBy("ts")
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     second = F.unix_seconds("ts")
     now = group.withColumns({f"__c_{name}": F.coalesce(condition, F.lit(False)) for name, (condition, _) in conditions.items()})

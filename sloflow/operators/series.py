@@ -284,14 +284,22 @@ def _check_range(seconds: int, step: int):
         raise ValueError(f"a range of {seconds}s is not a multiple of the grid step {step}s")
 
 
-def _spread(cells: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Partition by series into the configured number of partitions.
+_KEY = "__key"
+#: Partitions per configured one: series are few and long, and some tasks get several while others get none.
+_FINER = 4
+
+
+def _spread(cells: DataFrame, series: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Partition by series into a multiple of the configured number of partitions; also the keys of windows over them.
 
     Cells are few and are about to become many: without a fixed number, adaptive execution would
-    merge them into one task before the grid is filled.
+    merge them into one task before the grid is filled.  The partitioning is by one number per series, as
+    Spark drops constant labels from the keys of a window and would then shuffle again, without that number.
     """
-    number = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(number, *series) if series else cells
+    if not series:
+        return cells, []
+    number = _FINER * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.withColumn(_KEY, F.xxhash64(*series)).repartition(number, _KEY), [_KEY, *series]
 
 
 # A running sum is kept in parts that can be subtracted again: whole numbers, which are exact as long as there are
@@ -389,18 +397,19 @@ def rolling_levels(
             raise ValueError(f"range {name} is evaluated every {step}s on a grid of {grid.step}s and held by {hold.get(name)}")
         # A range that is no multiple of its step looks back to times between the evaluations.
         levels.setdefault(step if seconds % step == 0 else grid.step, []).append(name)
-    ordered = Window.partitionBy(*by).orderBy("ts")
+    spread, keys = _spread(cells, by)
+    ordered = Window.partitionBy(*keys).orderBy("ts")
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     sums = {"following": F.lead("ts").over(ordered)}
     for name, (growth, count) in measures.items():
         sums |= _running(f"__{name}", F.col(growth), running)
         sums[f"__last_{name}"] = F.max(F.when(F.col(count) > 0, F.unix_seconds("ts"))).over(running)
-    totals = _spread(cells, by).withColumns(sums).select(*by, "ts", *sums)
-    return [(tuple(own), _level(totals, by, list(measures), {r: ranges[r] for r in own}, grid, step, steps, hold)) for step, own in sorted(levels.items())]
+    totals = spread.withColumns(sums).select(*keys, "ts", *sums)
+    return [(tuple(own), _level(totals, by, keys, list(measures), {r: ranges[r] for r in own}, grid, step, steps, hold)) for step, own in sorted(levels.items())]
 
 
 def _level(
-    totals: DataFrame, by: Sequence[str], measures: Sequence[str], ranges: Mapping[str, int], grid: Grid, step: int, steps: Mapping[str, int], hold: Mapping[str, tuple[int, int]]
+    totals: DataFrame, by: Sequence[str], keys: Sequence[str], measures: Sequence[str], ranges: Mapping[str, int], grid: Grid, step: int, steps: Mapping[str, int], hold: Mapping[str, tuple[int, int]]
 ) -> DataFrame:
     if step != grid.step:
         at, following = ceil_time(F.col("ts"), step), ceil_time(F.col("following"), step)
@@ -408,7 +417,7 @@ def _level(
     held = {r: hold[r] for r in ranges if r in hold}
     longest = max(ranges.values()) + max((seconds for _, seconds in held.values()), default=0)
     dense = _fill(totals, step, grid.end, longest)
-    ordered = Window.partitionBy(*by).orderBy("ts")
+    ordered = Window.partitionBy(*keys).orderBy("ts")
     # Rows are dense for the longest range after each sample, so looking back by rows is exact.
     looks: dict[str, Column] = {}
     for name in measures:
@@ -422,13 +431,13 @@ def _level(
         for name in measures:
             present = F.col(f"__last_{name}") > second - seconds
             columns[f"{name}_{r}"] = F.when(on_time & present, _difference(f"__{name}", f"__{name}_{r}"))
-    found = seen.select(*by, "ts", *[column.alias(name) for name, column in columns.items()])
+    found = seen.select(*keys, "ts", *[column.alias(name) for name, column in columns.items()])
     if held:
-        found = _held(found, by, measures, held, ordered, step, grid)
-    return found.filter(F.unix_seconds("ts") >= grid.start)
+        found = _held(found, keys, measures, held, ordered, step, grid)
+    return found.filter(F.unix_seconds("ts") >= grid.start).select(*by, "ts", *columns)
 
 
-def _held(found: DataFrame, by: Sequence[str], measures: Sequence[str], hold: Mapping[str, tuple[int, int]], ordered, step: int, grid: Grid) -> DataFrame:
+def _held(found: DataFrame, keys: Sequence[str], measures: Sequence[str], hold: Mapping[str, tuple[int, int]], ordered, step: int, grid: Grid) -> DataFrame:
     """Repeat the last value of the held ranges on their finer step, for some seconds."""
     fine = min(s for s, _ in hold.values())
     earlier = {
@@ -441,7 +450,7 @@ def _held(found: DataFrame, by: Sequence[str], measures: Sequence[str], hold: Ma
     rows = found.withColumns(earlier).withColumn("__offset", offsets)
     offset, second = F.col("__offset"), F.unix_seconds("ts")
     values = {}
-    for column in [c for c in found.columns if c not in (*by, "ts")]:
+    for column in [c for c in found.columns if c not in (*keys, "ts")]:
         r = next((r for r in hold if any(column == f"{name}_{r}" for name in measures)), None)
         if r is None:
             values[column] = F.when(offset == 0, F.col(column))
@@ -454,7 +463,7 @@ def _held(found: DataFrame, by: Sequence[str], measures: Sequence[str], hold: Ma
             choices.append(F.when(near, back[column]))
         values[column] = F.when(F.pmod(offset, F.lit(own_step)) == 0, F.coalesce(*choices))
     moved = F.timestamp_seconds(second + offset)
-    return rows.select(*by, moved.alias("ts"), *[column.alias(name) for name, column in values.items()]).filter(F.unix_seconds("ts") <= grid.end)
+    return rows.select(*keys, moved.alias("ts"), *[column.alias(name) for name, column in values.items()]).filter(F.unix_seconds("ts") <= grid.end)
 
 
 def rolling_wide(
@@ -531,7 +540,8 @@ def _looking_back(
     Cells have the times of the grid.  Sums are differences of running sums, and a cell knows its successor,
     so the first cell of a range is the one after the last cell before it.  The cost does not depend on the range.
     """
-    ordered = Window.partitionBy(*series).orderBy("ts")
+    spread, keys = _spread(cells, series)
+    ordered = Window.partitionBy(*keys).orderBy("ts")
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     columns = {"following": F.lead("ts").over(ordered)}
     for name in sums:
@@ -539,7 +549,7 @@ def _looking_back(
     columns |= {f"__{name}": F.sum(name).over(running) for name in counts}
     columns |= {f"__next_{name}": F.lead(name).over(ordered) for name in firsts}
     columns |= {f"__origin_{name}": F.first(name).over(running) for name in firsts}
-    known = _spread(cells, series).withColumns(columns).select(*series, "ts", *columns, *[F.col(n).alias(f"__own_{n}") for n in lasts])
+    known = spread.withColumns(columns).select(*keys, "ts", *columns, *[F.col(n).alias(f"__own_{n}") for n in lasts])
     rows = seconds // grid.step
     looks: dict[str, Column] = {"__seen": F.lag(F.lit(True), rows).over(ordered)}
     for name in sums:
@@ -571,11 +581,12 @@ def _extremum(cells: DataFrame, series: Sequence[str], function: str, seconds: i
     def block(ts: str) -> Column:
         return F.floor((F.unix_seconds(ts) / F.lit(grid.step) - 1) / F.lit(rows))
 
-    inner = Window.partitionBy(*series, "__block")
+    spread, keys = _spread(cells, series)
+    inner = Window.partitionBy(*keys, "__block")
     upto = Window.unboundedPreceding
-    ordered = Window.partitionBy(*series).orderBy("__block", "ts")
+    ordered = Window.partitionBy(*keys).orderBy("__block", "ts")
     known = (
-        _spread(cells, series)
+        spread
         .withColumn("__block", block("ts"))
         .withColumn("__right", aggregate("value").over(inner.orderBy(F.desc("ts")).rowsBetween(upto, 0)))
         .withColumns(
@@ -596,7 +607,7 @@ def _extremum(cells: DataFrame, series: Sequence[str], function: str, seconds: i
         F.when(F.col("filled"), F.col("__next_block")).otherwise(F.col("__block")).alias("block"),
         F.when(F.col("filled"), F.col("__next_right")).otherwise(F.col("__right")).alias("value"),
     )
-    rowwise = Window.partitionBy(*series).orderBy("ts")
+    rowwise = Window.partitionBy(*keys).orderBy("ts")
     # Without a row that far back, the range begins before the first cell.
     begun = F.coalesce(F.lag("__ahead", rows - 1).over(rowwise), F.first("__ahead").over(rowwise.rowsBetween(upto, 0)))
     seen = dense.withColumn("__ahead", ahead).withColumn("__begun", begun)
