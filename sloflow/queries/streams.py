@@ -1,11 +1,17 @@
-"""Streaming twins of batch queries: the stream is drained and its output is read back."""
+"""Streaming twins of batch queries: the stream is drained and its output is read back.
+
+The events arrive in four parts, one after the other, each in a run of its own that goes on from the checkpoint
+of the one before, so what is kept between micro-batches and between runs counts in every result.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sloflow import fixtures as fx
 from sloflow.functions import strmap
@@ -23,25 +29,38 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The ``events`` table as a stream of raw events."""
-    schema = fx.table(spark, sf, "events").schema
-    # A pattern, because the table may be one file or a folder of files.
-    return fx.e_columns(spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*"))
+PARTS = 4
+
+
+def _in_parts(spark: SparkSession, rows: DataFrame, ts: str, path: str, run: Callable[[], StreamingQuery]) -> None:
+    """Write ``rows`` to a folder in stretches of time of about equal size, and run the query after each."""
+    second = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    cuts = rows.select(second.alias("second")).approxQuantile("second", [n / PARTS for n in range(1, PARTS)], 0.01)
+    bounds = [float("-inf"), *cuts, float("inf")]
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        rows.filter((second > low) & (second <= high)).write.mode("append").parquet(path)
+        run().awaitTermination()
+
 
+def _arriving(spark: SparkSession, sf: str, path: str, job: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Run ``job`` over the ``events`` table as a stream of raw events that arrive in parts."""
+    events = fx.table(spark, sf, "events")
+    folder = f"{path}/in"
 
-def _raw_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return shape.generate_event_key(fx.with_metadata(_stream(spark, sf)), KEYS)
+    def run() -> StreamingQuery:
+        return job(fx.e_columns(spark.readStream.schema(events.schema).parquet(folder)))
 
+    _in_parts(spark, events, "ts", folder, run)
 
-def _drained(query) -> None:
-    query.awaitTermination()
+
+def _raw(events: DataFrame) -> DataFrame:
+    return shape.generate_event_key(fx.with_metadata(events), KEYS)
 
 
 def stream_learned(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "learned")
     given = matchers_df(spark, fx.EXACT_MATCHERS)
-    _drained(jobs.classify_stream(_raw_stream(spark, sf), path, given, fx.REGEXP_MATCHERS))
+    _arriving(spark, sf, path, lambda events: jobs.classify_stream(_raw(events), path, given, fx.REGEXP_MATCHERS))
     found = jobs.read_batches(spark, f"{path}/events", dynamic_events(spark, sf).schema)
     return found.select(
         "event_id", "classified_by", *[F.col(f"classification.{p}").alias(p) for p in ("domain", "app", "class")]
@@ -63,23 +82,18 @@ def _slo(events: DataFrame) -> DataFrame:
     return evaluate_rules(own, parse_rules(fx.RULES))
 
 
-def _slo_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _slo(_raw_stream(spark, sf))
-
-
 def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "counters")
-    _drained(jobs.counter_stream(_slo_stream(spark, sf), path))
+    _arriving(spark, sf, path, lambda events: jobs.counter_stream(_slo(_raw(events)), path))
     rows = jobs.read_counters(spark, path)
     return rows.select("metric", strmap.text(F.col("labels")).alias("labels"), "value")
 
 
 def stream_cap(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "cap")
-    slo = _slo(shape.generate_event_key(_raw_stream(spark, sf), ["httpPath"]))
-    query = jobs.cap_stream(slo, path, CAP)
-    _drained(query)
-    schema = slo.schema.add("key_capped", "boolean")
+    keyed = lambda events: _slo(shape.generate_event_key(_raw(events), ["httpPath"]))
+    _arriving(spark, sf, path, lambda events: jobs.cap_stream(keyed(events), path, CAP))
+    schema = keyed(fx.e(spark, sf)).schema.add("key_capped", "boolean")
     rows = jobs.read_batches(spark, f"{path}/events", schema)
     return rows.groupBy("event_key", F.col("key_capped").cast("int").alias("key_capped")).agg(
         F.count("*").alias("events"), F.min("event_id").alias("first_id")
@@ -88,36 +102,40 @@ def stream_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_increase(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "increase")
-    fx.samples_map(spark, sf).write.parquet(f"{path}/samples")
-    samples = spark.readStream.schema(SAMPLE).parquet(f"{path}/samples")
-    _drained(jobs.increase_stream(samples, path, 300, staleness=7 * DAY))
+    stream = lambda: spark.readStream.schema(SAMPLE).parquet(f"{path}/samples")
+    _in_parts(spark, fx.samples_map(spark, sf), "ts", f"{path}/samples", lambda: jobs.increase_stream(stream(), path, 300, staleness=7 * DAY))
     schema = "event_time timestamp, metadata map<string,string>, quantity double, result_value double"
     m = F.col("metadata")
-    return jobs.read_batches(spark, f"{path}/events", spark.createDataFrame([], schema).schema).select(
-        strmap.lookup(m, "type").alias("type"),
-        strmap.lookup(m, "result").alias("result"),
-        F.unix_seconds("event_time").alias("sec"),
-        "quantity",
-    )
+    events = jobs.read_batches(spark, f"{path}/events", spark.createDataFrame([], schema).schema)
+    # A poll whose samples came in two batches has an event from each.
+    return events.groupBy(
+        strmap.lookup(m, "type").alias("type"), strmap.lookup(m, "result").alias("result"), F.unix_seconds("event_time").alias("sec")
+    ).agg(F.sum("quantity").alias("quantity"))
 
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "windows")
-    events = _stream(spark, sf).withColumn("quantity", F.lit(1.0))
-    minutes = jobs.minute_totals(events, ["event_type", "result"])
-    sliding = jobs.sliding_totals(minutes, ["event_type", "result"], "1 hour", "10 minutes")
-    _drained(jobs.append_to(sliding, path))
-    return spark.read.schema(sliding.schema).parquet(f"{path}/rows")
+
+    def job(events: DataFrame) -> StreamingQuery:
+        minutes = jobs.minute_totals(events.withColumn("quantity", F.lit(1.0)), ["event_type", "result"])
+        return jobs.append_to(jobs.sliding_totals(minutes, ["event_type", "result"], "1 hour", "10 minutes"), path)
+
+    _arriving(spark, sf, path, job)
+    return spark.read.parquet(f"{path}/rows")
 
 
 def stream_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Stateless steps on a stream: event key, own classification, rules."""
     path = _folder(spark, "parse")
-    rows = _slo_stream(spark, sf).select(
-        "event_id", F.col("rule").cast("bigint").alias("rule"), "event_key", "result", "slo_domain", "slo_class", "quantity"
-    )
-    _drained(jobs.append_to(rows, path))
-    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+    def job(events: DataFrame) -> StreamingQuery:
+        rows = _slo(_raw(events)).select(
+            "event_id", F.col("rule").cast("bigint").alias("rule"), "event_key", "result", "slo_domain", "slo_class", "quantity"
+        )
+        return jobs.append_to(rows, path)
+
+    _arriving(spark, sf, path, job)
+    return spark.read.parquet(f"{path}/rows")
 
 
 QUERIES = {

@@ -10,7 +10,6 @@ All writers are idempotent: output and state of a batch are folders named after
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,11 +18,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sloflow.operators import counters
-from sloflow.operators.classify import classify_dynamic, remember
+from sloflow.functions import strmap
+from sloflow.operators.classify import classify_dynamic, event_key, remember
 from sloflow.operators.series import MINUTE, STALENESS, counter_events, last_samples
 from sloflow.session import CLASSIFICATION, SAMPLE
 from sloflow.sources.matchers import Matcher
-from sloflow.streaming.state import StateTable
+from sloflow.streaming.state import DeltaState, StateTable
 
 LEARNED = T.StructType(
     [T.StructField("event_key", T.StringType()), T.StructField("learned", CLASSIFICATION)]
@@ -31,6 +31,22 @@ LEARNED = T.StructType(
 ADMITTED = T.StructType([T.StructField("event_key", T.StringType())])
 
 
+def learned_state(path: str) -> DeltaState:
+    return DeltaState(f"{path}/state", LEARNED, lambda: F.col("event_key"))
+
+
+def sample_state(path: str) -> DeltaState:
+    return DeltaState(f"{path}/state", SAMPLE, lambda: strmap.text(F.col("labels")), lambda: F.unix_seconds("ts"))
+
+
+def admitted_state(path: str) -> DeltaState:
+    return DeltaState(f"{path}/state", ADMITTED, lambda: F.col("event_key"))
+
+
+def hold_state(path: str, keys: Sequence[str]) -> DeltaState:
+    return DeltaState(f"{path}/state", hold_schema(keys), lambda: F.to_json(F.struct(*keys)), lambda: F.col("last"))
+
+
 def run(
     stream: DataFrame,
     each: Callable[[DataFrame, int], None],
@@ -69,16 +85,23 @@ def classify_stream(
     chunk: Column | None = None,
     **options,
 ) -> StreamingQuery:
-    """Classification with a learned cache that lives as long as the stream."""
-    state = StateTable(f"{path}/state", LEARNED)
+    """Classification with a learned cache that lives as long as the stream.
+
+    A batch reads what is known of its own event keys, and writes those of which it learned something new.
+    """
+    state = learned_state(path)
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = state.read(spark, before=number)
+        known = state.read(spark, number, state.touched(batch.select(event_key().alias("event_key"))))
         found = classify_dynamic(batch, exact, regexp, order, chunk, remembered=known)
         found.write.mode("overwrite").parquet(batch_path(f"{path}/events", number))
         written = spark.read.schema(found.schema).parquet(batch_path(f"{path}/events", number))
-        state.write(remember(written, known, order), number)
+        old = known.select(F.col("event_key").alias("__key"), F.col("learned").alias("__old"))
+        now = remember(written, None, order).filter(F.col("event_key").isNotNull())
+        both = now.join(old, F.col("event_key") == F.col("__key"), "left")
+        news = F.col("__key").isNull() | (F.col("learned").isNotNull() & ~F.col("learned").eqNullSafe(F.col("__old")))
+        state.write(both.filter(news), number)
 
     return run(stream, each, f"{path}/checkpoint", **options)
 
@@ -99,32 +122,22 @@ def increase_stream(
     history.  Samples dated in the future do not move that time, as long as they are ahead of the clock or
     come in one batch only.
     """
-    state = StateTable(f"{path}/state", SAMPLE)
+    state = sample_state(path)
 
     def each(batch: DataFrame, number: int) -> None:
-        earlier = state.read(batch.sparkSession, before=number)
+        spark = batch.sparkSession
+        earlier = state.read(spark, number, state.touched(batch))
         events = counter_events(batch, poll_interval, staleness, earlier=earlier)
         events.write.mode("overwrite").parquet(batch_path(f"{path}/events", number))
-        kept = last_samples(batch, earlier)
-        second = F.unix_seconds("ts")
-        state.write(_since(kept, second, batch, earlier, staleness + poll_interval + lateness), number)
+        newest = batch.agg(F.max(F.unix_seconds("ts"))).first()[0]
+        state.advance(spark, number, newest, staleness + poll_interval + lateness)
+        here = batch.select(strmap.text(F.col("labels")).alias("__series")).distinct()
+        kept = last_samples(batch, earlier).withColumn("__series", strmap.text(F.col("labels")))
+        state.write(kept.join(here, "__series", "left_semi"), number)
 
     return run(stream, each, f"{path}/checkpoint", **options)
 
 
-def _since(state: DataFrame, second: Column, batch: DataFrame, earlier: DataFrame, seconds: int) -> DataFrame:
-    """The rows of ``state`` that are at most ``seconds`` older than the time the stream has reached.
-
-    That is the newest time of this batch, but not later than the newest one of the ``earlier`` state nor
-    than the clock of the driver, so rows dated in the future do not end the others.
-    """
-    newest = batch.agg(F.max(F.unix_seconds("ts"))).first()[0]
-    before = earlier.agg(F.max(second)).first()[0]
-    if newest is None or before is None:
-        return state
-    return state.filter(second >= min(newest, before, int(time.time())) - seconds)
-
-
 def cap_stream(
     stream: DataFrame,
     path: str,
@@ -133,17 +146,20 @@ def cap_stream(
     order: Sequence[str] = ("event_time", "event_id", "rule"),
     **options,
 ) -> StreamingQuery:
-    """Cardinality limit over the whole stream: the admitted keys are kept between batches."""
-    state = StateTable(f"{path}/state", ADMITTED)
+    """Cardinality limit over the whole stream: the admitted keys are kept between batches.
+
+    They are ``limit`` at most; a batch writes those that it adds.
+    """
+    state = admitted_state(path)
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = state.read(spark, before=number)
+        known = state.read(spark, number)
         free = limit - known.count()
         fresh = batch.join(known, "event_key", "left_anti")
         added = counters.admitted_keys(fresh, max(free, 0), order).select("event_key")
-        state.write(known.unionByName(added), number)
-        admitted = state.read(spark, before=number + 1)
+        state.write(added, number)
+        admitted = state.read(spark, number + 1)
         capped = counters.cap_event_keys(batch, limit, placeholder, order, admitted)
         capped.write.mode("overwrite").parquet(batch_path(f"{path}/events", number))
 
@@ -246,11 +262,11 @@ def hold_stream(
     goes on in the next batch if its first evaluation there is one step after the last one here.  A run
     leaves the state once evaluations ``lateness`` seconds after its next step have been seen.
     """
-    state = StateTable(f"{path}/state", hold_schema(keys))
+    state = hold_state(path, keys)
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = state.read(spark, before=number)
+        known = state.read(spark, number, state.touched(batch))
         second = F.unix_seconds("ts")
         ordered = Window.partitionBy(*keys).orderBy("ts")
         marked = batch.withColumn("__island", second - F.row_number().over(ordered) * step)
@@ -273,9 +289,8 @@ def hold_stream(
         latest = written.groupBy(*keys).agg(
             F.max_by("__since", "__to").alias("since"), F.max("__to").alias("last")
         )
-        runs_now = latest.unionByName(known.join(latest, list(keys), "left_anti").select(*latest.columns))
-        last = F.col("last")
-        state.write(_since(runs_now, last, batch, known, step + lateness), number)
+        state.advance(spark, number, batch.agg(F.max(second)).first()[0], step + lateness)
+        state.write(latest, number)
 
     return run(stream, each, f"{path}/checkpoint", **options)
 

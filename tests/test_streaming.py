@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sloflow.operators import counters
 from sloflow.operators.classify import classify_dynamic
@@ -13,7 +14,7 @@ from sloflow.session import RAW_EVENT, SAMPLE
 from sloflow.sources.loglines import parse_log_lines, read_log_stream
 from sloflow.sources.matchers import Matcher, matchers_df
 from sloflow.streaming import jobs
-from sloflow.streaming.state import StateTable
+from sloflow.streaming.state import DeltaState
 from test_events import START, classify_one_by_one, random_events, raw
 
 EXACT = [Matcher("csv", "m", "c", "POST:/b")]
@@ -45,7 +46,6 @@ def test_learned_over_batches_and_restarts(spark, tmp_path):
     found = jobs.read_batches(spark, f"{path}/events", schema).orderBy("event_id").collect()
     got = [(tuple(r.classification) if r.classification else None, r.classified_by) for r in found]
     assert got == classify_one_by_one(rows, EXACT, REGEXP)
-    assert len(StateTable(f"{path}/state", jobs.LEARNED).versions(spark)) == 2
 
 
 def test_increase_over_batches(spark, tmp_path):
@@ -71,7 +71,7 @@ def test_old_series_leave_the_state(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     list(feed(spark, spark.createDataFrame(rows, SAMPLE), source, "ts"))
     jobs.increase_stream(files(spark, source, SAMPLE), path, 60, 300, lateness=60).awaitTermination()
-    left = StateTable(f"{path}/state", SAMPLE).read(spark).collect()
+    left = jobs.sample_state(path).read(spark).collect()
     assert [(r.labels, r.value) for r in left] == [({"n": "new"}, 5.0)]
 
 
@@ -81,7 +81,7 @@ def test_ended_runs_leave_the_state(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     list(feed(spark, df, source, "ts"))
     jobs.hold_stream(files(spark, source, df.schema), path, ["k"], 60, 60).awaitTermination()
-    left = StateTable(f"{path}/state", jobs.hold_schema(["k"])).read(spark).collect()
+    left = jobs.hold_state(path, ["k"]).read(spark).collect()
     assert [r.k for r in left] == ["b"]
     assert [r.k for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/rows").collect()] == ["b"]
 
@@ -190,3 +190,41 @@ def test_backlog(spark):
     rows = {r.source: (r.unit, r.backlog) for r in jobs.source_backlog(spark, progress).collect()}
     assert rows == {"files": ("bytes", 2_000_000), "kafka": ("records", 7)}
     assert jobs.source_backlog(spark, progress, 1024**2).count() == 1
+
+
+STATE = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType()), T.StructField("at", T.LongType())])
+
+
+def test_state_follows_the_changes(spark, tmp_path):
+    """Random updates against a dict, with repeated batches, ended rows, and whole buckets now and then."""
+    state = DeltaState(str(tmp_path / "s"), STATE, lambda: F.col("k"), lambda: F.col("at"), buckets=8, least=2)
+    rng = random.Random(1)
+    expected, mark = {}, None
+    for number in range(9):
+        rows = {f"k{rng.randrange(60)}": (rng.randrange(1000), 100 * number + rng.randrange(50)) for _ in range(40 if number == 0 else 6)}
+        changes = spark.createDataFrame([(k, v, at) for k, (v, at) in rows.items()], STATE)
+        if number == 6:  # a batch that failed half-way is repeated with other results
+            state.write(spark.createDataFrame([("k1", -1, 600), ("zz", -1, 600)], STATE), number)
+        touched = state.touched(changes)
+        seen = {r.k: (r.v, r["at"]) for r in state.read(spark, number, touched).collect()}
+        assert {k: seen.get(k) for k in rows} == {k: expected.get(k) for k in rows}
+        state.advance(spark, number, 100 * number, 350)
+        state.write(changes, number)
+        mark = 100 * (number - 1) - 350 if number else None
+        expected = {k: x for k, x in {**expected, **rows}.items() if mark is None or x[1] >= mark}
+        assert {r.k: (r.v, r["at"]) for r in state.read(spark).collect()} == expected
+    assert list((tmp_path / "s/whole").iterdir())
+
+
+def test_small_batches_write_little(spark, tmp_path):
+    state = DeltaState(str(tmp_path / "s"), STATE, lambda: F.col("k"))
+    state.write(spark.range(20_000).select(F.concat(F.lit("key-"), "id").alias("k"), F.col("id").alias("v"), F.lit(0).alias("at")), 0)
+    size = lambda folder: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    first = size(tmp_path / "s")
+    for number in range(1, 8):
+        batch = spark.createDataFrame([(f"key-{number}", number, number)], STATE)
+        known = state.read(spark, number, state.touched(batch))
+        assert len(known.inputFiles()) < 12 and known.count() < 1_000
+        state.write(batch, number)
+    assert size(tmp_path / "s") - first < first / 4
+    assert state.read(spark).count() == 20_000 and state.read(spark).filter("v = at AND v > 0").count() == 7
