@@ -201,7 +201,6 @@ weights AS (
 )"""
 
 DEFINED = r"""
-requests AS (SELECT event_type AS slo_domain, count(*) AS events FROM events GROUP BY 1),
 stable(slo_domain, slo_version, namespace, team, enabled, escalate, value) AS (VALUES
   ('click', '1', 'production', 'team.click@example.org', 'true', 'sre@example.org', CAST(1 AS DOUBLE)),
   ('error', '1', 'production', 'team.error@example.org', 'true', 'sre@example.org', 1),
@@ -234,6 +233,17 @@ burn_limits AS (
     AND b.class IN ('', t.slo_class) AND b.type IN ('', t.slo_type)
 )"""
 
+_LABELS = "namespace, slo_class, slo_domain, slo_type, slo_version"
+_SEEN = E + f""",
+increments AS (
+  SELECT CASE WHEN event_type IN ('purchase', 'view') THEN 'test' ELSE 'production' END AS namespace, slo_class,
+    event_type AS slo_domain, 'availability' AS slo_type, '1' AS slo_version, result, CAST(1 + k % 7 AS DOUBLE) AS quantity, event_time
+  FROM e
+),
+seen AS (
+  SELECT {_LABELS}, sum(quantity) AS total, coalesce(sum(quantity) FILTER (result = 'fail'), 0) AS fail FROM increments GROUP BY ALL
+), {DEFINED}"""
+
 _STAGE_COUNTS = {
     ("lines", "lines_read"): "count(*)",
     ("lines", "malformed"): "count(*) FILTER (event_id % 17 = 0)",
@@ -384,8 +394,16 @@ UNION ALL
 SELECT line FROM (VALUES ('signup,web,critical,POST:/api/signup', 'POST:/api/signup'),
                          ('shop,web,low,POST:/api/error', 'POST:/api/error')) AS given(line, key)
 WHERE key NOT IN (SELECT event_key FROM ranked)""",
-    "class_weights": f"""WITH {CLASSIFIED}, {WEIGHTS.format(source='classified')}
-SELECT interval_no, domain, class, weight FROM weights""",
+    "class_weights": f"""WITH {CLASSIFIED},
+minutes AS (
+  SELECT CAST(floor(epoch_us(event_time) / 60000000.0) AS BIGINT) AS n, domain, class, count(*) AS c
+  FROM classified WHERE domain IS NOT NULL GROUP BY ALL
+),
+points AS (SELECT domain, class, n + 1 AS since FROM minutes UNION SELECT domain, class, n + 1441 FROM minutes),
+pieces AS (SELECT *, lead(since) OVER (PARTITION BY domain, class ORDER BY since) AS until FROM points)
+SELECT p.domain, p.class, since, until, CAST(sum(c) AS DOUBLE) AS weight
+FROM pieces p JOIN minutes m ON m.domain = p.domain AND m.class = p.class AND m.n BETWEEN since - 1440 AND since - 1
+GROUP BY ALL""",
     "class_statistical": f"""WITH {RAW},
 owned AS (SELECT *, CASE WHEN own THEN 'shop' END AS domain, CASE WHEN own THEN slo_class END AS class FROM raw),
 {WEIGHTS.format(source='owned')},
@@ -462,13 +480,34 @@ SELECT least(count(DISTINCT event_key), 4) AS event_keys, CAST(4 AS BIGINT) AS e
 SELECT metric || '{{' || labels || '}} ' || CASE WHEN value < 1000000 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) END AS line
 FROM counters""",
     "rule_thresholds": f"""WITH {SLO},
-t(slo_type, operator, labels, value) AS (VALUES
+t(slo_type, operator, labels, threshold) AS (VALUES
   ('availability', 'numberIsHigherThan',
    'namespace="production",operator="numberIsHigherThan",slo_type="availability",slo_version="1"', CAST(499 AS DOUBLE)),
   ('latency99', 'numberIsEqualOrHigherThan',
-   'namespace="test",operator="numberIsEqualOrHigherThan",slo_type="latency99",slo_version="1"', 4.5))
-SELECT t.*, count(*) AS events FROM t JOIN slo ON slo.slo_type = t.slo_type GROUP BY ALL""",
-    "stable_version": f"WITH {DEFINED} SELECT stable.*, events FROM stable JOIN requests USING (slo_domain)",
-    "ratio_thresholds": f"WITH {DEFINED} SELECT thresholds.*, events FROM thresholds JOIN requests USING (slo_domain)",
-    "burn_thresholds": f"WITH {DEFINED} SELECT burn_limits.*, events FROM burn_limits JOIN requests USING (slo_domain)",
+   'namespace="test",operator="numberIsEqualOrHigherThan",slo_type="latency99",slo_version="1"', 4.5)),
+measured AS (
+  SELECT t.*, slo.result, CAST(CASE t.slo_type WHEN 'availability' THEN status_code ELSE request_duration END AS DOUBLE) AS number
+  FROM t JOIN slo ON slo.slo_type = t.slo_type
+)
+SELECT slo_type, operator, labels, threshold, result, count(*) AS events, count(*) FILTER (number > threshold) AS above
+FROM measured GROUP BY ALL""",
+    "stable_version": f"""WITH {_SEEN},
+domains AS (SELECT slo_domain, namespace, slo_version, sum(total) AS total FROM seen GROUP BY ALL)
+SELECT slo_domain, namespace, slo_version, team, enabled, coalesce(total, 0) AS total,
+  CASE WHEN team IS NULL THEN 'undefined' WHEN total IS NULL THEN 'silent' WHEN enabled = 'false' THEN 'disabled' ELSE 'watched' END AS state
+FROM stable FULL JOIN domains USING (slo_domain, namespace, slo_version)""",
+    "ratio_thresholds": f"""WITH {_SEEN}
+SELECT {_LABELS}, value AS threshold, coalesce(total, 0) AS total, coalesce(fail, 0) AS fail, round(1 - fail / total, 9) AS measured,
+  CAST(1 - fail / total >= value AS INT) AS met
+FROM thresholds FULL JOIN seen USING ({_LABELS})""",
+    "burn_thresholds": f"""WITH {_SEEN},
+spans(slo_time_range, seconds) AS (VALUES ('1h', CAST(3600 AS BIGINT)), ('6h', 21600), ('1d', 86400), ('3d', 259200)),
+ends AS (SELECT max(event_time) AS latest FROM e),
+recent AS (
+  SELECT {_LABELS}, slo_time_range, sum(quantity) AS total, coalesce(sum(quantity) FILTER (result = 'fail'), 0) AS fail
+  FROM increments, spans, ends WHERE epoch_us(event_time) > epoch_us(latest) - seconds * 1000000 GROUP BY ALL
+)
+SELECT {_LABELS}, slo_time_range, b.value AS burn_limit, coalesce(total, 0) AS total,
+  round(fail / total / (1 - t.value), 9) AS burn, CAST(fail / total / (1 - t.value) > b.value AS INT) AS exceeded
+FROM burn_limits b JOIN thresholds t USING ({_LABELS}) LEFT JOIN recent USING ({_LABELS}, slo_time_range) WHERE t.value < 1""",
 }

@@ -29,4 +29,18 @@ slides AS (
 )
 SELECT end_sec - 3600 AS start_sec, end_sec, event_type, result, CAST(count(*) AS DOUBLE) AS value
 FROM slides WHERE end_sec * 1000 <= (SELECT epoch_us(max(event_time)) // 1000 FROM e) - 600000 GROUP BY ALL""",
+    "stream_late": f"""WITH {E},
+arrived AS (
+  SELECT *, least((day(event_time) - 1) // 8, 3) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS part,
+    epoch_us(event_time) // 60000000 * 60 + 60 AS end_sec FROM e
+),
+newest AS (SELECT part, max(epoch_us(event_time) // 1000000) AS t FROM arrived GROUP BY 1),
+marks AS (
+  SELECT p.part, (SELECT max(t) FROM newest n WHERE n.part < p.part) - 600 AS mark FROM newest p
+),
+told AS (SELECT a.*, coalesce(end_sec <= mark, false) AS late FROM arrived a JOIN marks USING (part))
+SELECT 'late' AS kind, event_type, CAST(part AS BIGINT) AS part, CAST(count(*) AS DOUBLE) AS value, CAST(sum(event_id) AS BIGINT) AS ids
+FROM told WHERE late GROUP BY ALL
+UNION ALL SELECT 'sum', event_type, CAST((end_sec - 1) // 86400 AS BIGINT), CAST(count(*) AS DOUBLE), CAST(count(*) AS BIGINT)
+FROM told WHERE NOT late AND end_sec <= (SELECT max(t) FROM newest) - 600 GROUP BY ALL""",
 }

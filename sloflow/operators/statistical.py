@@ -11,7 +11,6 @@ from sloflow.functions.once import computed
 from sloflow.operators.shape import classification, is_classified
 
 GUESSED_APP = "statistically-guessed"  # fixed value
-_CLASSES = "array<struct<upto:double,domain:string,class:string>>"
 
 
 def _interval(ts: Column, seconds: int) -> Column:
@@ -34,39 +33,70 @@ def class_counts(df: DataFrame, interval: int = 60, ts: str = "event_time") -> D
 def class_weights(
     df: DataFrame, window: int = 1800, interval: int = 60, ts: str = "event_time"
 ) -> DataFrame:
-    """Weights in force during an interval: sums over the ``window / interval`` intervals before it.
+    """Weights in force: ``(domain, class, since, until, weight)`` with interval numbers, ``until`` not included.
 
-    Only completed intervals count.  Each count is spread over the intervals it is in force for, so
-    the work is a flat aggregation of the already counted rows.
+    The weight of an interval is the sum of the counts of the ``window / interval`` intervals before it, so only
+    completed intervals count.  A count comes in with the next interval and goes out after the window: two
+    changes, whose running sum is the weight, however many intervals the window has.
     """
-    length = window // interval
     if interval <= 0:
         raise ValueError("the update interval must be above zero")
+    length = window // interval
     counts = class_counts(df, interval, ts)
+    changes = counts.select(
+        "domain",
+        "class",
+        F.inline(
+            F.array(
+                F.struct((F.col("interval_no") + 1).alias("since"), F.col("weight").alias("change")),
+                F.struct((F.col("interval_no") + 1 + length).alias("since"), (-F.col("weight")).alias("change")),
+            )
+        ),
+    )
+    along = Window.partitionBy("domain", "class").orderBy("since")
     return (
-        counts.withColumn(
-            "interval_no",
-            F.explode(F.sequence(F.col("interval_no") + 1, F.col("interval_no") + length)),
+        changes.groupBy("domain", "class", "since")
+        .agg(F.sum("change").alias("change"))
+        .withColumns(
+            {
+                "until": F.lead("since").over(along),
+                "weight": F.sum("change").over(along.rowsBetween(Window.unboundedPreceding, 0)),
+            }
         )
-        .groupBy("interval_no", "domain", "class")
-        .agg(F.sum("weight").alias("weight"))
+        .filter(F.col("weight") > 0)
+        .drop("change")
     )
 
 
-def _distribution(weights: DataFrame) -> DataFrame:
-    """Per interval the classes with cumulative weights, ordered by domain and class."""
-    before = (
-        Window.partitionBy("interval_no")
-        .orderBy("domain", "class")
-        .rowsBetween(Window.unboundedPreceding, 0)
+#: Equal parts of the unit interval by which a drawn number meets the classes that it may fall to.
+_SLOTS = 64
+
+
+def _distribution(weights: DataFrame, needed: DataFrame) -> DataFrame:
+    """The classes of each needed interval as stretches of its total weight, in order of domain and class.
+
+    Each row is one class in one of the slots it reaches into: ``(interval_no, slot, low, upto, total, domain, class)``.
+    """
+    each = weights.withColumn("interval_no", F.explode(F.sequence(F.col("since"), F.col("until") - 1)))
+    own = Window.partitionBy("interval_no")
+    placed = each.join(needed, "interval_no", "left_semi").withColumns(
+        {
+            "upto": F.sum("weight").over(own.orderBy("domain", "class").rowsBetween(Window.unboundedPreceding, 0)),
+            "total": F.sum("weight").over(own),
+        }
     )
-    return (
-        weights.withColumn("upto", F.sum("weight").over(before))
-        .groupBy("interval_no")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("upto", "domain", "class"))).alias("__classes"),
-            F.sum("weight").alias("__total"),
-        )
+    low = F.col("upto") - F.col("weight")
+    # A little wider than the stretch, as the draw is rounded; the stretch itself decides.
+    first = F.floor(low / F.col("total") * _SLOTS - 1e-6).cast("int")
+    last = F.floor(F.col("upto") / F.col("total") * _SLOTS + 1e-6).cast("int")
+    return placed.select(
+        "interval_no",
+        F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit(_SLOTS - 1)))).alias("slot"),
+        low.alias("low"),
+        "upto",
+        "total",
+        "domain",
+        "class",
     )
 
 
@@ -90,19 +120,11 @@ def classify_statistical(
 
     Without weights the ``defaults`` ``(domain, class, weight)`` are used; without those, or if
     they sum to zero, the event is dropped.  The draw is a function of the event's id and the seed,
-    so a repeated run gives the same result.  The weights have one row per interval: Spark broadcasts
-    them if their bytes allow it, else a busy interval is a skewed join key that AQE splits.
+    so a repeated run gives the same result.  An event meets the few classes whose stretch reaches into the
+    slot of its draw, so neither a busy interval nor one with many classes is a single row or task.
 
     ``history=False`` uses the defaults alone, for events whose times say nothing.
     """
-    if history:
-        timed = df.withColumn("__interval", _interval(F.col(ts), interval))
-        weights = _distribution(class_weights(df, window, interval, ts))
-        joined = timed.join(weights, timed["__interval"] == weights["interval_no"], "left")
-    else:
-        joined = df.withColumns(
-            {"__classes": F.lit(None).cast(_CLASSES), "__total": F.lit(None).cast("double")}
-        )
     listed, default_total = [], 0.0
     for domain, class_, weight in sorted(defaults):
         default_total += weight
@@ -111,11 +133,24 @@ def classify_statistical(
                 F.lit(float(default_total)).alias("upto"), F.lit(domain).alias("domain"), F.lit(class_).alias("class")
             )
         )
-    fallback = F.array(*listed).cast(_CLASSES) if listed else F.lit(None).cast(_CLASSES)
-    classes = F.coalesce(F.col("__classes"), fallback)
-    total = F.coalesce(F.col("__total"), F.lit(default_total))
-    point = uniform(F.lit(seed), F.col(ident)) * total
-    drawn = F.get(F.filter(classes, lambda c: c["upto"] > point), 0)
+    draw = uniform(F.lit(seed), F.col(ident))
+    if history:
+        asks = F.when(~is_classified(), _interval(F.col(ts), interval))
+        asked = df.withColumns({"__interval": asks, "__draw": draw}).withColumn("__slot", F.floor(F.col("__draw") * _SLOTS).cast("int"))
+        needed = df.select(asks.alias("interval_no")).filter("interval_no IS NOT NULL").distinct()
+        found = _distribution(class_weights(df, window, interval, ts), needed)
+        found = found.withColumnsRenamed({name: f"__d_{name}" for name in found.columns})
+        point = F.col("__draw") * F.col("__d_total")
+        within = (F.col("__d_low") <= point) & (point < F.col("__d_upto"))
+        same = (F.col("__interval") == F.col("__d_interval_no")) & (F.col("__slot") == F.col("__d_slot")) & within
+        joined = asked.join(found, same, "left")
+        drawn = F.when(F.col("__d_total").isNotNull(), F.struct(F.col("__d_domain").alias("domain"), F.col("__d_class").alias("class")))
+    else:
+        joined = df.withColumn("__draw", draw)
+        drawn = F.lit(None).cast("struct<domain:string,class:string>")
+    if listed:
+        chosen = F.get(F.filter(F.array(*listed), lambda c: c["upto"] > F.col("__draw") * default_total), 0)
+        drawn = F.coalesce(drawn, F.when(chosen.isNotNull(), F.struct(chosen["domain"].alias("domain"), chosen["class"].alias("class"))))
     guess = F.when(
         drawn.isNotNull(), classification(drawn["domain"], F.lit(GUESSED_APP), drawn["class"])
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,10 @@ from sloflow.operators import classify, counters, quality, shape
 from sloflow.operators.predicates import predicate
 from sloflow.operators.relabel import relabel
 from sloflow.operators.rules import evaluate_rules, parse_rules, rules_to_thresholds
-from sloflow.operators.series import Grid, instant_vector
+from sloflow.operators.series import RANGES, Grid, instant_vector
 from sloflow.operators.statistical import class_weights, classify_statistical
 from sloflow.operators.vector import select_series
-from sloflow.plans import stages
+from sloflow.plans import slo, stages
 from sloflow.sources import accesslog, definitions, loglines, messages
 from sloflow.sources.matchers import Matcher, dump_matchers, matchers_df
 
@@ -319,8 +320,7 @@ def matcher_dump(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_weights_query(spark: SparkSession, sf: str) -> DataFrame:
-    weights = class_weights(dynamic_events(spark, sf), window=7200, interval=600)
-    return weights.select("interval_no", "domain", "class", "weight")
+    return class_weights(dynamic_events(spark, sf), window=86400, interval=60)
 
 
 def class_statistical(spark: SparkSession, sf: str) -> DataFrame:
@@ -448,37 +448,83 @@ def exposition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    """Each threshold beside the number of events of its rule, so the work follows the events."""
-    rules = parse_rules(fx.RULES)
-    rows = rules_to_thresholds(spark, rules).select(
+    """Each threshold against the events of its rule: how many there are by result, and how many are above it."""
+    rows = rules_to_thresholds(spark, parse_rules(fx.RULES)).select(
         strmap.lookup(F.col("labels"), "operator").alias("operator"),
         strmap.lookup(F.col("labels"), "slo_type").alias("slo_type"),
         strmap.text(F.col("labels")).alias("labels"),
-        "value",
+        F.col("value").alias("threshold"),
+    )
+    kind = strmap.lookup(F.col("labels"), "slo_type")
+    number = F.when(kind == "availability", strmap.lookup(F.col("metadata"), "statusCode")).otherwise(
+        strmap.lookup(F.col("metadata"), "requestDuration")
+    )
+    measured = slo_events(spark, sf).select(kind.alias("slo_type"), "result", to_float(number).alias("number"))
+    return rows.join(measured, "slo_type").groupBy("slo_type", "operator", "labels", "threshold", "result").agg(
+        F.count("*").alias("events"), F.count_if(F.col("number") > F.col("threshold")).alias("above")
     )
-    fired = slo_events(spark, sf).groupBy(strmap.lookup(F.col("labels"), "slo_type").alias("slo_type"))
-    return rows.join(fired.agg(F.count("*").alias("events")), "slo_type")
 
 
-def _with_event_counts(constants: DataFrame, spark, sf) -> DataFrame:
-    """Definitions beside the number of requests of their domain."""
-    requests = fx.slo_increments(spark, sf).groupBy("slo_domain").agg(F.count("*").alias("events"))
-    return constants.join(requests, "slo_domain")
+def _increments(spark: SparkSession, sf: str, by: Sequence[str]) -> DataFrame:
+    failed = F.when(F.col("result") == "fail", F.col("quantity")).otherwise(0.0)
+    return fx.slo_increments(spark, sf).groupBy(*by).agg(F.sum("quantity").alias("total"), F.sum(failed).alias("fail"))
 
 
 def stable_version(spark: SparkSession, sf: str) -> DataFrame:
-    domains = definitions.parse_slo_definitions(fx.DEFINITIONS)
-    return _with_event_counts(definitions.stable_version_df(spark, domains), spark, sf)
+    """Which domains with events have a definition, and which definitions have events."""
+    by = ["slo_domain", "namespace", "slo_version"]
+    stable = definitions.stable_version_df(spark, definitions.parse_slo_definitions(fx.DEFINITIONS))
+    state = (
+        F.when(F.col("team").isNull(), "undefined")
+        .when(F.col("total").isNull(), "silent")
+        .when(F.col("enabled") == "false", "disabled")
+        .otherwise("watched")
+    )
+    known = stable.join(_increments(spark, sf, by), by, "full").withColumn("state", state)
+    return known.select(*by, "team", "enabled", F.coalesce("total", F.lit(0.0)).alias("total"), "state")
+
+
+def _ratio_thresholds(spark: SparkSession) -> DataFrame:
+    return definitions.ratio_threshold_df(spark, definitions.parse_slo_definitions(fx.DEFINITIONS)).drop("le", "percentile")
 
 
 def ratio_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    domains = definitions.parse_slo_definitions(fx.DEFINITIONS)
-    return _with_event_counts(definitions.ratio_threshold_df(spark, domains), spark, sf)
+    """The share of good events of each SLO beside its threshold; either may be missing."""
+    measured = 1 - F.col("fail") / F.col("total")
+    known = _ratio_thresholds(spark).join(_increments(spark, sf, slo.SLO), list(slo.SLO), "full")
+    return known.select(
+        *slo.SLO,
+        F.col("value").alias("threshold"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total", "fail")],
+        F.round(measured, 9).alias("measured"),
+        (measured >= F.col("value")).cast("int").alias("met"),
+    )
 
 
 def burn_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    domains = definitions.parse_slo_definitions(fx.DEFINITIONS)
-    return _with_event_counts(definitions.burn_threshold_df(spark, domains), spark, sf)
+    """The burn rate over the last of each range, at the newest event, beside its threshold."""
+    limits = definitions.burn_threshold_df(spark, definitions.parse_slo_definitions(fx.DEFINITIONS))
+    rows = fx.slo_increments(spark, sf)
+    newest = rows.agg(F.max(F.unix_micros("event_time"))).scalar()
+    age = newest - F.unix_micros("event_time")
+    ranges = F.array(*[F.when(age < RANGES[r] * 1_000_000, F.lit(r)) for r in slo.WINDOWS])
+    failed = F.when(F.col("result") == "fail", F.col("quantity")).otherwise(0.0)
+    recent = (
+        rows.withColumn("slo_time_range", F.explode(F.array_compact(ranges)))
+        .groupBy(*slo.SLO, "slo_time_range")
+        .agg(F.sum("quantity").alias("total"), F.sum(failed).alias("fail"))
+    )
+    allowed = _ratio_thresholds(spark).filter("value < 1").withColumnRenamed("value", "threshold")
+    burn = F.col("fail") / F.col("total") / (1 - F.col("threshold"))
+    known = limits.join(allowed, list(slo.SLO)).join(recent, [*slo.SLO, "slo_time_range"], "left")
+    return known.select(
+        *slo.SLO,
+        "slo_time_range",
+        F.col("value").alias("burn_limit"),
+        F.coalesce("total", F.lit(0.0)).alias("total"),
+        F.round(burn, 9).alias("burn"),
+        (burn > F.col("value")).cast("int").alias("exceeded"),
+    )
 
 
 STAGES = {

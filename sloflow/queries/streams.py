@@ -124,6 +124,29 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth event comes one part later than its time says, which is too late for most of them.
+
+    Late rows per part and event type, and per day and event type the sums of the final minutes.
+    """
+    path = _folder(spark, "late")
+    events = fx.table(spark, sf, "events")
+    time = F.col("ts").cast("timestamp")
+    part = F.least(F.floor((F.dayofmonth(time) - 1) / 8), F.lit(PARTS - 1)) + (F.col("event_id") % 10 == 0).cast("int")
+    for number in range(PARTS + 1):
+        events.filter(part == number).write.mode("append").parquet(f"{path}/in")
+        rows = fx.e_columns(spark.readStream.schema(events.schema).parquet(f"{path}/in")).withColumn("quantity", F.lit(1.0))
+        jobs.minute_totals_with_late(rows, path, ["event_type"]).awaitTermination()
+    late = spark.read.parquet(f"{path}/late").groupBy(F.lit("late").alias("kind"), "event_type", F.col("batch").cast("bigint").alias("part")).agg(
+        F.count("*").cast("double").alias("value"), F.sum("event_id").cast("bigint").alias("ids")
+    )
+    day = F.floor((F.col("end_sec") - 1) / 86400).cast("bigint")
+    sums = spark.read.parquet(f"{path}/rows").groupBy(F.lit("sum").alias("kind"), "event_type", day.alias("part")).agg(
+        F.sum("value").alias("value"), F.sum("events").alias("ids")
+    )
+    return late.unionByName(sums)
+
+
 def stream_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Stateless steps on a stream: event key, own classification, rules."""
     path = _folder(spark, "parse")
@@ -145,4 +168,5 @@ QUERIES = {
     "stream_cap": stream_cap,
     "stream_increase": stream_increase,
     "stream_windows": stream_windows,
+    "stream_late": stream_late,
 }

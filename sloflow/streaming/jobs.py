@@ -212,6 +212,59 @@ def minute_totals(
     )
 
 
+def late_state(path: str, by: Sequence[str]) -> DeltaState:
+    fields = [T.StructField(name, T.StringType()) for name in by]
+    fields += [T.StructField("end_sec", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("events", T.LongType())]
+    return DeltaState(f"{path}/state", T.StructType(fields), lambda: F.to_json(F.struct("end_sec", *by)), lambda: F.col("end_sec"))
+
+
+def minute_totals_with_late(
+    stream: DataFrame, path: str, by: Sequence[str], delay: int = 10 * MINUTE, ts: str = "event_time", **options
+) -> StreamingQuery:
+    """One-minute sums like :func:`minute_totals`, and the rows that came too late for them as a table of their own.
+
+    The watermark of a batch is the newest time of all batches before it, less ``delay`` seconds.  A row whose
+    minute ended by then is late: it goes to ``late`` with the seconds that it is behind, and is in no sum.  A
+    minute is final once the watermark after a batch has passed its end; it is then written to ``rows``, once, and
+    leaves the state, which holds the open minutes only.
+    """
+    state = late_state(path, by)
+    names = [*by, "end_sec", "value", "events"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = state._times().read(spark, number).first()
+        before = known["newest"] if known else None
+        end = F.floor(F.unix_micros(ts) / 60_000_000) * 60 + 60
+        rows = batch.withColumn("end_sec", end)
+        mark = None if before is None else before - delay
+        late = F.lit(False) if mark is None else F.coalesce(F.col("end_sec") <= mark, F.lit(False))
+        behind = rows.filter(late).withColumn("behind", F.lit(mark) - F.unix_seconds(ts)).drop("end_sec")
+        behind.write.mode("overwrite").parquet(batch_path(f"{path}/late", number))
+        fresh = rows.filter(~late & F.col("end_sec").isNotNull())
+        added = fresh.groupBy(*[F.col(n).cast("string").alias(n) for n in by], "end_sec").agg(
+            F.sum("quantity").alias("value"), F.count("*").alias("events")
+        )
+        open_ = state.read(spark, number, state.touched(added))
+        here = added.select(*[F.col(n).alias(f"__{n}") for n in (*by, "end_sec")])
+        same = F.lit(True)
+        for n in (*by, "end_sec"):
+            same = same & F.col(n).eqNullSafe(F.col(f"__{n}"))
+        touched = open_.join(here, same, "left_semi")
+        sums = added.select(*names).unionByName(touched.select(*names)).groupBy(*by, "end_sec").agg(F.sum("value").alias("value"), F.sum("events").alias("events"))
+        state.write(sums, number)
+        newest = batch.agg(F.max(F.unix_seconds(ts))).first()[0]
+        newest = before if newest is None else newest if before is None else max(before, newest)
+        now = None if newest is None else newest - delay
+        # All open minutes with what this batch added, without the mark that it is about to set.
+        current = state.read(spark, number + 1, marked=number)
+        final = current.filter(F.col("end_sec") <= now) if now is not None else current.limit(0)
+        final.write.mode("overwrite").parquet(batch_path(f"{path}/rows", number))
+        state.mark(spark, number, newest, None if now is None else now + 1)
+
+    return run(stream, each, f"{path}/checkpoint", **options)
+
+
 def sliding_totals(minutes: DataFrame, by: Sequence[str], length: str, slide: str) -> DataFrame:
     """Sliding sums over the one-minute sums, as a second aggregation on the same stream."""
     return (

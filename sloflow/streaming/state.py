@@ -122,10 +122,12 @@ class DeltaState:
         latest = rows.groupBy(self.key().alias("__key")).agg(F.max_by(row, "__version").alias("row")).select("row.*")
         return latest.filter(self.second() >= mark) if self.second and mark is not None else latest
 
-    def read(self, spark: SparkSession, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
-        """The state before a batch, or the newest; all of it, or of some buckets."""
+    def read(
+        self, spark: SparkSession, before: int | None = None, buckets: Sequence[int] | None = None, marked: int | None = None
+    ) -> DataFrame:
+        """The state before a batch, or the newest; all of it, or of some buckets.  ``marked`` takes the mark from before another batch."""
         before = 1 << 62 if before is None else before
-        times = self._times().read(spark, before).first()
+        times = self._times().read(spark, before if marked is None else marked).first()
         folders = [x for part in self._parts(spark, before, before, buckets).values() for x in part]
         return self._rows(spark, folders, times["mark"] if times else None)
 
@@ -141,6 +143,10 @@ class DeltaState:
             reached = min(newest, before, int(time.time())) - seconds
             mark = reached if mark is None else max(mark, reached)
         newest = before if newest is None else newest if before is None else max(before, newest)
+        self.mark(spark, number, newest, mark)
+
+    def mark(self, spark: SparkSession, number: int, newest: int | None, mark: int | None) -> None:
+        """Note the newest time there is and the time before which rows have ended."""
         self._times().write(spark.createDataFrame([(newest, mark)], _TIMES), number)
 
     def write(self, changes: DataFrame, number: int) -> None:

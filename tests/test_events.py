@@ -1,5 +1,6 @@
 import random
-from datetime import datetime, timedelta
+from collections import Counter
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from sloflow.operators.predicates import PREDICATES, predicate
 from sloflow.operators.relabel import RelabelStep, relabel
 from sloflow.operators.rules import ConfigError, Rule, check_rules, evaluate_rules, parse_rules, rules_to_thresholds
 from sloflow.operators.scan import with_previous, with_running_sum
-from sloflow.operators.statistical import GUESSED_APP, classify_statistical, uniform
+from sloflow.operators.statistical import GUESSED_APP, class_weights, classify_statistical, uniform
 from sloflow.session import RAW_EVENT
 from sloflow.sources.matchers import Matcher, matchers_df
 
@@ -348,3 +349,35 @@ def test_materialize(spark):
 
     df = raw(spark, [({"a": "1"}, None)])
     assert materialize(df, "events").collect() == df.collect()
+
+
+def test_weights_against_a_list_of_intervals(spark):
+    """Changes of weights and their running sum against sums over the intervals of the window."""
+    rng = random.Random(8)
+    seen = sorted((rng.randrange(40 * 60), rng.choice("ab"), rng.choice("xy")) for _ in range(200))
+    rows = [(i, START + timedelta(seconds=s), {}, {"domain": d, "app": "a", "class": c}, 1.0) for i, (s, d, c) in enumerate(seen)]
+    found = class_weights(spark.createDataFrame(rows, RAW_EVENT), window=300, interval=60).collect()
+    got = {(r["domain"], r["class"], n): r["weight"] for r in found for n in range(r["since"], r["until"])}
+    zero, expected = int(START.replace(tzinfo=timezone.utc).timestamp()) // 60, {}
+    for s, d, c in seen:
+        for n in range(zero + s // 60 + 1, zero + s // 60 + 6):
+            expected[d, c, n] = expected.get((d, c, n), 0) + 1
+    assert got == expected
+
+
+def test_draws_follow_many_classes(spark):
+    """Every draw falls to the class whose stretch of the total holds it, with more classes than slots."""
+    rng = random.Random(9)
+    rows = [(i, START + timedelta(seconds=rng.randrange(60)), {}, {"domain": f"d{rng.randrange(150)}", "app": "a", "class": "c"}, 1.0) for i in range(900)]
+    rows += [(1000 + i, START + timedelta(seconds=60 + rng.randrange(60)), {}, None, 1.0) for i in range(500)]
+    df = spark.createDataFrame(rows, RAW_EVENT)
+    counts = sorted(Counter(r[3]["domain"] for r in rows if r[3]).items())
+    draws = {r[0]: r[1] for r in df.filter("event_id >= 1000").select("event_id", uniform(F.lit(0), F.col("event_id"))).collect()}
+    got = {r.event_id: r.classification.domain for r in classify_statistical(df, window=60, interval=60).collect() if r.event_id >= 1000}
+    for ident, draw in draws.items():
+        upto = 0
+        for domain, n in counts:
+            upto += n
+            if upto > draw * 900:
+                assert got[ident] == domain
+                break
