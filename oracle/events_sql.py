@@ -369,6 +369,10 @@ matched AS (SELECT *, CASE WHEN NOT own AND regexp_matches(key, '^[0-9]*[0-9][0-
 SELECT event_id, CASE WHEN own THEN 'shop' ELSE found END AS domain,
   CASE WHEN own THEN 'api' WHEN found IS NOT NULL THEN 'web' END AS app,
   CASE WHEN own THEN slo_class WHEN found IS NOT NULL THEN 'low' END AS class FROM matched""",
+    "class_pattern_table": f"""WITH {RAW}
+SELECT event_id, CASE WHEN own THEN 'shop' WHEN event_type IN ('view', 'click') THEN 'u' || CAST(user_id % 10 AS VARCHAR) ELSE 'rest' END AS domain,
+  CASE WHEN own THEN 'api' ELSE 'web' END AS app,
+  CASE WHEN own THEN slo_class WHEN event_type IN ('view', 'click') THEN 'low' ELSE 'high' END AS class FROM raw""",
     "class_learned": f"""WITH {CLASSIFIED}
 SELECT event_id, CASE WHEN src IN ('own', 'learned') THEN domain END AS domain,
   CASE WHEN src IN ('own', 'learned') THEN app END AS app,

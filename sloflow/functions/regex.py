@@ -251,6 +251,87 @@ def compile_pattern(text: str) -> Pattern:
     return _Translator(text).run()
 
 
+def required_texts(text: str) -> list[str]:
+    """Texts that every match of a valid RE2 pattern contains, as written; none where nothing is sure.
+
+    Only the outermost sequence counts: what is inside of a group or class, may be left out or stands in an
+    alternative is not required, and a pattern that ignores case requires nothing.
+    """
+    found: list[str] = []
+    run: list[str] = []
+    depth = position = 0
+
+    def close() -> None:
+        if run:
+            found.append("".join(run))
+            run.clear()
+
+    while position < len(text):
+        char = text[position]
+        width, literal = 1, None
+        if char == "\\":
+            following = text[position + 1]
+            if following == "Q":
+                end = text.find("\\E", position)
+                end = len(text) if end < 0 else end
+                body = text[position + 2 : end]
+                width, literal = min(end + 2, len(text)) - position, body
+            elif following in "pPx":
+                width = len(re.compile(r"\\[pPx](\{[^}]*\}|[0-9A-Fa-f]{2}|.)").match(text, position)[0])
+            elif following == "0":
+                width = len(re.compile(r"\\0[0-7]{0,2}").match(text, position)[0])
+            else:
+                width = 2
+                literal = None if following.isalnum() else following
+        elif char == "[":
+            position = _class_end(text, position)
+            width = 0
+        elif char == "(":
+            if re.compile(r"\(\?[ims]*i").match(text, position):
+                return []
+            depth += 1
+        elif char == ")":
+            depth -= 1
+        elif char == "|" and not depth:
+            return []
+        elif char not in ".^$*+?{}|":
+            literal = char
+        elif char in "{}" and not re.compile(r"\{\d+(,\d*)?\}").match(text, position):
+            literal = char
+        after = position + width
+        # After an opening bracket a question mark is no repetition.
+        repeat = None if char == "(" else re.compile(r"[*?+]|\{(\d+)(,\d*)?\}").match(text, after)
+        if literal is None or depth or repeat:
+            # The repeated character alone may be left out; what was read before it stays.
+            if literal and not depth and len(literal) > 1:
+                run.append(literal[:-1])
+            close()
+            if literal and not depth and repeat and (repeat[0] == "+" or (repeat[1] and int(repeat[1]) > 0)):
+                found.append(literal[-1])
+            if literal and depth == 0 and not repeat:
+                run.append(literal)
+        else:
+            run.append(literal)
+        position = after if not repeat else repeat.end()
+        if repeat and text[position : position + 1] == "?":
+            position += 1
+    close()
+    return found
+
+
+def _class_end(text: str, position: int) -> int:
+    """The place after a character class."""
+    position += 1
+    if text[position : position + 1] == "^":
+        position += 1
+    first = True
+    while text[position] != "]" or first:
+        first = False
+        posix = re.compile(r"\[:\^?\w+:\]").match(text, position)
+        position += len(posix[0]) if posix else 2 if text[position] == "\\" else 1
+    return position + 1
+
+
 def anchored(text: str) -> Pattern:
     """The pattern that must match the whole text."""
     return compile_pattern(f"^(?:{text})$")

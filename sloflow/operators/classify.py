@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
 from sloflow.functions.once import computed
-from sloflow.functions.regex import compile_pattern, matches
+from sloflow.functions.regex import RegexError, compile_pattern, matches, required_texts
 from sloflow.functions.text import metadata_label
 from sloflow.operators.scan import time_chunk, with_previous
 from sloflow.operators.shape import classification, event_key, is_classified
-from sloflow.sources.matchers import Matcher, valid_patterns
+from sloflow.sources.matchers import Matcher, matchers_df, valid_patterns
 
 _NO_CLASS = "struct<domain:string,app:string,class:string>"
 
@@ -56,22 +56,78 @@ def regexp_class(key: Column, matchers: Sequence[Matcher]) -> Column:
     return F.lit(None).cast(_NO_CLASS) if chosen is None else chosen
 
 
-#: Beyond so many patterns a key is matched once and not on each of its events.
+#: Beyond so many patterns, keys look up the patterns that they may match.
 PATTERNS_PER_ROW = 8
+_GRAM = 3
 
 
-def with_regexp(df: DataFrame, matchers: Sequence[Matcher], key: str = "event_key", needed: Column | None = None) -> DataFrame:
+def pattern_index(matchers: DataFrame) -> DataFrame:
+    """An index of ``matchers`` (ord, domain, app, class, endpoint): ``(gram, ord, java, found)``.
+
+    Every valid pattern stands under one text of up to three characters that each of its matches contains: the
+    one that the fewest patterns share.  A pattern without such a text stands under the empty one.  Invalid
+    patterns are left out.  Patterns are read by Python code on the executors, as many as the table has.
+    """
+    given = [F.col(c).cast(t).alias(c) for c, t in (("ord", "long"), ("domain", "string"), ("app", "string"), ("class", "string"), ("endpoint", "string"))]
+    parsed = matchers.select(*given).mapInPandas(_parsed, "ord long, domain string, app string, class string, java string, grams array<string>")
+    grams = parsed.select("ord", "java", classification(F.col("domain"), F.col("app"), F.col("class")).alias("found"), F.explode("grams").alias("gram"))
+    sharing = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct("n", "gram", "java", "found")).alias("best")
+    return grams.join(sharing, "gram").groupBy("ord").agg(rarest).select("best.gram", "ord", "best.java", "best.found")
+
+
+def _parsed(frames):
+    import pandas as pd
+
+    for frame in frames:
+        rows = []
+        for row in frame.itertuples(index=False):
+            try:
+                java = compile_pattern(row.endpoint).java
+            except (RegexError, TypeError):
+                continue
+            texts = required_texts(row.endpoint)
+            grams = {t[i : i + _GRAM] for t in texts for i in range(len(t) - _GRAM + 1)} or {t for t in texts}
+            rows.append((*row[:4], java, sorted(grams) or [""]))
+        yield pd.DataFrame(rows, columns=["ord", "domain", "app", "class", "java", "grams"])
+
+
+def _grams(key: Column) -> Column:
+    """The empty text and all texts of up to three characters in a key."""
+
+    def of(size: int) -> Column:
+        places = F.when(F.length(key) >= size, F.sequence(F.lit(1), F.length(key) - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.substring(key, i, F.lit(size)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(size) for size in range(1, _GRAM + 1)]))
+
+
+def match_keys(keys: DataFrame, index: DataFrame, key: str = "__key") -> DataFrame:
+    """The first matching pattern by ``ord`` of each distinct key that has one: ``(key, __found)``.
+
+    Keys meet patterns by the texts that they contain, so the work follows the candidates and not keys times patterns.
+    """
+    asked = keys.select(key, F.explode(_grams(F.col(key))).alias("gram"))
+    fit = asked.join(index, "gram").filter(F.expr(f"`{key}` rlike java"))
+    return fit.groupBy(key).agg(F.min_by("found", "ord").alias("__found"))
+
+
+def with_regexp(df: DataFrame, matchers: Sequence[Matcher] | DataFrame, key: str = "event_key", needed: Column | None = None) -> DataFrame:
     """Add ``__regexp``: the classification by pattern where ``needed``, else NULL.
 
-    A few patterns are a column.  With more of them their cost counts: the keys are reduced to distinct
-    ones, matched once each and joined back; AQE splits the partitions of hot keys.  A stream has no end
-    to wait for and keeps the column.
+    A few patterns are a column.  More of them, or a table (as of
+    :func:`~sloflow.sources.matchers.matchers_df`), become an index: the keys are reduced to distinct ones, looked
+    up and joined back; AQE splits the partitions of hot keys.  A stream has no end to wait for and keeps the
+    column; per micro-batch, as in ``classify_stream``, it uses the index.
     """
     needed = F.lit(True) if needed is None else needed
-    if df.isStreaming or len(matchers) <= PATTERNS_PER_ROW:
-        return df.withColumn("__regexp", F.when(needed, regexp_class(F.col(key), matchers)))
-    found = df.filter(needed).select(F.col(key).alias("__key")).distinct()
-    found = computed(found, {"__found": regexp_class(F.col("__key"), matchers)}).filter(F.col("__found").isNotNull())
+    if not isinstance(matchers, DataFrame):
+        if df.isStreaming or len(matchers) <= PATTERNS_PER_ROW:
+            return df.withColumn("__regexp", F.when(needed, regexp_class(F.col(key), matchers)))
+        matchers = matchers_df(df.sparkSession, valid_patterns(matchers))
+    if df.isStreaming:
+        raise ValueError("a table of patterns is looked up per micro-batch, see classify_stream")
+    found = match_keys(df.filter(needed).select(F.col(key).alias("__key")).distinct(), pattern_index(matchers))
     return df.join(found, df[key] == found["__key"], "left").withColumn("__regexp", F.when(needed, F.col("__found"))).drop("__key", "__found")
 
 
@@ -124,7 +180,7 @@ def classify_exact(df: DataFrame, matchers: DataFrame) -> DataFrame:
     ).drop("__exact")
 
 
-def classify_regexp(df: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
+def classify_regexp(df: DataFrame, matchers: Sequence[Matcher] | DataFrame) -> DataFrame:
     keyed = df.withColumn("__event_key", event_key())
     return (
         with_regexp(keyed, matchers, "__event_key", ~is_classified())
@@ -133,7 +189,7 @@ def classify_regexp(df: DataFrame, matchers: Sequence[Matcher]) -> DataFrame:
     )
 
 
-def decide(df: DataFrame, regexp: Sequence[Matcher]) -> DataFrame:
+def decide(df: DataFrame, regexp: Sequence[Matcher] | DataFrame) -> DataFrame:
     """Choose among own, ``__learned``, ``__exact`` and regular-expression classification.
 
     ``classified_by`` is NULL for events that came classified and empty for those that stay
@@ -161,7 +217,7 @@ def decide(df: DataFrame, regexp: Sequence[Matcher]) -> DataFrame:
 def classify_dynamic(
     df: DataFrame,
     exact: DataFrame | None = None,
-    regexp: Sequence[Matcher] = (),
+    regexp: Sequence[Matcher] | DataFrame = (),
     order: Sequence[str] = ("event_time", "event_id"),
     chunk: Column | None = None,
     remembered: DataFrame | None = None,

@@ -292,6 +292,19 @@ def class_many_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("event_id", *_class_columns())
 
 
+def class_pattern_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of patterns with one for each user that occurs, and one for all that is left."""
+    users = fx.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user")).distinct()
+    own = users.select(
+        F.col("user").cast("long").alias("ord"), F.concat(F.lit("u"), F.col("user").cast("long") % 10).alias("domain"),
+        F.lit("web").alias("app"), F.lit("low").alias("class"), F.concat(F.lit("^/api/(view|click)/"), "user", F.lit("$")).alias("endpoint"),
+    )
+    rest = spark.range(1).select(F.lit(1 << 40).alias("ord"), F.lit("rest").alias("domain"), F.lit("web").alias("app"), F.lit("high").alias("class"), F.lit("^.*$").alias("endpoint"))
+    keyed = shape.generate_event_key(fx.raw_events(spark, sf), ["httpPath"])
+    done = classify.classify_regexp(keyed, own.unionByName(rest))
+    return done.select("event_id", *_class_columns())
+
+
 def class_learned(spark: SparkSession, sf: str) -> DataFrame:
     done = classify.classify_learned(_keyed(spark, sf))
     return done.select("event_id", *_class_columns())
@@ -600,6 +613,7 @@ QUERIES = {
     "class_exact": class_exact,
     "class_regexp": class_regexp,
     "class_many_patterns": class_many_patterns,
+    "class_pattern_table": class_pattern_table,
     "class_learned": class_learned,
     "class_dynamic": class_dynamic,
     "class_report": class_report,

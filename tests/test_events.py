@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta, timezone
 
@@ -381,3 +382,17 @@ def test_draws_follow_many_classes(spark):
             if upto > draw * 900:
                 assert got[ident] == domain
                 break
+
+
+def test_pattern_index_against_all_patterns(spark):
+    """The first of hundreds of patterns in file order, from the index as from a plain loop; invalid ones are left out."""
+    rng = random.Random(4)
+    parts = ["/api", "/v[0-9]", "/users", "/a", "b+", "(x|y)", ".*", "/", "z?", "[abc]", "/users/12"]
+    patterns = ["^" + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(300)] + ["(", "^$", "q"]
+    keys = ["".join(rng.choice(["/api", "/v1", "/users", "/a", "b", "x", "/12", "z", "c"]) for _ in range(rng.randrange(5))) for _ in range(200)]
+    matchers = [Matcher(f"d{i}", "m", "c", p) for i, p in enumerate(patterns)]
+    df = raw(spark, [({shape.EVENT_KEY: k}, None) for k in keys])
+    for given in (matchers, matchers_df(spark, matchers)):
+        found = classify.classify_regexp(df, given).orderBy("event_id").collect()
+        expected = [next((f"d{i}" for i, p in enumerate(patterns) if p != "(" and re.search(p, k)), None) for k in keys]
+        assert [r.classification.domain if r.classification else None for r in found] == expected

@@ -1,10 +1,12 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
-from sloflow.functions.regex import RegexError, anchored, compile_pattern, expand, matches
+from sloflow.functions.regex import RegexError, anchored, compile_pattern, expand, matches, required_texts
 from sloflow.functions.text import (
     duration_ns,
     metadata_label,
@@ -142,3 +144,30 @@ def test_extreme_durations(spark, text, expected):
             parse_duration_ns(text)
     else:
         assert parse_duration_ns(text) == expected
+
+
+@pytest.mark.parametrize(
+    ("pattern", "expected"),
+    [
+        ("^/api/users/[0-9]+$", ["/api/users/"]), ("a|b", []), ("(?i)abc", []), ("abc?d", ["ab", "d"]), ("ab+c", ["a", "b", "c"]),
+        ("(abc)def", ["def"]), (r"\Qa.b\Ec", ["a.bc"]), (r"a\.b\dc", ["a.b", "c"]), ("ab{2}c{0,3}d", ["a", "b", "d"]), ("[]a-]x", ["x"]),
+        (r"\x41b", ["b"]), (r"\d{2}a", ["a"]), ("", []), ("a{x", ["a{x"]), (".*", []), ("(a|b)cd(?:e|f)*gh", ["cd", "gh"]), ("(?s)ab", ["ab"]),
+    ],
+)
+def test_required_texts(pattern, expected):
+    compile_pattern(pattern)
+    assert required_texts(pattern) == expected
+
+
+def test_required_texts_are_in_every_match():
+    rng = random.Random(3)
+    pieces = ["a", "b", "ab", "a+", "b?", "(a|b)", "(ab)*", "[ab]", ".", "c{2}", "c{0,1}", "^", "$", r"\.", "(?:b|c)", "|", r"\d", "x", "(a(b)c)?"]
+    hits = 0
+    for _ in range(4000):
+        pattern = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6)))
+        text = "".join(rng.choice("abc.x1") for _ in range(rng.randrange(8)))
+        found = re.search(pattern, text)
+        if found:
+            hits += 1
+            assert all(t in found[0] for t in required_texts(pattern)), (pattern, text)
+    assert hits > 500
