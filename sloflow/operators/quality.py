@@ -22,13 +22,17 @@ def standard_counts(rules: Sequence[Rule] = ()) -> dict[str, Column]:
     return counts
 
 
+def _tallies(counts: Mapping[str, Column]) -> list[Column]:
+    """Sums of conditions, as one and zero, or of whole numbers."""
+    return [F.coalesce(F.sum(number.cast("bigint")), F.lit(0)).cast("bigint").alias(name) for name, number in counts.items()]
+
+
 def count_events(df: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
-    """One row with the number of rows for which each condition holds."""
-    return df.agg(*[F.count_if(condition).alias(name) for name, condition in counts.items()])
+    """One row with the number of rows for which each condition holds, or the sum of a whole number."""
+    return df.agg(*_tallies(counts))
 
 
 def observed(df: DataFrame, name: str, counts: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
-    """Count while the data flows by: read the observation after an action on the returned frame."""
+    """The same while the data flows by: read the observation after an action on the returned frame."""
     observation = Observation(name)
-    metrics = [F.count_if(condition).alias(key) for key, condition in counts.items()]
-    return df.observe(observation, *metrics), observation
+    return df.observe(observation, *_tallies(counts)), observation

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sloflow.functions import strmap
@@ -42,6 +42,16 @@ class Context:
     timed: bool = True
     #: Lazy side results by name; none is computed unless it is read.
     reports: dict[str, DataFrame] = field(default_factory=dict)
+    #: Observations by name, where the run itself counts, else None.
+    watched: dict[str, Observation] | None = None
+
+    def counted(self, df: DataFrame, name: str, counts: Mapping[str, Column]) -> DataFrame:
+        """``df``, whose rows are counted as a lazy report, or as they flow by in the run."""
+        if self.watched is None:
+            self.reports[name] = quality.count_events(df, counts)
+            return df
+        seen, self.watched[name] = quality.observed(df, name, counts)
+        return seen
 
     def path(self, name: str) -> str:
         return name if "://" in name or os.path.isabs(name) else os.path.join(self.base_dir, name)
@@ -144,7 +154,7 @@ def _log_lines(_, settings: Settings, context: Context) -> DataFrame:
             raise ConfigError(["tailer: setting tailedFile is missing"])
         lines = loglines.read_log_lines(context.spark, context.path(path)).withColumnRenamed("seq", "event_id")
     parsed = loglines.parse_log_lines(lines, line_re, empty_re)
-    context.reports["lines"] = quality.count_events(parsed, {"lines_read": F.lit(True), "malformed": F.col("malformed")})
+    parsed = context.counted(parsed, "lines", {"lines_read": F.lit(True), "malformed": F.col("malformed")})
     return context.identified(loglines.well_formed(parsed))
 
 
@@ -162,7 +172,7 @@ def _messages(_, settings: Settings, context: Context) -> DataFrame:
     elif start not in messages.START_OFFSETS:
         raise ConfigError([f"kafkaIngester: unknown fallbackStartOffset {start!r}"])
     decoded = messages.decode_messages(landed, header)
-    context.reports["messages"] = quality.count_events(decoded, {"messages_read": F.lit(True), "malformed": F.col("malformed")})
+    decoded = context.counted(decoded, "messages", {"messages_read": F.lit(True), "malformed": F.col("malformed")})
     return context.identified(loglines.well_formed(decoded))
 
 
@@ -213,8 +223,7 @@ def _rename(df: DataFrame, settings: Settings, context: Context) -> DataFrame:
         pairs.append((pair.need("source"), pair.need("destination")))
         pair.done()
     renamed = shape.rename_keys(df, pairs, collisions="__collisions")
-    context.reports["rename_collisions"] = renamed.agg(F.coalesce(F.sum("__collisions"), F.lit(0)).cast("bigint").alias("collisions"))
-    return renamed.drop("__collisions")
+    return context.counted(renamed, "rename_collisions", {"collisions": F.col("__collisions")}).drop("__collisions")
 
 
 @stage("relabel", RAW, RAW)
@@ -280,7 +289,7 @@ def _rules(df: DataFrame, settings: Settings, context: Context) -> DataFrame:
     rules = load_rules([context.path(p) for p in settings.get("rulesFiles", [])])
     if settings.flag("exposeRulesAsMetrics", False):
         context.reports["rule_thresholds"] = rules_to_thresholds(context.spark, rules)
-    context.reports["rules"] = quality.count_events(df, quality.standard_counts(rules))
+    df = context.counted(df, "rules", quality.standard_counts(rules))
     return evaluate_rules(df, rules)
 
 
@@ -298,10 +307,8 @@ def _counters(df: DataFrame, settings: Settings, context: Context) -> DataFrame:
     names.done()
     limit = int(settings.get("maximumUniqueEventKeys", 0))
     placeholder = settings.get("exceededKeyLimitPlaceholder", counters.EXCEEDED_PLACEHOLDER)
-    valid = shape.valid_result(df)
-    context.reports["results"] = quality.count_events(
-        df, {"slo_events": F.lit(True), "invalid_results": ~F.coalesce(F.col("result").isin(*shape.RESULTS), F.lit(False))}
-    )
+    invalid = ~F.coalesce(F.col("result").isin(*shape.RESULTS), F.lit(False))
+    valid = shape.valid_result(context.counted(df, "results", {"slo_events": F.lit(True), "invalid_results": invalid}))
     context.reports["event_keys"] = counters.event_key_stats(valid, limit)
     return counters.capped_counters(
         valid,
@@ -355,7 +362,7 @@ class Pipeline:
             df = STAGES[name].build(df, settings, context)
             settings.done()
             if STAGES[name].gives == RAW:
-                context.reports[f"events after {name}"] = df.agg(F.count("*").alias("events"))
+                df = context.counted(df, f"events after {name}", {"events": F.lit(True)})
         return df
 
 
@@ -393,5 +400,23 @@ def run_with_reports(
     return Pipeline.parse(text).run(context), context.reports
 
 
+def run_counted(
+    spark: SparkSession,
+    text: str,
+    sink: Callable[[DataFrame], object],
+    inputs: Mapping[str, object] | None = None,
+    base_dir: str = ".",
+    event_time: Callable[[DataFrame], Column] | None = None,
+) -> tuple[dict[str, dict[str, int]], Mapping[str, DataFrame]]:
+    """Run a configuration into ``sink``, which writes or collects the result once, and count on the way.
+
+    Returns the counts of :func:`run_with_reports` by report and name, from that one run, and the reports that
+    are no plain counts (by class, by key, thresholds) as lazy DataFrames.
+    """
+    context = Context(spark, inputs or {}, base_dir, event_time, watched={})
+    sink(Pipeline.parse(text).run(context))
+    return {name: dict(seen.get) for name, seen in context.watched.items()}, context.reports
+
+
 def stage_names() -> Sequence[str]:
     return sorted(STAGES)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sloflow.functions import strmap
 from sloflow.operators import counters
 from sloflow.operators.rules import ConfigError
-from sloflow.plans.stages import Pipeline, run_pipeline, run_with_reports, stage_names
+from sloflow.plans.stages import Pipeline, run_counted, run_pipeline, run_with_reports, stage_names
 
 # A scenario of our own: lines of a batch scheduler, one per finished run.
 LINE_RE = (
@@ -149,3 +149,18 @@ def test_unknown_setting(spark):
     with pytest.raises(ConfigError, match="surprise"):
         run_pipeline(spark, text, {"tailer": lines})
     assert len(stage_names()) == 12
+
+
+def test_counts_of_the_run_itself(spark, tmp_path):
+    """One run counts what the lazy reports would count in a run each."""
+    (tmp_path / "rules.yaml").write_text(RULES)
+    (tmp_path / "known.csv").write_text('nightly,etl,urgent,"^load/[a-z]+@"\n')
+    lines = [ran("load/stock"), ran("load/stock", queue="scratch"), ran("report/daily"), "not a run"]
+    (tmp_path / "runs.txt").write_text("\n".join(lines) + "\n")
+    text = CONFIG % ("", LINE_RE)
+    results = []
+    counts, others = run_counted(spark, text, lambda df: results.append(df.collect()), base_dir=str(tmp_path))
+    done, reports = run_with_reports(spark, text, base_dir=str(tmp_path))
+    assert sorted(map(str, results[0])) == sorted(map(str, done.collect()))
+    assert counts and counts == {name: reports[name].first().asDict() for name in counts}
+    assert set(counts) | set(others) == set(reports)
