@@ -113,7 +113,10 @@ def _levels(source: str = "slo") -> str:
 _COUNTERS = f"counters AS ({_levels()})"
 
 
-def _exemplars() -> str:
+_SHOWN = "'httpPath=\"' || x.http_path || '\"' || coalesce(',referer=\"' || x.referer || '\"', '')"
+
+
+def _exemplars(source: str = "slo", shown: str = _SHOWN) -> str:
     """Per level the counters with the latest event of each label set and result."""
     parts = []
     for level in range(1, 5):
@@ -129,11 +132,11 @@ def _exemplars() -> str:
         parts.append(
             f"""(SELECT '{metric}:slo_events_total' AS metric, {labels} AS labels, b.value,
   l.id AS exemplar_id, CASE WHEN l.id IS NOT NULL THEN 1.0 END AS exemplar_value,
-  'httpPath="' || x.http_path || '"' || coalesce(',referer="' || x.referer || '"', '') AS exemplar_labels
+  {shown} AS exemplar_labels
 FROM (
   SELECT {by}, r, CAST(count(*) FILTER (result = r) AS DOUBLE) AS value
-  FROM slo, (VALUES ('success'), ('fail')) AS results(r) GROUP BY ALL
-) b LEFT JOIN (SELECT {by}, result, arg_max(event_id, (event_time, event_id)) AS id FROM slo GROUP BY ALL) l
+  FROM {source}, (VALUES ('success'), ('fail')) AS results(r) GROUP BY ALL
+) b LEFT JOIN (SELECT {by}, result, arg_max(event_id, (event_time, event_id)) AS id FROM {source} GROUP BY ALL) l
   ON {on} AND b.r = l.result LEFT JOIN raw x ON x.event_id = l.id)"""
         )
     return " UNION ALL ".join(parts)

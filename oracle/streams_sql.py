@@ -1,6 +1,6 @@
 """DuckDB SQL with the expected results of ``sloflow.queries.streams``."""
 
-from oracle.events_sql import CLASSIFIED, E, ORACLE as EVENTS, RAW, SLO, _levels
+from oracle.events_sql import CLASSIFIED, E, ORACLE as EVENTS, RAW, SLO, _exemplars, _levels
 from oracle.series_sql import ORACLE as SERIES
 
 # All rules over events whose class comes from their method and user.
@@ -21,6 +21,10 @@ admitted AS (SELECT http_path AS p FROM slo GROUP BY 1 ORDER BY min((event_time,
 SELECT coalesce(p, 'cardinalityLimitExceeded') AS event_key, CAST(p IS NULL AS INT) AS key_capped,
   count(*) AS events, min(event_id) AS first_id
 FROM slo LEFT JOIN admitted ON http_path = p GROUP BY ALL""",
+    "stream_capped_counters": f"""WITH {_OWN},
+admitted AS (SELECT http_path AS p FROM slo GROUP BY 1 ORDER BY min((event_time, event_id, rule)) LIMIT 4),
+capped AS (SELECT slo.* REPLACE (coalesce(p, 'cardinalityLimitExceeded') AS event_key) FROM slo LEFT JOIN admitted ON http_path = p)
+{_exemplars('capped', "'httpMethod=\"' || x.http_method || '\"'")}""",
     "stream_increase": SERIES["counter_increase"],
     "stream_windows": f"""WITH {E},
 ends AS (SELECT event_type, result, epoch_us(event_time) // 60000000 * 60 + 60 AS minute_end FROM e),

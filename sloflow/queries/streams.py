@@ -89,6 +89,20 @@ def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("metric", strmap.text(F.col("labels")).alias("labels"), "value")
 
 
+def stream_capped_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters with a limit on event keys and exemplars, over four runs."""
+    path = _folder(spark, "capped")
+    keyed = lambda events: _slo(shape.generate_event_key(_raw(events), ["httpPath"]))
+    job = lambda events: jobs.counter_stream(keyed(events), path, limit=CAP, exemplar_keys=["httpMethod"])
+    _arriving(spark, sf, path, job)
+    rows = jobs.read_counters(spark, path, exemplars=True)
+    exemplar = F.col("exemplar")
+    return rows.select(
+        "metric", strmap.text(F.col("labels")).alias("labels"), "value", exemplar["at"]["event_id"].alias("exemplar_id"),
+        exemplar["value"].alias("exemplar_value"), exemplar["labels"].alias("exemplar_labels"),
+    )
+
+
 def stream_cap(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "cap")
     keyed = lambda events: _slo(shape.generate_event_key(_raw(events), ["httpPath"]))
@@ -166,6 +180,7 @@ QUERIES = {
     "stream_learned": stream_learned,
     "stream_counters": stream_counters,
     "stream_cap": stream_cap,
+    "stream_capped_counters": stream_capped_counters,
     "stream_increase": stream_increase,
     "stream_windows": stream_windows,
     "stream_late": stream_late,

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from sloflow.operators import counters
+from sloflow.operators import counters, shape
 from sloflow.functions import strmap
 from sloflow.operators.classify import classify_dynamic, event_key, remember
 from sloflow.operators.series import MINUTE, STALENESS, counter_events, last_samples
 from sloflow.session import CLASSIFICATION, SAMPLE
 from sloflow.sources.matchers import Matcher
-from sloflow.streaming.state import DeltaState, StateTable
+from sloflow.streaming.state import DeltaState
 
 LEARNED = T.StructType(
     [T.StructField("event_key", T.StringType()), T.StructField("learned", CLASSIFICATION)]
@@ -166,39 +166,69 @@ def cap_stream(
     return run(stream, each, f"{path}/checkpoint", **options)
 
 
+def counter_state(path: str, names: counters.LabelNames = counters.DEFAULT_NAMES, exemplars: bool = False) -> DeltaState:
+    """Label sets of the finest level with the sums of both results, and their latest exemplars."""
+    text = T.StringType()
+    fields = [T.StructField(name, text) for name in names.levels] + [T.StructField("extra", T.MapType(text, text))]
+    fields += [T.StructField(result, T.DoubleType()) for result in counters.RESULTS]
+    if exemplars:
+        at = T.StructType([T.StructField("event_time", T.TimestampType()), T.StructField("event_id", T.LongType())])
+        shown = T.StructType([T.StructField("at", at), T.StructField("value", T.DoubleType()), T.StructField("labels", text)])
+        fields += [T.StructField(f"{result}_exemplar", shown) for result in counters.RESULTS]
+    levels = [F.col(f"`{name}`") for name in names.levels]
+    return DeltaState(f"{path}/counters", T.StructType(fields), lambda: F.to_json(F.struct(*levels, strmap.text(F.col("extra")).alias("extra"))))
+
+
 def counter_stream(
     stream: DataFrame,
     path: str,
-    base: str = "slo_events_total",
     names: counters.LabelNames = counters.DEFAULT_NAMES,
+    limit: int = 0,
+    placeholder: str = counters.EXCEEDED_PLACEHOLDER,
+    exemplar_keys: Sequence[str] = (),
+    order: Sequence[str] = ("event_time", "event_id", "rule"),
     **options,
 ) -> StreamingQuery:
-    """Counters of SLO events since the start of the stream; they survive restarts.
+    """Counters of SLO events since the start of the stream, with a limit on event keys and exemplars; they survive restarts.
 
-    The finest level is a streaming aggregation in Spark's state store.  Each batch writes the
-    whole counter table, whose size is bounded by the cardinality limit, as a new version.
+    A batch is aggregated to label sets of the finest level, and only those are read, added to and written again.
+    The coarser levels are made by :func:`read_counters`.  The keys that came first over the whole stream are
+    admitted; 0 means no limit.
     """
-    finest = counters.finest_counters(stream, names)
-    table = StateTable(f"{path}/counters", COUNTERS)
+    state, seen = counter_state(path, names, bool(exemplar_keys)), admitted_state(f"{path}/keys")
 
     def each(batch: DataFrame, number: int) -> None:
-        table.write(counters.cascade_levels(batch, base, names), number)
-
-    return run(finest, each, f"{path}/checkpoint", mode="complete", **options)
-
+        spark = batch.sparkSession
+        rows = shape.valid_result(batch)
+        if limit:
+            known = seen.read(spark, number)
+            fresh = rows.join(known, "event_key", "left_anti")
+            seen.write(counters.admitted_keys(fresh, max(limit - known.count(), 0), order).select("event_key"), number)
+            rows = counters.cap_event_keys(rows, limit, placeholder, order, seen.read(spark, number + 1))
+        added = counters.finest_counters(rows, names, exemplar_keys, ("event_time", "event_id"))
+        added = added.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in state.schema])
+        # Written before it is added: what it is read for would otherwise aggregate the batch again.
+        added.write.mode("overwrite").parquet(batch_path(f"{path}/added", number))
+        added = spark.read.schema(state.schema).parquet(batch_path(f"{path}/added", number))
+        before = state.read(spark, number, state.touched(added))
+        here = added.select(state.key().alias("__here")).distinct()
+        before = before.join(here, state.key() == F.col("__here"), "left_semi")
+        sums = [F.sum(result).alias(result) for result in counters.RESULTS]
+        if exemplar_keys:
+            latest = [f"{result}_exemplar" for result in counters.RESULTS]
+            sums += [F.max_by(name, F.col(f"{name}.at")).alias(name) for name in latest]
+        by = [F.col(f"`{name}`") for name in names.levels]
+        both = before.unionByName(added).groupBy(*by, state.key().alias("__key")).agg(F.any_value("extra").alias("extra"), *sums)
+        state.write(both.drop("__key"), number)
 
-COUNTERS = T.StructType(
-    [
-        T.StructField("metric", T.StringType()),
-        T.StructField("level", T.IntegerType()),
-        T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
+    return run(stream, each, f"{path}/checkpoint", **options)
 
 
-def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    return StateTable(f"{path}/counters", COUNTERS).read(spark)
+def read_counters(
+    spark: SparkSession, path: str, base: str = "slo_events_total", names: counters.LabelNames = counters.DEFAULT_NAMES, exemplars: bool = False
+) -> DataFrame:
+    """All levels of the counters of a stream: ``(metric, level, labels, value[, exemplar])``."""
+    return counters.cascade_levels(counter_state(path, names, exemplars).read(spark), base, names)
 
 
 def minute_totals(

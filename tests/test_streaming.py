@@ -228,3 +228,30 @@ def test_small_batches_write_little(spark, tmp_path):
         state.write(batch, number)
     assert size(tmp_path / "s") - first < first / 4
     assert state.read(spark).count() == 20_000 and state.read(spark).filter("v = at AND v > 0").count() == 7
+
+
+def test_capped_counters_with_exemplars_over_batches(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [
+        (i, START + timedelta(seconds=rng.randrange(400)), 0, rng.choice("abcdefgh"), rng.choice(["fail", "success", "odd"]), "d", rng.choice("xy"), "a",
+         {"t": str(i % 2)}, float(rng.randrange(3)), {"m": rng.choice("pq")})
+        for i in range(80)
+    ]
+    schema = (
+        "event_id long, event_time timestamp, rule int, event_key string, result string, slo_domain string, slo_class string, "
+        "slo_app string, labels map<string,string>, quantity double, metadata map<string,string>"
+    )
+    df = spark.createDataFrame(rows, schema)
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    for _ in feed(spark, df, source, "event_time", 4):
+        jobs.counter_stream(files(spark, source, df.schema), path, limit=4, exemplar_keys=["m"]).awaitTermination()
+    valid = df.filter(F.col("result").isin("fail", "success"))
+    batch = counters.cascade_counters(counters.cap_event_keys(valid, 4), exemplar_keys=["m"])
+
+    def plain(table):
+        return {
+            (r.metric, tuple(sorted(r.labels.items())), r.value, (r.exemplar["at"]["event_id"], r.exemplar["value"], r.exemplar["labels"]) if r.exemplar else None)
+            for r in table.collect()
+        }
+
+    assert plain(jobs.read_counters(spark, path, exemplars=True)) == plain(batch)
