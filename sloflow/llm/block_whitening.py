@@ -105,10 +105,7 @@ def whiten(vectors: DataFrame, most: int = MOST, scale: int = SCALE, shift: int
     values, axes = components(variance, most)
     count = len(values)
     factors = axes / np.sqrt(np.where(values > 0, values, 1.0))
-    projection = BlockMatrix(
-        spark.sparkContext.parallelize([((0, 0), DenseMatrix(size, count, factors.ravel(order="F").tolist()))] if size <= BLOCK_COLUMNS else _row_blocks(factors)),
-        BLOCK_COLUMNS, BLOCK_COLUMNS, size, count,
-    )
+    projection = BlockMatrix(spark.sparkContext.parallelize(_cut(factors)), BLOCK_COLUMNS, BLOCK_COLUMNS, size, count)
     product = matrix.multiply(projection)
     indexed = product.toIndexedRowMatrix()
     found = callMLlibFunc("getIndexedRows", indexed._java_matrix_wrapper._java_model)
@@ -128,9 +125,14 @@ def whiten(vectors: DataFrame, most: int = MOST, scale: int = SCALE, shift: int
     )
 
 
-def _row_blocks(factors: np.ndarray) -> list:
-    parts = [factors[i : i + BLOCK_COLUMNS] for i in range(0, len(factors), BLOCK_COLUMNS)]
-    return [((i, 0), DenseMatrix(len(p), p.shape[1], p.ravel(order="F").tolist())) for i, p in enumerate(parts)]
+def _cut(factors: np.ndarray) -> list:
+    """The blocks of a small matrix."""
+    found = []
+    for i in range(0, factors.shape[0], BLOCK_COLUMNS):
+        for j in range(0, factors.shape[1], BLOCK_COLUMNS):
+            part = factors[i : i + BLOCK_COLUMNS, j : j + BLOCK_COLUMNS]
+            found.append(((i // BLOCK_COLUMNS, j // BLOCK_COLUMNS), DenseMatrix(*part.shape, part.ravel(order="F").tolist())))
+    return found
 
 
 def _identity_error(found: DataFrame, values: np.ndarray, n: int) -> float:

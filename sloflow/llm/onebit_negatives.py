@@ -2,7 +2,7 @@
 
 Vectors become integers, ``floor(scale * x)``, and are turned by one random rotation.  The signs of a turned
 vector are its code ``c`` (of length one), and the stored alignment ``a = <x, c>`` is the best multiple of it; the
-rest ``x - a * c`` is coded the same way, ``CODES`` times, until its stored length is about a tenth of the
+rest ``x - a * c`` is coded the same way, ``CODES`` times, until its stored length is about a sixth of the
 vector's.  A query is turned too and written in ``BITS`` bit planes, so its product with a code is a sum of
 popcounts.  The sum of alignment times product estimates the score; by Cauchy and Schwarz it is wrong by at most
 the lengths of the two rests times those of their partners.  Where this interval meets neither the best scores so
