@@ -83,59 +83,110 @@ def _alphabet(value: str) -> int:
     return 16 if size <= 36 and not re.search(r"[^0-9a-f]", value) else max(size, 10)
 
 
-def _walk_steps(text: str) -> list[bool]:
-    """Whether each character stands beside the one before it on a keyboard row."""
-    beside = {a + b for row in KEYBOARD for a, b in zip(row, row[1:], strict=False)}
-    return [False] + [(a + b) in beside or (b + a) in beside for a, b in zip(text, text[1:], strict=False)]
+#: Neighbours on a row of a keyboard, in either direction.
+_BESIDE = {x for row in KEYBOARD for a, b in zip(row, row[1:], strict=False) for x in (a + b, b + a)}
+#: Characters that a piece looks back at, except those of walks and repeats, which keep their own starts.
+_RING = 32
+
+
+class _Starts:
+    """Starts of a piece whose price is that of its start and log2 of its length; :meth:`least` gives the cheapest.
+
+    Of two starts the earlier one gains on the later as the piece grows, so a start that has been overtaken, or
+    will be before it leads, goes.  What stays is a stack whose top is the cheapest, and each start enters and
+    leaves it once.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[int, float]] = []
+
+    @staticmethod
+    def _overtakes(early: tuple[int, float], late: tuple[int, float]) -> float:
+        """The end from which on the earlier start, which is the cheaper one, gives the cheaper piece."""
+        ratio = 2.0 ** min(late[1] - early[1], 60.0)
+        return math.inf if ratio == 1.0 else (ratio * late[0] - early[0]) / (ratio - 1)
+
+    def add(self, start: int, price: float):
+        stack = self.stack
+        while stack and price <= stack[-1][1]:
+            stack.pop()
+        new = (start, price)
+        while len(stack) > 1 and self._overtakes(stack[-2], stack[-1]) <= self._overtakes(stack[-1], new):
+            stack.pop()
+        stack.append(new)
+
+    def least(self, end: int) -> float:
+        stack = self.stack
+        costs = [price + math.log2(end - start) for start, price in stack[-2:]]
+        while len(costs) > 1 and costs[0] <= costs[1]:
+            stack.pop()
+            costs = [price + math.log2(end - start) for start, price in stack[-2:]]
+        return costs[-1] if costs else math.inf
 
 
 def guess_bits(value: str, ranks: dict[str, int]) -> float:
     """Bits of the cheapest segmentation.  Every piece costs one bit more for its kind and place.
 
     Words cost their rank, a bit for capitals and one for look-alike digits; dates the days of two
-    centuries; a repeat what its unit costs and the number of repeats; a walk its start, length and turns;
-    anything else its characters one by one.  An empty value costs nothing.
+    centuries; a repeat what its unit costs, as characters or as the pieces before it, and the number of
+    repeats; a walk its start, length and turns; anything else its characters one by one.  Walks and repeats may
+    start anywhere and have any length.  An empty value costs nothing.  The memory does not grow with the value.
     """
     n = len(value)
     low = value.lower()
+    if len(low) != n:
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
     plain = low.translate(_LEET)
     per_char = math.log2(_alphabet(value)) if value else 0.0
-    steps = _walk_steps(low)
+    best = [math.inf] * _RING  # the cheapest price of what ends here, by place
+    best[0] = 0.0
+    brute = math.inf  # the same where a brute-force piece ends
     dates: dict[int, list[int]] = {}  # starts by end
-    for i in range(n):
-        if low[i].isdigit():
-            for end in {m.end() for form in _DATES if (m := form.match(low, i))}:
-                dates.setdefault(end, []).append(i)
-    # run[p][j]: characters up to j that equal the one p before them.
-    run = [[0] * (n + 1) for _ in range(_LONGEST_PERIOD + 1)]
-    for p in range(1, _LONGEST_PERIOD + 1):
-        for j in range(p, n):
-            run[p][j + 1] = run[p][j] + 1 if value[j] == value[j - p] else 0
-    best = [0.0] + [math.inf] * n  # any piece may end here
-    brute = [0.0] + [math.inf] * n  # a brute-force piece ends here
-    walk = 0
+    periods = range(1, _LONGEST_PERIOD + 1)
+    same = [0] * (_LONGEST_PERIOD + 1)  # characters so far that equal the one so many before
+    repeats = [[_Starts() for _ in range(p)] for p in range(_LONGEST_PERIOD + 1)]
+    walks, walk, turns, last = _Starts(), 0, 0, 0.0
     for j in range(1, n + 1):
-        brute[j] = min(best[j - 1] + 1, brute[j - 1] if j > 1 else math.inf) + per_char
-        least = brute[j]
+        k = j - 1  # the character that comes in
+        if low[k].isdigit():
+            for end in {m.end() for form in _DATES if (m := form.match(low, k))}:
+                dates.setdefault(end, []).append(k)
+        brute = min(best[k % _RING] + 1, brute) + per_char
+        least = brute
         for i in range(max(0, j - _LONGEST_WORD), j - 2):
             rank, extra = ranks.get(low[i:j]), 0.0
             if rank is None and plain != low:
                 rank, extra = ranks.get(plain[i:j]), 1.0
             if rank is not None:
                 extra += value[i:j] != low[i:j]
-                least = min(least, best[i] + 1 + math.log2(rank + 1) + extra)
-        for i in dates.get(j, ()):
-            least = min(least, best[i] + 1 + math.log2(365 * 200))
-        for p in range(1, _LONGEST_PERIOD + 1):
-            if (times := run[p][j] // p) and p * (times + 1) >= 3:
-                start = j - p * (times + 1)
-                least = min(least, best[start] + 1 + p * per_char + math.log2(times + 1), best[start + p] + 1 + math.log2(times + 1))
-        walk = walk + 1 if steps[j - 1] else 0
-        if walk >= 2:
-            turns = sum(steps[k] and steps[k - 1] and low[k] == low[k - 2] for k in range(j - walk + 1, j)) if walk < 64 else 0
-            least = min(least, best[j - walk - 1] + 1 + math.log2(47 * 2 * (walk + 1)) + 2 * turns)
-        best[j] = least
-    return best[n]
+                least = min(least, best[i % _RING] + 1 + math.log2(rank + 1) + extra)
+        for i in dates.pop(j, ()):
+            least = min(least, best[i % _RING] + 1 + math.log2(365 * 200))
+        for p in periods:
+            if k >= p and value[k] == value[k - p]:
+                same[p] += 1
+                shortest = max(2 * p, 3)
+                if same[p] >= shortest - p:
+                    i = j - shortest
+                    starts = repeats[p][j % p]
+                    starts.add(i, min(best[i % _RING] + p * per_char, best[(i + p) % _RING]))
+                    least = min(least, starts.least(j) + 1 - math.log2(p))
+            elif same[p]:
+                same[p] = 0
+                for starts in repeats[p]:
+                    starts.stack.clear()
+        if k and low[k - 1 : j] in _BESIDE:
+            walk += 1
+            before, turns = turns, turns + (walk >= 2 and low[k] == low[k - 2])
+            if walk >= 2:
+                # turns of a walk count from its third character on
+                walks.add(j - 3, best[(j - 3) % _RING] - 2 * before)
+                least = min(least, walks.least(j) + 1 + math.log2(47 * 2) + 2 * turns)
+        elif walk:
+            walk = turns = 0
+            walks.stack.clear()
+        best[j % _RING] = last = least
+    return last
 
 
 def scan(text: str, ranks: dict[str, int], least_bits: float = LEAST_BITS) -> list[tuple[str, int, int, float]]:

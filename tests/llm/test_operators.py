@@ -273,6 +273,64 @@ def test_guess_costs():
     assert all(bits(x) < 20 for x in days) and bits("31.12.1999" + "01022024") < 36
     assert secret_scan.scan("password is 31.12.1999 and 31121999.", ranks) == []
 
+def slow_guess_bits(value, ranks):
+    """Every piece at every place, by the prices of the docstring."""
+    low, n = value.lower(), len(value)
+    plain = low.translate(str.maketrans("4@310$57", "aaeiosst"))
+    per_char = np.log2(secret_scan._alphabet(value))
+    rows = secret_scan.KEYBOARD
+    beside = lambda a, b: any(a + b in row or b + a in row for row in rows)
+    best = [0.0]
+    for j in range(1, n + 1):
+        prices = []
+        for i in range(j):
+            piece, size = low[i:j], j - i
+            prices.append(best[i] + 1 + size * per_char)
+            for word, extra in ((piece, 0), (plain[i:j], 1)):
+                if 3 <= size <= 24 and word in ranks:
+                    prices.append(best[i] + 1 + np.log2(ranks[word] + 1) + extra + (value[i:j] != piece))
+                    break
+            if any(form.fullmatch(piece) for form in secret_scan._DATES):
+                prices.append(best[i] + 1 + np.log2(365 * 200))
+            for p in range(1, 9):
+                if size >= max(2 * p, 3) and size % p == 0 and value[i:j] == value[i : i + p] * (size // p):
+                    prices.append(min(best[i] + p * per_char, best[i + p]) + 1 + np.log2(size // p))
+            if size >= 3 and all(beside(a, b) for a, b in zip(piece, piece[1:])):
+                turned = sum(a == b for a, b in zip(piece, piece[2:]))
+                prices.append(best[i] + 1 + np.log2(94 * size) + 2 * turned)
+        best.append(min(prices))
+    return best[n]
+
+
+def test_guess_costs_are_minimal():
+    ranks = secret_scan.word_ranks(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    words = [*secret_scan.COMMON, "river", "Table", "p4ssw0rd", "31.12.1999", "20240229", "1987"]
+    rows = [row + row[-2::-1] for row in secret_scan.KEYBOARD]
+
+    def part():
+        kind, row = rng.randrange(5), rng.choice(rows)
+        if kind == 0:
+            return rng.choice(words)
+        if kind == 1:
+            a = rng.randrange(len(row) - 1)
+            return row[a : a + rng.randint(2, 9)]
+        if kind == 2:
+            return "".join(rng.choice("ab1") for _ in range(rng.randint(1, 4))) * rng.randint(2, 6)
+        if kind == 3:
+            return rng.choice(["we", "qw", "asd", "zx"]) * rng.randint(2, 20)
+        return "".join(rng.choice("abcxyz0189._-XY") for _ in range(rng.randint(1, 4)))
+
+    values = ["".join(part() for _ in range(rng.randint(1, 5))) for _ in range(1500)]
+    values += ["princessxcvbnm,ca2", "michelledfghjkl1qaz2wsx", "qw" * 60, "a" * 70, "ab" * 40 + "c", "qwertyuiop" * 12]
+    for value in values:
+        assert secret_scan.guess_bits(value, ranks) == pytest.approx(slow_guess_bits(value, ranks), abs=1e-6), value
+
+
+def test_guess_cost_of_very_long_values():
+    for value in ("q" * 100_000, "qw" * 50_000, "0123456789abcdef" * 6_000, "İ" + "k3J/" * 10_000):
+        assert 0 < secret_scan.guess_bits(value, {}) < np.inf
+
 
 def test_secrets(odd, none):
     found = secret_scan.digests(secret_scan.find_secrets(odd, WORD_BPE)).collect()
