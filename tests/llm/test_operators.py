@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -321,14 +322,14 @@ def test_guess_costs_are_minimal():
             return rng.choice(["we", "qw", "asd", "zx"]) * rng.randint(2, 20)
         return "".join(rng.choice("abcxyz0189._-XY") for _ in range(rng.randint(1, 4)))
 
-    values = ["".join(part() for _ in range(rng.randint(1, 5))) for _ in range(1500)]
+    values = ["".join(part() for _ in range(rng.randint(1, 5))) for _ in range(600)]
     values += ["princessxcvbnm,ca2", "michelledfghjkl1qaz2wsx", "qw" * 60, "a" * 70, "ab" * 40 + "c", "qwertyuiop" * 12]
     for value in values:
         assert secret_scan.guess_bits(value, ranks) == pytest.approx(slow_guess_bits(value, ranks), abs=1e-6), value
 
 
 def test_guess_cost_of_very_long_values():
-    for value in ("q" * 100_000, "qw" * 50_000, "0123456789abcdef" * 6_000, "İ" + "k3J/" * 10_000):
+    for value in ("q" * 30_000, "qw" * 15_000, "0123456789abcdef" * 1_000, "İ" + "k3J/" * 5_000):
         assert 0 < secret_scan.guess_bits(value, {}) < np.inf
 
 
@@ -349,7 +350,7 @@ def test_qgram_filter_misses_nothing(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(400)]
     prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(k, prose(20)) for k in range(30)] + [(90, None), (91, "short"), (92, "")]
+    items = [(k, prose(20)) for k in range(30)] + [(90, None), (91, "shorter than words"), (92, "")]
     docs, expected = [], set()
     for d in range(60):
         text = prose(60)
@@ -378,6 +379,71 @@ def test_benchmark_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
     test_qgram_filter_misses_nothing(spark)
 
+def slow_leaks(text, item):
+    """Whether some window of the item is within its edits of some stretch of the text, by an alignment of all."""
+    window = min(len(item), decontaminate.WINDOW)
+    most = window * decontaminate.EDITS // decontaminate.WINDOW
+    for at in range(len(item) - window + 1):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item[at : at + window]):
+            last, row = row, [i + 1]
+            for j, d in enumerate(text):
+                row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+        if min(row) <= most:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("hits", [40, 4_000_000])
+def test_passages_of_repeating_text_equal_brute_force(monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = random.Random(8)
+    found = 0
+    for _ in range(120):
+        unit = "".join(rng.choice("ab 0") for _ in range(rng.randint(1, 6)))
+        noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+        near = lambda t: "".join(c if rng.random() > 0.06 else rng.choice("ab0") for c in t)
+        item = near((noise(rng.randint(0, 20)) + unit * 30)[: rng.randint(20, 90)])
+        text = noise(rng.randint(0, 30)) + near((item if rng.random() < 0.5 else unit * 30)[: rng.randint(30, 100)]) + noise(9)
+        item, text = " ".join(item.split()), " ".join(text.split())
+        if len(item) < decontaminate.LEAST_CHARS:
+            continue
+        index = decontaminate.Index.of([1, 2, 3], ["zero dumps " * 9, item, item])
+        rows = decontaminate.leaks(["no passage", text], index, index.bitmap())
+        expected = slow_leaks(text, item)
+        assert {r[:2] for r in rows if r[1] > 0} == ({(1, 1), (1, 2)} if expected else set()), (item, text)
+        found += expected
+    assert 20 < found < 115
+
+
+def test_ranges_of_diagonals_change_nothing(monkeypatch):
+    rng = random.Random(9)
+    prose = lambda n, v: " ".join(rng.choice(v) for _ in range(n))
+    items = ["0 " * 150, "ha" * 120, prose(60, ["ha", "ho"]), prose(50, ["red", "blue", "green", "grey"]), "0 " * 150]
+    texts = ["0 " * 900, items[2][40:160] + "ha" * 500, prose(300, ["ha", "ho"]), "", "x " + items[3].upper(), "0 1 " * 300]
+    index = decontaminate.Index.of(list(range(len(items))), items)
+    whole = decontaminate.leaks(texts, index, index.bitmap())
+    for hits in (50, 3_000, 100_000):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        assert decontaminate.leaks(texts, index, index.bitmap()) == whole
+    assert {(r[0], r[1]) for r in whole} >= {(0, 0), (0, 4), (1, 1), (1, 2), (4, 3)}
+
+
+def test_repeating_text_in_bounded_memory():
+    index = decontaminate.Index.of([1], ["0 " * 500])
+    tracemalloc.start()
+    rows = decontaminate.leaks(["0 " * 32_000], index, index.bitmap())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[:4] for r in rows] == [(0, 0, 0, 64_000)] and peak < 1_200_000_000
+
+
+def test_short_items_are_whole_words():
+    index = decontaminate.Index.of([1, 2, 3, 4], ["Forty-two", "7", "", "ninety nine percent"])
+    texts = ["answer: forty-two", "forty-twofold", "17 or 77", "it is 7!", None or "", "NINETY nine, percent.", "ninety nine percents", "7"]
+    rows = decontaminate.leaks(texts, index, index.bitmap())
+    assert [(t, i, texts[t][a:b]) for t, i, a, b, _ in rows] == [(0, 0, "forty-two"), (3, 1, "7"), (5, 3, "NINETY nine, percent"), (7, 1, "7")]
+
 
 # ---- shards ----
 
