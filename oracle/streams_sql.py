@@ -12,6 +12,13 @@ classified AS (
 )""" + SLO.removeprefix(CLASSIFIED)
 
 ORACLE = {
+    "stages_stream": EVENTS["stages_events"],
+    "stages_stream_learned": f"""WITH {RAW}
+SELECT event_id, http_method AS domain, '/api/' || event_type AS app,
+  coalesce(referer, last_value(referer IGNORE NULLS) OVER (
+    PARTITION BY event_key ORDER BY date_trunc('second', event_time), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+  ), '') AS class
+FROM raw WHERE event_id % 17 <> 0 AND status_code <> '404'""",
     "stream_parse": f"""WITH {_OWN}
 SELECT event_id, CAST(rule AS BIGINT) AS rule, event_key, result, domain AS slo_domain, class AS slo_class, 1.0 AS quantity FROM slo""",
     "stream_learned": EVENTS["class_dynamic"],

@@ -183,7 +183,11 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines; every seventeenth one lacks its method."""
-    base = e(spark, sf_dir)
+    return lines_of(e(spark, sf_dir))
+
+
+def lines_of(base: DataFrame) -> DataFrame:
+    """The text lines of requests; works on a stream as well."""
     method = F.when(F.col("event_id") % 17 == 0, "???").otherwise(F.col("http_method"))
     referer = F.when(F.col("k") % 5 == 0, "-").otherwise(
         F.concat(F.lit("ref"), (F.col("k") % 7).cast("string"))

@@ -204,7 +204,7 @@ def counter_events(
 
 
 def histogram_increase(
-    samples: DataFrame, poll_interval: int = MINUTE, staleness: int = STALENESS
+    samples: DataFrame, poll_interval: int = MINUTE, staleness: int = STALENESS, earlier: DataFrame | None = None
 ) -> DataFrame:
     """Growth per histogram bucket alone: ``(labels, poll_ts, low, high, value)``.
 
@@ -213,7 +213,7 @@ def histogram_increase(
     Whether a poll is rejected depends on labels alone, so it is read off the samples.
     """
     bound = to_float(strmap.lookup(F.col("labels"), "le"))
-    grown = counter_increase(samples, poll_interval, staleness).withColumns(
+    grown = counter_increase(samples, poll_interval, staleness, earlier).withColumns(
         {"le": bound, "histogram": strmap.text(strmap.without(F.col("labels"), ["le"]))}
     )
     unreadable = samples.filter(bound.isNull())
@@ -242,8 +242,9 @@ def histogram_events(
     drop: Sequence[str] = (),
     add: Mapping[str, str] | None = None,
     result_as_quantity: bool = True,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
-    grown = histogram_increase(samples, poll_interval, staleness)
+    grown = histogram_increase(samples, poll_interval, staleness, earlier)
     bounds = F.create_map(
         F.lit(BUCKET_MIN), number_text(F.col("low")), F.lit(BUCKET_MAX), number_text(F.col("high"))
     )

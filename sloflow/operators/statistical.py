@@ -31,18 +31,21 @@ def class_counts(df: DataFrame, interval: int = 60, ts: str = "event_time") -> D
 
 
 def class_weights(
-    df: DataFrame, window: int = 1800, interval: int = 60, ts: str = "event_time"
+    df: DataFrame, window: int = 1800, interval: int = 60, ts: str = "event_time", earlier: DataFrame | None = None
 ) -> DataFrame:
     """Weights in force: ``(domain, class, since, until, weight)`` with interval numbers, ``until`` not included.
 
     The weight of an interval is the sum of the counts of the ``window / interval`` intervals before it, so only
     completed intervals count.  A count comes in with the next interval and goes out after the window: two
-    changes, whose running sum is the weight, however many intervals the window has.
+    changes, whose running sum is the weight, however many intervals the window has.  ``earlier`` are the
+    :func:`class_counts` of events that ``df`` does not hold.
     """
     if interval <= 0:
         raise ValueError("the update interval must be above zero")
     length = window // interval
     counts = class_counts(df, interval, ts)
+    if earlier is not None:
+        counts = counts.unionByName(earlier.select(*counts.columns))
     changes = counts.select(
         "domain",
         "class",
@@ -115,6 +118,7 @@ def classify_statistical(
     ident: str = "event_id",
     seed: int = 0,
     history: bool = True,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Give unclassified events a class drawn by the weights of the preceding window.
 
@@ -123,6 +127,7 @@ def classify_statistical(
     so a repeated run gives the same result.  An event meets the few classes whose stretch reaches into the
     slot of its draw, so neither a busy interval nor one with many classes is a single row or task.
 
+    ``earlier`` are the :func:`class_counts` of events before these.
     ``history=False`` uses the defaults alone, for events whose times say nothing.
     """
     listed, default_total = [], 0.0
@@ -138,7 +143,7 @@ def classify_statistical(
         asks = F.when(~is_classified(), _interval(F.col(ts), interval))
         asked = df.withColumns({"__interval": asks, "__draw": draw}).withColumn("__slot", F.floor(F.col("__draw") * _SLOTS).cast("int"))
         needed = df.select(asks.alias("interval_no")).filter("interval_no IS NOT NULL").distinct()
-        found = _distribution(class_weights(df, window, interval, ts), needed)
+        found = _distribution(class_weights(df, window, interval, ts, earlier), needed)
         found = found.withColumnsRenamed({name: f"__d_{name}" for name in found.columns})
         point = F.col("__draw") * F.col("__d_total")
         within = (F.col("__d_low") <= point) & (point < F.col("__d_upto"))

@@ -10,6 +10,7 @@ import os
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,9 @@ class Context:
     timed: bool = True
     #: Lazy side results by name; none is computed unless it is read.
     reports: dict[str, DataFrame] = field(default_factory=dict)
+    #: In a stream: what the stages with a memory keep from batch to batch
+    #: (:class:`sloflow.streaming.staged.Memory`), else None.
+    memory: object | None = None
     #: Observations by name, where the run itself counts, else None.
     watched: dict[str, Observation] | None = None
 
@@ -186,6 +190,13 @@ def _access_logs(_, settings: Settings, context: Context) -> DataFrame:
     return context.identified(flat.drop("event_id"))
 
 
+GROWTH = {"counter_increase": counter_events, "histogram_increase": histogram_events}
+
+
+def _grown(make, interval: int, staleness: int, drop, add, as_quantity: bool, samples: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    return make(samples, interval, staleness, drop, add, as_quantity, earlier)
+
+
 @stage("prometheusIngester", NOTHING, RAW)
 def _samples(_, settings: Settings, context: Context) -> DataFrame:
     queries = settings.need("queries")
@@ -204,10 +215,9 @@ def _samples(_, settings: Settings, context: Context) -> DataFrame:
             raise ConfigError([f"prometheusIngester: no samples given for query {text!r}"])
         if kind == "simple":
             events = shape.samples_to_events(landed[text], drop, add, as_quantity)
-        elif kind == "counter_increase":
-            events = counter_events(landed[text], interval, staleness, drop, add, as_quantity)
-        elif kind == "histogram_increase":
-            events = histogram_events(landed[text], interval, staleness, drop, add, as_quantity)
+        elif kind in GROWTH:
+            grown = partial(_grown, GROWTH[kind], interval, staleness, drop, add, as_quantity)
+            events = grown(landed[text]) if context.memory is None else context.memory.increased(landed[text], grown, staleness + interval)
         else:
             raise ConfigError([f"prometheusIngester: unknown query type {kind!r}"])
         events = shift(events.withColumnRenamed("event_time", "ts"), offset).withColumnRenamed("ts", "event_time")
@@ -259,7 +269,8 @@ def _dynamic(df: DataFrame, settings: Settings, context: Context) -> DataFrame:
     exact = read_matchers([context.path(p) for p in settings.get("exactMatchesCsvFiles", [])])
     regexp = read_matchers([context.path(p) for p in settings.get("regexpMatchesCsvFiles", [])])
     table = matchers_df(context.spark, exact) if exact else None
-    found = classify_dynamic(df, table, regexp, context.order, context.chunk)
+    classify = classify_dynamic if context.memory is None else context.memory.classified
+    found = classify(df, table, regexp, context.order, context.chunk)
     context.reports["classification"] = classification_report(found, reported)
     return found.drop("event_key", "classified_by")
 
@@ -279,7 +290,10 @@ def _statistical(df: DataFrame, settings: Settings, context: Context) -> DataFra
     interval = settings.seconds("historyWeightUpdateInterval", "1m")
     if not context.timed and not defaults:
         raise ConfigError(["statisticalClassifier: events without event times have no history, and there are no defaultWeights"])
-    found = classify_statistical(df, window, interval, defaults, history=context.timed)
+    if context.memory is not None and context.timed:
+        found = context.memory.weighed(df, window, interval, defaults)
+    else:
+        found = classify_statistical(df, window, interval, defaults, history=context.timed)
     context.reports["statistical"] = found.groupBy("statistical_result").agg(F.count("*").alias("events"))
     return found.drop("statistical_result")
 
@@ -310,13 +324,16 @@ def _counters(df: DataFrame, settings: Settings, context: Context) -> DataFrame:
     invalid = ~F.coalesce(F.col("result").isin(*shape.RESULTS), F.lit(False))
     valid = shape.valid_result(context.counted(df, "results", {"slo_events": F.lit(True), "invalid_results": invalid}))
     context.reports["event_keys"] = counters.event_key_stats(valid, limit)
+    metric, exemplar_keys = settings.get("metricName", "slo_events_total"), settings.get("exemplarMetadataKeys", [])
+    if context.memory is not None:
+        return context.memory.counted(valid, labels, limit, placeholder, exemplar_keys, (*context.order, "rule"), metric)
     return counters.capped_counters(
         valid,
         limit,
         placeholder,
-        settings.get("metricName", "slo_events_total"),
+        metric,
         labels,
-        settings.get("exemplarMetadataKeys", []),
+        exemplar_keys,
         context.order,
         (*context.order, "rule"),
     )

@@ -6,6 +6,7 @@ of the one before, so what is kept between micro-batches and between runs counts
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -19,10 +20,10 @@ from sloflow.operators import shape
 from sloflow.operators.relabel import relabel
 from sloflow.operators.rules import evaluate_rules, parse_rules
 from sloflow.operators.series import DAY
-from sloflow.queries.events import CAP, KEYS, dynamic_events
+from sloflow.queries.events import CAP, KEYS, STAGES, dynamic_events
 from sloflow.session import SAMPLE, shared_dir
 from sloflow.sources.matchers import matchers_df
-from sloflow.streaming import jobs
+from sloflow.streaming import jobs, staged
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -175,7 +176,51 @@ def stream_parse(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+def _staged(spark: SparkSession, sf: str, config: dict) -> DataFrame:
+    """A declarative run over log lines that arrive in parts, each followed to its end by a run that goes on."""
+    path = _folder(spark, "staged")
+    events = fx.table(spark, sf, "events").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    time = lambda rows: F.to_timestamp(strmap.lookup(F.col("metadata"), "time"), "yyyy-MM-dd HH:mm:ss")
+
+    def run() -> StreamingQuery:
+        lines = fx.lines_of(fx.e_columns(spark.readStream.schema(events.schema).parquet(f"{path}/in")))
+        return staged.stream_pipeline(spark, json.dumps(config), path, {"tailer": lines}, event_time=time, available_now=True)
+
+    _in_parts(spark, events, "ts", f"{path}/in", run)
+    return staged.read_staged(spark, path)
+
+
+def stages_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The stages of ``stages_events`` on a stream."""
+    m = F.col("metadata")
+    keys = {"seconds": "seconds", "ip": "ip", "event_key": "__eventKey"}
+    return _staged(spark, sf, STAGES).select(
+        "event_id", "quantity", *[F.col(f"classification.{p}").alias(p) for p in ("domain", "app", "class")],
+        *[strmap.lookup(m, key).alias(name) for name, key in keys.items()],
+    )
+
+
+#: Lines without a referrer have no class of their own; they take the one that their key had last.
+LEARNING = {
+    "pipeline": ["tailer", "relabel", "eventKeyGenerator", "metadataClassifier", "dynamicClassifier"],
+    "modules": {
+        **{name: STAGES["modules"][name] for name in ("tailer", "relabel", "eventKeyGenerator")},
+        "metadataClassifier": {
+            "sloDomainMetadataKey": "httpMethod", "sloClassMetadataKey": "referer", "sloAppMetadataKey": "endpoint",
+        },
+        "dynamicClassifier": {},
+    },
+}
+
+
+def stages_stream_learned(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages with a memory: classes learned in one part are used in the next."""
+    return _staged(spark, sf, LEARNING).select("event_id", *[F.col(f"classification.{p}").alias(p) for p in ("domain", "app", "class")])
+
+
 QUERIES = {
+    "stages_stream": stages_stream,
+    "stages_stream_learned": stages_stream_learned,
     "stream_parse": stream_parse,
     "stream_learned": stream_learned,
     "stream_counters": stream_counters,

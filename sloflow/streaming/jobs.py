@@ -21,6 +21,7 @@ from sloflow.operators import counters, shape
 from sloflow.functions import strmap
 from sloflow.operators.classify import classify_dynamic, event_key, remember
 from sloflow.operators.series import MINUTE, STALENESS, counter_events, last_samples
+from sloflow.operators.statistical import class_counts, classify_statistical
 from sloflow.session import CLASSIFICATION, SAMPLE
 from sloflow.sources.matchers import Matcher
 from sloflow.streaming.state import DeltaState
@@ -43,6 +44,13 @@ def admitted_state(path: str) -> DeltaState:
     return DeltaState(f"{path}/state", ADMITTED, lambda: F.col("event_key"))
 
 
+def weight_state(path: str, interval: int) -> DeltaState:
+    schema = T.StructType(
+        [T.StructField("interval_no", T.LongType()), T.StructField("domain", T.StringType()), T.StructField("class", T.StringType()), T.StructField("weight", T.DoubleType())]
+    )
+    return DeltaState(f"{path}/state", schema, lambda: F.to_json(F.struct("interval_no", "domain", "class")), lambda: F.col("interval_no") * interval)
+
+
 def hold_state(path: str, keys: Sequence[str]) -> DeltaState:
     return DeltaState(f"{path}/state", hold_schema(keys), lambda: F.to_json(F.struct(*keys)), lambda: F.col("last"))
 
@@ -71,6 +79,12 @@ def batch_path(path: str, batch: int) -> str:
     return f"{path}/batch={batch}"
 
 
+def written_batch(df: DataFrame, path: str, number: int) -> DataFrame:
+    """``df`` from the folder of its batch: computed once, and the same when the batch is repeated."""
+    df.write.mode("overwrite").parquet(batch_path(path, number))
+    return df.sparkSession.read.schema(df.schema).parquet(batch_path(path, number))
+
+
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches written so far."""
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
@@ -89,21 +103,29 @@ def classify_stream(
 
     A batch reads what is known of its own event keys, and writes those of which it learned something new.
     """
-    state = learned_state(path)
+    return run(stream, lambda batch, number: classify_batch(batch, number, path, exact, regexp, order, chunk), f"{path}/checkpoint", **options)
 
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = state.read(spark, number, state.touched(batch.select(event_key().alias("event_key"))))
-        found = classify_dynamic(batch, exact, regexp, order, chunk, remembered=known)
-        found.write.mode("overwrite").parquet(batch_path(f"{path}/events", number))
-        written = spark.read.schema(found.schema).parquet(batch_path(f"{path}/events", number))
-        old = known.select(F.col("event_key").alias("__key"), F.col("learned").alias("__old"))
-        now = remember(written, None, order).filter(F.col("event_key").isNotNull())
-        both = now.join(old, F.col("event_key") == F.col("__key"), "left")
-        news = F.col("__key").isNull() | (F.col("learned").isNotNull() & ~F.col("learned").eqNullSafe(F.col("__old")))
-        state.write(both.filter(news), number)
 
-    return run(stream, each, f"{path}/checkpoint", **options)
+def classify_batch(
+    batch: DataFrame,
+    number: int,
+    path: str,
+    exact: DataFrame | None = None,
+    regexp: Sequence[Matcher] = (),
+    order: Sequence[str] = ("event_time", "event_id"),
+    chunk: Column | None = None,
+) -> DataFrame:
+    """One micro-batch of :func:`classify_stream`: its events, as they were written."""
+    state, spark = learned_state(path), batch.sparkSession
+    known = state.read(spark, number, state.touched(batch.select(event_key().alias("event_key"))))
+    found = classify_dynamic(batch, exact, regexp, order, chunk, remembered=known)
+    written = written_batch(found, f"{path}/events", number)
+    old = known.select(F.col("event_key").alias("__key"), F.col("learned").alias("__old"))
+    now = remember(written, None, order).filter(F.col("event_key").isNotNull())
+    both = now.join(old, F.col("event_key") == F.col("__key"), "left")
+    news = F.col("__key").isNull() | (F.col("learned").isNotNull() & ~F.col("learned").eqNullSafe(F.col("__old")))
+    state.write(both.filter(news), number)
+    return written
 
 
 def increase_stream(
@@ -122,22 +144,31 @@ def increase_stream(
     history.  Samples dated in the future do not move that time, as long as they are ahead of the clock or
     come in one batch only.
     """
-    state = sample_state(path)
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = state.read(spark, number, state.touched(batch))
-        events = counter_events(batch, poll_interval, staleness, earlier=earlier)
-        events.write.mode("overwrite").parquet(batch_path(f"{path}/events", number))
-        newest = batch.agg(F.max(F.unix_seconds("ts"))).first()[0]
-        state.advance(spark, number, newest, staleness + poll_interval + lateness)
-        here = batch.select(strmap.text(F.col("labels")).alias("__series")).distinct()
-        kept = last_samples(batch, earlier).withColumn("__series", strmap.text(F.col("labels")))
-        state.write(kept.join(here, "__series", "left_semi"), number)
+        increase_batch(batch, number, path, lambda rows, earlier: counter_events(rows, poll_interval, staleness, earlier=earlier), staleness + poll_interval + lateness)
 
     return run(stream, each, f"{path}/checkpoint", **options)
 
 
+def increase_batch(
+    batch: DataFrame, number: int, path: str, events: Callable[[DataFrame, DataFrame], DataFrame], seconds: int
+) -> DataFrame:
+    """One micro-batch of :func:`increase_stream`: its events, as they were written.
+
+    ``events`` makes them of the samples and the last earlier ones; a series is kept for ``seconds``.
+    """
+    state, spark = sample_state(path), batch.sparkSession
+    earlier = state.read(spark, number, state.touched(batch))
+    written = written_batch(events(batch, earlier), f"{path}/events", number)
+    newest = batch.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    state.advance(spark, number, newest, seconds)
+    here = batch.select(strmap.text(F.col("labels")).alias("__series")).distinct()
+    kept = last_samples(batch, earlier).withColumn("__series", strmap.text(F.col("labels")))
+    state.write(kept.join(here, "__series", "left_semi"), number)
+    return written
+
+
 def cap_stream(
     stream: DataFrame,
     path: str,
@@ -195,35 +226,48 @@ def counter_stream(
     The coarser levels are made by :func:`read_counters`.  The keys that came first over the whole stream are
     admitted; 0 means no limit.
     """
-    state, seen = counter_state(path, names, bool(exemplar_keys)), admitted_state(f"{path}/keys")
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = shape.valid_result(batch)
-        if limit:
-            known = seen.read(spark, number)
-            fresh = rows.join(known, "event_key", "left_anti")
-            seen.write(counters.admitted_keys(fresh, max(limit - known.count(), 0), order).select("event_key"), number)
-            rows = counters.cap_event_keys(rows, limit, placeholder, order, seen.read(spark, number + 1))
-        added = counters.finest_counters(rows, names, exemplar_keys, ("event_time", "event_id"))
-        added = added.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in state.schema])
-        # Written before it is added: what it is read for would otherwise aggregate the batch again.
-        added.write.mode("overwrite").parquet(batch_path(f"{path}/added", number))
-        added = spark.read.schema(state.schema).parquet(batch_path(f"{path}/added", number))
-        before = state.read(spark, number, state.touched(added))
-        here = added.select(state.key().alias("__here")).distinct()
-        before = before.join(here, state.key() == F.col("__here"), "left_semi")
-        sums = [F.sum(result).alias(result) for result in counters.RESULTS]
-        if exemplar_keys:
-            latest = [f"{result}_exemplar" for result in counters.RESULTS]
-            sums += [F.max_by(name, F.col(f"{name}.at")).alias(name) for name in latest]
-        by = [F.col(f"`{name}`") for name in names.levels]
-        both = before.unionByName(added).groupBy(*by, state.key().alias("__key")).agg(F.any_value("extra").alias("extra"), *sums)
-        state.write(both.drop("__key"), number)
+        count_batch(batch, number, path, names, limit, placeholder, exemplar_keys, order)
 
     return run(stream, each, f"{path}/checkpoint", **options)
 
 
+def count_batch(
+    batch: DataFrame,
+    number: int,
+    path: str,
+    names: counters.LabelNames = counters.DEFAULT_NAMES,
+    limit: int = 0,
+    placeholder: str = counters.EXCEEDED_PLACEHOLDER,
+    exemplar_keys: Sequence[str] = (),
+    order: Sequence[str] = ("event_time", "event_id", "rule"),
+) -> None:
+    """One micro-batch of :func:`counter_stream`."""
+    state, seen, spark = counter_state(path, names, bool(exemplar_keys)), admitted_state(f"{path}/keys"), batch.sparkSession
+    rows = shape.valid_result(batch)
+    if limit:
+        known = seen.read(spark, number)
+        fresh = rows.join(known, "event_key", "left_anti")
+        seen.write(counters.admitted_keys(fresh, max(limit - known.count(), 0), order).select("event_key"), number)
+        rows = counters.cap_event_keys(rows, limit, placeholder, order, seen.read(spark, number + 1))
+    added = counters.finest_counters(rows, names, exemplar_keys, ("event_time", "event_id"))
+    added = added.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in state.schema])
+    # Written before it is added: what it is read for would otherwise aggregate the batch again.
+    added.write.mode("overwrite").parquet(batch_path(f"{path}/added", number))
+    added = spark.read.schema(state.schema).parquet(batch_path(f"{path}/added", number))
+    before = state.read(spark, number, state.touched(added))
+    here = added.select(state.key().alias("__here")).distinct()
+    before = before.join(here, state.key() == F.col("__here"), "left_semi")
+    sums = [F.sum(result).alias(result) for result in counters.RESULTS]
+    if exemplar_keys:
+        latest = [f"{result}_exemplar" for result in counters.RESULTS]
+        sums += [F.max_by(name, F.col(f"{name}.at")).alias(name) for name in latest]
+    by = [F.col(f"`{name}`") for name in names.levels]
+    both = before.unionByName(added).groupBy(*by, state.key().alias("__key")).agg(F.any_value("extra").alias("extra"), *sums)
+    state.write(both.drop("__key"), number)
+
+
 def read_counters(
     spark: SparkSession, path: str, base: str = "slo_events_total", names: counters.LabelNames = counters.DEFAULT_NAMES, exemplars: bool = False
 ) -> DataFrame:
@@ -378,6 +422,29 @@ def hold_stream(
     return run(stream, each, f"{path}/checkpoint", **options)
 
 
+def weigh_batch(
+    batch: DataFrame, number: int, path: str, window: int, interval: int, defaults: Sequence[tuple[str, str, float]] = (), lateness: int = 10 * MINUTE
+) -> DataFrame:
+    """One micro-batch of the statistical classifier, which knows the class counts of the batches before it.
+
+    A count is kept for the window and ``lateness`` seconds.  An event is drawn once, so counts that come in
+    later than an interval's events do not change what was drawn for them.
+    """
+    state, spark = weight_state(path, interval), batch.sparkSession
+    earlier = state.read(spark, number)
+    found = written_batch(classify_statistical(batch, window, interval, defaults, earlier=earlier), f"{path}/events", number)
+    own = class_counts(found.filter(F.col("statistical_result") == "increased-weight"), interval)
+    here = own.select(*[F.col(name).alias(f"__{name}") for name in ("interval_no", "domain", "class")])
+    same = F.lit(True)
+    for name in ("interval_no", "domain", "class"):
+        same = same & F.col(name).eqNullSafe(F.col(f"__{name}"))
+    touched = earlier.join(here, same, "left_semi")
+    sums = own.unionByName(touched.select(*own.columns)).groupBy("interval_no", "domain", "class").agg(F.sum("weight").alias("weight"))
+    state.advance(spark, number, batch.agg(F.max(F.unix_seconds("event_time"))).first()[0], window + 2 * interval + lateness)
+    state.write(sums, number)
+    return found
+
+
 def source_backlog(spark: SparkSession, progress: Sequence[dict], limit: int | None = None) -> DataFrame:
     """How far each source of the given progress reports is behind.
 

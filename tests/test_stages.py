@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from sloflow.functions import strmap
 from sloflow.operators import counters
 from sloflow.operators.rules import ConfigError
+from sloflow.session import SAMPLE
+from sloflow.streaming import staged
 from sloflow.plans.stages import Pipeline, run_counted, run_pipeline, run_with_reports, stage_names
 
 # A scenario of our own: lines of a batch scheduler, one per finished run.
@@ -164,3 +166,71 @@ def test_counts_of_the_run_itself(spark, tmp_path):
     assert sorted(map(str, results[0])) == sorted(map(str, done.collect()))
     assert counts and counts == {name: reports[name].first().asDict() for name in counts}
     assert set(counts) | set(others) == set(reports)
+
+
+def lines_in_parts():
+    """Three files of lines; the second and third need what the ones before them taught."""
+    own = ("nightly", "urgent", "etl")
+    parts = [
+        [ran("load/orders", owner=own), ran("save/a"), ran("save/b", owner=("nightly", "calm", "etl")), "not a run"],
+        [ran("load/orders", code=1), ran("save/a", owner=own), ran("save/b", secs=99), ran("load/items/run-3", secs=91)],
+        [ran("save/a", code=2), ran("load/orders", owner=("nightly", "calm", "etl")), ran("save/b"), ran("save/new", queue="test")],
+        [ran("load/orders"), ran("save/a", secs=200), ran("save/new")],
+    ]
+    return [[line.replace("monday", f"2024-05-01 10:{7 * n:02d}:{k:02d}") for k, line in enumerate(part)] for n, part in enumerate(parts)]
+
+
+@pytest.mark.parametrize("extra", ["", "statisticalClassifier,"])
+def test_stream_counts_like_a_batch_run(spark, tmp_path, extra):
+    parts = lines_in_parts()
+    time = lambda rows: F.to_timestamp(strmap.lookup(F.col("metadata"), "when"))
+    (tmp_path / "known.csv").write_text('nightly,etl,urgent,"^load/[a-z]+@"\n')
+    (tmp_path / "rules.yaml").write_text(RULES)
+    (tmp_path / "runs.txt").write_text("\n".join(sum(parts, [])) + "\n")
+    # One weight only: a draw does not depend on the id, which the two runs number differently.
+    text = CONFIG % (extra, LINE_RE)
+    expected = run_pipeline(spark, text, base_dir=str(tmp_path), event_time=time)
+    (tmp_path / "in").mkdir()
+    stream_text = text.replace("./runs.txt", "in").replace("    emptyGroupRE", "    follow: false\n    emptyGroupRE")
+    for n, part in enumerate(parts):
+        (tmp_path / "in" / f"{n}.log").write_text("\n".join(part) + "\n")
+        staged.stream_pipeline(spark, stream_text, str(tmp_path / "out"), base_dir=str(tmp_path), event_time=time).awaitTermination()
+    plain = lambda df: {(r.metric, r.labels): r.value for r in df.select("metric", strmap.text(F.col("labels")).alias("labels"), "value").collect()}
+    got = plain(staged.read_counted(spark, str(tmp_path / "out")))
+    assert got == plain(expected) and sum(got.values()) > 0
+
+
+def test_stream_of_samples_grows_like_a_batch_run(spark, tmp_path):
+    text = """
+pipeline: [prometheusIngester, relabel]
+modules:
+  prometheusIngester:
+    queries:
+      - {query: hits, type: counter_increase, interval: 1m, additionalLabels: {from: hits}}
+      - {query: took, type: histogram_increase, interval: 1m, dropLabels: [job]}
+      - {query: level, type: simple, resultAsQuantity: false}
+  relabel:
+    eventRelabelConfigs: []
+"""
+    def rows(minutes):
+        hits = [({"job": job}, minute * 60, float(10 * minute * (1 + (job == "b")))) for minute in minutes for job in "ab"]
+        took = [({"job": "a", "le": le}, minute * 60, float(n * minute)) for minute in minutes for le, n in (("1", 2), ("2", 5), ("+Inf", 6))]
+        level = [({"job": "a"}, minute * 60, 0.5 * minute) for minute in minutes]
+        frame = lambda values: spark.createDataFrame(values, "labels map<string,string>, ts bigint, value double").withColumn("ts", F.timestamp_seconds("ts"))
+        return {"hits": frame(hits), "took": frame(took), "level": frame(level)}
+
+    plain = lambda df: sorted((str(r.event_time), sorted(r.metadata.items()), r.quantity) for r in df.collect())
+    expected = plain(run_pipeline(spark, text, {"prometheusIngester": rows(range(1, 10))}))
+    for minutes in (range(1, 4), range(4, 5), range(5, 10)):
+        for name, frame in rows(minutes).items():
+            frame.write.mode("append").parquet(str(tmp_path / name))
+        streams = {name: spark.readStream.schema(SAMPLE).parquet(str(tmp_path / name)) for name in ("hits", "took", "level")}
+        staged.stream_pipeline(spark, text, str(tmp_path / "out"), {"prometheusIngester": streams}, available_now=True).awaitTermination()
+    got = staged.read_staged(spark, str(tmp_path / "out"))
+    assert plain(got) == expected and len(expected) > 30
+    assert {r.batch_id for r in got.collect()} >= {0, 1, 2}
+
+
+def test_stream_without_rows_given(spark, tmp_path):
+    with pytest.raises(ConfigError):
+        staged.stream_pipeline(spark, "pipeline: [envoyAccessLogServer]\nmodules: {envoyAccessLogServer: {}}", str(tmp_path))
