@@ -77,6 +77,65 @@ def test_word_ids_equal_whole_texts(path, texts):
     assert [x.tolist() for x in got] == plain_ids(path, texts, 3)
 
 
+WHOLE = Tokenizer.from_file(BYTE_BPE)
+WHOLE.encode_special_tokens = True
+
+
+def asking(monkeypatch):
+    """A fresh byte-level encoder, and the list of texts that it gives to the library."""
+    coder, asked = wordcodes.WordIds(BYTE_BPE), []
+    plain = coder._plain
+    monkeypatch.setattr(coder, "_plain", lambda texts: asked.extend(texts) or plain(texts))
+    return coder, asked
+
+
+def test_words_of_known_runs_are_not_asked_for(monkeypatch):
+    coder, asked = asking(monkeypatch)
+    coder.encode(["x alpha beta éa 12 . , \u2026", "alpha", "beta", "éa", "12", ".", ",", "x a\nb"])
+    asked.clear()
+    texts = ["x alpha. beta,alpha .beta 12.éa alpha.\nbeta", "x éa12 ,12", "alpha beta,\néa"]
+    got = coder.with_end(texts, 2)
+    assert [t for t in asked if t] == []
+    assert [x.tolist() for x in got] == plain_ids(BYTE_BPE, texts, 2)
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    for bound in ("MOST_WORDS", "MOST_SPACED"):
+        monkeypatch.setattr(wordcodes, bound, 60, raising=False)
+    coder, asked = asking(monkeypatch)
+    for n in range(12):
+        text = "x often again often" + "".join(f" rare{chr(97 + n)}{chr(97 + i)}" for i in range(25))
+        assert coder.with_end([text], 2)[0].tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 2]
+        assert len(coder._index) < 120
+    words = " ".join(asked).split()
+    assert words.count("often") == words.count("again") == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet=st.sampled_from("aBÉжßı1\u0662 .,-_'s$<|>\n\u2026中"), max_size=30), max_size=5), max_size=3))
+def test_runs_equal_whole_texts(batches):
+    coder = wordcodes.word_ids(BYTE_BPE)
+    most, wordcodes.MOST_SPACED = wordcodes.MOST_SPACED, 40
+    try:
+        got = [x.tolist() for texts in batches for x in coder.with_end(texts, 3)]
+    finally:
+        wordcodes.MOST_SPACED = most
+    assert got == [[*x.ids, 3] for texts in batches for x in WHOLE.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_runs_are_what_the_library_cuts():
+    def cut(text):
+        return [text[a:b] for _, (a, b) in WHOLE.pre_tokenizer.pre_tokenize_str(text)]
+
+    letters, marks = ([c for c in map(chr, range(0x600)) if re.fullmatch(f"[{x}]", c)] for x in (wordcodes.LETTERS, wordcodes.MARKS))
+    assert (len(letters), len(marks)) == (738, 31)
+    for c in letters:
+        assert cut(f"a{c}b") == [f"a{c}b"]
+    for c in marks:
+        for before, after in (("a", "b"), ("1", "2"), ("a", "\nb")):
+            assert "".join(cut(f"{before}{c}{after}")[:2]) == f"{before}{c}" and len(cut(f"{before}{c}{after}")) == 2 + len(after)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 20), st.integers(0, 400), st.randoms(use_true_random=False))
 def test_bit_packing(bits, n, rng):
